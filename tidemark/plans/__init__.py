@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["attribution"]
+FAMILIES = ["attribution", "warehouse", "quality"]
 
 
 def _collect(attribute: str) -> dict:

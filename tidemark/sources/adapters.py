@@ -131,7 +131,7 @@ def ad_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def creatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+def creatives(spark: SparkSession, sf_dir: str, first_start: str = "1996-01-01", step: int = 10, length: int = 90) -> DataFrame:
     """Suppliers grouped into 24 creatives, with flags balanced in every channel x audience stratum."""
     s = table(spark, sf_dir, "supplier")
     c = F.col("creative")
@@ -145,8 +145,8 @@ def creatives(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("g"), (c % 6).cast("string")).alias("ad_group_id"),
             F.when(c < 12, "prospecting").otherwise("retargeting").alias("audience"),
             F.lit("image").alias("format"),
-            F.date_add(F.lit("1996-01-01").cast("date"), c * 10).alias("start_date"),
-            F.date_add(F.lit("1996-03-31").cast("date"), c * 10).alias("end_date"),
+            F.date_add(F.lit(first_start).cast("date"), c * step).alias("start_date"),
+            F.date_add(F.lit(first_start).cast("date"), c * step + length).alias("end_date"),
             F.concat(F.lit("Brand#"), (1 + c % 10).cast("string")).alias("product_focus"),
             (F.floor(c / 3) % 2 == 0).alias("has_person"),
             F.when(F.floor(c / 6) % 2 == 0, "bottom-right").otherwise("center").alias("cta_position"),
@@ -154,3 +154,75 @@ def creatives(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when((c % 4).isin(0, 3), "high").otherwise("low").alias("text_density"),
         )
     )
+
+
+def nested_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as a nested web export, with every irregular shape the flattening has to deal with."""
+    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    i, k = F.col("event_id"), F.col("k")
+    text = lambda c: c.cast("string")
+    void = lambda t: F.lit(None).cast(t)
+
+    def p(key: str, s=None, n=None, d=None, f=None) -> Column:
+        return F.struct(F.lit(key).alias("key"), F.struct(
+            (s if s is not None else void("string")).alias("string_value"), (n if n is not None else void("bigint")).alias("int_value"),
+            (d if d is not None else void("double")).alias("double_value"), (f if f is not None else void("double")).alias("float_value")).alias("value"))
+
+    day = F.date_format("ts", "yyyyMMdd")
+    slot = i % 3
+    params = F.array(
+        p("ga_session_id", s=F.when(k % 2 == 0, day), n=F.when((k % 2 == 1) & (k != 13), day.cast("bigint"))),
+        p("value", n=F.when(slot == 0, F.floor("value").cast("bigint")), d=F.when(slot == 1, F.col("value")), f=F.when(slot == 2, F.col("value"))),
+        p("creative_name", s=F.concat(F.lit("cr"), text(k % 24))),
+        p("campaign", s=F.when(k % 4 == 2, F.concat(F.lit("c"), text(k % 5)))),
+        p("transaction_id", s=F.when((F.col("event_type") == "purchase") & (k % 3 == 0), F.concat(F.lit("T"), text(i)))))
+    item = lambda j: F.struct(
+        F.when(k % 10 == 7, "(not set)").otherwise(F.concat(F.lit("i"), text((k + j) % 20))).alias("item_id"),
+        F.when(k % 10 == 3, "(not set)").otherwise(F.concat(F.lit("v"), text(k % 4))).alias("item_variant"),
+        (1 + k % 3).cast("bigint").alias("quantity"))
+    tagged = k % 4 == 1
+    return e.select(
+        day.alias("event_date"), micros_of("ts").alias("event_timestamp"), F.col("event_type").alias("event_name"),
+        F.when(i % 97 != 0, text(F.col("user_id"))).alias("user_pseudo_id"),
+        F.when(k % 2 == 0, F.concat(F.lit("C"), text(F.col("user_id")))).alias("user_id"),
+        params.alias("event_params"),
+        F.when(slot == 0, F.slice(F.array(item(0)), 1, 0)).when(slot == 1, F.array(item(0))).otherwise(F.array(item(0), item(1))).alias("items"),
+        F.struct(F.when((F.col("event_type") == "purchase") & (k % 3 == 1), F.concat(F.lit("T"), text(i)))
+                 .when(F.col("event_type") == "purchase", "(not set)").alias("transaction_id"),
+                 F.when(F.col("event_type") == "purchase", F.when(slot == 0, F.floor("value").cast("double")).otherwise(F.col("value"))).alias("purchase_revenue")).alias("ecommerce"),
+        F.struct(F.when(tagged, F.concat(F.lit("src"), text(k % 3))).alias("manual_source"),
+                 F.when(tagged & (k % 8 != 5), F.lit("medium")).alias("manual_medium"),
+                 void("string").alias("manual_campaign_name")).alias("collected_traffic_source"),
+        day.alias("day"))
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` in the flat raw shape."""
+    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    k, purchase = F.col("k"), F.col("event_type") == "purchase"
+    text = lambda c: F.col(c).cast("string")
+    return e.select(
+        F.date_format("ts", "yyyyMMdd").alias("event_date"), micros_of("ts").alias("event_timestamp"), F.col("event_type").alias("event_name"),
+        text("user_id").alias("user_pseudo_id"), F.date_format("ts", "yyyyMMdd").cast("bigint").alias("ga_session_id"),
+        F.when(purchase, text("user_id")).alias("customer_id"), _by_type(0).alias("utm_source"), _by_type(1).alias("utm_medium"),
+        F.concat(F.lit("c"), (k % 5).cast("string")).alias("utm_campaign"), F.concat(F.lit("cr"), (k % 24).cast("string")).alias("creative_id"),
+        F.lit(None).cast("string").alias("promotion_id"), F.when(k % 4 > 0, F.concat(F.lit("i"), (k % 20).cast("string"))).alias("item_id"),
+        F.concat(F.lit("v"), (k % 4).cast("string")).alias("item_variant"), (1 + k % 3).cast("bigint").alias("quantity"), F.col("value"),
+        F.when(purchase, text("event_id")).alias("transaction_id"), F.lit(None).cast("string").alias("data_source"))
+
+
+def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases in the raw order shape."""
+    p = purchases(spark, sf_dir)
+    return p.select(F.col("transaction_id").cast("string").alias("transaction_id"), "order_us", "order_date",
+                    F.col("customer_id").cast("string").alias("customer_id"), F.col("user_pseudo_id").cast("string").alias("user_pseudo_id"),
+                    "item_id", "quantity", F.pmod(F.col("order_us"), F.lit(4)).alias("unit_price"), "revenue")
+
+
+def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").cast("string").alias("customer_id"), F.col("c_name").alias("name"),
+                    F.concat(F.lower("c_mktsegment"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("email"),
+                    F.concat(F.lit("09"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("phone"),
+                    F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("city"),
+                    F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 30).cast("int")).alias("first_order_date"))
