@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["attribution", "warehouse", "quality"]
+FAMILIES = ["attribution", "warehouse", "quality", "anomaly"]
 
 
 def _collect(attribute: str) -> dict:

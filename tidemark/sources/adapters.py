@@ -226,3 +226,33 @@ def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("09"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("phone"),
                     F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("city"),
                     F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 30).cast("int")).alias("first_order_date"))
+
+
+def site_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (ship date, order) pairs of ``lineitem`` as the purchases a web site would have tracked."""
+    li = table(spark, sf_dir, "lineitem")
+    amount = F.sum(F.col("l_extendedprice").cast("decimal(18,2)"))
+    return li.groupBy(F.to_date("l_shipdate").alias("event_dt"), F.col("l_orderkey").alias("transaction_id")).agg(amount.alias("value")).select(
+        "event_dt", "transaction_id", F.lit("purchase").alias("event_name"), F.concat(F.lit("ch"), (F.col("transaction_id") % 3).cast("string")).alias("utm_source"),
+        F.lit("paid").alias("utm_medium"), F.col("value").cast("decimal(18,2)").alias("value"), F.lit("synthetic").alias("data_source"))
+
+
+# The causes a diagnosis may name.
+CAUSES = ("競價變貴", "追蹤碼失效", "素材疲乏", "需求或季節變化", "其他", "資料不足")
+
+
+def diagnosis_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as model replies: mostly sound JSON, some broken, off-list or failed."""
+    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    k = F.col("k")
+    causes = F.array(*[F.lit(c) for c in CAUSES], F.lit("不明"))
+    body = F.format_string('{"cause": "%s", "evidence": "%s", "confidence": %s, "next_check": "n%d"}',
+                           F.get(causes, k % 7), F.when(k % 17 == 0, "").otherwise(F.concat(F.lit("e"), k.cast("string"))),
+                           F.when(k % 19 == 0, "1.5").when(k % 23 == 0, '"high"').otherwise(F.concat(F.lit("0."), F.lpad((k % 100).cast("string"), 2, "0"))), k)
+    return e.select(
+        F.concat(F.lit("site_day|all_site|"), F.to_date("ts").cast("string")).alias("anomaly_id"), F.lit("all_site").alias("entity"),
+        F.to_date("ts").alias("period_start"), F.concat(F.lit("m"), (F.col("event_id") % 2).cast("string")).alias("model"), F.col("event_id"),
+        F.when(k % 10 == 9, F.substring(body, 1, 20)).otherwise(body).alias("raw_result"),
+        F.format_string('{"prompt_token_count": %d, "candidates_token_count": %d, "thoughts_token_count": %d}', k + 100, k % 50,
+                        F.when(k % 29 == 0, 5).otherwise(0)).alias("statistics"),
+        F.when(k % 31 == 0, "RESOURCE_EXHAUSTED").otherwise("").alias("status"), micros_of("ts").alias("created_us"))
