@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["attribution", "warehouse", "quality", "anomaly"]
+FAMILIES = ["attribution", "warehouse", "quality", "anomaly", "lift", "acceptance", "customers"]
 
 
 def _collect(attribute: str) -> dict:

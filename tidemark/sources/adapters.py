@@ -256,3 +256,26 @@ def diagnosis_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string('{"prompt_token_count": %d, "candidates_token_count": %d, "thoughts_token_count": %d}', k + 100, k % 50,
                         F.when(k % 29 == 0, 5).otherwise(0)).alias("statistics"),
         F.when(k % 31 == 0, "RESOURCE_EXHAUSTED").otherwise("").alias("status"), micros_of("ts").alias("created_us"))
+
+
+# Fixed values for the constructed season-report replies.
+TARGETS = ("meta-trn-prospecting", "cr-meta-evg-p1", "全站", "秋日專案商品")
+PERIODS = ("8/12", "8/24", "整季")
+OBSERVATIONS = ("CPC 上升一倍", "追蹤到的購買事件少了", "點擊率逐週下降", "占比上升", "沒有變化")
+
+
+def season_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as replies to the season report: up to two findings each, some replies broken."""
+    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    k = F.col("k")
+    at = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i % len(values))
+    finding = lambda s: F.format_string(
+        '{"target": "%s", "period": "%s", "observation": "%s", "likely_cause": "c%d"}', at(TARGETS, k + s), at(PERIODS, k + s), at(OBSERVATIONS, k + 2 * s), k)
+    body = F.when(k % 6 == 0, F.lit('{"findings": []}')).when(k % 6 < 3, F.format_string('{"findings": [%s]}', finding(0))) \
+        .otherwise(F.format_string('{"findings": [%s, %s]}', finding(0), finding(1)))
+    return e.select(
+        F.concat(F.lit("m"), (F.col("event_id") % 2).cast("string")).alias("model"), F.col("event_id").alias("run_no"),
+        F.when(k % 10 == 9, F.substring(body, 1, 30)).otherwise(body).alias("raw_result"),
+        F.format_string('{"prompt_token_count": %d, "candidates_token_count": %d, "thoughts_token_count": %d}', k + 100, k % 50,
+                        F.when(k % 29 == 0, 5).otherwise(0)).alias("statistics"),
+        F.when(k % 31 == 0, "RESOURCE_EXHAUSTED").otherwise("").alias("status"))
