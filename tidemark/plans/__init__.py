@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["attribution", "warehouse", "quality", "anomaly", "lift", "acceptance", "customers"]
+FAMILIES = ["attribution", "warehouse", "quality", "anomaly", "lift", "acceptance", "customers", "text_safety"]
 
 
 def _collect(attribute: str) -> dict:
