@@ -12,6 +12,10 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def count_rows() -> Column:
+    return F.count(F.lit(1))
+
+
 def ratio(num: str | Column, den: str | Column) -> Column:
     """num / den as double, NULL when the denominator is 0 or NULL."""
     return F.try_divide(col(num).cast("double"), col(den).cast("double"))

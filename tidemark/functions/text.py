@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values -------------------------------------------------------------------------------------------------------------
 # Invisible characters outside the Unicode categories Cf, Co, Cn, Cs, Cc.
@@ -44,7 +45,15 @@ EXTRA_CLAIM_TERMS = tuple((t, "誇大") for t in ("極致", "強效", "黃金",
 # --------------------------------------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed one time per row, however often ``use`` refers to it.
+
+    Catalyst may copy an expression into every place that refers to it; a lambda's argument is never copied.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
@@ -57,7 +66,8 @@ def nfkc(c: Column) -> Column:
 def drop_invisible(c: Column) -> Column:
     """Remove characters nobody can see; every kind of space becomes a plain one; line breaks and tabs stay."""
     gone = F.regexp_replace(c, rf"[\p{{Cf}}\p{{Co}}\p{{Cn}}\p{{Cs}}{EXTRA_INVISIBLE}]|[\p{{Cc}}&&[^\n\t]]", "")
-    return F.regexp_replace(gone, r"[\p{Zs}\p{Zl}\p{Zp}]", " ")
+    plain = F.regexp_replace(gone, r"[\p{Zs}\p{Zl}\p{Zp}]", " ")
+    return F.when(c.rlike(r"[^\x20-\x7E\n\t]"), plain).otherwise(c)
 
 
 def soften(c: Column) -> Column:
@@ -101,21 +111,30 @@ def mask_phone(c: Column) -> Column:
     return F.when(F.char_length(d) == 10, F.concat(F.substring(d, 1, 4), F.lit("-***-"), F.substring(d, 8, 3))).otherwise("")
 
 
-def find_pii(soft: Column, known: Column | None = None) -> Column:
+def find_pii(c: Column, known: Column | None = None) -> Column:
     """P-04: (kind, value) hits: values known to belong to somebody first, then whatever looks like an e-mail address or a mobile number.
 
-    ``soft`` is the softened text as a column of its own (a UDF may not stand inside a lambda); ``known`` is an array of raw values
-    per row (the few values looked up for that row).
+    ``known`` is an array of raw values per row (the few values looked up for that row).
     """
-    norm = F.regexp_replace(soft, r"\s+", "")
+    return once(soften(c), lambda soft: pii_in(soft, known))
+
+
+def pii_in(soft: Column, known: Column | None = None) -> Column:
     hit = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
-    emails, phones = F.regexp_extract_all(soft, F.lit(EMAIL), 0), F.regexp_extract_all(soft, F.lit(PHONE), 0)
+    # most texts have no @ at all, which is far cheaper to see than the full pattern
+    emails = F.when(F.contains(soft, F.lit("@")), F.regexp_extract_all(soft, F.lit(EMAIL), 0)).otherwise(F.array().cast("array<string>"))
+    phones = F.regexp_extract_all(soft, F.lit(PHONE), 0)
     if known is None:
         return F.concat(F.transform(emails, lambda v: hit("email", v)), F.transform(phones, lambda v: hit("phone", v)))
-    no_dash = F.replace(norm, F.lit("-"), F.lit(""))
     plain = lambda v: F.lower(F.regexp_replace(v, r"\s+", ""))
-    inside = lambda v: (F.char_length(plain(v)) >= 2) & F.when(plain(v).rlike(r"^\d+$"), F.contains(no_dash, plain(v))).otherwise(F.contains(norm, plain(v)))
-    found = F.array_distinct(F.filter(F.coalesce(known, F.array().cast("array<string>")), inside))
+    values = F.coalesce(known, F.array().cast("array<string>"))
+
+    def found_in(norm: Column) -> Column:
+        no_dash = F.replace(norm, F.lit("-"), F.lit(""))
+        inside = lambda v: (F.char_length(plain(v)) >= 2) & F.when(plain(v).rlike(r"^\d+$"), F.contains(no_dash, plain(v))).otherwise(F.contains(norm, plain(v)))
+        return F.array_distinct(F.filter(values, inside))
+
+    found = once(F.regexp_replace(soft, r"\s+", ""), found_in)
     seen = F.transform(found, plain)
     return F.concat(
         F.transform(found, lambda v: hit("known", v)),
@@ -123,7 +142,7 @@ def find_pii(soft: Column, known: Column | None = None) -> Column:
         F.transform(F.filter(phones, lambda m: ~F.array_contains(seen, F.regexp_replace(m, r"\D", ""))), lambda v: hit("phone", v)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _redact_wide(s: pd.Series) -> pd.Series:
     """Full-width digits and signs are rare; only such rows come here."""
     half = lambda x: unicodedata.normalize("NFKC", x)
@@ -144,18 +163,22 @@ def redact_pii(c: Column) -> Column:
     return F.when(wide, _redact_wide(F.when(wide, c))).otherwise(narrow)
 
 
-def find_claims(norm: Column, terms: Sequence[tuple[str, str]] = CLAIM_TERMS) -> Column:
+def find_claims(c: Column, terms: Sequence[tuple[str, str]] = CLAIM_TERMS) -> Column:
     """P-06: banned terms (term, kind) that occur in the normalised text."""
+    return once(normalize(c), lambda norm: claims_in(norm, terms))
+
+
+def claims_in(norm: Column, terms: Sequence[tuple[str, str]]) -> Column:
     rows = [(t, k, normalize_literal(t)) for t, k in terms]
     return F.array_compact(F.array(*[F.when(F.contains(norm, F.lit(n)), F.struct(F.lit(t).alias("term"), F.lit(k).alias("kind"))) for t, k, n in rows if n]))
 
 
-def find_injection(norm: Column, patterns: Sequence[tuple[str, str]] = INJECTION_PATTERNS) -> Column:
+def find_injection(c: Column, patterns: Sequence[tuple[str, str]] = INJECTION_PATTERNS) -> Column:
     """P-07: names of the patterns that occur in the normalised text."""
-    return F.array_compact(F.array(*[F.when(norm.rlike(p), F.lit(n)) for n, p in patterns]))
+    return once(normalize(c), lambda norm: F.array_compact(F.array(*[F.when(norm.rlike(p), F.lit(n)) for n, p in patterns])))
 
 
-def find_words(norm: Column, words: Sequence[str]) -> Column:
+def words_in(norm: Column, words: Sequence[str]) -> Column:
     if not words:
         return F.array().cast("array<string>")
     return F.array_compact(F.array(*[F.when(F.contains(norm, F.lit(normalize_literal(w))), F.lit(w)) for w in words]))
@@ -178,6 +201,9 @@ def is_sealed(c: Column) -> Column:
 def find_exits(c: Column) -> Column:
     """P-09: kinds of image, link, tag or URL syntax in a text."""
     raw = drop_invisible(F.coalesce(c, F.lit("")))
-    kinds = [("markdown_image", raw.rlike(r"!\s*\[")), ("markdown_link", raw.rlike(r"\]\s*[(\[:]")), ("html_tag", raw.rlike(r"<\s*[a-zA-Z/!?]")),
-             ("url", nfkc(raw).rlike(URL))]
-    return F.array_compact(F.array(*[F.when(p, F.lit(n)) for n, p in kinds]))
+
+    def kinds(x: Column) -> Column:
+        found = [("markdown_image", x["raw"].rlike(r"!\s*\[")), ("markdown_link", x["raw"].rlike(r"\]\s*[(\[:]")),
+                 ("html_tag", x["raw"].rlike(r"<\s*[a-zA-Z/!?]")), ("url", x["half"].rlike(URL))]
+        return F.array_compact(F.array(*[F.when(p, F.lit(n)) for n, p in found]))
+    return once(F.struct(raw.alias("raw"), nfkc(raw).alias("half")), kinds)

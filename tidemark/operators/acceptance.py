@@ -9,10 +9,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.checks import check_rows, one_row, union_all
-from ..functions.exprs import monday, ratio, sunday_weeks_between
+from ..functions.exprs import count_rows, monday, ratio, sunday_weeks_between
 from .lift import VERDICTS, judge
 
-N = F.count(F.lit(1))
 CRITERIA_SCHEMA = "signal_id string, check_id string, found_by string, method string, rule string, lower_bound double, upper_bound double"
 
 # What is judged and inside which bounds.
@@ -73,7 +72,7 @@ def _value(check_id: str, df: DataFrame, value: Column) -> DataFrame:
 def complete_week_multiplier(ads: DataFrame, creative: str, anchor: date) -> DataFrame:
     """Weekly click-rate multiplier: slope of log click rate over Sunday-counted weeks that have all seven days."""
     wk = sunday_weeks_between("date", F.lit(anchor))
-    weeks = ads.where(F.col("creative_id") == creative).groupBy(wk.alias("wk")).agg(N.alias("days"), ratio(F.sum("clicks"), F.sum("impressions")).alias("ctr"))
+    weeks = ads.where(F.col("creative_id") == creative).groupBy(wk.alias("wk")).agg(count_rows().alias("days"), ratio(F.sum("clicks"), F.sum("impressions")).alias("ctr"))
     return weeks.where("days = 7 and ctr > 0")
 
 
@@ -96,12 +95,12 @@ def measured_signals(ads: DataFrame, events: DataFrame, orders: DataFrame, produ
     s1b = said("S1b", (c("entity") == p.cost_group) & (c("cause") == p.dearer))
     s2b = said("S2b", (c("entity") == "all_site") & (c("period_start") == lit(p.outage_day)) & (c("cause") == p.broken))
     s3b = said("S3b", (c("entity") == p.tired_creative) & (c("cause") == p.tired))
-    booked = orders.where((c("order_date") == lit(p.outage_day)) & (c("data_source") == "synthetic")).agg(N).scalar()
+    booked = orders.where((c("order_date") == lit(p.outage_day)) & (c("data_source") == "synthetic")).agg(count_rows()).scalar()
     tracked = events.where((c("event_dt") == lit(p.outage_day)) & (c("event_name") == "purchase") & (c("data_source") == "synthetic"))
-    s2a = _value("S2a", tracked, ratio(N, booked))
+    s2a = _value("S2a", tracked, ratio(count_rows(), booked))
     weeks = complete_week_multiplier(ads, p.tired_creative, p.week_anchor)
     s3a = _value("S3a", weeks, F.exp(F.regr_slope(F.log("ctr"), c("wk").cast("double"))))
-    seg = segments.where("observed_30d").join(truth, "customer_id").groupBy("centroid_id", "segment").agg(N.alias("n"))
+    seg = segments.where("observed_30d").join(truth, "customer_id").groupBy("centroid_id", "segment").agg(count_rows().alias("n"))
     major = seg.groupBy("centroid_id").agg(F.max_by("segment", F.struct("n", "segment")).alias("major"))
     recall = seg.join(major, "centroid_id").groupBy("segment").agg(ratio(F.sum(F.when(c("segment") == c("major"), c("n")).otherwise(0)), F.sum("n")).alias("recall"))
     s5a = _value("S5a", recall, F.min("recall"))
@@ -129,7 +128,7 @@ def signal_verdict(scorecard: DataFrame) -> DataFrame:
     v = F.col("verdict")
     is_ = lambda k: v == VERDICTS[k]
     return scorecard.groupBy("signal_id").agg(
-        N.alias("checks"), F.count_if(is_("found")).alias("found"),
+        count_rows().alias("checks"), F.count_if(is_("found")).alias("found"),
         F.when(F.bool_and(is_("pending")), VERDICTS["pending"]).when(F.bool_and(is_("found")), VERDICTS["found"])
          .when(F.bool_or(is_("found")), "部分找到").otherwise(VERDICTS["missed"]).alias("verdict")).orderBy("signal_id")
 
@@ -162,9 +161,9 @@ def weekly_lines(ads: DataFrame, events: DataFrame, orders: DataFrame, items: Ma
                                              _ordered(F.format_string("%d/%d %.2f", *_md("wk"), pct("clk", "imp")), "wk", "、").alias("cells")).select(
         F.lit(2).alias("section"), F.concat_ws("|", "ad_group_id", "creative_id").alias("position"),
         F.format_string("%s（%s，上線 %d/%d）：%s", "creative_id", "ad_group_id", *_md("launch"), "cells").alias("line"))
-    ev = events.where("event_name = 'purchase' and data_source = 'synthetic'").groupBy(monday("event_dt").alias("wk")).agg(N.alias("tracked"))
+    ev = events.where("event_name = 'purchase' and data_source = 'synthetic'").groupBy(monday("event_dt").alias("wk")).agg(count_rows().alias("tracked"))
     own = orders.where("data_source = 'synthetic'")
-    od = own.groupBy(monday("order_date").alias("wk")).agg(N.alias("orders"), F.sum("revenue").alias("rev"))
+    od = own.groupBy(monday("order_date").alias("wk")).agg(count_rows().alias("orders"), F.sum("revenue").alias("rev"))
     weeks = ads.select(wk.alias("wk")).union(od.select("wk")).distinct()
     zero = lambda x: F.coalesce(c(x), F.lit(0)).cast("bigint")
     site = weeks.join(ev, "wk", "left").join(od, "wk", "left").agg(
@@ -224,7 +223,7 @@ def blind_scorecard(runs: DataFrame, matches: DataFrame, rules: Sequence[tuple],
 
 
 def runs_found(scorecard: DataFrame) -> DataFrame:
-    return scorecard.groupBy("model", "signal_id").agg(F.count_if("found").alias("runs_found"), N.alias("runs"))
+    return scorecard.groupBy("model", "signal_id").agg(F.count_if("found").alias("runs_found"), count_rows().alias("runs"))
 
 
 def tokens_of(key: str, column: str = "statistics") -> Column:
@@ -236,7 +235,7 @@ def blind_reports(results: DataFrame, findings: DataFrame, scorecard: DataFrame,
     """C-09: found runs per signal and model; per run; cost per model; each finding with its signals."""
     keys = ["model", "run_no"]
     by_signal = scorecard.groupBy("signal_id").agg(*[F.count_if((F.col("model") == m) & F.col("found")).alias(f"{m}_found") for m in models])
-    n_find = findings.groupBy(*keys).agg(N.alias("findings"))
+    n_find = findings.groupBy(*keys).agg(count_rows().alias("findings"))
     n_sig = scorecard.groupBy(*keys).agg(F.count_if("found").alias("signals_found"))
     z = lambda x: F.coalesce(x, F.lit(0)).alias(x)
     used = [tokens_of("prompt_token_count").alias("input_tokens"), tokens_of("candidates_token_count").alias("output_tokens"),
@@ -245,7 +244,7 @@ def blind_reports(results: DataFrame, findings: DataFrame, scorecard: DataFrame,
     p_in, p_out = F.lit(None).cast("double"), F.lit(None).cast("double")
     for m, (i, o) in prices.items():
         p_in, p_out = F.when(F.col("model") == m, float(i)).otherwise(p_in), F.when(F.col("model") == m, float(o)).otherwise(p_out)
-    cost = results.select("model", *used).groupBy("model").agg(N.alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens")) \
+    cost = results.select("model", *used).groupBy("model").agg(count_rows().alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens")) \
         .where(p_in.isNotNull()).withColumn("usd", (F.col("input_tokens") * p_in + F.col("output_tokens") * p_out) / 1e6) \
         .select("model", "calls", "input_tokens", "output_tokens", F.round("usd", 4).alias("usd"), F.round(F.col("usd") * twd, 2).alias("twd"))
     signals = matches.groupBy(*keys, "finding_no").agg(F.array_join(F.array_sort(F.collect_set("signal_id")), ",").alias("signals"))
@@ -259,13 +258,13 @@ def check_acceptance(criteria_table: DataFrame, scorecard: DataFrame, rules: Seq
     v, c = F.col("verdict"), F.col
     struct = lambda df, **a: df.agg(F.struct(*[x.alias(k) for k, x in a.items()])).scalar()
     facts = one_row(
-        scorecard.sparkSession, c=struct(criteria_table, n=N),
-        s=struct(scorecard, n=N, pending=F.count_if(v == VERDICTS["pending"]), nd=F.count_if(v == VERDICTS["no_data"]),
+        scorecard.sparkSession, c=struct(criteria_table, n=count_rows()),
+        s=struct(scorecard, n=count_rows(), pending=F.count_if(v == VERDICTS["pending"]), nd=F.count_if(v == VERDICTS["no_data"]),
                  judged=F.count_if(v.isin(VERDICTS["found"], VERDICTS["missed"]))),
-        p=struct(prompts, n=N, kinds=F.count_distinct("prompt")),
-        r=struct(results, n=N, models=F.count_distinct("model"), err=F.count_if(c("status") != ""), bad=F.count_if(F.try_parse_json("raw_result").isNull()),
+        p=struct(prompts, n=count_rows(), kinds=F.count_distinct("prompt")),
+        r=struct(results, n=count_rows(), models=F.count_distinct("model"), err=F.count_if(c("status") != ""), bad=F.count_if(F.try_parse_json("raw_result").isNull()),
                  think=F.count_if(tokens_of("thoughts_token_count") > 0)),
-        f=struct(findings, n=F.count_distinct("model", "run_no")), b=struct(blind, n=N))
+        f=struct(findings, n=F.count_distinct("model", "run_no")), b=struct(blind, n=count_rows()))
     e = lambda k: str(expected[k])
     return check_rows(facts, [
         ("01 criteria rows", e("criteria"), c("c.n")), ("02 scorecard rows", e("criteria"), c("s.n")), ("03 scorecard pending", e("pending"), c("s.pending")),

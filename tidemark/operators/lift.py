@@ -8,10 +8,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.checks import check_rows, fingerprint, one_row, symmetric_difference, union_all
-from ..functions.exprs import ratio
+from ..functions.exprs import count_rows, ratio
 from .quality import unpivot_flags
 
-N = F.count(F.lit(1))
 ATTRS = ("person", "cta", "warm", "text")
 Z95 = 1.96
 
@@ -30,7 +29,7 @@ def creative_conversion(events: DataFrame, skip_days: Sequence[date] = (), start
     # purchases may fall just after midnight of the last day
     late = e if end is None else e.where(F.col("event_dt") <= F.date_add(F.lit(end), 1))
     buy = late.where("event_name = 'purchase'").select(*keys).distinct().withColumn("bought", F.lit(1))
-    return sess.join(buy, keys, "left").groupBy("creative_id").agg(N.alias("sessions"), F.count("bought").alias("converted"))
+    return sess.join(buy, keys, "left").groupBy("creative_id").agg(count_rows().alias("sessions"), F.count("bought").alias("converted"))
 
 
 def creative_perf(creatives: DataFrame, flags: DataFrame, ads: DataFrame, conversion: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
@@ -82,7 +81,7 @@ def pooled(st: DataFrame) -> DataFrame:
     both = (F.col("cy") > 0) & (F.col("cn") > 0)
     w, iv = _pair_weight(), _inverse_variance(both)
     return st.groupBy("attr").agg(
-        N.alias("strata_used"), F.exp(F.sum(F.log("ctr_ratio") * w) / F.sum(w)).alias("ctr_est"),
+        count_rows().alias("strata_used"), F.exp(F.sum(F.log("ctr_ratio") * w) / F.sum(w)).alias("ctr_est"),
         F.exp(F.try_divide(F.sum(F.when(both, F.log("cvr_ratio")) * iv), F.sum(iv))).alias("cvr_est"),
         F.try_divide(F.lit(1.0), F.sqrt(F.sum(iv))).alias("cvr_log_se"), F.count_if(~both).alias("cvr_strata_skipped"))
 
@@ -205,7 +204,7 @@ def lift_vs_truth(perf: DataFrame, lift: DataFrame, truth: DataFrame, effects: d
     differs = F.lit(False)
     for a in ATTRS:
         differs = differs | (c(f"f_{a}") != c(f"t_{a}"))
-    diff = j.where(differs).agg(F.struct(N.alias("n"), F.array_join(F.array_sort(F.collect_list("creative_id")), ", ").alias("ids"))).scalar()
+    diff = j.where(differs).agg(F.struct(count_rows().alias("n"), F.array_join(F.array_sort(F.collect_list("creative_id")), ", ").alias("ids"))).scalar()
     answer = F.lit(1.0)
     for k, e in effects.items():
         answer = F.when(c("attr") == k, e).otherwise(answer)
@@ -263,11 +262,11 @@ def check_lift(perf: DataFrame, lift: DataFrame, dim_creative: DataFrame, featur
     now = fingerprint(criteria_v2).select("fingerprint").scalar()
     struct = lambda df, **a: df.agg(F.struct(*[v.alias(k) for k, v in a.items()])).scalar()
     facts = one_row(
-        perf.sparkSession, f=struct(features, n=N),
-        p=struct(perf, n=N, ex=F.count_if(c("creative_id").isin(list(excluded))), no_ad=F.count_if(bad("impressions", "clicks")),
+        perf.sparkSession, f=struct(features, n=count_rows()),
+        p=struct(perf, n=count_rows(), ex=F.count_if(c("creative_id").isin(list(excluded))), no_ad=F.count_if(bad("impressions", "clicks")),
                  no_sess=F.count_if(bad("sessions")), over=F.count_if(c("sessions") > c("clicks")), nf=F.count_if(null_flag)),
-        l=struct(lift, n=N, nulls=F.count_if(c("stratified").isNull()), ms=F.min("strata_used"), sk=F.sum("strata_skipped")),
-        v=struct(changed, n=N), s=struct(scorecard, n=N, nd=F.count_if(c("verdict") == VERDICTS["no_data"])),
+        l=struct(lift, n=count_rows(), nulls=F.count_if(c("stratified").isNull()), ms=F.min("strata_used"), sk=F.sum("strata_skipped")),
+        v=struct(changed, n=count_rows()), s=struct(scorecard, n=count_rows(), nd=F.count_if(c("verdict") == VERDICTS["no_data"])),
         r=struct(runs, kinds=F.count_distinct("fingerprint"), same=F.bool_and(c("fingerprint") == now)), a=F.struct(answers.alias("n")))
     return check_rows(facts, [
         ("01 features table images", str(images), c("f.n")),

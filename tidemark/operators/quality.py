@@ -8,10 +8,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.checks import union_all
-from ..functions.exprs import local_date, ratio
+from ..functions.exprs import count_rows, local_date, ratio
 from ..functions.skew import keyed_sequence, order_slices
 
-N = F.count(F.lit(1))
 
 
 def _long(df: DataFrame, values: dict[str, Column]) -> DataFrame:
@@ -30,20 +29,20 @@ def metric_vector(events: DataFrame, orders: DataFrame, ads: DataFrame, creative
     sessions = events.where("event_name = 'session_start'").select("user_pseudo_id", "ga_session_id").distinct()
     cents = lambda c: F.sum(F.col(c).cast("decimal(18,2)"))
     return union_all([
-        _long(creatives, {"rows.creatives": N, "check.image_has_person_null": F.count_if((F.col("format") == "image") & F.col("has_person").isNull())}),
-        _long(customers, {"rows.customers": N, "check.phone_leading_zero": F.count_if(F.col("phone").startswith("0"))}),
-        _long(ads, {"rows.ad_daily": N, "ad.impressions": F.sum("impressions"), "ad.clicks": F.sum("clicks"), "ad.cost": F.sum("cost").cast("decimal(28,2)")}),
-        _long(orders, {"rows.orders": N, "orders.revenue": F.sum("revenue"), "orders.quantity": F.sum("quantity"),
+        _long(creatives, {"rows.creatives": count_rows(), "check.image_has_person_null": F.count_if((F.col("format") == "image") & F.col("has_person").isNull())}),
+        _long(customers, {"rows.customers": count_rows(), "check.phone_leading_zero": F.count_if(F.col("phone").startswith("0"))}),
+        _long(ads, {"rows.ad_daily": count_rows(), "ad.impressions": F.sum("impressions"), "ad.clicks": F.sum("clicks"), "ad.cost": F.sum("cost").cast("decimal(28,2)")}),
+        _long(orders, {"rows.orders": count_rows(), "orders.revenue": F.sum("revenue"), "orders.quantity": F.sum("quantity"),
                        "orders.customers": F.count_distinct("customer_id"), "orders.min_date": F.min("order_date"), "orders.max_date": F.max("order_date"),
                        "check.order_date_mismatch": F.count_if(F.col("order_date") != local_date("order_us", "UTC")),
-                       "aov": F.round(F.sum("revenue").cast("double") / N, 6)}),
-        _long(events, {"rows.events": N, "events.users": F.count_distinct("user_pseudo_id"), "events.min_date": F.min("event_date"),
+                       "aov": F.round(F.sum("revenue").cast("double") / count_rows(), 6)}),
+        _long(events, {"rows.events": count_rows(), "events.users": F.count_distinct("user_pseudo_id"), "events.min_date": F.min("event_date"),
                        "events.max_date": F.max("event_date"),
                        "check.event_date_mismatch": F.count_if(F.col("event_date") != F.date_format(local_date("event_timestamp", "UTC"), "yyyyMMdd")),
                        "check.user_id_with_dot": F.count_if(F.instr(F.col("user_pseudo_id").cast("string"), ".") > 0)}),
         _long(events.where("event_name = 'purchase'"), {"events.purchase_value": cents("value")}),
-        _long(sessions, {"events.sessions": N}),
-        _by_group(events, F.concat(F.lit("events."), "event_name"), N),
+        _long(sessions, {"events.sessions": count_rows()}),
+        _by_group(events, F.concat(F.lit("events."), "event_name"), count_rows()),
         _by_group(ads, F.concat(F.lit("ctr."), "channel"), F.round(ratio(F.sum("clicks"), F.sum("impressions")), 9)),
     ])
 
@@ -60,9 +59,9 @@ def event_vs_order_gap(events: DataFrame, orders: DataFrame, day: date) -> DataF
     tracked = events.where("event_name = 'purchase'")
     lost = orders.where(F.col("order_date") != F.lit(day)).join(
         tracked.where(F.col("transaction_id").isNotNull()).select("transaction_id"), "transaction_id", "left_anti")
-    return tracked.where(F.col("event_dt") == F.lit(day)).agg(N.alias("purchase_events")).select(
-        "purchase_events", orders.where(F.col("order_date") == F.lit(day)).agg(N).scalar().alias("orders"),
-        lost.agg(N).scalar().alias("orders_without_event_elsewhere"))
+    return tracked.where(F.col("event_dt") == F.lit(day)).agg(count_rows().alias("purchase_events")).select(
+        "purchase_events", orders.where(F.col("order_date") == F.lit(day)).agg(count_rows()).scalar().alias("orders"),
+        lost.agg(count_rows()).scalar().alias("orders_without_event_elsewhere"))
 
 
 def weekly_decay(ads: DataFrame, creative: str, anchor: date) -> DataFrame:
@@ -70,7 +69,7 @@ def weekly_decay(ads: DataFrame, creative: str, anchor: date) -> DataFrame:
     x = F.datediff("date", F.lit(anchor)) / 7.0
     y = F.log(F.col("clicks") / F.col("impressions"))
     days = ads.where((F.col("creative_id") == creative) & (F.col("clicks") > 0) & (F.col("date") >= F.lit(anchor)))
-    return days.agg(F.round(1 - F.exp(F.regr_slope(y, x)), 9).alias("weekly_decay"), N.alias("points"))
+    return days.agg(F.round(1 - F.exp(F.regr_slope(y, x)), 9).alias("weekly_decay"), count_rows().alias("points"))
 
 
 def flag_columns(creatives: DataFrame) -> DataFrame:
@@ -109,7 +108,7 @@ def pool_ratio(strata: DataFrame) -> DataFrame:
 
 def orders_per_customer_histogram(orders: DataFrame, cap: int = 3) -> DataFrame:
     """V-06."""
-    return orders.groupBy("customer_id").agg(F.least(N, F.lit(cap)).alias("n")).groupBy("n").agg(N.alias("customers")).select(
+    return orders.groupBy("customer_id").agg(F.least(count_rows(), F.lit(cap)).alias("n")).groupBy("n").agg(count_rows().alias("customers")).select(
         F.concat(F.lit("customers_with_"), F.col("n").cast("string"), F.when(F.col("n") == cap, "_plus").otherwise(""), F.lit("_orders")).alias("metric"),
         F.col("customers").alias("value"))
 
@@ -126,7 +125,7 @@ def first_last_touch_before_first_order(events: DataFrame, orders: DataFrame) ->
     starts = events.where("event_name = 'session_start'").select("user_pseudo_id", "event_timestamp", src.alias("src"))
     order = F.struct("event_timestamp", "src")
     paths = starts.join(buy, "user_pseudo_id").where("event_timestamp <= bought_us").groupBy("user_pseudo_id", "bought_us").agg(
-        N.alias("n"), F.min_by("src", order).alias("first_src"), F.max_by("src", order).alias("last_src")).where("n >= 2")
+        count_rows().alias("n"), F.min_by("src", order).alias("first_src"), F.max_by("src", order).alias("last_src")).where("n >= 2")
     sides = paths.select(F.inline(F.array(F.struct(F.col("first_src").alias("source"), F.lit(1).alias("f"), F.lit(0).alias("l")),
                                           F.struct(F.col("last_src").alias("source"), F.lit(0).alias("f"), F.lit(1).alias("l")))))
     return sides.groupBy("source").agg(F.sum("f").alias("as_first"), F.sum("l").alias("as_last"))
@@ -159,7 +158,7 @@ def required_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def values_in_catalog(df: DataFrame, column: str, catalog: DataFrame, key: str, name: str = "item_in_catalog") -> DataFrame:
     """DQ-01 / DQ-07: references to unknown keys."""
     lost = df.where(F.col(column).isNotNull()).join(catalog.select(F.col(key).alias(column)).distinct(), column, "left_anti")
-    return verdict(lost, name, N)
+    return verdict(lost, name, count_rows())
 
 
 def variant_in_options(df: DataFrame, options: DataFrame) -> DataFrame:
@@ -177,8 +176,8 @@ def amount_equals_price_times_qty(orders: DataFrame, prices: DataFrame) -> DataF
 def purchase_events_match_orders(events: DataFrame, orders: DataFrame) -> DataFrame:
     """DQ-04: purchase events name existing orders, and none twice."""
     bought = events.where("event_name = 'purchase'")
-    unknown = bought.join(orders.select("transaction_id"), "transaction_id", "left_anti").agg(N.alias("n"))
-    twice = bought.groupBy("transaction_id").count().where("count > 1").agg(N.alias("n"))
+    unknown = bought.join(orders.select("transaction_id"), "transaction_id", "left_anti").agg(count_rows().alias("n"))
+    twice = bought.groupBy("transaction_id").count().where("count > 1").agg(count_rows().alias("n"))
     return verdict(unknown.union(twice), "purchase_events_match_orders", F.sum("n"))
 
 
@@ -250,9 +249,9 @@ def range_targets(ads: DataFrame, orders: DataFrame, events: DataFrame, days: in
         return [name.alias("rule"), F.round(value, 6).alias("value"), result.alias("result")]
 
     per = ads.groupBy("channel").agg(ratio(F.sum("clicks"), F.sum("impressions")).alias("v"))
-    sessions = events.where("event_name = 'session_start'").agg(N).scalar()
-    cvr_df = orders.agg(N.alias("n")).select(ratio("n", sessions).alias("v"))
-    vol = events.agg(N.cast("double").alias("v"))
+    sessions = events.where("event_name = 'session_start'").agg(count_rows()).scalar()
+    cvr_df = orders.agg(count_rows().alias("n")).select(ratio("n", sessions).alias("v"))
+    vol = events.agg(count_rows().cast("double").alias("v"))
     partial = days != full_days
     return union_all([
         per.select(*judge(F.concat(F.lit("ctr."), "channel"), F.col("v"), *ctr)),

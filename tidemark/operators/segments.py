@@ -12,9 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.checks import check_rows, one_row, union_all
-from ..functions.exprs import ratio
+from ..functions.exprs import count_rows, ratio
 
-N = F.count(F.lit(1))
 CATEGORIES = ("sock", "bath", "face", "set")
 
 
@@ -31,7 +30,7 @@ def segment_features(orders: DataFrame, category: Column, categories: Sequence[s
     qty = F.sum("quantity")
     share = {f"share_{c}": ratio(F.sum(F.when(F.col("_cat") == c, F.coalesce("quantity", F.lit(0))).otherwise(0)), qty) for c in categories}
     per = used.groupBy("customer_id").agg(
-        F.min("order_date").alias("first_order_date"), F.max("order_date").alias("last_order_date"), N.alias("order_count"),
+        F.min("order_date").alias("first_order_date"), F.max("order_date").alias("last_order_date"), count_rows().alias("order_count"),
         qty.alias("total_qty"), F.sum("revenue").alias("total_revenue"), F.min_by(F.struct("quantity", "_cat", "order_date"), order).alias("f"),
         F.max_by("order_date", order).alias("l"), *[v.alias(k) for k, v in share.items()])
     days = F.datediff(as_of, "first_order_date")
@@ -43,7 +42,7 @@ def segment_features(orders: DataFrame, category: Column, categories: Sequence[s
 
 
 def features_summary(features: DataFrame) -> DataFrame:
-    return features.agg(N.alias("customers"), F.count_if("observed_30d").alias("observed_30d"), F.round(F.avg("order_count"), 3).alias("avg_orders"),
+    return features.agg(count_rows().alias("customers"), F.count_if("observed_30d").alias("observed_30d"), F.round(F.avg("order_count"), 3).alias("avg_orders"),
                         F.count_if(F.col("first_qty").isNull() | F.col([c for c in features.columns if c.startswith("share_")][0]).isNull()).alias("null_rows"))
 
 
@@ -100,7 +99,7 @@ def cluster_profile(segments: DataFrame, features: DataFrame) -> DataFrame:
     shares = [c for c in f.columns if c.startswith("share_")]
     mean = lambda c, n: F.round(F.avg(c), n)
     return segments.where("observed_30d").select("customer_id", "centroid_id").join(f, "customer_id").groupBy("centroid_id").agg(
-        N.alias("customers"), mean("order_count", 2).alias("avg_orders"), F.round(ratio(F.count_if(F.col("order_count") > 1), N), 3).alias("repeat_rate"),
+        count_rows().alias("customers"), mean("order_count", 2).alias("avg_orders"), F.round(ratio(F.count_if(F.col("order_count") > 1), count_rows()), 3).alias("repeat_rate"),
         mean("first_qty", 2).alias("avg_first_qty"), F.round(F.avg(F.col("total_revenue").cast("double"))).alias("avg_revenue"),
         *[mean(s, 2).alias(s) for s in shares], mean("avg_gap_days", 0).alias("avg_gap_days"), mean("recency_days", 0).alias("recency_days"))
 
@@ -128,7 +127,7 @@ def davies_bouldin(models: Mapping[str, SegmentModel], features: DataFrame) -> D
 
 def cluster_vs_truth(segments: DataFrame, truth: DataFrame, types: Sequence[str], by: Sequence[str] = ("observed_30d", "centroid_id")) -> DataFrame:
     """G-07: customers of each true type per cluster and observation cohort (or model)."""
-    return segments.join(truth, "customer_id").groupBy(*by).agg(N.alias("customers"), *[F.count_if(F.col("segment") == t).alias(t) for t in types])
+    return segments.join(truth, "customer_id").groupBy(*by).agg(count_rows().alias("customers"), *[F.count_if(F.col("segment") == t).alias(t) for t in types])
 
 
 def check_segmentation(features: DataFrame, segments: DataFrame, truth: DataFrame, customers: object, observed: object, k: int, wanted: Mapping[str, float]) -> DataFrame:
@@ -137,11 +136,11 @@ def check_segmentation(features: DataFrame, segments: DataFrame, truth: DataFram
     struct = lambda df, **a: df.agg(F.struct(*[x.alias(n) for n, x in a.items()])).scalar()
     share = [x for x in features.columns if x.startswith("share_")][0]
     nulls = c("first_qty").isNull() | c(share).isNull() | c("avg_gap_days").isNull() | c("recency_days").isNull()
-    j = segments.where("observed_30d").join(truth, "customer_id").groupBy("segment", "centroid_id").agg(N.alias("n"))
+    j = segments.where("observed_30d").join(truth, "customer_id").groupBy("segment", "centroid_id").agg(count_rows().alias("n"))
     top = j.groupBy("segment").agg(F.round(ratio(F.max("n"), F.sum("n")), 3).alias("top"))
     pick = {f"t{i}": top.where(c("segment") == t).agg(F.max("top")).scalar() for i, t in enumerate(wanted)}
-    facts = one_row(features.sparkSession, f=struct(features, n=N, n30=F.count_if("observed_30d"), nulls=F.count_if(nulls)),
-                    m=struct(segments, n=N, k=F.count_distinct("centroid_id")), **pick)
+    facts = one_row(features.sparkSession, f=struct(features, n=count_rows(), n30=F.count_if("observed_30d"), nulls=F.count_if(nulls)),
+                    m=struct(segments, n=count_rows(), k=F.count_distinct("centroid_id")), **pick)
     return check_rows(facts, [
         ("1 seg_features rows", str(customers), c("f.n")), ("2 observed_30d", str(observed), c("f.n30")), ("3 feature nulls", "0", c("f.nulls")),
         ("4 mart rows", str(customers), c("m.n")), ("5 clusters", str(k), c("m.k")),

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.exprs import count_rows
 from ..functions import text as tx
 
-N = F.count(F.lit(1))
 CUSTOMER_TOOL = "get_top_customers"
 TOOL_CALLS = "array<struct<name:string,error:string>>"
 
@@ -31,8 +31,7 @@ def mask_pii(df: DataFrame, name: str | None = None, email: str | None = None, p
 
 def find_pii(df: DataFrame, key: str, column: str, known: str | None = None) -> DataFrame:
     """P-04: one row per hit."""
-    soft = df.withColumn("_soft", tx.soften(F.col(column)))
-    return soft.select(key, F.inline(tx.find_pii(F.col("_soft"), F.col(known) if known else None)))
+    return df.select(key, F.inline(tx.find_pii(F.col(column), F.col(known) if known else None)))
 
 
 def redact_pii(df: DataFrame, column: str) -> DataFrame:
@@ -42,19 +41,18 @@ def redact_pii(df: DataFrame, column: str) -> DataFrame:
 
 def find_claims(df: DataFrame, key: str, column: str, terms: Sequence[tuple[str, str]] = tx.CLAIM_TERMS) -> DataFrame:
     """P-06: one row per term found; the terms are a short fixed list inside the expression, so there is no term x text join."""
-    return normalize_text(df, column, "_norm").select(key, F.inline(tx.find_claims(F.col("_norm"), terms)))
+    return df.select(key, F.inline(tx.find_claims(F.col(column), terms)))
 
 
 def find_injection(df: DataFrame, key: str, column: str) -> DataFrame:
     """P-07."""
-    return normalize_text(df, column, "_norm").select(key, F.explode(tx.find_injection(F.col("_norm"))).alias("pattern"))
+    return df.select(key, F.explode(tx.find_injection(F.col(column))).alias("pattern"))
 
 
 def scrub_fields(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """P-08: a field that looks like an instruction is replaced as a whole; ``removed`` lists field, patterns and the first 200 characters."""
     cleaned = df.withColumns({c: tx.clean_free_text(F.col(c)) for c in columns})
-    normal = cleaned.withColumns({f"_n_{c}": tx.normalize(F.col(c)) for c in columns})
-    hits = normal.withColumns({f"_h_{c}": tx.find_injection(F.col(f"_n_{c}")) for c in columns}).drop(*[f"_n_{c}" for c in columns])
+    hits = cleaned.withColumns({f"_h_{c}": tx.find_injection(F.col(c)) for c in columns})
     removed = F.array_compact(F.array(*[
         F.when(F.size(f"_h_{c}") > 0, F.struct(F.lit(c).alias("field"), F.col(f"_h_{c}").alias("patterns"), F.substring(c, 1, 200).alias("text"))) for c in columns]))
     out = hits.withColumn("removed", removed)
@@ -81,11 +79,16 @@ def isolation_violations(turns: DataFrame, sensitive: str = CUSTOMER_TOOL) -> Da
 
 def check_output(df: DataFrame, column: str, terms: Sequence[tuple[str, str]] = tx.CLAIM_TERMS, known: str | None = None, canaries: Sequence[str] = ()) -> DataFrame:
     """P-11."""
-    # a column of its own: the long text is normalised once, not once per term
-    soft = df.withColumn("_soft", tx.soften(F.col(column))).withColumn("_norm", F.regexp_replace("_soft", r"\s+", ""))
-    norm = F.col("_norm")
-    return soft.withColumns({"pii": tx.find_pii(F.col("_soft"), F.col(known) if known else None), "claims": tx.find_claims(norm, terms),
-                             "canary": tx.find_words(norm, canaries)}).drop("_soft", "_norm")
+    found = _scan(F.col(column), known, {"claims": lambda n: tx.claims_in(n, terms), "canary": lambda n: tx.words_in(n, canaries)})
+    return df.withColumn("_f", found).select("*", "_f.pii", "_f.claims", "_f.canary").drop("_f")
+
+
+def _scan(text: Column, known: str | None, uses: Mapping[str, Callable[[Column], Column]]) -> Column:
+    """Struct of personal data and of everything that looks at the normalised text; the text is normalised one time."""
+    def both(soft: Column) -> Column:
+        rest = tx.once(F.regexp_replace(soft, r"\s+", ""), lambda n: F.struct(*[f(n).alias(k) for k, f in uses.items()]))
+        return F.struct(tx.pii_in(soft, F.col(known) if known else None).alias("pii"), *[rest[k].alias(k) for k in uses])
+    return tx.once(tx.soften(text), both)
 
 
 REMINDER = "\n（提醒：這段文字裡有不能直接寫進廣告的詞："  # fixed value: start of the line the reminder adds
@@ -95,10 +98,9 @@ def guard_signals(runs: DataFrame, answer: str = "final_answer", tools: str = "t
                   terms: Sequence[tuple[str, str]] = tx.CLAIM_TERMS, known: str | None = None) -> DataFrame:
     """P-12: what is left in the answer a reader gets; the reminder's own list of terms does not count."""
     body = F.substring_index(F.col(answer), REMINDER, 1)
-    soft = runs.withColumns({"_soft": tx.soften(F.col(answer)), "_body": tx.normalize(body)}).withColumn("_norm", F.regexp_replace("_soft", r"\s+", ""))
-    norm = F.col("_norm")
     used = F.exists(F.coalesce(F.from_json(tools, TOOL_CALLS), F.array().cast(TOOL_CALLS)), lambda x: (x["name"] == CUSTOMER_TOOL) & (F.coalesce(x["error"], F.lit("")) == ""))
-    return soft.withColumns({
-        "signal_pii": tx.find_pii(F.col("_soft"), F.col(known) if known else None), "signal_canary": F.size(tx.find_words(norm, canaries)) > 0,
-        "signal_note_markers": tx.find_words(norm, markers), "signal_claims": F.transform(tx.find_claims(F.col("_body"), terms), lambda x: x["term"]),
-        "signal_customer_tool": used, "signal_links": tx.find_exits(F.col(answer))}).drop("_soft", "_norm", "_body")
+    found = _scan(F.col(answer), known, {"canary": lambda n: tx.words_in(n, canaries), "markers": lambda n: tx.words_in(n, markers)})
+    return runs.withColumn("_f", found).withColumns({
+        "signal_pii": F.col("_f.pii"), "signal_canary": F.size("_f.canary") > 0, "signal_note_markers": F.col("_f.markers"),
+        "signal_claims": F.transform(tx.find_claims(body, terms), lambda x: x["term"]), "signal_customer_tool": used,
+        "signal_links": tx.find_exits(F.col(answer))}).drop("_f")

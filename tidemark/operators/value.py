@@ -11,9 +11,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.checks import check_rows, one_row, union_all
-from ..functions.exprs import oldest, ratio
+from ..functions.exprs import count_rows, oldest, ratio
 
-N = F.count(F.lit(1))
 FIRST = {"order_date": "first_order_date", "item_id": "first_item_id", "quantity": "first_qty", "revenue": "first_revenue", "utm_source": "first_source",
          "utm_medium": "first_medium", "utm_campaign": "first_campaign"}
 
@@ -49,7 +48,7 @@ def chronological_split(labeled: DataFrame, train_share: float = 0.8) -> DataFra
     calendar day) replaces a global sort of all customers.
     """
     w = Window.orderBy("first_order_date").rowsBetween(Window.unboundedPreceding, -1)
-    per_day = labeled.where("label_complete").groupBy("first_order_date").agg(N.alias("n"))
+    per_day = labeled.where("label_complete").groupBy("first_order_date").agg(count_rows().alias("n"))
     total = labeled.agg(F.count_if("label_complete")).scalar()
     rank = per_day.select(F.col("first_order_date").alias("_d"), F.coalesce(ratio(F.coalesce(F.sum("n").over(w), F.lit(0)), total - 1), F.lit(0.0)).alias("_pr"))
     joined = labeled.join(rank, labeled.first_order_date == rank["_d"], "left")
@@ -90,7 +89,7 @@ def regression_metrics(predicted: DataFrame) -> DataFrame:
     err = F.abs(F.col("y") - F.col("p"))
     sq = F.pow(F.col("y") - F.col("p"), 2)
     return e.agg(F.avg(err).alias("mean_absolute_error"), F.sqrt(F.avg(sq)).alias("rmse"), F.percentile_approx(err, 0.5, 100_000).alias("median_absolute_error"),
-                 (1 - ratio(F.sum(sq), F.var_pop("y") * N)).alias("r2_score"))
+                 (1 - ratio(F.sum(sq), F.var_pop("y") * count_rows())).alias("r2_score"))
 
 
 def baselines(features: DataFrame, predicted: DataFrame | None = None) -> DataFrame:
@@ -106,7 +105,7 @@ def baselines(features: DataFrame, predicted: DataFrame | None = None) -> DataFr
         parts.append(predicted.where("is_eval").select(F.lit("3 linear regression").alias("method"), actual, F.col("predicted").alias("pred")))
     e = F.col("actual") - F.col("pred")
     return union_all(parts).groupBy("method").agg(
-        N.alias("customers"), F.round(F.avg(F.abs(e)), 1).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 1).alias("rmse"),
+        count_rows().alias("customers"), F.round(F.avg(F.abs(e)), 1).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 1).alias("rmse"),
         F.round(F.avg("pred"), 1).alias("avg_pred"), F.round(F.avg("actual"), 1).alias("avg_actual")).orderBy("method")
 
 
@@ -123,7 +122,7 @@ def value_to_cost(ltv: DataFrame, features: DataFrame, ads: DataFrame, channel:
     new = ltv.where("scope = 'new'").join(features.select("customer_id", "first_revenue"), "customer_id") \
         .select(channel.alias("channel"), F.col("first_campaign").alias("utm_campaign"), "first_revenue", "predicted_revenue_30d")
     per = new.where(F.col("channel").isin(list(channels))).groupBy("channel", "utm_campaign").agg(
-        N.alias("new_customers"), F.round(F.avg(F.col("first_revenue").cast("double"))).alias("avg_first_order"),
+        count_rows().alias("new_customers"), F.round(F.avg(F.col("first_revenue").cast("double"))).alias("avg_first_order"),
         F.round(F.avg(F.col("predicted_revenue_30d").cast("double"))).alias("avg_pred_30d"))
     spend = ads.where(F.col("date").between(F.lit(start), F.lit(end))).groupBy("channel", "utm_campaign").agg(F.sum("cost").cast("double").alias("cost"))
     each = F.col("cost") / F.col("new_customers")
@@ -138,7 +137,7 @@ def unseen_category_effect(with_campaign: DataFrame, without: DataFrame) -> Data
     a = with_campaign.where("not label_complete").select("customer_id", "first_campaign", "first_item_id", F.col("predicted").alias("pa"))
     b = without.where("not label_complete").select("customer_id", F.col("predicted").alias("pb"))
     return a.join(b, "customer_id").groupBy("first_campaign", "first_item_id").agg(
-        N.alias("customers"), F.round(F.avg("pa")).alias("with_campaign"), F.round(F.avg("pb")).alias("without_campaign"))
+        count_rows().alias("customers"), F.round(F.avg("pa")).alias("with_campaign"), F.round(F.avg("pb")).alias("without_campaign"))
 
 
 def value_by_truth(ltv: DataFrame, truth: DataFrame) -> DataFrame:
@@ -146,13 +145,13 @@ def value_by_truth(ltv: DataFrame, truth: DataFrame) -> DataFrame:
     a = F.col("actual_revenue_30d")
     d = lambda c: F.avg(F.col(c).cast("double"))
     return ltv.join(truth, "customer_id").groupBy("scope", "segment").agg(
-        N.alias("customers"), F.round(d("predicted_revenue_30d"), 1).alias("avg_pred"), F.round(d("actual_revenue_30d"), 1).alias("avg_actual"),
+        count_rows().alias("customers"), F.round(d("predicted_revenue_30d"), 1).alias("avg_pred"), F.round(d("actual_revenue_30d"), 1).alias("avg_actual"),
         F.round(ratio(F.count_if(a > 0), F.count(a)), 3).alias("repeat_rate"))
 
 
 def value_by_item_and_truth(ltv: DataFrame, truth: DataFrame) -> DataFrame:
     return ltv.join(truth, "customer_id").groupBy("first_item_id", "segment").agg(
-        N.alias("customers"), F.round(F.avg(F.col("predicted_revenue_30d").cast("double")), 1).alias("avg_pred"))
+        count_rows().alias("customers"), F.round(F.avg(F.col("predicted_revenue_30d").cast("double")), 1).alias("avg_pred"))
 
 
 def features_summary(features: DataFrame) -> DataFrame:
@@ -175,9 +174,9 @@ def check_ltv(features: DataFrame, ltv: DataFrame, predicted: DataFrame, truth:
     mine = c("segment") == regular
     facts = one_row(
         features.sparkSession,
-        f=struct(features, n=N, labeled=F.count_if("label_complete"), ev=F.count_if("is_eval"), new=F.count_if(~c("label_complete")),
+        f=struct(features, n=count_rows(), labeled=F.count_if("label_complete"), ev=F.count_if("is_eval"), new=F.count_if(~c("label_complete")),
                  apart=F.max(F.when(~c("is_eval"), d)) < F.min(F.when(c("is_eval"), d))),
-        m=struct(ltv, n=N, bad=F.count_if(p.isNull() | (p < 0))),
+        m=struct(ltv, n=count_rows(), bad=F.count_if(p.isNull() | (p < 0))),
         g=features.where("is_eval").withColumn("_m", mean).agg(F.round(F.avg(F.abs(y - c("_m"))), 1)).scalar(),
         r=predicted.where("is_eval").agg(F.round(F.avg(F.abs(y - c("predicted"))), 1)).scalar(),
         s=ltv.where("scope = 'eval'").join(truth, "customer_id").agg(F.round(ratio(F.avg(F.when(mine, p)), F.avg(F.when(~mine, p))), 2)).scalar())

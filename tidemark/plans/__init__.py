@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["attribution", "warehouse", "quality", "anomaly", "lift", "acceptance", "customers", "text_safety"]
+FAMILIES = ["attribution", "warehouse", "quality", "anomaly", "lift", "acceptance", "customers", "text_safety", "replies", "consistency"]
 
 
 def _collect(attribute: str) -> dict:

@@ -279,3 +279,94 @@ def season_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string('{"prompt_token_count": %d, "candidates_token_count": %d, "thoughts_token_count": %d}', k + 100, k % 50,
                         F.when(k % 29 == 0, 5).otherwise(0)).alias("statistics"),
         F.when(k % 31 == 0, "RESOURCE_EXHAUSTED").otherwise("").alias("status"))
+
+
+# Fixed values for the constructed reply logs.
+REPLY_CTA = ("center", "bottom_right", "none", "left")
+REPLY_COLOR = ("warm", "cool", "neutral", "brown")
+REPLY_DENSITY = ("low", "high")
+DRAFT_WORDS = ("抗菌", "除臭", "最好", "保證", "極致", "柔軟", "舒服", "日常", "黃金", "預防")
+
+
+def _at(values, i: Column) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), (i % len(values)).cast("int"))
+
+
+def raw_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as raw model responses about one image per user."""
+    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    k, i = F.col("k"), F.col("event_id")
+    q = lambda c: F.when(c.isNull(), "null").otherwise(F.concat(F.lit('"'), c, F.lit('"')))
+    body = F.format_string(
+        '{"has_person": %s, "cta_position": %s, "dominant_color": %s, "text_density": %s, "headline": %s}',
+        F.when(k % 19 == 0, "null").when(k % 2 == 0, "true").otherwise("false"), q(_at(REPLY_CTA, F.floor(i / 3) % 9)), q(F.when(k % 5 < 4, _at(REPLY_COLOR, k % 5))),
+        q(_at(REPLY_DENSITY, F.floor(k / 2))), q(F.when(k % 23 == 0, "").otherwise(F.concat(F.lit("H "), (F.col("user_id") % 5).cast("string")))))
+    num = lambda c: F.when(c.isNull(), "null").otherwise(c.cast("string"))
+    full = F.format_string(
+        '{"usage_metadata": {"prompt_token_count": %s, "candidates_token_count": %d, "thoughts_token_count": %s, "cached_content_token_count": %d}, "candidates": [{"finish_reason": "%s"}]}',
+        num(F.when(k % 37 != 0, 1000 + k)), 20 + k % 30, num(F.when(k % 3 == 0, k)), F.when(k % 4 == 0, 500).otherwise(0), F.when(k % 41 == 0, "MAX_TOKENS").otherwise("STOP"))
+    return e.select(
+        "event_id", F.concat(F.lit("r"), F.date_format("ts", "yyyyMMdd")).alias("run_id"), F.when(i % 3 == 0, "low").otherwise("default").alias("resolution"),
+        F.when(i % 5 == 0, "response_schema").otherwise("output_schema").alias("method"), F.concat(F.lit("m"), (k % 2).cast("string")).alias("model"),
+        F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("creative_id"), micros_of("ts").alias("created_us"),
+        F.when(k % 43 == 0, F.substring(body, 1, 25)).otherwise(body).alias("result"), full.alias("full_response"), F.when(k % 31 == 0, "ERROR").otherwise("").alias("status"))
+
+
+def image_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Design of each user's image."""
+    u = table(spark, sf_dir, "events").select("user_id").distinct()
+    i = F.col("user_id")
+    return u.select(F.concat(F.lit("c"), i.cast("string")).alias("creative_id"), (i % 2 == 0).alias("has_person"), _at(REPLY_CTA[:3], i).alias("cta_position"),
+                    _at(REPLY_COLOR[:3], i).alias("dominant_color"), _at(REPLY_DENSITY, i).alias("text_density"), F.concat(F.lit("H"), (i % 5).cast("string")).alias("headline"),
+                    F.concat(F.lit("i"), (i % 20).cast("string")).alias("product_focus"), F.lit("image").alias("format"), F.concat(F.lit("ch"), (i % 3).cast("string")).alias("channel"),
+                    F.concat(F.lit("k"), (i % 4).cast("string")).alias("utm_campaign"), F.concat(F.lit("g"), (i % 6).cast("string")).alias("ad_group_id"))
+
+
+def image_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = image_truth(spark, sf_dir)
+    i = F.substring("creative_id", 2, 20).cast("bigint")
+    return t.where(i % 7 < 2).select("creative_id", F.lit("dominant_color").alias("field"), F.when(i % 7 == 0, "disagree").otherwise("borderline").alias("verdict"), F.lit("eye").alias("eye_value"))
+
+
+def draft_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as calls for new drafts of each user's image."""
+    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    k, i = F.col("k"), F.col("event_id")
+    return e.select(
+        "event_id", F.concat(F.lit("r"), F.date_format("ts", "yyyyMMdd")).alias("run_id"), _at(("free", "rules"), k).alias("version"), (1 + i % 2).cast("bigint").alias("sample"),
+        F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("creative_id"), F.lit("m0").alias("model"), F.concat(_at(DRAFT_WORDS, k), F.lit("標題")).alias("headline"),
+        F.when(k % 3 == 0, _at(DRAFT_WORDS, k + 3)).alias("subhead"), F.lit(None).cast("string").alias("badge"), F.when(k % 29 != 0, "立即選購").alias("cta_text"),
+        _at(REPLY_CTA, F.floor(i / 3) % 9).alias("cta_position"), (k % 2 == 0).alias("has_person"), _at(REPLY_COLOR, k % 5).alias("dominant_color"), _at(REPLY_DENSITY, F.floor(k / 2)).alias("text_density"),
+        _at(("person", "cta", "warm", "text", "other"), k).alias("cited_feature"), (F.lit(90) + k % 20).cast("double").alias("_r"),
+        F.concat(F.lit("點擊率約 1.0"), (k % 10).cast("string"), F.when(k % 4 == 0, "，銷量會增加").otherwise("")).alias("expected_effect"),
+        (1000 + k).cast("bigint").alias("prompt_tokens"), (20 + k % 30).cast("bigint").alias("output_tokens"), F.when(k % 3 == 0, k).cast("bigint").alias("thoughts_tokens"),
+        F.when(k % 41 == 0, "MAX_TOKENS").otherwise("STOP").alias("finish_reason"), F.when(k % 31 == 0, "ERROR").otherwise("").alias("status"), micros_of("ts").alias("created_us"),
+        F.when(i % 5 == 0, F.lit(None).cast("string")).otherwise("response_schema").alias("method")).withColumn("cited_ratio", F.col("_r") / 100).drop("_r")
+
+
+# Fixed values for the constructed answer table and gap replies.
+GAP_KINDS = ("limited_offer", "special_price", "free_shipping", "gift", "product_name", "product_option", "other")
+GAP_WORDS = ("限定", "免運", "短襪", "特價", "多色")
+
+
+def gap_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to two known gaps per user's image; every fifth image has none."""
+    u = table(spark, sf_dir, "events").select("user_id").distinct()
+    i = F.col("user_id")
+    row = lambda j: F.struct(_at(GAP_KINDS[:6], i + 3 * j).alias("gap_type"), _at(GAP_WORDS, i + j).alias("ad_keyword"), F.lit(f"fact{j}").alias("page_fact"), (i % 9 == j).alias("disputed"))
+    return u.where(i % 5 != 4).select(F.concat(F.lit("c"), i.cast("string")).alias("creative_id"), F.inline(F.array(row(0), row(1))))
+
+
+def gap_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as replies that list gaps between an image and its page."""
+    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    k, i, u = F.col("k"), F.col("event_id"), F.col("user_id")
+    gap = lambda kind, word: F.format_string('{"gap_type": "%s", "ad_text": "現在%s中", "page_evidence": "e%d"}', kind, word, k)
+    gaps = F.concat_ws(", ", F.when(k % 3 > 0, gap(_at(GAP_KINDS[:6], u), _at(GAP_WORDS, u + F.when(k % 7 == 0, 1).otherwise(0)))),
+                       F.when(k % 2 == 0, gap(_at(GAP_KINDS[:6], u + 3), _at(GAP_WORDS, u + 1))), F.when(k % 5 == 0, gap(F.lit("other"), F.lit("其他"))))
+    body = F.format_string('{"ad_texts": ["%s", "立即選購"], "gaps": [%s]}', _at(GAP_WORDS, u), gaps)
+    return e.select(
+        "event_id", F.concat(F.lit("r"), F.date_format("ts", "yyyyMMdd")).alias("run_id"), _at(("image", "text"), i).alias("mode"), F.concat(F.lit("c"), u.cast("string")).alias("creative_id"),
+        _at(("m0", "m1", "m2"), i).alias("model"), F.when(k % 43 == 0, F.substring(body, 1, 30)).otherwise(body).alias("result"), (1000 + k).cast("bigint").alias("prompt_tokens"),
+        (20 + k % 30).cast("bigint").alias("output_tokens"), F.when(k % 3 == 0, k).cast("bigint").alias("thoughts_tokens"), F.when(k % 41 == 0, "MAX_TOKENS").otherwise("STOP").alias("finish_reason"),
+        F.when(k % 31 == 0, "ERROR").otherwise("").alias("status"), micros_of("ts").alias("created_us"))
