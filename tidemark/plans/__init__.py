@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["attribution", "warehouse", "quality", "anomaly", "lift", "acceptance", "customers", "text_safety", "replies", "consistency"]
+FAMILIES = ["attribution", "warehouse", "quality", "anomaly", "lift", "acceptance", "customers", "text_safety", "replies", "consistency", "costs"]
 
 
 def _collect(attribute: str) -> dict:

@@ -370,3 +370,39 @@ def gap_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         _at(("m0", "m1", "m2"), i).alias("model"), F.when(k % 43 == 0, F.substring(body, 1, 30)).otherwise(body).alias("result"), (1000 + k).cast("bigint").alias("prompt_tokens"),
         (20 + k % 30).cast("bigint").alias("output_tokens"), F.when(k % 3 == 0, k).cast("bigint").alias("thoughts_tokens"), F.when(k % 41 == 0, "MAX_TOKENS").otherwise("STOP").alias("finish_reason"),
         F.when(k % 31 == 0, "ERROR").otherwise("").alias("status"), micros_of("ts").alias("created_us"))
+
+
+def usage_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as model calls: some failed, some without token counts, one model without a price."""
+    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    k, i = F.col("k"), F.col("event_id")
+    return e.select(
+        micros_of("ts").alias("logged_us"), F.concat(F.lit("Day "), (k % 5).cast("string")).alias("day"), _at(("ask", "serve", "eval"), i).alias("job"),
+        F.concat(F.lit("r"), F.date_format("ts", "yyyyMMdd")).alias("run_id"), _at(("m0", "m1", "m2", "m3"), k).alias("model"), _at(("global", "non-global"), i).alias("endpoint_type"),
+        _at(("low", "default", "none"), k).alias("media_resolution"), F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("item_id"),
+        F.when(k % 37 != 0, 1000 + k).cast("bigint").alias("prompt_tokens"), F.when(k % 29 != 0, 20 + k % 30).cast("bigint").alias("output_tokens"), F.when(k % 31 == 0, "ERROR").otherwise("").alias("status"))
+
+
+# Unit prices of the constructed ledger, with a change in the middle of the month.
+PRICE_ROWS = (
+    ("m0", "global", "2023-01-01", "2024-01-15", "0.75", "3.75"), ("m0", "global", "2024-01-16", "9999-12-31", "1.50", "7.50"),
+    ("m0", "non-global", "2023-01-01", "9999-12-31", "0.825", "4.125"), ("m1", "global", "2023-01-01", "9999-12-31", "0.30", "2.50"),
+    ("m1", "non-global", "2023-01-01", "9999-12-31", "0.33", "2.75"), ("m2", "global", "2024-01-10", "2024-01-20", "2.00", "12.00"))
+
+
+def price_rows() -> list[tuple]:
+    from datetime import date
+    from decimal import Decimal
+    return [(m, e, date.fromisoformat(a), date.fromisoformat(b), Decimal(i), Decimal(o), "") for m, e, a, b, i, o in PRICE_ROWS]
+
+
+def cache_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as calls with and without a cached prompt."""
+    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    k, i = F.col("k"), F.col("event_id")
+    scenario = _at(("old", "new", "explicit", "verify_1"), i)
+    return e.select(
+        micros_of("ts").alias("run_us"), scenario.alias("scenario"), (1 + k % 3).cast("bigint").alias("round"),
+        F.concat(F.lit("site_day|"), _at(("all_site", "g1", "cr3"), k), F.lit("|"), F.to_date("ts").cast("string")).alias("anomaly_id"), F.when(k % 47 != 0, _at(CAUSES[:3], k)).alias("cause"),
+        (5000 + k).cast("bigint").alias("prompt_tokens"), F.when(scenario == "explicit", 4200 + k).when((scenario == "new") & (k % 2 == 0), 2000).otherwise(0).cast("bigint").alias("cached_tokens"),
+        (50 + k % 20).cast("bigint").alias("output_tokens"), F.when(k % 31 == 0, "ERROR").otherwise("").alias("status"))
