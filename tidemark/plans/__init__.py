@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["attribution", "warehouse", "quality", "anomaly", "lift", "acceptance", "customers", "text_safety", "replies", "consistency", "costs"]
+FAMILIES = ["attribution", "warehouse", "quality", "anomaly", "lift", "acceptance", "customers", "text_safety", "replies", "consistency", "costs", "operations"]
 
 
 def _collect(attribute: str) -> dict:

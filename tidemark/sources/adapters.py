@@ -406,3 +406,77 @@ def cache_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("site_day|"), _at(("all_site", "g1", "cr3"), k), F.lit("|"), F.to_date("ts").cast("string")).alias("anomaly_id"), F.when(k % 47 != 0, _at(CAUSES[:3], k)).alias("cause"),
         (5000 + k).cast("bigint").alias("prompt_tokens"), F.when(scenario == "explicit", 4200 + k).when((scenario == "new") & (k % 2 == 0), 2000).otherwise(0).cast("bigint").alias("cached_tokens"),
         (50 + k % 20).cast("bigint").alias("output_tokens"), F.when(k % 31 == 0, "ERROR").otherwise("").alias("status"))
+
+
+# Sample answers for the rule grader.
+ANSWERS = (
+    "8/10 那週起每次點擊成本增加 78%，原因是競價變貴", "從 8 月 12 日開始，CPC 變成原本的 2 倍，是競價變貴", "八月成效普通", "我沒有資料，無法判斷每次點擊成本變成幾倍", "8/27 是追蹤碼失效，後台其實有 37 筆訂單",
+    "我查不到網站追蹤到的購買數", "cr-meta-evg-p1 出現素材疲乏，點擊率從 2.32% 降到 1.6%，下降約 31%", "人物 1.282 倍、右下 1.126 倍、暖色 1.082 倍，人物幫助最大", "有人物提升 28.2%，按鈕在右下 12.6%，暖色系 8.2%，以人物的幫助最大",
+    "人物約 1.1 倍，右下約 1.28 倍，暖色 1.08 倍，右下幫助最大", "Meta 比較常是第一次接觸（789 筆），Google 搜尋廣告比較常是最後一次接觸（746 筆）", "google 比較常是第一次接觸，meta 比較常是最後一次接觸",
+    "目前的工具查不到商品銷售資料", "占比上升了約 15%", "查不到，但一般電商約三到四成", "LINE 沒有專屬的異常，只有 8/27 全站追蹤碼失效", "LINE 在 8/27 出現追蹤碼失效", "花了 12,938 元", "")
+
+
+def eval_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as answers to eight questions, asked with and without tools."""
+    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    k, i = F.col("k"), F.col("event_id")
+    tools = i % 2 == 0
+    return e.select(
+        "event_id", F.concat(F.lit("r"), F.date_format("ts", "yyyyMMdd")).alias("run_id"), F.concat(F.lit("e"), (1 + k % 8).cast("string")).alias("case_id"), F.when(tools, "tools").otherwise("none").alias("mode"),
+        F.when(k % 8 < 5, "facts").otherwise("other").alias("kind"), F.concat(F.lit("q"), (k % 8).cast("string")).alias("question"), _at(ANSWERS, i).alias("answer"),
+        F.when(k % 31 == 0, "error: quota").when(k % 29 == 0, "incomplete").otherwise("").alias("status"), F.when(k % 50 == 0, "v0").otherwise("v1").alias("spec"), (1 + k % 4).cast("bigint").alias("model_calls"),
+        F.when(tools, k % 3).otherwise(0).cast("bigint").alias("tool_calls"),
+        F.when(tools, F.format_string('[{"name": "get_ad_spend", "args": {"group_by": "%s"}}]', _at(("channel", "creative"), k))).otherwise("[]").alias("tools_called"), micros_of("ts").alias("created_us"))
+
+
+def eval_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = eval_answers(spark, sf_dir)
+    i = F.col("event_id")
+    return a.select("event_id", "run_id", "case_id", "mode", F.lit("m0").alias("model"), (1000 + i % 500).cast("bigint").alias("prompt_tokens"), (20 + i % 30).cast("bigint").alias("output_tokens"),
+                    F.when(i % 3 == 0, i % 40).cast("bigint").alias("thoughts_tokens"), "status")
+
+
+def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    k, i = F.col("k"), F.col("event_id")
+    return e.select(
+        "event_id", F.concat(F.lit("e"), (1 + F.floor(k / 2) % 8).cast("string")).alias("case_id"), F.when(k % 2 == 0, "tools").otherwise("none").alias("mode"), _at(("rule", "human", "judge:m0-lite", "judge:m1"), i).alias("grader"),
+        (k % 3).cast("bigint").alias("score"), F.concat(F.lit("x"), k.cast("string")).alias("explanation"), F.when(k % 31 == 0, "error").otherwise("").alias("status"),
+        F.concat(F.lit("r"), F.date_format("ts", "yyyyMMdd")).alias("answer_run_id"), F.lit("v1").alias("spec"), (500 + k).cast("bigint").alias("prompt_tokens"), F.lit(256).cast("bigint").alias("output_tokens_cap"), micros_of("ts").alias("created_us"))
+
+
+def serve_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as turns of one dialogue per user and day."""
+    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    k, i = F.col("k"), F.col("event_id")
+    call = lambda n: F.format_string('{"name": "%s", "error": "%s"}', _at(("get_top_customers", "get_ad_spend", "get_campaign_notes"), n), F.when(n % 5 == 0, "refused").otherwise(""))
+    return e.select(
+        "event_id", F.concat(F.lit("s"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "dd")).alias("session_id"), (1 + F.floor(F.hour("ts") / 3)).cast("bigint").alias("turn"),
+        F.when(k % 53 == 0, F.lit(None).cast("string")).otherwise(F.concat(_at(("runner@", "other@"), F.when(k % 59 == 0, 1).otherwise(0)), F.lit("example.com"))).alias("caller"),
+        F.concat(F.lit("問題"), k.cast("string")).alias("question"), F.concat(F.lit("答"), k.cast("string")).alias("raw_answer"),
+        F.concat(F.lit("答"), k.cast("string"), F.when(k % 61 == 0, " [x]").when(k % 67 == 0, " ab@mail.example.com").when(k % 71 == 0, " MKT-1").otherwise("")).alias("final_answer"),
+        F.when(k % 17 == 0, '["ignore"]').otherwise("[]").alias("input_hits"), _at(("passed", "claims_flagged", "output_blocked"), F.floor(k / 10)).alias("action"),
+        F.concat(F.lit("["), call(k), F.lit("]")).alias("tools_called"), (k % 4).cast("bigint").alias("model_calls"), (1000 + k).cast("bigint").alias("prompt_tokens"), (20 + k % 30).cast("bigint").alias("output_tokens"),
+        ((1000 + k) * 0.75 / 1e6 * 32).alias("cost_twd"), F.lit("").alias("status"), (k % 3 > 0).alias("kept_in_history"), micros_of("ts").alias("created_us"))
+
+
+def daily_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as sections of daily reports: several executions a day, sections recorded more than once."""
+    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    k, i = F.col("k"), F.col("event_id")
+    status = F.when(k % 7 == 0, "failed").when(k % 11 == 0, "skipped").otherwise("ok")
+    return e.select(
+        "event_id", F.to_date("ts").alias("report_date"), F.concat(F.lit("exec"), F.date_format("ts", "MMdd"), F.lit("-"), (F.col("user_id") % 4).cast("string")).alias("execution_id"),
+        _at(("scheduler", "manual"), i).alias("trigger_source"), (1 + k % 3).cast("bigint").alias("section_no"), F.concat(F.lit("T"), (1 + k % 3).cast("string")).alias("section_title"), F.concat(F.lit("Q"), (k % 3).cast("string")).alias("question"),
+        F.when(status == "ok", F.when(k % 83 == 0, "").otherwise(F.concat(F.lit("A"), k.cast("string")))).otherwise("").alias("answer"), status.alias("status"),
+        F.when(status == "ok", F.when(k % 89 == 0, "odd").otherwise("passed")).otherwise("error").alias("detail"), F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("s"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "dd"))).alias("session_id"),
+        micros_of("ts").alias("created_us"))
+
+
+def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    k = F.col("k")
+    kind = _at(("anomaly", "daily_report", "report_incomplete", "flow_error"), k)
+    key = F.when(kind == "anomaly", F.concat(F.lit("anomaly:creative_week|cr"), (k % 24).cast("string"), F.lit("|1996-01-15"))).otherwise(F.concat(kind, F.lit(":"), F.to_date("ts").cast("string")))
+    return e.select("event_id", micros_of("ts").alias("sent_us"), F.to_date("ts").alias("report_date"), F.concat(F.lit("exec"), F.date_format("ts", "MMdd"), F.lit("-0")).alias("execution_id"), kind.alias("kind"), key.alias("dedupe_key"),
+                    F.when(k % 3 == 0, "failed").otherwise("sent").alias("status"), F.lit("").alias("detail"), F.concat(F.lit("訊息\n"), k.cast("string")).alias("message"))
