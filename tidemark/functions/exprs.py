@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 BUSINESS_TZ = "Asia/Taipei"
 DAY_US = 86_400_000_000
@@ -86,3 +86,11 @@ def newest(fields: list[str], *order: str | Column) -> Column:
 
 def oldest(fields: list[str], *order: str | Column) -> Column:
     return F.min_by(F.struct(*fields), F.struct(*[col(o) for o in order]))
+
+
+def expand_once(df: DataFrame, struct: Column) -> DataFrame:
+    """Add the fields of a struct as columns, computing it one time per row.
+
+    A plain ``select("s.*")`` lets Catalyst copy the struct's expression into every field; the output of a generator is never copied.
+    """
+    return df.select("*", F.inline(F.array(struct)))

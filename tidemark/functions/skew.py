@@ -103,3 +103,15 @@ def keyed_sequence(
     if row_number:
         out.append((F.col("_rn") + F.col("_off")).cast("int").alias(row_number))
     return joined.select(*out)
+
+
+def widen(df: DataFrame, key: str, min_bytes: int = 1 << 20) -> DataFrame:
+    """Spread a scan that has far fewer partitions than there are cores (one big row group, say) before costly per-row work.
+
+    Hash partitioning on a unique key keeps the split repeatable when tasks are retried. A scan that is already wide stays as it is,
+    so on large tables this adds no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan_bytes(df) < min_bytes or df.rdd.getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores, key)

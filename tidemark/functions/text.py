@@ -17,6 +17,8 @@ from pyspark.sql.types import StringType
 # Fixed values -------------------------------------------------------------------------------------------------------------
 # Invisible characters outside the Unicode categories Cf, Co, Cn, Cs, Cc.
 EXTRA_INVISIBLE = r"\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{2800}\x{3164}\x{FFA0}\x{180B}-\x{180F}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}"
+# Ranges in which every character is assigned and visible; texts made of these need no per-category look.
+PLAIN = r"\x20-\x7E\n\t\x{00A1}-\x{00AC}\x{00AE}-\x{02FF}\x{3001}-\x{303F}\x{3041}-\x{3096}\x{30A0}-\x{30FF}\x{4E00}-\x{9FFC}\x{FF01}-\x{FF5E}"
 MAX_FREE_TEXT = 300
 CUT_MARK = "〔以下截斷〕"
 REMOVED = "〔這裡原本有一段像是指示的文字，已經移除〕"
@@ -67,7 +69,7 @@ def drop_invisible(c: Column) -> Column:
     """Remove characters nobody can see; every kind of space becomes a plain one; line breaks and tabs stay."""
     gone = F.regexp_replace(c, rf"[\p{{Cf}}\p{{Co}}\p{{Cn}}\p{{Cs}}{EXTRA_INVISIBLE}]|[\p{{Cc}}&&[^\n\t]]", "")
     plain = F.regexp_replace(gone, r"[\p{Zs}\p{Zl}\p{Zp}]", " ")
-    return F.when(c.rlike(r"[^\x20-\x7E\n\t]"), plain).otherwise(c)
+    return F.when(c.rlike(f"[^{PLAIN}]"), plain).otherwise(c)
 
 
 def soften(c: Column) -> Column:
@@ -184,14 +186,21 @@ def words_in(norm: Column, words: Sequence[str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.contains(norm, F.lit(normalize_literal(w))), F.lit(w)) for w in words]))
 
 
+def has_url(c: Column) -> Column:
+    """A cheap look for ``//`` or ``www.`` comes before the full pattern."""
+    return (F.contains(c, F.lit("//")) | c.rlike(r"(?i)www\.")) & c.rlike(URL)
+
+
 def seal_output(c: Column) -> Column:
     """P-09: the four bracket characters become full width, visible URLs are replaced; URLs hidden by full-width or invisible
     characters make the whole text half width first."""
     t = F.translate(F.coalesce(c, F.lit("")), "[]<>", "［］＜＞")
-    first = F.regexp_replace(t, URL, URL_REMOVED)
-    plain = drop_invisible(nfkc(first))
-    second = F.translate(F.regexp_replace(plain, URL, URL_REMOVED), "[]<>", "［］＜＞")
-    return F.when(plain.rlike(URL), second).otherwise(first)
+    first = F.when(has_url(t), F.regexp_replace(t, URL, URL_REMOVED)).otherwise(t)
+
+    def again(x: Column) -> Column:
+        second = F.translate(F.regexp_replace(x["half"], URL, URL_REMOVED), "[]<>", "［］＜＞")
+        return F.when(has_url(x["half"]), second).otherwise(x["shown"])
+    return once(F.struct(first.alias("shown"), drop_invisible(nfkc(first)).alias("half")), again)
 
 
 def is_sealed(c: Column) -> Column:
@@ -204,6 +213,6 @@ def find_exits(c: Column) -> Column:
 
     def kinds(x: Column) -> Column:
         found = [("markdown_image", x["raw"].rlike(r"!\s*\[")), ("markdown_link", x["raw"].rlike(r"\]\s*[(\[:]")),
-                 ("html_tag", x["raw"].rlike(r"<\s*[a-zA-Z/!?]")), ("url", x["half"].rlike(URL))]
+                 ("html_tag", x["raw"].rlike(r"<\s*[a-zA-Z/!?]")), ("url", has_url(x["half"]))]
         return F.array_compact(F.array(*[F.when(p, F.lit(n)) for n, p in found]))
     return once(F.struct(raw.alias("raw"), nfkc(raw).alias("half")), kinds)

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.checks import check_rows, union_all
-from ..functions.exprs import monday, ratio
+from ..functions.exprs import expand_once, monday, ratio
 
 TRAILING_WEEKS = 4
 TRAILING_DAYS = 7
@@ -194,9 +194,8 @@ DIAGNOSIS_SCHEMA = "cause string, evidence string, confidence string, next_check
 
 def parse_diagnosis(replies: DataFrame, raw: str = "raw_result") -> DataFrame:
     """D-10: fields of each JSON reply; what cannot be read becomes NULL, never an error."""
-    parsed = replies.withColumn("_d", F.from_json(raw, DIAGNOSIS_SCHEMA))
-    return parsed.withColumns({"cause": F.col("_d.cause"), "evidence": F.col("_d.evidence"),
-                               "confidence": F.col("_d.confidence").try_cast("double"), "next_check": F.col("_d.next_check")}).drop("_d")
+    parsed = expand_once(replies, F.from_json(raw, DIAGNOSIS_SCHEMA))
+    return parsed.withColumn("confidence", F.col("confidence").try_cast("double"))
 
 
 def check_replies(diagnosis: DataFrame, summary_rows: Column, causes: Sequence[str], models: int = 2) -> DataFrame:

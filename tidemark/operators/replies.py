@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 from ..functions.checks import check_rows, one_row, union_all
-from ..functions.exprs import count_rows, newest, ratio
+from ..functions.exprs import count_rows, expand_once, newest, ratio
 
 
 # The options an answer may take.
@@ -59,8 +59,7 @@ def parse_reply(responses: DataFrame, task: str = "features", result: str = "res
     out = responses.withColumns({**usage, "finish_reason": F.get_json_object(full, "$.candidates[0].finish_reason")})
     sound = (F.col("status") == "") & (F.coalesce("finish_reason", F.lit("")) != "MAX_TOKENS")
     if task == "features":
-        out = out.withColumn("_r", F.from_json(result, FEATURE_JSON))
-        out = out.withColumns({"has_person": F.col("_r.has_person").try_cast("boolean"), **{f: F.col(f"_r.{f}") for f in FIELDS[1:]}}).drop("_r")
+        out = expand_once(out, F.from_json(result, FEATURE_JSON)).withColumn("has_person", F.col("has_person").try_cast("boolean"))
         return out.withColumn("ok", F.coalesce(complete() & in_option() & sound, F.lit(False)))
     if task == "gaps":
         gaps = F.from_json(result, "gaps array<string>")["gaps"]

@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exprs import count_rows
+from ..functions.exprs import count_rows, expand_once
 from ..functions import text as tx
 
 CUSTOMER_TOOL = "get_top_customers"
@@ -80,14 +80,14 @@ def isolation_violations(turns: DataFrame, sensitive: str = CUSTOMER_TOOL) -> Da
 def check_output(df: DataFrame, column: str, terms: Sequence[tuple[str, str]] = tx.CLAIM_TERMS, known: str | None = None, canaries: Sequence[str] = ()) -> DataFrame:
     """P-11."""
     found = _scan(F.col(column), known, {"claims": lambda n: tx.claims_in(n, terms), "canary": lambda n: tx.words_in(n, canaries)})
-    return df.withColumn("_f", found).select("*", "_f.pii", "_f.claims", "_f.canary").drop("_f")
+    return expand_once(df, found)
 
 
 def _scan(text: Column, known: str | None, uses: Mapping[str, Callable[[Column], Column]]) -> Column:
     """Struct of personal data and of everything that looks at the normalised text; the text is normalised one time."""
     def both(soft: Column) -> Column:
-        rest = tx.once(F.regexp_replace(soft, r"\s+", ""), lambda n: F.struct(*[f(n).alias(k) for k, f in uses.items()]))
-        return F.struct(tx.pii_in(soft, F.col(known) if known else None).alias("pii"), *[rest[k].alias(k) for k in uses])
+        pii = tx.pii_in(soft, F.col(known) if known else None).alias("pii")
+        return tx.once(F.regexp_replace(soft, r"\s+", ""), lambda n: F.struct(pii, *[f(n).alias(k) for k, f in uses.items()]))
     return tx.once(tx.soften(text), both)
 
 
@@ -100,7 +100,7 @@ def guard_signals(runs: DataFrame, answer: str = "final_answer", tools: str = "t
     body = F.substring_index(F.col(answer), REMINDER, 1)
     used = F.exists(F.coalesce(F.from_json(tools, TOOL_CALLS), F.array().cast(TOOL_CALLS)), lambda x: (x["name"] == CUSTOMER_TOOL) & (F.coalesce(x["error"], F.lit("")) == ""))
     found = _scan(F.col(answer), known, {"canary": lambda n: tx.words_in(n, canaries), "markers": lambda n: tx.words_in(n, markers)})
-    return runs.withColumn("_f", found).withColumns({
-        "signal_pii": F.col("_f.pii"), "signal_canary": F.size("_f.canary") > 0, "signal_note_markers": F.col("_f.markers"),
+    return expand_once(runs, found).withColumns({
+        "signal_pii": F.col("pii"), "signal_canary": F.size("canary") > 0, "signal_note_markers": F.col("markers"),
         "signal_claims": F.transform(tx.find_claims(body, terms), lambda x: x["term"]), "signal_customer_tool": used,
-        "signal_links": tx.find_exits(F.col(answer))}).drop("_f")
+        "signal_links": tx.find_exits(F.col(answer))}).drop("pii", "canary", "markers")

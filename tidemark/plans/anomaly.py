@@ -3,7 +3,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..operators import anomaly as an
-from ..sources import adapters as a
+from ..sources import adapters as a, io
 from . import warehouse as wp
 from .oracle import CTES, K, sql
 
@@ -72,25 +72,29 @@ CTES["diag"] = f"""
 ALL = "ad_daily site_purchases roas agw ag_flag cr_base cr_flag siteday site_flag summary"
 
 
-def _roas(s, d):
-    return an.channel_week_roas(a.site_purchases(s, d), a.ad_daily(s, d), MAPPING, LO, HI)
+def _roas(s, d, ads=None, site=None):
+    return an.channel_week_roas(a.site_purchases(s, d) if site is None else site, a.ad_daily(s, d) if ads is None else ads, MAPPING, LO, HI)
 
 
-def _adgroup(s, d):
-    return an.flag_adgroup(an.adgroup_week(a.ad_daily(s, d), LO, HI), _roas(s, d))
+def _adgroup(s, d, ads=None, site=None):
+    ads = a.ad_daily(s, d) if ads is None else ads
+    return an.flag_adgroup(an.adgroup_week(ads, LO, HI), _roas(s, d, ads, site))
 
 
-def _creative(s, d):
-    ads = a.ad_daily(s, d)
+def _creative(s, d, ads=None):
+    ads = io.materialize(a.ad_daily(s, d)) if ads is None else ads
     return an.flag_creative(ads, an.creative_launch_baseline(ads, 14, LO, HI), start=LO, end=HI)
 
 
-def _day(s, d):
-    return an.site_day(a.site_purchases(s, d), a.shop_orders(s, d).select("order_date", "revenue"), a.ad_daily(s, d), LO, HI)
+def _day(s, d, ads=None, site=None):
+    return an.site_day(a.site_purchases(s, d) if site is None else site, a.table(s, d, "orders").select(F.to_date("o_orderdate").alias("order_date"), F.col("o_totalprice").cast("decimal(18,2)").alias("revenue")),
+                       a.ad_daily(s, d) if ads is None else ads, LO, HI)
 
 
 def summary(s, d):
-    return an.anomaly_summary(_adgroup(s, d), _creative(s, d), an.flag_site(_day(s, d)))
+    # the daily advertising fact and the tracked purchases are tables in their own right, read by all three levels
+    ads, site = io.materialize(a.ad_daily(s, d)), io.materialize(a.site_purchases(s, d))
+    return an.anomaly_summary(_adgroup(s, d, ads, site), _creative(s, d, ads), an.flag_site(_day(s, d, ads, site)))
 
 
 def diagnosis(s, d):

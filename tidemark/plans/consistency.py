@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import fingerprint
 from ..operators import consistency as k, replies as r
-from ..sources import adapters as a
+from ..sources import adapters as a, io
 from . import replies as rp
 from .oracle import CTES, K, sql
 
@@ -17,7 +17,7 @@ def mapped(s, d):
 
 
 def pages(s, d):
-    return k.landing_pages(a.table(s, d, "pages").withColumn("page_id", F.col("page_id").cast("string")))
+    return k.landing_pages(a.wide_table(s, d, "pages").withColumn("page_id", F.col("page_id").cast("string")))
 
 
 def shots(s, d):
@@ -26,7 +26,7 @@ def shots(s, d):
 
 
 def latest(s, d):
-    return k.latest_readable(a.gap_log(s, d))
+    return io.materialize(k.latest_readable(a.gap_log(s, d)))
 
 
 def values():

@@ -3,7 +3,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..operators import segments as sg, value as vl
-from ..sources import adapters as a
+from ..sources import adapters as a, io
 from .oracle import CTES, sql
 
 TYPES = ("ECONOMY", "STANDARD", "PROMO", "MEDIUM")
@@ -41,15 +41,40 @@ def ltv(s, d):
     return vl.predict_ltv(item_predicted(s, d))
 
 
+def saved_features(s, d):
+    """Training passes over the features many times, so they are written first."""
+    return io.materialize(features(s, d))
+
+
 def _models(f):
     return {"k3_observed": sg.fit_segments(f, 3), "k4_observed": sg.fit_segments(f, 4), "k5_observed": sg.fit_segments(f, 5), "k4_all": sg.fit_segments(f, 4, observed_only=False)}
 
 
 def _assigned(s, d):
-    f = features(s, d)
+    f = saved_features(s, d)
     return sg.assign_segments(sg.fit_segments(f, 4), f)
 
 
+def _centroids(s, d):
+    f = saved_features(s, d)
+    return sg.centroids_long(sg.fit_segments(f, 4), f)
+
+
+def _davies_bouldin(s, d):
+    f = saved_features(s, d)
+    return sg.davies_bouldin(_models(f), f)
+
+
+def _regression(s, d):
+    f = io.materialize(ltv_features(s, d))
+    return vl.predict(vl.fit_ltv(f), f)
+
+
+def _unseen(s, d):
+    f = io.materialize(ltv_features(s, d))
+    return vl.unseen_category_effect(vl.predict(vl.fit_ltv(f, True), f), vl.predict(vl.fit_ltv(f), f))
+
+
 def _value_to_cost(s, d):
     source = F.when(F.col("first_source") == "s1", "ch0").when(F.col("first_source") == "s2", "ch1").when(F.col("first_source") == "s3", "ch2")
     return vl.value_to_cost(ltv(s, d), ltv_features(s, d), a.ad_daily(s, d), source, ["ch0", "ch1", "ch2"], date(2000, 1, 1), date(2000, 12, 31))
@@ -96,20 +121,19 @@ QUERIES = {
     "g01_features_summary": lambda s, d: sg.features_summary(features(s, d)),
     "g03_assign_segments": _assigned,
     "g04_cluster_profile": lambda s, d: sg.cluster_profile(ruled(s, d), features(s, d)),
-    "g05_centroids": lambda s, d: sg.centroids_long(sg.fit_segments(features(s, d), 4), features(s, d)),
-    "g06_davies_bouldin": lambda s, d: sg.davies_bouldin(_models(features(s, d)), features(s, d)),
+    "g05_centroids": _centroids,
+    "g06_davies_bouldin": _davies_bouldin,
     "g07_cluster_vs_truth": lambda s, d: sg.cluster_vs_truth(ruled(s, d), truth(s, d), SEGMENTS),
     "g08_check_segmentation": _check_segments,
     "l01_first_order_features": lambda s, d: vl.first_order_features(a.shop_orders(s, d)).drop("first_transaction_id"),
     "l02_future_revenue": lambda s, d: vl.future_revenue(a.shop_orders(s, d), days=DAYS),
     "l03_chronological_split": ltv_features,
-    "l04_regression_predictions": lambda s, d: vl.predict(vl.fit_ltv(ltv_features(s, d)), ltv_features(s, d)),
+    "l04_regression_predictions": _regression,
     "l05_regression_metrics": lambda s, d: vl.regression_metrics(item_predicted(s, d)).select(*[F.round(c, 6).alias(c) for c in ("mean_absolute_error", "rmse", "r2_score")]),
     "l06_baselines": lambda s, d: vl.baselines(ltv_features(s, d), item_predicted(s, d)),
     "l07_predict_ltv": ltv,
     "l08_value_to_cost": _value_to_cost,
-    "l09_unseen_category_effect": lambda s, d: vl.unseen_category_effect(
-        vl.predict(vl.fit_ltv(ltv_features(s, d), True), ltv_features(s, d)), vl.predict(vl.fit_ltv(ltv_features(s, d)), ltv_features(s, d))),
+    "l09_unseen_category_effect": _unseen,
     "l10_value_by_truth": lambda s, d: vl.value_by_truth(ltv(s, d), truth(s, d)),
     "l10_value_by_item_and_truth": lambda s, d: vl.value_by_item_and_truth(ltv(s, d), truth(s, d)),
     "l11_features_summary": lambda s, d: vl.features_summary(ltv_features(s, d)),

@@ -13,7 +13,7 @@ TOOLS = ("get_top_customers", "get_ad_spend", "get_campaign_notes")
 
 def texts(s, d):
     """``documents`` with terms, numbers, instructions and links added to the whole text, so that every rule has something to find."""
-    x = a.table(s, d, "documents")
+    x = a.wide_table(s, d, "documents")
     i = F.col("doc_id")
     pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (n % len(values)).cast("int"))
     spaced = [t[0] + " " + t[1:] for t, _ in TERMS]
@@ -57,7 +57,7 @@ QUERIES = {
     "p06_find_claims": lambda s, d: ts.find_claims(texts(s, d), "doc_id", "risky", TERMS),
     "p07_find_injection": lambda s, d: ts.find_injection(texts(s, d), "doc_id", "note"),
     "p08_scrub_fields": lambda s, d: ts.scrub_fields(texts(s, d), ["note", "name"]).select("doc_id", "note", "name", F.size("removed").alias("removed_fields")),
-    "p09_seal_output": lambda s, d: ts.seal_output(a.table(s, d, "pages"), "html").select("page_id", F.md5("html").alias("digest"), tx.is_sealed(F.col("html")).alias("sealed")),
+    "p09_seal_output": lambda s, d: ts.seal_output(a.wide_table(s, d, "pages"), "html").select("page_id", F.md5("html").alias("digest"), tx.is_sealed(F.col("html")).alias("sealed")),
     "p09_find_exits": lambda s, d: texts(s, d).select("doc_id", F.array_join(tx.find_exits(F.col("linked")), ",").alias("exits")),
     "p10_isolation_violations": lambda s, d: ts.isolation_violations(turns(s, d)),
     "p11_check_output": lambda s, d: ts.check_output(texts(s, d), "risky", TERMS, canaries=["mail.example"]).select(

@@ -48,9 +48,14 @@ def creatives24(s, d):
     return a.creatives(s, d, "2024-01-01", 1, 9).withColumn("product_focus", F.regexp_replace("creative_id", "cr", "i"))
 
 
-def star(s, d):
+def nested(s, d):
+    """The nested export as a stored table, which is what it is outside this adapter."""
+    return io.materialize(a.nested_export(s, d))
+
+
+def star(s, d, export=None):
     raw, cr = a.raw_events(s, d), creatives24(s, d)
-    events = w.build_fct_events(raw, w.flatten_events(a.nested_export(s, d)))
+    events = w.build_fct_events(raw, w.flatten_events(nested(s, d) if export is None else export))
     orders = w.build_fct_orders(a.raw_orders(s, d))
     ads = w.build_fct_ad_daily(a.ad_daily(s, d))
     return {
@@ -76,11 +81,12 @@ def _items(s, d):
 
 
 def _sources(s, d):
-    return w.flatten_events(a.nested_export(s, d)).select("event_timestamp", "user_pseudo_id", "utm_source", "utm_medium", "utm_campaign")
+    return w.flatten_events(nested(s, d)).select("event_timestamp", "user_pseudo_id", "utm_source", "utm_medium", "utm_campaign")
 
 
 def _reconcile(s, d):
-    return w.reconcile(s, a.raw_events(s, d), a.nested_export(s, d), a.ad_daily(s, d), a.raw_orders(s, d), creatives24(s, d), a.raw_customers(s, d), star(s, d))
+    export = nested(s, d)
+    return w.reconcile(s, a.raw_events(s, d), export, a.ad_daily(s, d), a.raw_orders(s, d), creatives24(s, d), a.raw_customers(s, d), star(s, d, export))
 
 
 def _csv_round_trip(s, d):
@@ -141,8 +147,8 @@ QUERIES = {
     "w03_numeric_param": _numeric,
     "w04_session_source_fill": _sources,
     "w05_single_item": _items,
-    "w06_flatten_events": lambda s, d: w.flatten_events(a.nested_export(s, d)),
-    "w07_fct_events": lambda s, d: w.build_fct_events(a.raw_events(s, d), w.flatten_events(a.nested_export(s, d))),
+    "w06_flatten_events": lambda s, d: w.flatten_events(nested(s, d)),
+    "w07_fct_events": lambda s, d: w.build_fct_events(a.raw_events(s, d), w.flatten_events(nested(s, d))),
     "w08_fct_ad_daily": lambda s, d: w.build_fct_ad_daily(a.ad_daily(s, d)),
     "w08_fct_orders": lambda s, d: w.build_fct_orders(a.raw_orders(s, d)),
     "w09_dim_creative": lambda s, d: w.build_dim_creative(creatives24(s, d)),

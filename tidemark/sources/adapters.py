@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.exprs import micros_of
+from ..functions.skew import widen
 
 # Which traffic source each event type stands for.
 TOUCH_SOURCES = {
@@ -19,10 +20,18 @@ TOUCH_SOURCES = {
 }
 
 
+# Tables whose rows are costly to work on (texts, and events that become JSON), with their unique key.
+WIDE = {"events": "event_id", "documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return widen(table(spark, sf_dir, name), WIDE[name])
+
+
 def _k() -> Column:
     return F.regexp_extract("props", "[0-9]+", 0).cast("int")
 
@@ -158,7 +167,7 @@ def creatives(spark: SparkSession, sf_dir: str, first_start: str = "1996-01-01",
 
 def nested_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a nested web export, with every irregular shape the flattening has to deal with."""
-    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    e = wide_table(spark, sf_dir, "events").withColumn("k", _k())
     i, k = F.col("event_id"), F.col("k")
     text = lambda c: c.cast("string")
     void = lambda t: F.lit(None).cast(t)
@@ -243,7 +252,7 @@ CAUSES = ("競價變貴", "追蹤碼失效", "素材疲乏", "需求或季節變
 
 def diagnosis_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as model replies: mostly sound JSON, some broken, off-list or failed."""
-    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    e = wide_table(spark, sf_dir, "events").withColumn("k", _k())
     k = F.col("k")
     causes = F.array(*[F.lit(c) for c in CAUSES], F.lit("不明"))
     body = F.format_string('{"cause": "%s", "evidence": "%s", "confidence": %s, "next_check": "n%d"}',
@@ -266,7 +275,7 @@ OBSERVATIONS = ("CPC 上升一倍", "追蹤到的購買事件少了", "點擊率
 
 def season_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as replies to the season report: up to two findings each, some replies broken."""
-    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    e = wide_table(spark, sf_dir, "events").withColumn("k", _k())
     k = F.col("k")
     at = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i % len(values))
     finding = lambda s: F.format_string(
@@ -294,7 +303,7 @@ def _at(values, i: Column) -> Column:
 
 def raw_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as raw model responses about one image per user."""
-    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    e = wide_table(spark, sf_dir, "events").withColumn("k", _k())
     k, i = F.col("k"), F.col("event_id")
     q = lambda c: F.when(c.isNull(), "null").otherwise(F.concat(F.lit('"'), c, F.lit('"')))
     body = F.format_string(
@@ -330,7 +339,7 @@ def image_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def draft_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as calls for new drafts of each user's image."""
-    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    e = wide_table(spark, sf_dir, "events").withColumn("k", _k())
     k, i = F.col("k"), F.col("event_id")
     return e.select(
         "event_id", F.concat(F.lit("r"), F.date_format("ts", "yyyyMMdd")).alias("run_id"), _at(("free", "rules"), k).alias("version"), (1 + i % 2).cast("bigint").alias("sample"),
@@ -359,7 +368,7 @@ def gap_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gap_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as replies that list gaps between an image and its page."""
-    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    e = wide_table(spark, sf_dir, "events").withColumn("k", _k())
     k, i, u = F.col("k"), F.col("event_id"), F.col("user_id")
     gap = lambda kind, word: F.format_string('{"gap_type": "%s", "ad_text": "現在%s中", "page_evidence": "e%d"}', kind, word, k)
     gaps = F.concat_ws(", ", F.when(k % 3 > 0, gap(_at(GAP_KINDS[:6], u), _at(GAP_WORDS, u + F.when(k % 7 == 0, 1).otherwise(0)))),
@@ -374,7 +383,7 @@ def gap_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usage_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as model calls: some failed, some without token counts, one model without a price."""
-    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    e = wide_table(spark, sf_dir, "events").withColumn("k", _k())
     k, i = F.col("k"), F.col("event_id")
     return e.select(
         micros_of("ts").alias("logged_us"), F.concat(F.lit("Day "), (k % 5).cast("string")).alias("day"), _at(("ask", "serve", "eval"), i).alias("job"),
@@ -398,7 +407,7 @@ def price_rows() -> list[tuple]:
 
 def cache_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as calls with and without a cached prompt."""
-    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    e = wide_table(spark, sf_dir, "events").withColumn("k", _k())
     k, i = F.col("k"), F.col("event_id")
     scenario = _at(("old", "new", "explicit", "verify_1"), i)
     return e.select(
@@ -418,7 +427,7 @@ ANSWERS = (
 
 def eval_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as answers to eight questions, asked with and without tools."""
-    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    e = wide_table(spark, sf_dir, "events").withColumn("k", _k())
     k, i = F.col("k"), F.col("event_id")
     tools = i % 2 == 0
     return e.select(
@@ -437,7 +446,7 @@ def eval_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    e = wide_table(spark, sf_dir, "events").withColumn("k", _k())
     k, i = F.col("k"), F.col("event_id")
     return e.select(
         "event_id", F.concat(F.lit("e"), (1 + F.floor(k / 2) % 8).cast("string")).alias("case_id"), F.when(k % 2 == 0, "tools").otherwise("none").alias("mode"), _at(("rule", "human", "judge:m0-lite", "judge:m1"), i).alias("grader"),
@@ -447,7 +456,7 @@ def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def serve_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as turns of one dialogue per user and day."""
-    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    e = wide_table(spark, sf_dir, "events").withColumn("k", _k())
     k, i = F.col("k"), F.col("event_id")
     call = lambda n: F.format_string('{"name": "%s", "error": "%s"}', _at(("get_top_customers", "get_ad_spend", "get_campaign_notes"), n), F.when(n % 5 == 0, "refused").otherwise(""))
     return e.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -14,10 +15,26 @@ DAILY_TABLE = r"^\d{8}$"
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared folder the cluster names; a local temporary folder only where none is named."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="tidemark-")
+    root = shared.rstrip("/") if shared else _local_scratch()
     return f"{root}/{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="tidemark-")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    For results that several later steps use (daily facts, training features, latest replies): computed one time, and a lost
+    executor only costs a re-read.
+    """
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """S1 / W-01: header line, fixed schema, the first bad record fails the load."""
     return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
