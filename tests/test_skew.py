@@ -34,3 +34,11 @@ def test_null_lag_and_first_rows(spark):
     df = spark.createDataFrame([(1, "a", 1), (2, "a", 5), (3, "b", 9)], "id int, k string, t bigint")
     out = keyed_sequence(df, ["k"], ["t"], cuts=[3.0], slice_on="t", row_number="rn", lag={"p": "t"})
     assert {r.id: (r.rn, r.p) for r in out.collect()} == {1: (1, None), 2: (2, 1), 3: (1, None)}
+
+
+def test_salted_join_equals_plain_join(spark):
+    from tidemark.functions.skew import salted_join
+    left = spark.createDataFrame(_rows(), "id int, k string, t bigint, v bigint")
+    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k9", 3)], "k string, x int")
+    a, b = left.join(right, "k").orderBy("id").collect(), salted_join(left, right, ["k"]).orderBy("id").collect()
+    assert [tuple(r[c] for c in ("id", "k", "t", "v", "x")) for r in a] == [tuple(r[c] for c in ("id", "k", "t", "v", "x")) for r in b]

@@ -105,6 +105,17 @@ def keyed_sequence(
     return joined.select(*out)
 
 
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salts: int = 16, how: str = "inner") -> DataFrame:
+    """Join many rows per key with one row per key so that a hot key is spread over ``salts`` tasks.
+
+    ``right`` must be unique on ``keys``; its rows are copied once per salt. Because the result is partitioned by key and salt, a
+    following ``groupBy(keys)`` combines inside the tasks first and only merges partial results per key.
+    """
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def widen(df: DataFrame, key: str, min_bytes: int = 1 << 20) -> DataFrame:
     """Spread a scan that has far fewer partitions than there are cores (one big row group, say) before costly per-row work.
 

@@ -31,11 +31,13 @@ def future_revenue(orders: DataFrame, paid: Column | None = None, days: int = 30
     as_of = own.agg(F.max("order_date")).scalar()
     used = own if paid is None else own.where(paid)
     first = first_order_features(orders, paid)
-    # one first order per customer, so a customer with very many orders is split by the skew join
-    later = used.select("customer_id", "transaction_id", "order_date", "revenue").join(
-        first.select("customer_id", "first_transaction_id", "first_order_date"), "customer_id") \
-        .where((F.col("transaction_id") != F.col("first_transaction_id")) & (F.col("order_date") <= F.date_add("first_order_date", days))) \
-        .groupBy("customer_id").agg(F.sum("revenue").alias("r"))
+    # revenue per customer and day is combined before the shuffle, so a customer with very many orders is no burden; the first order
+    # itself is always inside the window and is taken off again
+    per_day = used.groupBy("customer_id", "order_date").agg(F.sum("revenue").alias("day_revenue"))
+    window = per_day.join(first.select("customer_id", "first_order_date"), "customer_id").where(F.col("order_date") <= F.date_add("first_order_date", days)) \
+        .groupBy("customer_id").agg(F.sum("day_revenue").alias("all_revenue"))
+    later = window.join(first.select("customer_id", "first_revenue"), "customer_id").select(
+        "customer_id", (F.coalesce("all_revenue", F.lit(0)) - F.coalesce("first_revenue", F.lit(0))).alias("r"))
     return first.join(later, "customer_id", "left").select(
         *[c for c in first.columns if c != "first_transaction_id"], (F.datediff(as_of, "first_order_date") >= days).alias("label_complete"),
         F.coalesce("r", F.lit(0)).cast("decimal(18,2)").alias("future_revenue_30d"))

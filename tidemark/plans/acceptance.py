@@ -81,10 +81,7 @@ CTES["blind"] = """
 CTES["crit"] = "SELECT * FROM (VALUES " + ", ".join(
     "(" + ", ".join("NULL" if v is None else (f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE") for v in r) + ")" for r in ac.CRITERIA + ac.CRITERIA_V1_S4) \
     + ") c(signal_id, check_id, found_by, method, rule, lower_bound, upper_bound)"
-CTES["at_mart7"] = CTES["at_mart"].replace("order_date - 30", "order_date - 7")
-CTES["at_paths7"] = CTES["at_paths"].replace("30 * 86400000000", "7 * 86400000000")
-_AT7 = ", ".join(f"{n} AS ({CTES[x]})" for n, x in (("at_touches", "at_touches"), ("at_orders", "at_orders"), ("at_paths", "at_paths7"), ("at_pos", "at_pos"), ("at_mart", "at_mart7")))
-CTES["first7"] = f"WITH {_AT7} SELECT * FROM at_mart WHERE NOT is_repeat AND NOT window_truncated"
+CTES["first7"] = "SELECT * FROM at_mart7 WHERE NOT is_repeat AND NOT window_truncated"
 CTES["meas"] = f"""
   SELECT 'S1a' AS check_id, (sum(cost) FILTER (WHERE date >= DATE '1998-07-01')::DOUBLE / sum(clicks) FILTER (WHERE date >= DATE '1998-07-01'))
       / (sum(cost) FILTER (WHERE date < DATE '1998-07-01')::DOUBLE / sum(clicks) FILTER (WHERE date < DATE '1998-07-01')) AS actual
@@ -106,7 +103,7 @@ CTES["card"] = """
   SELECT signal_id, c.check_id, found_by, method, rule, lower_bound, upper_bound, round(actual, 3) AS actual,
     CASE WHEN lower_bound IS NULL THEN '待考' WHEN actual IS NULL THEN '沒有資料' WHEN actual BETWEEN lower_bound AND upper_bound THEN '找到' ELSE '沒找到' END AS verdict
   FROM crit c LEFT JOIN meas m ON m.check_id = c.check_id"""
-MEAS = "ad_daily purchases web_events creatives24 diag first7 meas"
+MEAS = "ad_daily creatives24 diag " + atp.BASE7 + " first7 meas"
 _MD = lambda x: f"month({x}) || '/' || day({x})"
 CTES["lines"] = f"""
   SELECT 1 AS section, min(wk) || '|' || ad_group_id AS position, ad_group_id || '（' || CASE channel WHEN 'ch0' THEN '零' WHEN 'ch1' THEN '壹' ELSE channel END || '、' || campaign || '）：' ||

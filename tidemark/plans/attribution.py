@@ -7,8 +7,8 @@ from .oracle import CTES, sql
 DAY = 86400000000
 
 
-def mart(s, d):
-    return at.mart_attribution(purchases(s, d), web_events(s, d))
+def mart(s, d, lookback=30):
+    return at.mart_attribution(purchases(s, d), web_events(s, d), lookback)
 
 
 CTES["at_touches"] = """
@@ -40,6 +40,11 @@ CTES["at_mart"] = f"""
     CASE WHEN nd_len = 0 THEN decay_w / sum(decay_w) OVER p WHEN is_direct THEN 0
       ELSE decay_w / sum(CASE WHEN is_direct THEN 0 ELSE decay_w END) OVER p END AS credit_decay_nd
   FROM at_pos WINDOW p AS (PARTITION BY transaction_id)"""
+# the same with a look-back of seven days, so that not every window is cut off by the start of the data
+CTES["at_paths7"] = CTES["at_paths"].replace(f"30 * {DAY}", f"7 * {DAY}")
+CTES["at_pos7"] = CTES["at_pos"].replace("FROM at_paths", "FROM at_paths7")
+CTES["at_mart7"] = CTES["at_mart"].replace("order_date - 30", "order_date - 7").replace("FROM at_pos ", "FROM at_pos7 ")
+BASE7 = "web_events purchases at_touches at_orders at_paths7 at_pos7 at_mart7"
 BASE = "web_events purchases at_touches at_orders at_paths at_pos at_mart"
 
 
@@ -77,9 +82,9 @@ QUERIES = {
     "at09_mart_attribution": lambda s, d: _rounded(mart(s, d)),
     "at10_check_attribution": lambda s, d: at.check_attribution(mart(s, d), purchases(s, d), covered_only=True),
     "at11_direct_effect": lambda s, d: at.report_direct_effect(mart(s, d)),
-    "at12_first_purchase_credit": lambda s, d: at.report_first_purchase_credit(mart(s, d)),
+    "at12_first_purchase_credit": lambda s, d: at.report_first_purchase_credit(mart(s, d, 7)),
     "at13_path_length": lambda s, d: at.report_path_length(mart(s, d)),
-    "at14_path_days": lambda s, d: at.report_path_days(mart(s, d).withColumn("window_truncated", __import__("pyspark").sql.functions.lit(False))),
+    "at14_path_days": lambda s, d: at.report_path_days(mart(s, d, 7)),
     "at15_campaign_credit": lambda s, d: at.report_campaign_credit(mart(s, d), LO, HI),
     "at16_channel_attribution": lambda s, d: at.channel_attribution(mart(s, d), "time_decay", LO, HI, exclude_direct=True),
 }
@@ -112,14 +117,14 @@ ORACLE = {
       UNION ALL SELECT 'info.touch_rows', '', CAST(count(*) AS VARCHAR), 'INFO' FROM at_mart"""),
     "at11_direct_effect": sql(BASE, """SELECT channel, round(sum(credit_first), 1) AS first_touch, round(sum(credit_last), 1) AS last_touch,
       round(sum(credit_decay), 1) AS time_decay, round(sum(credit_last_nd), 1) AS last_touch_nd FROM at_mart GROUP BY channel"""),
-    "at12_first_purchase_credit": sql(BASE, """SELECT channel, round(sum(credit_first_nd), 1) AS first_touch, round(sum(credit_last_nd), 1) AS last_touch,
+    "at12_first_purchase_credit": sql(BASE7, """SELECT channel, round(sum(credit_first_nd), 1) AS first_touch, round(sum(credit_last_nd), 1) AS last_touch,
       round(sum(credit_decay_nd), 1) AS time_decay, round(sum(credit_first_nd * revenue)) AS revenue_first,
       round(sum(credit_last_nd * revenue)) AS revenue_last, round(sum(credit_decay_nd * revenue)) AS revenue_decay
-      FROM at_mart WHERE NOT is_repeat AND NOT window_truncated GROUP BY channel"""),
+      FROM at_mart7 WHERE NOT is_repeat AND NOT window_truncated GROUP BY channel"""),
     "at13_path_length": sql(BASE, """SELECT least(path_len, 5) AS path_len_capped, count(*) AS orders, count(*) FILTER (WHERE is_repeat) AS repeat_orders,
       count(*) FILTER (WHERE window_truncated) AS truncated_orders FROM at_mart WHERE touch_seq = 1 GROUP BY 1"""),
-    "at14_path_days": sql(BASE, """SELECT is_repeat, count(*) AS orders, quantile_disc(days_before_order, 0.5) AS p50_days,
-      quantile_disc(days_before_order, 0.9) AS p90_days FROM at_mart WHERE touch_seq = 1 AND path_len >= 2 GROUP BY 1"""),
+    "at14_path_days": sql(BASE7, """SELECT is_repeat, count(*) AS orders, quantile_disc(days_before_order, 0.5) AS p50_days,
+      quantile_disc(days_before_order, 0.9) AS p90_days FROM at_mart7 WHERE touch_seq = 1 AND path_len >= 2 AND NOT window_truncated GROUP BY 1"""),
     "at15_campaign_credit": sql(BASE, """SELECT utm_campaign, round(sum(credit_first_nd), 1) AS first_touch, round(sum(credit_last_nd), 1) AS last_touch,
       round(sum(credit_decay_nd), 1) AS time_decay FROM at_mart WHERE order_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY 1"""),
     "at16_channel_attribution": sql(BASE, """SELECT channel, round(sum(credit_decay_nd), 1) AS credited_orders,
