@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_count, rules
+from . import bpe_count, decontam, frames, lines, packing, rules, substring
 from .common import table
 
 WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -15,6 +15,10 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_count.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, folder, "documents"), size=13).drop("kept")
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.quality(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -48,10 +52,66 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
     n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join(map(_broken, rules.RULES))}) AS kept FROM b
 """
 
+def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    manifest = frames.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), 2, frames.token_file_folder(docs))
+    return frames.token_digests(manifest)
+
+
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    checked = decontam.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return checked.select("doc_id", "contaminated", "n_items", "item_id", "n_matched")
+
+
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op7_token_files": op7_token_files,
+    "op8_decontamination": op8_decontamination,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_line_dedup": op10_line_dedup,
 }
+REPEATS_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS words FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(words) - 11)) AS i, words FROM d WHERE len(words) >= 13),
+win AS (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 12), ' ') AS w FROM starts),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) AS first FROM win) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM hit, (SELECT unnest(range(0, 13)) AS k)),
+word AS (SELECT doc_id, generate_subscripts(words, 1) AS i, unnest(words) AS w FROM d),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+# A window is the shortest run of lines with 50 words or more, forwards from its first or backwards from its last line.
+LINES_SQL = f"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+every AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM split),
+line AS (SELECT doc_id, i, line, len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS n FROM every),
+run AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM line WHERE n > 0),
+fwd AS (SELECT a.doc_id, a.i AS a, min(b.i) AS b FROM run a JOIN run b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= {lines.MIN_WORDS} GROUP BY 1, 2),
+bwd AS (SELECT b.doc_id, max(a.i) AS a, b.i AS b FROM run a JOIN run b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= {lines.MIN_WORDS} GROUP BY b.doc_id, b.i),
+win AS (SELECT * FROM fwd UNION SELECT * FROM bwd),
+text AS (SELECT w.doc_id, w.a, w.b, string_agg(r.line, chr(10) ORDER BY r.i) AS t FROM win w JOIN run r ON r.doc_id = w.doc_id AND r.i BETWEEN w.a AND w.b GROUP BY 1, 2, 3),
+ranked AS (SELECT *, first_value(doc_id) OVER f AS first_doc, first_value(b) OVER f AS first_b FROM text WINDOW f AS (PARTITION BY t ORDER BY doc_id, a, b)),
+later AS (SELECT doc_id, unnest(range(a, b + 1)) AS i FROM ranked WHERE doc_id > first_doc OR a > first_b),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t, count(*) AS n FROM every ANTI JOIN later USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, (coalesce(len(ls), 0) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN split USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLE = {
+    "op2_substring_dedup": REPEATS_SQL,
+    "op10_line_dedup": LINES_SQL,
     "op3_quality_rules": QUALITY_SQL,
 }
