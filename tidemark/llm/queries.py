@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_count, decontam, frames, lines, packing, rules, substring
+from . import bpe_count, decontam, frames, jaccard, langid, lines, packing, rules, substring, toxicity
 from .common import table
 
 WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -52,6 +52,24 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
     n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join(map(_broken, rules.RULES))}) AS kept FROM b
 """
 
+def fold_of(parts: int, column: str = "doc_id"):
+    """CRC-32 of the id as text, modulo ``parts``."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % parts
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), held_out=fold_of(3) == 1, threshold=0.7)
+
+
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, folder, "documents"), size=4, num=85, den=100)
+
+
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    said = langid.identify(table(spark, folder, "documents"), learn=fold_of(4) != 2)
+    return said.select("doc_id", F.coalesce(fold_of(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     manifest = frames.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), 2, frames.token_file_folder(docs))
@@ -76,6 +94,9 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_toxicity": op4_toxicity,
+    "op5_jaccard_join": op5_jaccard_join,
+    "op6_language_id": op6_language_id,
     "op7_token_files": op7_token_files,
     "op8_decontamination": op8_decontamination,
     "op9_best_fit_packing": op9_best_fit_packing,
