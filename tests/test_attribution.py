@@ -12,9 +12,10 @@ CH = {"meta": ("meta", "paid_social"), "google": ("google", "cpc"), "direct": ("
 
 
 def _frames(spark, touches, orders):
-    ev = [(i, date(2026, 5, 1), t, "session_start", u, *CH[c], "c", "synthetic") for i, (u, t, c) in enumerate(touches)]
+    day = lambda us: date.fromordinal(date(1970, 1, 1).toordinal() + us // DAY)
+    ev = [(i, day(t), t, "session_start", u, *CH[c], "c", "synthetic") for i, (u, t, c) in enumerate(touches)]
     e = spark.createDataFrame(ev, "event_id bigint, event_dt date, event_timestamp bigint, event_name string, user_pseudo_id string, utm_source string, utm_medium string, utm_campaign string, data_source string")
-    od = [(i, date(2026, 6, 10), t, u, u, "i", 100, "synthetic") for i, (u, t) in enumerate(orders)]
+    od = [(i, day(t), t, u, u, "i", 100, "synthetic") for i, (u, t) in enumerate(orders)]
     o = spark.createDataFrame(od, "transaction_id bigint, order_date date, order_us bigint, customer_id string, user_pseudo_id string, item_id string, revenue bigint, data_source string")
     return o, e
 

@@ -3,42 +3,32 @@
 A plain ``Window.partitionBy(key)`` puts a whole key into one task.  Here the ordering column is cut at global quantiles into
 slices, so that a (key, slice) pair can never hold more than about 1/slices of the table.  Row numbers, running sums and lags
 are computed inside each pair, a tiny per-pair summary carries the totals over to later slices, and an equi join on
-(key, slice) puts both together.  Below a checked size one slice is enough and the plain window is used.
+(key, slice) puts both together.  The same algorithm runs at every size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLICE_BYTES = 1 << 30
-MAX_SLICES = 2048
 
+def order_slices(df: DataFrame, column: str, slices: int | None = None) -> Column:
+    """Cut points of ``column``, as an array that is computed inside the query: no job runs while the query is built.
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate for a plan; no job is started."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def order_slices(df: DataFrame, column: str, slice_bytes: int = SLICE_BYTES) -> list[float]:
-    """Cut points of ``column``; empty when the table is small enough for one task per key."""
-    wanted = min(MAX_SLICES, math.ceil(plan_bytes(df) / slice_bytes))
-    return quantile_cuts(df, column, wanted) if wanted > 1 else []
-
-
-def quantile_cuts(df: DataFrame, column: str, slices: int) -> list[float]:
-    probabilities = [i / slices for i in range(1, slices)]
-    cuts = df.select(F.col(column).cast("double").alias(column)).approxQuantile(column, probabilities, 0.1 / slices)
-    return sorted(set(cuts))
+    ``slices`` defaults to the number of shuffle partitions; it does not depend on the size of the table.
+    """
+    slices = slices or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = [i / slices for i in range(1, slices)]
+    return df.agg(F.percentile_approx(F.col(column).cast("double"), shares, 10 * slices)).scalar()
 
 
-def with_slice(df: DataFrame, column: str, cuts: Sequence[float], name: str = "_slice") -> DataFrame:
-    splits = [-math.inf, *cuts, math.inf]
-    numeric = df.withColumn("_slice_in", F.col(column).cast("double"))
-    return Bucketizer(splits=splits, inputCol="_slice_in", outputCol=name).transform(numeric).drop("_slice_in")
+def with_slice(df: DataFrame, column: str, cuts: Column | Sequence[float], name: str = "_slice") -> DataFrame:
+    """Number of cut points below or at the value; equal values share a slice, NULL counts as lowest."""
+    points = cuts if isinstance(cuts, Column) else F.array(*[F.lit(float(c)) for c in cuts])
+    value = F.col(column).cast("double")
+    # a subquery may not stand inside a lambda, so the cut points become a column first
+    return df.select("*", F.explode(F.array(points)).alias("_cuts")).withColumn(name, F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= value))).drop("_cuts")
 
 
 def keyed_sequence(
@@ -46,7 +36,7 @@ def keyed_sequence(
     keys: Sequence[str],
     order: Sequence[Column | str],
     *,
-    cuts: Sequence[float] = (),
+    cuts: Column | Sequence[float] | None = None,
     slice_on: str | None = None,
     row_number: str | None = None,
     lag: Mapping[str, str] | None = None,
@@ -55,11 +45,12 @@ def keyed_sequence(
 ) -> DataFrame:
     """Add a row number, lags, running sums (current row included) and whole-key sums to every row.
 
-    ``slice_on`` must be the leading ordering column; rows with equal values of it stay in one slice.
+    ``slice_on`` must be the leading ordering column; rows with equal values of it stay in one slice. Without ``cuts`` one task orders
+    a whole key, which is only for keys of bounded size.
     """
     lag, running, totals = dict(lag or {}), dict(running or {}), dict(totals or {})
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    if not cuts:
+    if cuts is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         whole = Window.partitionBy(*keys)
@@ -83,7 +74,7 @@ def keyed_sequence(
     aggs += [F.max_by(F.struct(F.col(c)), F.struct(*[o for o in order])).alias(f"_last_{n}") for n, c in lag.items()]
     aggs += [F.sum(c).alias(f"_sum_{n}") for n, c in running.items()]
     aggs += [F.sum(c).alias(f"_part_{n}") for n, c in totals.items()]
-    # one row per key and slice: at most MAX_SLICES rows per key
+    # one row per key and slice: as many rows per key as there are slices
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     carried = {"_off": F.coalesce(F.sum("_n").over(before), F.lit(0))}
@@ -114,15 +105,3 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salts: i
     salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
-
-
-def widen(df: DataFrame, key: str, min_bytes: int = 1 << 20) -> DataFrame:
-    """Spread a scan that has far fewer partitions than there are cores (one big row group, say) before costly per-row work.
-
-    Hash partitioning on a unique key keeps the split repeatable when tasks are retried. A scan that is already wide stays as it is,
-    so on large tables this adds no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if plan_bytes(df) < min_bytes or df.rdd.getNumPartitions() * 2 > cores:
-        return df
-    return df.repartition(cores, key)

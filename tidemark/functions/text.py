@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType
 # Fixed values -------------------------------------------------------------------------------------------------------------
 # Invisible characters outside the Unicode categories Cf, Co, Cn, Cs, Cc.
 EXTRA_INVISIBLE = r"\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{2800}\x{3164}\x{FFA0}\x{180B}-\x{180F}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}"
+INVISIBLE = "[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), EXTRA_INVISIBLE) + "]"
 MAX_FREE_TEXT = 300
 CUT_MARK = "〔以下截斷〕"
 REMOVED = "〔這裡原本有一段像是指示的文字，已經移除〕"
@@ -83,6 +84,7 @@ def normalize_literal(text: str) -> str:
     """The same for a short fixed term."""
     text = unicodedata.normalize("NFKC", text or "")
     text = "".join(ch for ch in text if ch in "\n\t" or unicodedata.category(ch) not in ("Cf", "Cc", "Co", "Cn", "Cs"))
+    text = re.sub(INVISIBLE, "", text)
     return re.sub(r"\s+", "", text).lower()
 
 
@@ -111,6 +113,13 @@ def mask_phone(c: Column) -> Column:
     return F.when(F.char_length(d) == 10, F.concat(F.substring(d, 1, 4), F.lit("-***-"), F.substring(d, 8, 3))).otherwise("")
 
 
+def normalize_known(c: Column) -> Column:
+    """``normalize`` for the few known values of a row: inside a lambda no Python function can run, so full-width forms are mapped here."""
+    wide = "".join(chr(0xFEE0 + k) for k in range(0x21, 0x7F))
+    plain = "".join(chr(k) for k in range(0x21, 0x7F))
+    return F.lower(F.regexp_replace(drop_invisible(F.translate(c, wide, plain)), r"\s+", ""))
+
+
 def find_pii(c: Column, known: Column | None = None) -> Column:
     """P-04: (kind, value) hits: values known to belong to somebody first, then whatever looks like an e-mail address or a mobile number.
 
@@ -126,25 +135,29 @@ def pii_in(soft: Column, known: Column | None = None) -> Column:
     phones = F.regexp_extract_all(soft, F.lit(PHONE), 0)
     if known is None:
         return F.concat(F.transform(emails, lambda v: hit("email", v)), F.transform(phones, lambda v: hit("phone", v)))
-    plain = lambda v: F.lower(F.regexp_replace(v, r"\s+", ""))
+    # raw value and the form it is looked for in; of spellings that mean the same the first one stands for all
     values = F.coalesce(known, F.array().cast("array<string>"))
+    both = F.arrays_zip(values.alias("raw"), F.transform(values, lambda v: normalize_known(v)).alias("plain"))
 
     def found_in(norm: Column) -> Column:
         no_dash = F.replace(norm, F.lit("-"), F.lit(""))
-        inside = lambda v: (F.char_length(plain(v)) >= 2) & F.when(plain(v).rlike(r"^\d+$"), F.contains(no_dash, plain(v))).otherwise(F.contains(norm, plain(v)))
-        return F.array_distinct(F.filter(values, inside))
+        inside = lambda v: (F.char_length(v) >= 2) & F.when(v.rlike(r"^\d+$"), F.contains(no_dash, v)).otherwise(F.contains(norm, v))
+        return F.filter(both, lambda k: k["raw"].isNotNull() & inside(k["plain"]))
+
+    def first_spelling(hits: Column) -> Column:
+        return F.filter(hits, lambda k, i: F.array_position(F.transform(hits, lambda o: o["plain"]), k["plain"]) == i + 1)
 
-    found = once(F.regexp_replace(soft, r"\s+", ""), found_in)
-    seen = F.transform(found, plain)
+    found = once(once(F.regexp_replace(soft, r"\s+", ""), found_in), first_spelling)
+    seen = F.transform(found, lambda k: k["plain"])
     return F.concat(
-        F.transform(found, lambda v: hit("known", v)),
+        F.transform(found, lambda k: hit("known", k["raw"])),
         F.transform(F.filter(emails, lambda m: ~F.array_contains(seen, F.regexp_replace(m, r"\s", ""))), lambda v: hit("email", v)),
         F.transform(F.filter(phones, lambda m: ~F.array_contains(seen, F.regexp_replace(m, r"\D", ""))), lambda v: hit("phone", v)))
 
 
 @F.pandas_udf(StringType())
 def _redact_wide(s: pd.Series) -> pd.Series:
-    """Full-width digits and signs are rare; only such rows come here."""
+    """Digits, signs and spaces beyond ASCII, as people type them on wide keyboards; only such rows come here."""
     half = lambda x: unicodedata.normalize("NFKC", x)
     email, phone = re.compile(EMAIL_RAW), re.compile(PHONE_RAW)
 
@@ -158,7 +171,7 @@ def _redact_wide(s: pd.Series) -> pd.Series:
 
 def redact_pii(c: Column) -> Column:
     """P-05: full addresses and numbers become their masks; the rest of the text keeps its own punctuation."""
-    wide = c.rlike("[０-９＠＋]")
+    wide = c.rlike(r"[\p{Nd}\p{Z}\x{85}＠＋&&[^\x00-\x7F]]|[\x1C-\x1F]")
     narrow = F.regexp_replace(F.regexp_replace(c, EMAIL_RAW, "$1***@$2"), PHONE_RAW, "09$1-***-$2")
     return F.when(wide, _redact_wide(F.when(wide, c))).otherwise(narrow)
 

@@ -15,14 +15,14 @@ CREDITS = ("credit_first", "credit_last", "credit_decay", "credit_first_nd", "cr
 MODELS = {"first_touch": "credit_first", "last_touch": "credit_last", "time_decay": "credit_decay"}
 
 
-def order_sequence(orders: DataFrame, cuts: Sequence[float] | None = None) -> DataFrame:
+def order_sequence(orders: DataFrame, cuts: Column | Sequence[float] | None = None) -> DataFrame:
     """AT-01: running order number and previous order time of each visitor."""
     cuts = order_slices(orders, "order_us") if cuts is None else cuts
     return keyed_sequence(orders, ["user_pseudo_id"], ["order_us", "transaction_id"], cuts=cuts, slice_on="order_us",
                           row_number="order_seq", lag={"prev_order_us": "order_us"})
 
 
-def session_touches(events: DataFrame, lo: date | None = None, hi: date | None = None, lookback_days: int = 30) -> DataFrame:
+def session_touches(events: DataFrame, lo: date | Column | None = None, hi: date | Column | None = None, lookback_days: int = 30) -> DataFrame:
     """AT-02: one touch per session start; the date bounds prune partitions of the event fact."""
     keep = (F.col("event_name") == "session_start") & (F.col("data_source") == "synthetic")
     if lo is not None:
@@ -39,7 +39,7 @@ def session_touches(events: DataFrame, lo: date | None = None, hi: date | None =
     )
 
 
-def journeys(orders: DataFrame, touches: DataFrame, lookback_days: int = 30, cuts: Sequence[float] | None = None) -> DataFrame:
+def journeys(orders: DataFrame, touches: DataFrame, lookback_days: int = 30, cuts: Column | Sequence[float] | None = None) -> DataFrame:
     """AT-03: the touches that lead to each order.
 
     A touch belongs to the visitor's next order and to no other one, so no touch x order pairs are formed: orders and
@@ -64,8 +64,9 @@ def journeys(orders: DataFrame, touches: DataFrame, lookback_days: int = 30, cut
     return left.join(right, ["user_pseudo_id", "order_seq"]).where(F.col("touch_us") > F.col("order_us") - lookback_us)
 
 
-def touch_positions(journey: DataFrame, half_life_days: float = 7.0, cuts: Sequence[float] = ()) -> DataFrame:
+def touch_positions(journey: DataFrame, half_life_days: float = 7.0, cuts: Column | Sequence[float] | None = None) -> DataFrame:
     """AT-04: position in the path, path lengths with and without direct visits, decay weights and their sums."""
+    cuts = order_slices(journey, "touch_us") if cuts is None else cuts
     weighted = journey.withColumn("decay_w", F.pow(F.lit(0.5), (F.col("order_us") - F.col("touch_us")) / (half_life_days * DAY_US)))
     nd = F.when(~F.col("is_direct"), 1).otherwise(0).cast("bigint")
     return keyed_sequence(
@@ -105,11 +106,12 @@ def path_flags(lookback_days: int, data_start: Column) -> dict[str, Column]:
 
 
 def mart_attribution(orders: DataFrame, events: DataFrame, lookback_days: int = 30, half_life_days: float = 7.0,
-                     cuts: Sequence[float] | None = None) -> DataFrame:
+                     cuts: Column | Sequence[float] | None = None) -> DataFrame:
     """AT-09: order x touch with six credits, each adding up to 1 per order."""
     orders = orders.where(F.col("data_source") == "synthetic")
     cuts = order_slices(events, "event_timestamp") if cuts is None else cuts
-    touches = session_touches(events, None, None, lookback_days)
+    first, last = orders.agg(F.min("order_date")).scalar(), orders.agg(F.max("order_date")).scalar()
+    touches = session_touches(events, first, last, lookback_days)
     seq = touch_positions(journeys(orders, touches, lookback_days, cuts), half_life_days, cuts)
     data_start = events.where(F.col("data_source") == "synthetic").agg(F.min("event_dt")).scalar()
     out = seq.withColumns({**credit_columns(), **path_flags(lookback_days, data_start), "touch_ts": utc_ntz("touch_us")})

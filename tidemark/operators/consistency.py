@@ -230,7 +230,7 @@ def score_cells(bench: DataFrame, truth: DataFrame, review: DataFrame, models: S
     c = F.col
     picked = bench.where((c("task") == "features") & c("ok")).groupBy("model", "creative_id").agg(newest(["result"], "created_us", "event_id").alias("b")).select(
         "model", "creative_id", F.from_json("b.result", ", ".join(f"{f} string" for f in FIELDS)).alias("j"), F.lit(True).alias("called"))
-    squash = lambda x: F.regexp_replace(x, r"\s", "")
+    squash = lambda x: F.regexp_replace(x, r"(?U)[\s\x1C-\x1F]", "")
     text = lambda f, x: squash(x) if f == "headline" else x.cast("string")
     cells = F.array(*[F.struct(F.lit(f).alias("field"), text(f, c(f"j.{f}")).alias("said"), text(f, c(f)).alias("spec")) for f in FIELDS])
     grid = truth.withColumn("model", F.explode(known_models(bench, "features", models))).join(picked, ["model", "creative_id"], "left")

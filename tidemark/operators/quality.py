@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.checks import union_all
 from ..functions.exprs import count_rows, local_date, ratio
-from ..functions.skew import keyed_sequence, order_slices, salted_join
+from ..functions.skew import keyed_sequence, order_slices
 
 
 
@@ -124,9 +124,8 @@ def first_last_touch_before_first_order(events: DataFrame, orders: DataFrame) ->
     src = F.concat(F.coalesce("utm_source", F.lit("")), F.lit("/"), F.coalesce("utm_medium", F.lit("")))
     starts = events.where("event_name = 'session_start'").select("user_pseudo_id", "event_timestamp", src.alias("src"))
     order = F.struct("event_timestamp", "src")
-    # a visitor may buy a transaction in several recorded events, hence one row per purchase time
-    buy = buy.groupBy("user_pseudo_id").agg(F.sort_array(F.collect_set("bought_us")).alias("times"))
-    paths = salted_join(starts, buy, ["user_pseudo_id"]).select("*", F.explode("times").alias("bought_us")).drop("times").where("event_timestamp <= bought_us").groupBy("user_pseudo_id", "bought_us").agg(
+    # a visitor may buy a transaction in several recorded events, hence one row per purchase time; a hot visitor's join can be split
+    paths = starts.join(buy.distinct(), "user_pseudo_id").where("event_timestamp <= bought_us").groupBy("user_pseudo_id", "bought_us").agg(
         count_rows().alias("n"), F.min_by("src", order).alias("first_src"), F.max_by("src", order).alias("last_src")).where("n >= 2")
     sides = paths.select(F.inline(F.array(F.struct(F.col("first_src").alias("source"), F.lit(1).alias("f"), F.lit(0).alias("l")),
                                           F.struct(F.col("last_src").alias("source"), F.lit(0).alias("f"), F.lit(1).alias("l")))))
@@ -230,7 +229,7 @@ def visitor_id_suffix(events: DataFrame) -> DataFrame:
     return verdict(first, "visitor_id_suffix", F.count_if(~F.coalesce(suffix == F.floor(F.col("us") / 1_000_000), F.lit(False))))
 
 
-def session_rules(sessions: DataFrame, gap_seconds: int = 1800, cuts: Sequence[float] | None = None) -> DataFrame:
+def session_rules(sessions: DataFrame, gap_seconds: int = 1800, cuts: Column | Sequence[float] | None = None) -> DataFrame:
     """DQ-12: (visitor, session id) occurs once, and a visitor's sessions start more than 30 minutes apart.
 
     ``sessions`` is (user_pseudo_id, ga_session_id) with the session id being its start in seconds.

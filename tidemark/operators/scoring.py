@@ -50,7 +50,7 @@ RULES = (
 
 def clean_answer(c: Column) -> Column:
     """Without white space and thousands separators, lower case; punctuation stays, it separates sentences."""
-    return F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s", ""), r"(?<=\d),(?=\d{3})", ""))
+    return F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[\s\x1C-\x1F]", ""), r"(?<=\d),(?=\d{3})", ""))
 
 
 def says(text: Column, alternate: str) -> Column:
@@ -118,11 +118,11 @@ def complete_graders(scores: DataFrame, answers: int) -> DataFrame:
     return scores.where(~judge).unionByName(scores.where(judge).join(full, "grader", "left_semi").select(scores.columns))
 
 
-def fact_score(answers: DataFrame) -> DataFrame:
+def fact_score(answers: DataFrame, data_period: tuple[str, str] | None = None, attribution_tool: str = "get_channel_attribution") -> DataFrame:
     """E-03: ``answers`` carries ``facts`` (array of alternates per fact), ``tools_expected`` (names or NULL), ``args_expected``
     (tool, key, want) and ``tools_called`` (JSON of name and args); truth comes from other DataFrames, not from the answer."""
     c = F.col
-    text = F.regexp_replace(F.coalesce("answer", F.lit("")), r"[,，\s]", "")
+    text = F.regexp_replace(F.coalesce("answer", F.lit("")), r"(?U)[,，\s\x1C-\x1F]", "")
     calls = F.from_json(F.coalesce("tools_called", F.lit("[]")), "array<struct<name:string,args:map<string,string>>>")
     names = F.array_sort(F.array_distinct(F.transform(calls, lambda x: x["name"])))
 
@@ -133,6 +133,13 @@ def fact_score(answers: DataFrame) -> DataFrame:
     found = once(text, lambda t: F.size(F.filter("facts", lambda alts: F.exists(alts, lambda a: alone(a, t)))))
     judged = (c("mode") == "tools") & c("tools_expected").isNotNull()
     args = F.forall("args_expected", lambda e: F.exists(calls, lambda k: (k["name"] == e["tool"]) & (F.try_element_at(k["args"], e["key"]) == e["want"])))
+    # the attribution tool: dates only inside the data, direct visits not left out unasked
+    if data_period:
+        lo, hi = data_period
+        own = lambda k: (k["name"] != attribution_tool) | (
+            (F.coalesce(F.try_element_at(k["args"], F.lit("start_date")), F.lit(lo)) == lo) & (F.coalesce(F.try_element_at(k["args"], F.lit("end_date")), F.lit(hi)) == hi)
+            & (F.lower(F.coalesce(F.try_element_at(k["args"], F.lit("exclude_direct")), F.lit("false"))) == "false"))
+        args = args & F.forall(calls, own)
     return answers.withColumns({
         "tools_ok": F.when(judged, names == F.array_sort("tools_expected")), "args_ok": F.when(judged, F.coalesce(args, F.lit(False))),
         "facts_total": F.size("facts"), "facts_found": found, "has_figure": text.rlike(UNIT_FIGURE)})
@@ -196,12 +203,12 @@ def pending_questions(questions: DataFrame, answers: DataFrame, keys: Sequence[s
     return questions.join(done.select(*keys), list(keys), "left_anti")
 
 
-def blind_order(answers: DataFrame, fields: Sequence[str] = ("run_id", "case_id", "mode")) -> DataFrame:
+def blind_order(answers: DataFrame, fields: Sequence[str] = ("run_id", "case_id", "mode"), digits: int = 4) -> DataFrame:
     """E-08: serial numbers in an order that looks random but is always the same.
 
-    Numbers come from counts per leading hash digits (4,096 of them) plus the position within, so there is no global sort in one task.
+    Numbers come from counts per leading hash digits (16 ** ``digits`` of them) plus the position within, so there is no global sort in one task.
     """
-    h = answers.withColumn("fingerprint", F.sha2(F.concat_ws("|", *fields), 256)).withColumn("_b", F.substring("fingerprint", 1, 3))
+    h = answers.withColumn("fingerprint", F.sha2(F.concat_ws("|", *fields), 256)).withColumn("_b", F.substring("fingerprint", 1, digits))
     counts = h.groupBy("_b").agg(count_rows().alias("_n"))
     before = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inner = F.row_number().over(Window.partitionBy("_b").orderBy("fingerprint", *fields))

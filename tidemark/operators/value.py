@@ -70,7 +70,7 @@ def fit_ltv(features: DataFrame, with_campaign: bool = False) -> PipelineModel:
         OneHotEncoder(inputCols=[f"{c}_i" for c in cats], outputCols=[f"{c}_v" for c in cats], handleInvalid="keep"),
         Imputer(inputCols=[f"{c}_d" for c in NUMERIC], outputCols=[f"{c}_x" for c in NUMERIC]),
         VectorAssembler(inputCols=[*[f"{c}_v" for c in cats], *[f"{c}_x" for c in NUMERIC]], outputCol="x"),
-        LinearRegression(featuresCol="x", labelCol="label", predictionCol="predicted", solver="normal", regParam=1e-6),
+        LinearRegression(featuresCol="x", labelCol="label", predictionCol="predicted", solver="l-bfgs", regParam=1e-6, maxIter=500, tol=1e-9),
     ]
     return Pipeline(stages=stages).fit(train)
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.exprs import micros_of
-from ..functions.skew import widen
 
 # Which traffic source each event type stands for.
 TOUCH_SOURCES = {
@@ -29,7 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return widen(table(spark, sf_dir, name), WIDE[name])
+    """The table dealt over all cores by its key: the given files are one row group each, which is one task otherwise."""
+    return table(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism, WIDE[name])
 
 
 def _k() -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -12,9 +13,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 DAILY_TABLE = r"^\d{8}$"
 
 
+class NoSharedFolder(RuntimeError):
+    pass
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below the shared folder the cluster names; a local temporary folder only where none is named."""
+    """A fresh folder below the shared folder that ``spark.checkpoint.dir`` names.
+
+    Only in local mode, where one machine is everything, may the setting be missing; on a cluster a local folder would silently hold
+    a part of the rows on each machine.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = shared.rstrip("/") if shared else _local_scratch()
     return f"{root}/{uuid.uuid4().hex}"
 
