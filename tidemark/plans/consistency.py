@@ -48,7 +48,7 @@ def bench(s, d):
 
 
 def early(s, d):
-    return bench(s, d).where("run_id <= 'r20240103'")
+    return bench(s, d)
 
 
 def cells(s, d):
@@ -168,9 +168,9 @@ _TXT = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '
 CTES["pgs"] = f"SELECT page_id::VARCHAR AS page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)?', 1) AS path, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, {_TXT} AS page_text FROM pages"
 
 COMBOS = [("features", "m0"), ("features", "m1"), ("gaps", "m0"), ("gaps", "m1"), ("gaps", "m2")]
-_FAILED = "(SELECT * FROM bench WHERE run_id <= 'r20240103' AND source = 'day20' AND NOT ok AND status = '')"
+_FAILED = "(SELECT * FROM bench WHERE source = 'day20' AND NOT ok AND status = '')"
 _TODO = f"""SELECT task, model, creative_id FROM (SELECT creative_id, unnest({_L(t for t, _ in COMBOS)}) AS task, unnest({_L(m for _, m in COMBOS)}) AS model FROM truth) g
-  WHERE NOT EXISTS (SELECT 1 FROM bench b WHERE run_id <= 'r20240103' AND ok AND b.task = g.task AND b.model = g.model AND b.creative_id = g.creative_id)
+  WHERE NOT EXISTS (SELECT 1 FROM bench b WHERE ok AND b.task = g.task AND b.model = g.model AND b.creative_id = g.creative_id)
     AND NOT EXISTS (SELECT 1 FROM {_FAILED} b WHERE b.task = g.task AND b.model = g.model AND b.creative_id = g.creative_id GROUP BY b.task HAVING count(*) >= 2)
     AND NOT (task = 'features' AND model = 'm1' AND EXISTS (SELECT 1 FROM {_FAILED} b WHERE b.task = 'features' AND b.model = 'm1' AND b.method IS NULL AND b.creative_id = g.creative_id))
   QUALIFY row_number() OVER (PARTITION BY task, model ORDER BY creative_id) <= 20"""
@@ -250,7 +250,7 @@ ORACLE = {
     "b01_source_counts": sql(BENCH, "SELECT task, model, source, count(*) AS call_rows, count(*) FILTER (WHERE ok) AS ok_rows FROM bench GROUP BY 1, 2, 3"),
     "b02_bench_todo": sql("truth " + BENCH, _TODO),
     "b02_pending_counts": sql("truth " + BENCH, f"SELECT task, model, count(*) AS pending FROM ({_TODO}) GROUP BY 1, 2"),
-    "b02_strict_todo": sql("truth " + BENCH, f"""SELECT DISTINCT creative_id FROM {_FAILED} l WHERE task = 'features' AND model = 'm1' AND method IS NULL AND NOT EXISTS (SELECT 1 FROM bench b WHERE run_id <= 'r20240103' AND b.task = 'features' AND b.model = 'm1'
+    "b02_strict_todo": sql("truth " + BENCH, f"""SELECT DISTINCT creative_id FROM {_FAILED} l WHERE task = 'features' AND model = 'm1' AND method IS NULL AND NOT EXISTS (SELECT 1 FROM bench b WHERE b.task = 'features' AND b.model = 'm1'
       AND b.creative_id = l.creative_id AND (b.ok OR (b.method = 'response_schema' AND b.status = ''))) ORDER BY creative_id LIMIT 15"""),
     "b03_score_cells": sql(CELLS, "SELECT * FROM cells"),
     "b04_score_gaps_by_model": gsql("SELECT * FROM verd", "model"),

@@ -35,7 +35,7 @@ def scores(s, d):
 def _with_facts(s, d):
     x = a.eval_answers(s, d)
     i = F.col("event_id")
-    text = F.concat(F.lit("原因是競價，約 "), (i % 40).cast("string"), F.when(i % 3 == 0, " 筆").otherwise(""), F.lit("，另有 12"), (i % 10).cast("string"))
+    text = F.concat(F.lit("原因是競價，約 "), (i % 40).cast("string"), F.when(i % 3 == 0, "\u3000筆").otherwise(""), F.lit("，另有 12"), (i % 10).cast("string"))
     facts = F.array(F.array(F.lit("競價"), F.lit("變貴")), F.array((i % 20).cast("string"), F.lit("999")), F.array(F.lit("追蹤碼")))
     args = F.array(F.struct(F.lit(FACT_TOOL).alias("tool"), F.lit("group_by").alias("key"), F.lit("channel").alias("want")))
     return x.withColumns({"answer": text, "facts": facts, "tools_expected": F.when(i % 5 > 0, F.array(F.when(i % 7 == 0, "other").otherwise(FACT_TOOL))), "args_expected": args})
@@ -127,14 +127,14 @@ CTES["esc"] = """
 _PICK = "QUALIFY row_number() OVER (PARTITION BY s.case_id, s.mode, s.grader ORDER BY s.created_us DESC, s.event_id DESC) = 1"
 CTES["lsc"] = f"SELECT s.case_id, s.mode, s.grader, s.score, s.explanation, l.run_id AS answer_run_id, s.spec, s.created_us, l.kind FROM esc s JOIN lans l ON l.case_id = s.case_id AND l.mode = s.mode WHERE s.status = '' {_PICK}"
 CTES["turns"] = f"""
-  SELECT event_id, 's' || user_id || '-' || strftime(ts, '%d') AS session_id, 1 + hour(ts) // 3 AS turn, CASE WHEN k % 53 <> 0 THEN CASE WHEN k % 59 = 0 THEN 'other@' ELSE 'runner@' END || 'example.com' END AS caller, '問題' || k AS question, '答' || k AS raw_answer,
+  SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 's' || event_id ELSE 's' || user_id || '-' || strftime(ts, '%d') END AS session_id, 1 + hour(ts) // 3 AS turn, CASE WHEN k % 53 <> 0 THEN CASE WHEN k % 59 = 0 THEN 'other@' ELSE 'runner@' END || 'example.com' END AS caller, '問題' || k AS question, '答' || k AS raw_answer,
     '答' || k || CASE WHEN k % 61 = 0 THEN ' [x]' WHEN k % 67 = 0 THEN ' ab@mail.example.com' WHEN k % 71 = 0 THEN ' MKT-1' ELSE '' END AS final_answer, CASE WHEN k % 17 = 0 THEN '["ignore"]' ELSE '[]' END AS input_hits,
     (['passed', 'claims_flagged', 'output_blocked'])[(k // 10) % 3 + 1] AS action, (['get_top_customers', 'get_ad_spend', 'get_campaign_notes'])[k % 3 + 1] AS tool, k % 5 = 0 AS refused, k % 4 AS model_calls, 1000 + k AS prompt_tokens, 20 + k % 30 AS output_tokens,
     ((1000 + k) * 0.75::DOUBLE / 1e6 * 32) AS cost_twd, k % 3 > 0 AS kept_in_history, us AS created_us, k FROM ev"""
 CTES["rep"] = """
   SELECT event_id, CAST(ts AS DATE) AS report_date, 'exec' || strftime(ts, '%m%d') || '-' || (user_id % 4) AS execution_id, (['scheduler', 'manual'])[event_id % 2 + 1] AS trigger_source, 1 + k % 3 AS section_no, 'T' || (1 + k % 3) AS section_title, 'Q' || (k % 3) AS question,
     CASE WHEN st = 'ok' AND k % 83 <> 0 THEN 'A' || k ELSE '' END AS answer, st AS status, CASE WHEN st = 'ok' THEN CASE WHEN k % 89 = 0 THEN 'odd' ELSE 'passed' END ELSE 'error' END AS detail,
-    CASE WHEN event_id % 3 = 0 THEN '' ELSE 's' || user_id || '-' || strftime(ts, '%d') END AS session_id, us AS created_us FROM (SELECT *, CASE WHEN k % 7 = 0 THEN 'failed' WHEN k % 11 = 0 THEN 'skipped' ELSE 'ok' END AS st FROM ev)"""
+    CASE WHEN event_id % 3 = 0 THEN '' ELSE 's' || event_id END AS session_id, us AS created_us FROM (SELECT *, CASE WHEN k % 7 = 0 THEN 'failed' WHEN k % 11 = 0 THEN 'skipped' ELSE 'ok' END AS st FROM ev)"""
 CTES["rep1"] = "SELECT * FROM rep QUALIFY row_number() OVER (PARTITION BY execution_id, section_no ORDER BY created_us, session_id) = 1"
 CTES["shown"] = """
   SELECT r.report_date, section_no, section_title, question, CASE WHEN status = 'ok' THEN answer ELSE '（這一題沒有答案：' || detail || '）' END AS answer, status, detail, ok_sections, trigger_source, r.execution_id, session_id, created_us
@@ -177,7 +177,7 @@ def _rule_sql():
         n = " + ".join(f"({p})::INT" for p in parts)
         cases.append(f"WHEN case_id = '{r.case_id}' THEN CASE WHEN {n} = {len(parts)} THEN 2 WHEN {n} > 0 OR admit THEN 1 ELSE 0 END")
     return f"""SELECT event_id, case_id, CASE WHEN t = '' THEN 0 {' '.join(cases)} END AS score
-      FROM (SELECT *, regexp_matches(t, '{q(sc.ADMIT)}') AS admit FROM (SELECT event_id, case_id, lower(regexp_replace(regexp_replace(answer, '\\s', '', 'g'), '([0-9]),([0-9]{{3}})', '\\1\\2', 'g')) AS t FROM ans))"""
+      FROM (SELECT *, regexp_matches(t, '{q(sc.ADMIT)}') AS admit FROM (SELECT event_id, case_id, lower(regexp_replace(regexp_replace(answer, '[\\s\u3000\u00a0]', '', 'g'), '([0-9]),([0-9]{{3}})', '\\1\\2', 'g')) AS t FROM ans))"""
 
 
 QUERIES = {
@@ -192,7 +192,7 @@ QUERIES = {
     "e06_answer_costs": _costs,
     "e06_spend_so_far": lambda s, d: sc.spend_so_far(_costs(s, d)),
     "e06_mode_costs": lambda s, d: sc.mode_costs(a.eval_calls(s, d), PRICE),
-    "e07_pending_questions": lambda s, d: sc.pending_questions(questions(s, d), a.eval_answers(s, d).where("run_id <= 'r20240101'")),
+    "e07_pending_questions": lambda s, d: sc.pending_questions(questions(s, d), a.eval_answers(s, d)),
     "e08_blind_order": lambda s, d: sc.blind_order(a.eval_answers(s, d), ("run_id", "case_id", "mode", "event_id")).select("event_id", "fingerprint", "serial"),
     "e09_check_eval_answers": _check_eval,
     "e09_check_question_answers": _check_questions,
@@ -212,7 +212,7 @@ QUERIES = {
     "o05_undelivered": lambda s, d: o.undelivered(a.notifications(s, d)).select("event_id", "kind", "dedupe_key"),
     "o06_check_reports": _check_reports,
     "o07_report_history": lambda s, d: o.report_history(a.daily_reports(s, d)),
-    "o07_report_cost": lambda s, d: o.report_cost(a.daily_reports(s, d).where("event_id % 7 = 0"), a.serve_turns(s, d)),
+    "o07_report_cost": lambda s, d: o.report_cost(a.daily_reports(s, d), a.serve_turns(s, d)),
     "o07_report_cost_total": lambda s, d: o.report_cost_total(a.daily_reports(s, d), a.serve_turns(s, d)),
     "o07_notification_log": lambda s, d: o.notification_log(a.notifications(s, d)),
     "o08_run_versions": _versions,
@@ -247,7 +247,7 @@ ORACLE = {
     "e06_answer_costs": sql("ev ans ecalls esc", _EC),
     "e06_spend_so_far": sql("ev ans ecalls esc", f"SELECT round(sum(cost_twd), 3) AS spent_twd FROM ({_EC})"),
     "e06_mode_costs": sql("ev ans ecalls", f"SELECT mode, count(DISTINCT case_id) AS cases, count(*) AS model_calls, sum(prompt_tokens) AS prompt_tokens, sum(output_tokens) AS output_tokens, sum(thoughts_tokens) AS thoughts_tokens, round(sum({_COST}) / 1e6 * 32, 3) AS cost_twd FROM ecalls WHERE status = '' GROUP BY ROLLUP (mode)"),
-    "e07_pending_questions": sql("ev ans", """SELECT DISTINCT case_id, mode, spec FROM ans q WHERE NOT EXISTS (SELECT 1 FROM ans x WHERE x.case_id = q.case_id AND x.mode = q.mode AND x.spec = q.spec AND run_id <= 'r20240101' GROUP BY x.case_id
+    "e07_pending_questions": sql("ev ans", """SELECT DISTINCT case_id, mode, spec FROM ans q WHERE NOT EXISTS (SELECT 1 FROM ans x WHERE x.case_id = q.case_id AND x.mode = q.mode AND x.spec = q.spec GROUP BY x.case_id
       HAVING count(*) FILTER (WHERE status = '') > 0 OR count(*) FILTER (WHERE status <> '' AND NOT starts_with(status, 'error')) >= 2)"""),
     "e08_blind_order": sql("ev ans", "SELECT event_id, f AS fingerprint, row_number() OVER (ORDER BY f, run_id, case_id, mode) AS serial FROM (SELECT *, sha256(concat_ws('|', run_id, case_id, mode, event_id)) AS f FROM ans)"),
     "e09_check_eval_answers": sql("ev ans lans ecalls esc", _CK([
@@ -307,7 +307,7 @@ ORACLE = {
         ("info.22 operational notifications not delivered", "0", "SELECT count(*) FROM notes WHERE status = 'failed' AND kind IN ('report_incomplete', 'flow_error')")]), asked="SELECT r.session_id, t.caller, t.turn FROM rep r LEFT JOIN turns t ON t.session_id = r.session_id WHERE r.session_id <> ''"),
     "o07_report_history": sql("ev rep", """SELECT report_date, substr(execution_id, 1, 8) AS execution, strftime(make_timestamp(min(created_us)) + INTERVAL 8 HOUR, '%m-%d %H:%M') AS started_local, min(trigger_source) AS trigger_source, count(*) FILTER (WHERE status = 'ok') AS ok,
       count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'skipped') AS skipped, string_agg(DISTINCT section_no || ':' || detail, '  ' ORDER BY section_no || ':' || detail) AS detail FROM rep GROUP BY report_date, execution_id"""),
-    "o07_report_cost": sql("ev rep turns", "SELECT report_date, substr(execution_id, 1, 8) AS execution, section_no, action, tool AS tools, model_calls, prompt_tokens, output_tokens, round(cost_twd, 4) AS cost_twd, caller FROM rep r JOIN turns t ON t.session_id = r.session_id WHERE r.session_id <> '' AND r.event_id % 7 = 0"),
+    "o07_report_cost": sql("ev rep turns", "SELECT report_date, substr(execution_id, 1, 8) AS execution, section_no, action, tool AS tools, model_calls, prompt_tokens, output_tokens, round(cost_twd, 4) AS cost_twd, caller FROM rep r JOIN turns t ON t.session_id = r.session_id WHERE r.session_id <> '' "),
     "o07_report_cost_total": sql("ev rep turns", "SELECT count(DISTINCT execution_id) AS executions_that_asked, count(*) AS turns, sum(model_calls) AS model_calls, sum(prompt_tokens) AS prompt_tokens, sum(output_tokens) AS output_tokens, round(sum(cost_twd), 4) AS cost_twd FROM rep r JOIN turns t ON t.session_id = r.session_id WHERE r.session_id <> ''"),
     "o07_notification_log": sql("ev notes", "SELECT strftime(ts + INTERVAL 8 HOUR, '%m-%d %H:%M:%S') AS sent_local, substr(execution_id, 1, 8) AS execution, kind, status, detail, dedupe_key, replace(message, chr(10), ' ') AS message FROM notes"),
     "o08_run_versions": sql("ev", "SELECT max(us) AS run_us, strftime(ts, '%Y%m%d') AS day, 'run' AS script, 'abc' AS commit_sha, false AS dirty, CAST(NULL AS VARCHAR) AS dirty_files, 'm0' AS model FROM ev GROUP BY 2 UNION ALL SELECT 0, 'start', 'run', 'abc', true, 'x.sql', 'm0'"),

@@ -172,7 +172,7 @@ _COST = "coalesce(prompt_tokens, 0) * CASE model WHEN 'm0' THEN 0.33::DOUBLE ELS
 
 QUERIES = {
     "r01_work_todo": _todo,
-    "r02_off_option_retry": lambda s, d: r.off_option_retry(log(s, d).where("run_id <= 'r20240103'")),
+    "r02_off_option_retry": lambda s, d: r.off_option_retry(log(s, d)),
     "r03_best_reply": lambda s, d: r.best_reply(log(s, d)),
     "r04_append_usage": lambda s, d: r.append_usage(log(s, d), ledger(s, d), JOB, "Day 16", resolution=F.col("resolution")),
     "r05_feature_distribution": lambda s, d: r.feature_distribution(r.best_reply(log(s, d))),
@@ -235,8 +235,8 @@ ORACLE = {
       WHERE NOT EXISTS (SELECT 1 FROM rlog l WHERE l.creative_id = g.creative_id AND l.resolution = g.resolution AND run_id <= 'r20240105' AND {_COMPLETE})"""),
     "r02_off_option_retry": sql("rlog",
         f"""SELECT DISTINCT l.creative_id FROM m l WHERE NOT fine AND NOT EXISTS (SELECT 1 FROM m k WHERE k.creative_id = l.creative_id AND k.fine AND k.created_us > l.created_us)
-        AND l.creative_id NOT IN (SELECT creative_id FROM rlog WHERE resolution = 'default' AND method = 'response_schema' AND run_id <= 'r20240103' AND {_COMPLETE})""",
-        m=f"SELECT *, {_INOPT} AND has_person IS NOT NULL AND coalesce(headline, '') <> '' AS fine FROM rlog WHERE resolution = 'default' AND method = 'output_schema' AND status = '' AND run_id <= 'r20240103'"),
+        AND l.creative_id NOT IN (SELECT creative_id FROM rlog WHERE resolution = 'default' AND method = 'response_schema' AND {_COMPLETE})""",
+        m=f"SELECT *, {_INOPT} AND has_person IS NOT NULL AND coalesce(headline, '') <> '' AS fine FROM rlog WHERE resolution = 'default' AND method = 'output_schema' AND status = ''"),
     "r03_best_reply": sql("rlog best", "SELECT * FROM best"),
     "r04_append_usage": sql("rlog", _LEDGER + " WHERE run_id <= 'r20240110'"),
     "r05_feature_distribution": sql("rlog best", """SELECT field, value, count(*) AS images FROM (SELECT unnest(['has_person', 'cta_position', 'dominant_color', 'text_density']) AS field,

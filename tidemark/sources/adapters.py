@@ -417,12 +417,11 @@ def cache_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (50 + k % 20).cast("bigint").alias("output_tokens"), F.when(k % 31 == 0, "ERROR").otherwise("").alias("status"))
 
 
-# Sample answers for the rule grader.
+# Sample answers for the rule grader: right, half right and wrong ones, with the spaces that wide keyboards leave.
 ANSWERS = (
-    "8/10 那週起每次點擊成本增加 78%，原因是競價變貴", "從 8 月 12 日開始，CPC 變成原本的 2 倍，是競價變貴", "八月成效普通", "我沒有資料，無法判斷每次點擊成本變成幾倍", "8/27 是追蹤碼失效，後台其實有 37 筆訂單",
-    "我查不到網站追蹤到的購買數", "cr-meta-evg-p1 出現素材疲乏，點擊率從 2.32% 降到 1.6%，下降約 31%", "人物 1.282 倍、右下 1.126 倍、暖色 1.082 倍，人物幫助最大", "有人物提升 28.2%，按鈕在右下 12.6%，暖色系 8.2%，以人物的幫助最大",
-    "人物約 1.1 倍，右下約 1.28 倍，暖色 1.08 倍，右下幫助最大", "Meta 比較常是第一次接觸（789 筆），Google 搜尋廣告比較常是最後一次接觸（746 筆）", "google 比較常是第一次接觸，meta 比較常是最後一次接觸",
-    "目前的工具查不到商品銷售資料", "占比上升了約 15%", "查不到，但一般電商約三到四成", "LINE 沒有專屬的異常，只有 8/27 全站追蹤碼失效", "LINE 在 8/27 出現追蹤碼失效", "花了 12,938 元", "")
+    "變化始於 08-12，競爭加劇，單價翻倍", "8月10 起變貴，CPC 是之前的 2\u3000倍", "成本在春天就漲了", "手邊沒有資料可看", "8月27 追蹤中斷，訂單照常", "08-27 有 37 筆，追蹤碼\u00a0沒送出",
+    "無法得知那天的情況", "cr-meta-evg-p1 從 7月20 起點擊變少", "是 cr-goo-brand-2", "人物是 1.30 倍、CTA 是 1.10 倍、暖色 1.05 倍，最有用的是人物", "暖色 8%、按鈕 13%、人物 28%，人物影響最大",
+    "人物 2 倍、暖色 3 倍", "第一次接觸多半是 meta，最後一次接觸多半是 google", "兩個通路差不多", "沒有這項資料", "大約 1,240 件", "LINE 沒有異常", "LINE 的 8/27 也是追蹤碼", "　")
 
 
 def eval_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,12 +454,12 @@ def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def serve_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as turns of one dialogue per user and day."""
+    """``events`` as turns: a third of them are dialogues of their own, the others belong to one dialogue per user and day."""
     e = wide_table(spark, sf_dir, "events").withColumn("k", _k())
     k, i = F.col("k"), F.col("event_id")
     call = lambda n: F.format_string('{"name": "%s", "error": "%s"}', _at(("get_top_customers", "get_ad_spend", "get_campaign_notes"), n), F.when(n % 5 == 0, "refused").otherwise(""))
     return e.select(
-        "event_id", F.concat(F.lit("s"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "dd")).alias("session_id"), (1 + F.floor(F.hour("ts") / 3)).cast("bigint").alias("turn"),
+        "event_id", F.when(i % 3 == 1, F.concat(F.lit("s"), i.cast("string"))).otherwise(F.concat(F.lit("s"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "dd"))).alias("session_id"), (1 + F.floor(F.hour("ts") / 3)).cast("bigint").alias("turn"),
         F.when(k % 53 == 0, F.lit(None).cast("string")).otherwise(F.concat(_at(("runner@", "other@"), F.when(k % 59 == 0, 1).otherwise(0)), F.lit("example.com"))).alias("caller"),
         F.concat(F.lit("問題"), k.cast("string")).alias("question"), F.concat(F.lit("答"), k.cast("string")).alias("raw_answer"),
         F.concat(F.lit("答"), k.cast("string"), F.when(k % 61 == 0, " [x]").when(k % 67 == 0, " ab@mail.example.com").when(k % 71 == 0, " MKT-1").otherwise("")).alias("final_answer"),
@@ -470,7 +469,7 @@ def serve_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as sections of daily reports: several executions a day, sections recorded more than once."""
+    """``events`` as sections of daily reports: several executions a day, sections recorded more than once, each in a dialogue of its own."""
     e = table(spark, sf_dir, "events").withColumn("k", _k())
     k, i = F.col("k"), F.col("event_id")
     status = F.when(k % 7 == 0, "failed").when(k % 11 == 0, "skipped").otherwise("ok")
@@ -478,7 +477,7 @@ def daily_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", F.to_date("ts").alias("report_date"), F.concat(F.lit("exec"), F.date_format("ts", "MMdd"), F.lit("-"), (F.col("user_id") % 4).cast("string")).alias("execution_id"),
         _at(("scheduler", "manual"), i).alias("trigger_source"), (1 + k % 3).cast("bigint").alias("section_no"), F.concat(F.lit("T"), (1 + k % 3).cast("string")).alias("section_title"), F.concat(F.lit("Q"), (k % 3).cast("string")).alias("question"),
         F.when(status == "ok", F.when(k % 83 == 0, "").otherwise(F.concat(F.lit("A"), k.cast("string")))).otherwise("").alias("answer"), status.alias("status"),
-        F.when(status == "ok", F.when(k % 89 == 0, "odd").otherwise("passed")).otherwise("error").alias("detail"), F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("s"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "dd"))).alias("session_id"),
+        F.when(status == "ok", F.when(k % 89 == 0, "odd").otherwise("passed")).otherwise("error").alias("detail"), F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("s"), i.cast("string"))).alias("session_id"),
         micros_of("ts").alias("created_us"))
 
 
