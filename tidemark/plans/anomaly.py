@@ -8,68 +8,78 @@ from . import warehouse as wp
 from .oracle import CTES, K, sql
 
 MAPPING = {("ch0", "paid"): "ch0", ("ch1", "paid"): "ch1", ("ch2", "paid"): "ch2"}
-LO, HI = date(1996, 1, 1), date(2000, 12, 31)
-P = "BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'"
+LO, HI = date(1995, 1, 1), date(2001, 12, 31)
+P = f"BETWEEN DATE '{LO}' AND DATE '{HI}'"
 
 CTES["site_purchases"] = """
   SELECT CAST(l_shipdate AS DATE) AS event_dt, l_orderkey AS transaction_id, 'ch' || (l_orderkey % 3) AS channel, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS value
   FROM lineitem GROUP BY 1, 2"""
+# The second computation numbers the weeks (days) of each series and joins every one with those up to four (seven) numbers before it.
+_MONDAY = lambda c: f"{c} - (isodow({c}) - 1)::INT"
+_BEFORE = lambda n: f"t.n - e.n BETWEEN 1 AND {n}"
+CTES["paid"] = f"SELECT *, {_MONDAY('date')} AS monday FROM ad_daily WHERE date {P}"
+CTES["takings"] = f"SELECT channel, {_MONDAY('event_dt')} AS monday, sum(value) AS income FROM site_purchases WHERE event_dt {P} GROUP BY 1, 2"
+CTES["chweek"] = """
+  SELECT *, rank() OVER (PARTITION BY channel ORDER BY monday) AS n FROM (SELECT channel, monday, sum(cost) AS spent FROM paid GROUP BY ALL) LEFT JOIN takings USING (channel, monday)"""
 CTES["roas"] = f"""
-  SELECT c.channel, c.wk, r.rev::DOUBLE / nullif(c.cost, 0)::DOUBLE AS roas, (sum(r.rev) OVER w)::DOUBLE / nullif(sum(c.cost) OVER w, 0)::DOUBLE AS roas_base
-  FROM (SELECT channel, CAST(date_trunc('week', date) AS DATE) AS wk, sum(cost) AS cost FROM ad_daily WHERE date {P} GROUP BY 1, 2) c
-  LEFT JOIN (SELECT channel, CAST(date_trunc('week', event_dt) AS DATE) AS wk, sum(value) AS rev FROM site_purchases WHERE event_dt {P} GROUP BY 1, 2) r
-    ON r.channel = c.channel AND r.wk = c.wk
-  WINDOW w AS (PARTITION BY c.channel ORDER BY c.wk ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)"""
-CTES["agw"] = f"""
-  SELECT *, clk / nullif(imp, 0) AS ctr, cost::DOUBLE / nullif(clk, 0)::DOUBLE AS cpc, sum(clk) OVER w / nullif(sum(imp) OVER w, 0) AS ctr_base,
-    (sum(cost) OVER w)::DOUBLE / nullif(sum(clk) OVER w, 0)::DOUBLE AS cpc_base, sum(clk) OVER w / nullif(sum(days) OVER w, 0) AS clk_per_day_base, count(*) OVER w AS base_weeks
-  FROM (SELECT ad_group_id, CAST(date_trunc('week', date) AS DATE) AS wk, min(channel) AS channel, count(DISTINCT date) AS days, sum(impressions) AS imp,
-          sum(clicks) AS clk, sum(cost) AS cost FROM ad_daily WHERE date {P} GROUP BY 1, 2)
-  WINDOW w AS (PARTITION BY ad_group_id ORDER BY wk ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)"""
-CTES["ag_flag"] = """
-  SELECT 'adgroup_week' AS level, ad_group_id AS entity, g.channel, g.wk AS period_start, CAST(g.wk + 6 AS DATE) AS period_end,
-    {'days': days, 'imp': imp::BIGINT, 'clk': clk::BIGINT, 'cost': round(cost::DOUBLE), 'ctr_pct': round(100 * ctr, 2), 'ctr_base_pct': round(100 * ctr_base, 2),
-     'cpc': round(cpc, 2), 'cpc_base': round(cpc_base, 2), 'clk_per_day': round(clk / days, 1), 'clk_per_day_base': round(clk_per_day_base, 1),
-     'channel_roas': round(roas, 2), 'channel_roas_base': round(roas_base, 2)} AS m,
-    round(100 * (cpc / cpc_base - 1)) AS cpc_chg_pct, round(100 * (ctr / ctr_base - 1)) AS ctr_chg_pct
-  FROM agw g LEFT JOIN roas r ON r.channel = g.channel AND r.wk = g.wk
-  WHERE base_weeks >= 2 AND days >= 3 AND (abs(cpc / cpc_base - 1) >= 0.3 OR ctr / ctr_base - 1 <= -0.2)
-  QUALIFY row_number() OVER (PARTITION BY ad_group_id ORDER BY g.wk) = 1"""
-CTES["cr_base"] = f"""
-  SELECT creative_id, min(launch) AS launch, sum(clicks) / nullif(sum(impressions), 0) AS ctr_base, sum(cost)::DOUBLE / nullif(sum(clicks), 0) AS cpc_base
-  FROM (SELECT *, min(date) OVER (PARTITION BY creative_id) AS launch FROM ad_daily WHERE date {P}) WHERE date < launch + 14 GROUP BY 1"""
-CTES["cr_flag"] = f"""
-  SELECT 'creative_week' AS level, creative_id AS entity, channel, wk AS period_start, CAST(wk + 6 AS DATE) AS period_end,
-    {{'days': days, 'imp': imp::BIGINT, 'clk': clk::BIGINT, 'cost': round(cost::DOUBLE), 'ctr_pct': round(100 * ctr, 2), 'ctr_base_pct': round(100 * ctr_base, 2), 'cpc': round(cpc, 2),
-     'cpc_base': round(cpc_base, 2), 'days_since_launch': wk - launch}} AS m,
-    round(100 * (cpc / cpc_base - 1)) AS cpc_chg_pct, round(100 * (ctr / ctr_base - 1)) AS ctr_chg_pct
-  FROM (SELECT *, clk / nullif(imp, 0) AS ctr, cost / nullif(clk, 0) AS cpc FROM (
-          SELECT creative_id, CAST(date_trunc('week', date) AS DATE) AS wk, min(channel) AS channel, count(DISTINCT date) AS days, sum(impressions) AS imp, sum(clicks) AS clk,
-            sum(cost)::DOUBLE AS cost FROM ad_daily WHERE date {P} GROUP BY 1, 2) JOIN cr_base USING (creative_id))
-  WHERE wk >= launch + 14 AND days >= 3 AND ctr / ctr_base - 1 <= -0.25
-  QUALIFY row_number() OVER (PARTITION BY creative_id ORDER BY wk) = 1"""
+  SELECT t.channel, t.monday AS wk, any_value(t.income)::DOUBLE / nullif(any_value(t.spent), 0)::DOUBLE AS roas, sum(e.income)::DOUBLE / nullif(sum(e.spent), 0)::DOUBLE AS roas_base
+  FROM chweek t LEFT JOIN chweek e ON e.channel = t.channel AND {_BEFORE(4)} GROUP BY t.channel, t.monday"""
+CTES["gweek"] = """
+  SELECT ad_group_id, monday, min(channel) AS channel, count(DISTINCT date) AS active, sum(impressions) AS shown, sum(clicks) AS hits, sum(cost) AS spent,
+    rank() OVER (PARTITION BY ad_group_id ORDER BY monday) AS n FROM paid GROUP BY ad_group_id, monday"""
+CTES["gpast"] = f"""
+  SELECT t.ad_group_id, t.monday, count(*) AS weeks, sum(e.active) AS active, sum(e.shown) AS shown, sum(e.hits) AS hits, sum(e.spent)::DOUBLE AS spent
+  FROM gweek t JOIN gweek e ON e.ad_group_id = t.ad_group_id AND {_BEFORE(4)} GROUP BY 1, 2"""
+CTES["adgroups"] = """
+  SELECT g.ad_group_id, g.monday AS wk, g.channel, g.active AS days, g.shown AS imp, g.hits AS clk, g.spent AS cost, g.hits / nullif(g.shown, 0) AS ctr, g.spent::DOUBLE / nullif(g.hits, 0) AS cpc,
+    p.hits / nullif(p.shown, 0) AS ctr_base, p.spent / nullif(p.hits, 0) AS cpc_base, p.hits / nullif(p.active, 0) AS clk_per_day_base, coalesce(p.weeks, 0) AS base_weeks
+  FROM gweek g LEFT JOIN gpast p USING (ad_group_id, monday)"""
+CTES["gmoves"] = """
+  SELECT * FROM (SELECT *, cpc / cpc_base - 1 AS dearer, ctr / ctr_base - 1 AS livelier FROM adgroups) WHERE base_weeks > 1 AND days > 2 AND (dearer >= 0.3 OR dearer <= -0.3 OR livelier <= -0.2)"""
+CTES["gfound"] = """
+  SELECT 'adgroup_week' AS level, ad_group_id AS entity, v.channel, v.wk AS period_start, v.wk + 6 AS period_end, round(100 * dearer) + 0.0 AS cpc_chg_pct, round(100 * livelier) + 0.0 AS ctr_chg_pct,
+    struct_pack(days := days, imp := imp::BIGINT, clk := clk::BIGINT, cost := round(cost::DOUBLE), ctr_pct := round(ctr * 100, 2), ctr_base_pct := round(ctr_base * 100, 2), cpc := round(cpc, 2),
+      cpc_base := round(cpc_base, 2), clk_per_day := round(clk / days, 1), clk_per_day_base := round(clk_per_day_base, 1), channel_roas := round(roas, 2), channel_roas_base := round(roas_base, 2)) AS m
+  FROM gmoves v LEFT JOIN roas USING (channel, wk) WHERE v.wk = (SELECT min(x.wk) FROM gmoves x WHERE x.ad_group_id = v.ad_group_id)"""
+CTES["born"] = "SELECT creative_id, min(date) AS launch FROM paid GROUP BY 1"
+CTES["debut"] = """
+  SELECT creative_id, any_value(launch) AS launch, sum(clicks) / nullif(sum(impressions), 0) AS ctr_base, sum(cost)::DOUBLE / nullif(sum(clicks), 0) AS cpc_base
+  FROM paid JOIN born USING (creative_id) WHERE date - launch < 14 GROUP BY 1"""
+CTES["tired"] = """
+  SELECT *, hits / nullif(shown, 0) / ctr_base - 1 AS livelier, spent / nullif(hits, 0) / cpc_base - 1 AS dearer FROM debut JOIN (
+    SELECT creative_id, monday, min(channel) AS channel, count(DISTINCT date) AS active, sum(impressions) AS shown, sum(clicks) AS hits, sum(cost)::DOUBLE AS spent FROM paid GROUP BY 1, 2) USING (creative_id)
+  WHERE monday - launch >= 14 AND active > 2 AND livelier <= -0.25"""
+CTES["cfound"] = """
+  SELECT 'creative_week' AS level, creative_id AS entity, channel, monday AS period_start, monday + 6 AS period_end, round(100 * dearer) + 0.0 AS cpc_chg_pct, round(100 * livelier) + 0.0 AS ctr_chg_pct,
+    struct_pack(days := active, imp := shown::BIGINT, clk := hits::BIGINT, cost := round(spent), ctr_pct := round(hits / shown * 100, 2), ctr_base_pct := round(ctr_base * 100, 2), cpc := round(spent / nullif(hits, 0), 2),
+      cpc_base := round(cpc_base, 2), days_since_launch := monday - launch) AS m
+  FROM tired v WHERE monday = (SELECT min(x.monday) FROM tired x WHERE x.creative_id = v.creative_id)"""
+CTES["dayrow"] = f"""
+  SELECT *, row_number() OVER (ORDER BY d) AS n FROM (SELECT date AS d, sum(cost)::DOUBLE AS cost, sum(clicks) AS clk FROM paid GROUP BY 1)
+  LEFT JOIN (SELECT event_dt AS d, count(*) AS tracked, sum(value)::DOUBLE AS tracked_rev FROM site_purchases GROUP BY 1) USING (d)
+  LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS orders, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS order_rev FROM orders GROUP BY 1) USING (d)"""
 CTES["siteday"] = f"""
-  SELECT *, avg(tracked) OVER w AS tracked_base, avg(orders) OVER w AS orders_base, avg(clk) OVER w AS clk_base, count(*) OVER w AS base_days FROM (
-    SELECT x.d, coalesce(tracked, 0) AS tracked, coalesce(tracked_rev, 0) AS tracked_rev, coalesce(orders, 0) AS orders, coalesce(order_rev, 0) AS order_rev, cost, clk
-    FROM (SELECT date AS d, sum(cost)::DOUBLE AS cost, sum(clicks) AS clk FROM ad_daily WHERE date {P} GROUP BY 1) x
-    LEFT JOIN (SELECT event_dt AS d, count(*) AS tracked, sum(value)::DOUBLE AS tracked_rev FROM site_purchases WHERE event_dt {P} GROUP BY 1) e ON e.d = x.d
-    LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS orders, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS order_rev FROM orders GROUP BY 1) o ON o.d = x.d)
-  WINDOW w AS (ORDER BY d ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"""
-CTES["site_flag"] = """
-  SELECT 'site_day' AS level, 'all_site' AS entity, CAST(NULL AS VARCHAR) AS channel, d AS period_start, d AS period_end,
-    {'tracked': tracked, 'tracked_base': round(tracked_base, 1), 'orders': orders, 'orders_base': round(orders_base, 1), 'tracked_roas': round(tracked_rev / cost, 2),
-     'order_roas': round(order_rev / cost, 2), 'clk': clk::BIGINT, 'clk_base': round(clk_base)} AS m, CAST(NULL AS DOUBLE) AS cpc_chg_pct, CAST(NULL AS DOUBLE) AS ctr_chg_pct
-  FROM siteday WHERE base_days >= 5 AND (tracked <= 0.5 * tracked_base OR orders <= 0.5 * orders_base)"""
+  SELECT t.d, coalesce(any_value(t.tracked), 0) AS tracked, coalesce(any_value(t.tracked_rev), 0) AS tracked_rev, coalesce(any_value(t.orders), 0) AS orders, coalesce(any_value(t.order_rev), 0) AS order_rev,
+    any_value(t.cost) AS cost, any_value(t.clk) AS clk, sum(coalesce(e.tracked, 0)) / nullif(count(e.d), 0) AS tracked_base, sum(coalesce(e.orders, 0)) / nullif(count(e.d), 0) AS orders_base,
+    sum(e.clk) / nullif(count(e.d), 0) AS clk_base, count(e.d) AS base_days
+  FROM dayrow t LEFT JOIN dayrow e ON {_BEFORE(7)} GROUP BY t.d"""
+CTES["dfound"] = """
+  SELECT 'site_day' AS level, 'all_site' AS entity, NULL::VARCHAR AS channel, d AS period_start, d AS period_end, NULL::DOUBLE AS cpc_chg_pct, NULL::DOUBLE AS ctr_chg_pct,
+    struct_pack(tracked := tracked, tracked_base := round(tracked_base, 1), orders := orders, orders_base := round(orders_base, 1), tracked_roas := round(tracked_rev / cost, 2),
+      order_roas := round(order_rev / cost, 2), clk := clk::BIGINT, clk_base := round(clk_base)) AS m
+  FROM siteday WHERE base_days > 4 AND (tracked <= tracked_base / 2 OR orders <= orders_base / 2)"""
 CTES["summary"] = " UNION ALL ".join(
     f"SELECT level || '|' || entity || '|' || period_start AS anomaly_id, level, entity, channel, period_start, period_end, to_json(m) AS j, cpc_chg_pct, ctr_chg_pct FROM {t}"
-    for t in ("ag_flag", "cr_flag", "site_flag"))
+    for t in ("gfound", "cfound", "dfound"))
 CTES["diag"] = f"""
   SELECT *, CASE WHEN ok AND k % 7 < 6 THEN (['{"','".join(a.CAUSES)}'])[k % 7 + 1] WHEN ok THEN '不明' END AS cause,
     CASE WHEN ok THEN CASE WHEN k % 17 = 0 THEN '' ELSE 'e' || k END END AS evidence,
     CASE WHEN ok THEN CASE WHEN k % 19 = 0 THEN 1.5 WHEN k % 23 = 0 THEN NULL ELSE k / 100.0 END END::DOUBLE AS confidence, CASE WHEN ok THEN 'n' || k END AS next_check
   FROM (SELECT event_id, {K} AS k, {K} % 10 <> 9 AS ok, 'site_day|all_site|' || CAST(ts AS DATE) AS anomaly_id, 'all_site' AS entity, CAST(ts AS DATE) AS period_start,
     'm' || (event_id % 2) AS model FROM events)"""
-ALL = "ad_daily site_purchases roas agw ag_flag cr_base cr_flag siteday site_flag summary"
+_G = "ad_daily paid site_purchases takings chweek roas gweek gpast adgroups gmoves gfound"
+_C, _D = "born debut tired cfound", "dayrow siteday dfound"
+ALL = f"{_G} {_C} {_D} summary"
 
 
 def _roas(s, d, ads=None, site=None):
@@ -131,13 +141,13 @@ QUERIES = {
     "d13_promo_share": lambda s, d: an.promo_share_before_after(a.purchases(s, d), wp.star(s, d)["dim_product"], "P1", date(2024, 1, 22), date(2024, 1, 30)),
     "d14_worst_case_cost": _worst,
     "d15_diagnosis_lookup": lambda s, d: an.diagnosis_lookup(
-        summary(s, d), diagnosis(s, d).withColumn("anomaly_id", F.concat(F.lit("creative_week|cr"), (F.col("event_id") % 24).cast("string"), F.lit("|1996-01-15"))), "ch1", "m0"),
+        summary(s, d), diagnosis(s, d).withColumn("anomaly_id", F.concat(F.lit("creative_week|cr"), (F.col("event_id") % 24).cast("string"), F.lit("|1995-01-23"))), "ch1", "m0"),
     "d16_prompt_variants": lambda s, d: an.compare_prompt_variants(a.diagnosis_replies(s, d).where("model = 'm0'"), a.diagnosis_replies(s, d).where("model = 'm1'")),
     "d17_diagnosis_reasons": lambda s, d: an.diagnosis_reasons(diagnosis(s, d), "m0"),
 }
 
 _M = lambda t: f"SELECT level, entity, channel, period_start, period_end, unnest(m), cpc_chg_pct, ctr_chg_pct FROM {t}"
-_PARTS = ("ad_daily site_purchases roas agw ag_flag", "ad_daily cr_base cr_flag", "ad_daily site_purchases siteday site_flag")
+_PARTS = (_G, f"ad_daily paid {_C}", f"ad_daily paid site_purchases {_D}")
 
 
 def _text(template):
@@ -152,13 +162,13 @@ _CR = ", ".join(["entity", "channel", "period_start::VARCHAR", "period_end::VARC
 _ST = ", ".join(["period_start::VARCHAR", *map(_F, ("tracked", "tracked_base", "orders", "orders_base", "clk", "clk_base", "tracked_roas", "order_roas"))])
 
 ORACLE = {
-    "d01_channel_week_roas": sql("ad_daily site_purchases roas", "SELECT * FROM roas"),
-    "d02_adgroup_week": sql("ad_daily agw", "SELECT * FROM agw"),
-    "d03_flag_adgroup": sql(_PARTS[0], _M("ag_flag")),
-    "d04_creative_launch_baseline": sql("ad_daily cr_base", "SELECT * FROM cr_base"),
-    "d05_flag_creative": sql(_PARTS[1], _M("cr_flag")),
-    "d06_site_day": sql("ad_daily site_purchases siteday", "SELECT * FROM siteday"),
-    "d07_flag_site": sql(_PARTS[2], "SELECT level, entity, period_start, unnest(m) FROM site_flag"),
+    "d01_channel_week_roas": sql("ad_daily paid site_purchases takings chweek roas", "SELECT * FROM roas"),
+    "d02_adgroup_week": sql("ad_daily paid gweek gpast adgroups", "SELECT * FROM adgroups"),
+    "d03_flag_adgroup": sql(_PARTS[0], _M("gfound")),
+    "d04_creative_launch_baseline": sql("ad_daily paid born debut", "SELECT * FROM debut"),
+    "d05_flag_creative": sql(_PARTS[1], _M("cfound")),
+    "d06_site_day": sql("ad_daily paid site_purchases dayrow siteday", "SELECT * FROM siteday"),
+    "d07_flag_site": sql(_PARTS[2], "SELECT level, entity, period_start, unnest(m) FROM dfound"),
     "d08_anomaly_summary": sql(ALL, "SELECT anomaly_id, level, entity, channel, period_start, period_end, cpc_chg_pct, ctr_chg_pct, "
                                + ", ".join(f"CAST(j->>'{k}' AS DOUBLE) AS {k}" for k in ("days", "imp", "clk", "ctr_pct", "cpc", "tracked", "orders_base")) + " FROM summary"),
     "d09_render_facts": sql(ALL, f"""SELECT anomaly_id, level, entity, period_start, CASE level
@@ -188,7 +198,7 @@ ORACLE = {
       UNION ALL SELECT 'total', sum(calls), sum(input_tokens), sum(max_output_tokens), round(sum(usd), 4), round(sum(usd) * 32, 2) FROM p""",
     "d15_diagnosis_lookup": sql(ALL + " diag", """
       SELECT s.anomaly_id, s.level, s.entity, coalesce(s.channel, 'all_site') AS channel, s.period_start, s.period_end, cpc_chg_pct, ctr_chg_pct, cause, evidence, confidence
-      FROM summary s LEFT JOIN (SELECT * REPLACE ('creative_week|cr' || (event_id % 24) || '|1996-01-15' AS anomaly_id) FROM diag WHERE model <> 'm0') d ON d.anomaly_id = s.anomaly_id
+      FROM summary s LEFT JOIN (SELECT * REPLACE ('creative_week|cr' || (event_id % 24) || '|1995-01-23' AS anomaly_id) FROM diag WHERE model <> 'm0') d ON d.anomaly_id = s.anomaly_id
       WHERE s.channel = 'ch1' OR s.channel IS NULL"""),
     "d16_prompt_variants": sql("diag", "SELECT CASE model WHEN 'm0' THEN 'A' ELSE 'B' END AS variant, anomaly_id, model, cause, confidence FROM diag"),
     "d17_diagnosis_reasons": sql("diag", "SELECT entity, period_start, cause, evidence, next_check FROM diag WHERE model = 'm0'"),

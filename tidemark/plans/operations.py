@@ -2,6 +2,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from ..functions.exprs import newest
 from ..operators import ops as o, scoring as sc, text_safety as ts
 from ..sources import adapters as a
 from . import anomaly as dp
@@ -14,7 +15,10 @@ FACT_TOOL = "get_ad_spend"
 
 
 def diag(s, d):
-    return dp.diagnosis(s, d).withColumn("anomaly_id", F.concat(F.lit("creative_week|cr"), (F.col("event_id") % 24).cast("string"), F.lit("|1996-01-15"))).where("event_id % 50 = 1")
+    """The newest diagnosis of each anomaly and model."""
+    x = dp.diagnosis(s, d).withColumn("anomaly_id", F.concat(F.lit("creative_week|cr"), (F.col("event_id") % 24).cast("string"), F.lit("|1995-01-23")))
+    fields = [c for c in x.columns if c not in ("anomaly_id", "model")]
+    return x.groupBy("anomaly_id", "model").agg(newest(fields, "event_id").alias("r")).select("anomaly_id", "model", "r.*").select(x.columns)
 
 
 def alerts(s, d):
@@ -141,14 +145,14 @@ CTES["shown"] = """
   FROM rep1 r JOIN (SELECT report_date, execution_id, count(*) FILTER (WHERE status = 'ok') AS ok_sections, max(created_us) AS fin FROM rep1 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY report_date ORDER BY ok_sections DESC, fin DESC, execution_id DESC) = 1) b
     ON b.report_date = r.report_date AND b.execution_id = r.execution_id"""
 CTES["notes"] = """
-  SELECT event_id, us AS sent_us, CAST(ts AS DATE) AS report_date, 'exec' || strftime(ts, '%m%d') || '-0' AS execution_id, kind, CASE kind WHEN 'anomaly' THEN 'anomaly:creative_week|cr' || (k % 24) || '|1996-01-15' ELSE kind || ':' || CAST(ts AS DATE) END AS dedupe_key,
+  SELECT event_id, us AS sent_us, CAST(ts AS DATE) AS report_date, 'exec' || strftime(ts, '%m%d') || '-0' AS execution_id, kind, CASE kind WHEN 'anomaly' THEN 'anomaly:creative_week|cr' || (k % 24) || '|1995-01-23' ELSE kind || ':' || CAST(ts AS DATE) END AS dedupe_key,
     CASE WHEN k % 3 = 0 THEN 'failed' ELSE 'sent' END AS status, '' AS detail, '訊息' || chr(10) || k AS message, ts FROM (SELECT *, (['anomaly', 'daily_report', 'report_incomplete', 'flow_error'])[k % 4 + 1] AS kind FROM ev)"""
 CTES["alerts"] = """
   SELECT s.anomaly_id, s.level, s.entity, s.period_start, s.period_end, (SELECT max(date) FROM ad_daily) AS data_through, cause, confidence,
     '*成效異常*' || chr(10) || CASE level WHEN 'site_day' THEN '全站 ' || s.period_start ELSE CASE level WHEN 'adgroup_week' THEN '廣告群組 ' ELSE '廣告素材 ' END || s.entity || '，' || s.period_start || ' 到 ' || s.period_end || ' 這一週' END
       || chr(10) || '判讀：' || coalesce(cause, '還沒有判讀') || CASE WHEN confidence IS NULL THEN '' ELSE printf('（信心 %.2f）', confidence) END || CASE WHEN coalesce(evidence, '') = '' THEN '' ELSE chr(10) || '依據：' || evidence END
       || CASE WHEN coalesce(next_check, '') = '' THEN '' ELSE chr(10) || '建議先查：' || next_check END AS message
-  FROM summary s LEFT JOIN (SELECT * REPLACE ('creative_week|cr' || (event_id % 24) || '|1996-01-15' AS anomaly_id) FROM diag WHERE event_id % 50 = 1 AND model <> 'm0') d ON d.anomaly_id = s.anomaly_id"""
+  FROM summary s LEFT JOIN (SELECT * REPLACE ('creative_week|cr' || (event_id % 24) || '|1995-01-23' AS anomaly_id) FROM diag WHERE model <> 'm0' QUALIFY row_number() OVER (PARTITION BY event_id % 24 ORDER BY event_id DESC) = 1) d ON d.anomaly_id = s.anomaly_id"""
 AL = dp.ALL + " diag alerts"
 ANS, SC = "ev ans lans", "ev ans lans esc lsc"
 
@@ -205,7 +209,7 @@ QUERIES = {
     "e10_turn_listing": lambda s, d: sc.turn_listing(a.serve_turns(s, d)),
     "o01_best_run_per_day": lambda s, d: o.best_run_per_day(a.daily_reports(s, d)),
     "o02_anomaly_alert_text": alerts,
-    "o03_alerts_due": lambda s, d: o.alerts_due(alerts(s, d), F.lit(date(1996, 1, 24))),
+    "o03_alerts_due": lambda s, d: o.alerts_due(alerts(s, d), F.lit(date(1995, 2, 1))),
     "o04_run_complete": lambda s, d: o.run_complete(a.daily_reports(s, d), F.lit(DAY), 3),
     "o04_answered_sections": lambda s, d: o.answered_sections(a.daily_reports(s, d), F.lit(DAY)),
     "o05_unsent": lambda s, d: o.unsent(alerts(s, d).select("anomaly_id", "message"), a.notifications(s, d)),
@@ -288,7 +292,7 @@ ORACLE = {
     "e10_turn_listing": sql("ev turns", "SELECT session_id, turn, action, question, final_answer, tool AS tools, model_calls, round(cost_twd, 4) AS cost_twd FROM turns"),
     "o01_best_run_per_day": sql("ev rep rep1 shown", "SELECT * FROM shown"),
     "o02_anomaly_alert_text": sql(AL, "SELECT * FROM alerts"),
-    "o03_alerts_due": sql(AL, "SELECT anomaly_id, period_start, message FROM alerts WHERE DATE '1996-01-24' BETWEEN period_start AND period_end + 7"),
+    "o03_alerts_due": sql(AL, "SELECT anomaly_id, period_start, message FROM alerts WHERE DATE '1995-02-01' BETWEEN period_start AND period_end + 7"),
     "o04_run_complete": sql("ev rep", "SELECT execution_id FROM rep WHERE report_date = DATE '2024-01-12' AND status = 'ok' GROUP BY 1 HAVING count(DISTINCT section_no) = 3"),
     "o04_answered_sections": sql("ev rep rep1", "SELECT execution_id, section_no, section_title, answer FROM rep1 WHERE report_date = DATE '2024-01-12' AND status = 'ok'"),
     "o05_unsent": sql(AL + " ev notes", "SELECT anomaly_id, message, 'anomaly:' || anomaly_id AS dedupe_key FROM alerts WHERE 'anomaly:' || anomaly_id NOT IN (SELECT dedupe_key FROM notes WHERE status = 'sent')"),

@@ -485,6 +485,6 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("k", _k())
     k = F.col("k")
     kind = _at(("anomaly", "daily_report", "report_incomplete", "flow_error"), k)
-    key = F.when(kind == "anomaly", F.concat(F.lit("anomaly:creative_week|cr"), (k % 24).cast("string"), F.lit("|1996-01-15"))).otherwise(F.concat(kind, F.lit(":"), F.to_date("ts").cast("string")))
+    key = F.when(kind == "anomaly", F.concat(F.lit("anomaly:creative_week|cr"), (k % 24).cast("string"), F.lit("|1995-01-23"))).otherwise(F.concat(kind, F.lit(":"), F.to_date("ts").cast("string")))
     return e.select("event_id", micros_of("ts").alias("sent_us"), F.to_date("ts").alias("report_date"), F.concat(F.lit("exec"), F.date_format("ts", "MMdd"), F.lit("-0")).alias("execution_id"), kind.alias("kind"), key.alias("dedupe_key"),
                     F.when(k % 3 == 0, "failed").otherwise("sent").alias("status"), F.lit("").alias("detail"), F.concat(F.lit("訊息\n"), k.cast("string")).alias("message"))
