@@ -33,3 +33,16 @@ def test_query_equals_sql(spark, name):
     names = [x[0] for x in cur.description]
     assert sorted(names) == sorted(df.columns)
     assert rows(df.columns, df.collect()) == rows(names, cur.fetchall())
+
+
+def test_entry_without_the_optional_subpackage(monkeypatch):
+    import importlib
+    import sys
+    for name in ("corpus_pipeline", "tidemark.llm", "tidemark.llm.queries"):
+        monkeypatch.setitem(sys.modules, name, None)
+    bare = importlib.reload(entry)
+    try:
+        assert bare.corpus is None and len(bare.queries()) > 200 and "pipeline" not in bare.queries() and set(bare.oracle_sql()) <= set(bare.queries())
+    finally:
+        monkeypatch.undo()
+        importlib.reload(entry)
