@@ -16,7 +16,7 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return substring.remove_repeats(table(spark, folder, "documents"), size=13).drop("kept")
+    return substring.remove_repeats(table(spark, folder, "documents"), size=13, keep_text=False).drop("kept")
 
 
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
