@@ -122,9 +122,44 @@ def _fact_write(s, d):
 
 def _row_count(s, d):
     path = io.scratch_dir(s)
-    a.raw_orders(s, d).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-    schema = a.raw_orders(s, d).schema
-    return io.loaded_rows_match(io.read_typed_csv(s, path, schema), s.read.text(path))
+    rows = a.raw_orders(s, d)
+    rows.repartition(3, "transaction_id").write.mode("overwrite").option("header", True).csv(path)
+    return io.loaded_rows_match(io.read_typed_csv(s, path, rows.schema), path)
+
+
+def _header(s, d):
+    path = io.scratch_dir(s)
+    rows = a.raw_orders(s, d)
+    rows.write.mode("overwrite").option("header", True).csv(path)
+    return io.header_matches(s, path, rows.schema).select("header", "ok")
+
+
+def _listing(s, d):
+    """Files of one folder per day, from their metadata."""
+    path = io.scratch_dir(s)
+    a.web_events(s, d).select("event_id", "event_dt").repartition("event_dt").write.mode("overwrite").partitionBy("event_dt").json(path)
+    files = io.file_listing(s, path, "*.json")
+    return files.select(F.regexp_extract("uri", "event_dt=([0-9-]+)", 1).alias("day"), (F.col("size") > 0).alias("filled")).distinct()
+
+
+def _replace(s, d):
+    """A table written twice, a part of it appended again, then the rows of one kind deleted and columns added and dropped."""
+    path = io.scratch_dir(s)
+    e = a.table(s, d, "events").select("event_id", "event_type", "user_id")
+    io.write_table(e, path)
+    io.write_table(e, path)
+    io.append_rows(e.where("event_type = 'purchase'"), path)
+    left = io.delete_where(s.read.parquet(path), F.col("event_type") == "view")
+    wide = io.add_columns(left, {"note": "string", "user_id": "bigint"})
+    return io.create_view(io.drop_columns(wide, ["event_type"]), "kept_events").groupBy("event_id", "user_id", "note").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def _layout(s, d):
+    """Partition column and number of partitions of a written fact, against what its dates say."""
+    path = io.scratch_dir(s)
+    io.write_fact(a.web_events(s, d), path, "event_dt", ["event_name"])
+    folders = io.file_listing(s, path, "*.parquet").select(F.regexp_extract("uri", "event_dt=([0-9-]+)", 1).alias("day")).distinct()
+    return folders.select(F.col("day").cast("date").alias("event_dt"))
 
 
 _COLS = ", ".join(w.FACT_COLUMNS)
@@ -139,7 +174,11 @@ _PRODUCT = """
 
 QUERIES = {
     "s01_typed_csv_load": _csv_round_trip,
+    "s02_header_check": _header,
     "s03_loaded_row_count": _row_count,
+    "s06_file_listing": _listing,
+    "s13_replace_append_delete": _replace,
+    "w15_partition_layout": _layout,
     "s04_ndjson_load": _ndjson_round_trip,
     "s05_daily_tables_scan": _daily_tables,
     "s12_partitioned_fact_write": _fact_write,
@@ -164,6 +203,10 @@ QUERIES = {
 _OK = "CASE WHEN b = a THEN 'OK' ELSE 'DIFF' END"
 ORACLE = {
     "s01_typed_csv_load": sql("raw_od", "SELECT * FROM raw_od"),
+    "s02_header_check": "SELECT DISTINCT 'transaction_id,order_us,order_date,customer_id,user_pseudo_id,item_id,quantity,unit_price,revenue' AS header, true AS ok FROM events",
+    "s06_file_listing": "SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day, true AS filled FROM events",
+    "s13_replace_append_delete": "SELECT event_id, user_id, NULL::VARCHAR AS note, CASE event_type WHEN 'purchase' THEN 2 ELSE 1 END::BIGINT AS copies FROM events WHERE event_type <> 'view'",
+    "w15_partition_layout": "SELECT DISTINCT CAST(ts AS DATE) AS event_dt FROM events",
     "s03_loaded_row_count": "SELECT count(*) AS in_file, count(*) AS loaded, true AS ok FROM events WHERE event_type = 'purchase'",
     "s04_ndjson_load": f"SELECT event_id, user_id, {K} AS k FROM events",
     "s05_daily_tables_scan": "SELECT strftime(ts, '%Y%m%d') AS day, count(*) AS events, sum(event_id % 3) AS items FROM events GROUP BY 1",
