@@ -10,10 +10,12 @@ Jaccard distance is a metric, so the work is divided by distances to pivots.
    d, the triangle inequality says: a document linked to a member of the ball of radius d around a pivot lies within 2 d of the pivot. So
    the members within 2 d form the pivot's region of the next round, and all members that are in no ball form another one. A document
    on a border is in several. No pair that could link is separated, and pivots themselves are finished.
-3. Regions join recursively, with more pivots each round, until all their members are known to be in one component or none is left.
-   Regions with the same members are joined one time only.
+3. Regions join recursively, with more pivots each round, until all their members are known to be in one component. What is in a
+   component already is not compared again: pivots are drawn outside the largest one. A region that takes 100,000 pairs at most ends the
+   recursion: all its members outside the largest component are pivots. Regions with the same members, or that stay whole around the same
+   pivot, are joined one time only.
 
-No step holds a region in one task: pivots are minima, members meet pivots in joins that may be split, and nothing pairs all members.
+No step holds a region in one task: pivots are minima, and members meet pivots in joins that may be split.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .graph import components
 
 COUNT_BITS = 20
 HISTOGRAM = 64
+BROADCAST_IDS = 500_000  # eight bytes each
+FULL_JOIN = 100_000  # a region that takes so many pairs at most is joined in full, the end of the recursion
 INFO = "doc_id long, n long, f1 long, f2 long, histogram binary, slot int, counts binary"
 
 
@@ -140,8 +144,17 @@ def lower_bounds(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(work, schema + ", bound double")
 
 
-def distances(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+def texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of these documents; of several texts under one id the smallest. Ids are broadcast if there are few enough."""
+    wanted = materialize(ids.distinct())
+    few = wanted.count() <= BROADCAST_IDS
+    return materialize(rows.join(F.broadcast(wanted) if few else wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+
+
+def distances(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """(x, q, both, nx, nq) with the size of the intersection, from the texts, for distinct pairs (x, q)."""
+    pairs = materialize(pairs)
+    texts = texts_of(rows, pairs.select(F.explode(F.array("x", "q")).alias("doc_id")))
     mine = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
     theirs = texts.select(F.col("doc_id").alias("q"), F.col("text").alias("tq"))
     # each join has a text on one side and a text that is unique on the key on the other, so a hot pivot can be split
@@ -172,7 +185,7 @@ def without_twins(members: DataFrame) -> DataFrame:
 
 
 def unfinished(members: DataFrame, names: DataFrame | None) -> DataFrame:
-    """Regions whose members are not all in one component, as (region, doc_id, component)."""
+    """Regions whose members are not all in one component, as (region, doc_id, depth, component)."""
     if names is None:
         known = members.withColumn("component", F.col("doc_id"))
     else:
@@ -180,46 +193,84 @@ def unfinished(members: DataFrame, names: DataFrame | None) -> DataFrame:
         known = members.join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     known = materialize(known)
     open_regions = materialize(known.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("region"))
-    return materialize(without_twins(known.join(open_regions, "region")).select("region", "doc_id", "component"))
+    return materialize(without_twins(known.join(open_regions, "region")).select("region", "doc_id", "depth", "component"))
+
+
+def shapes(members: DataFrame) -> DataFrame:
+    """(region, n, big, full): members of each region, its largest component, and whether it can be joined in full."""
+    parts = members.groupBy("region", "component").agg(F.count(F.lit(1)).alias("c"))
+    shape = parts.groupBy("region").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("b"))
+    return shape.select("region", "n", F.col("b.component").alias("big"), (F.col("n") * (F.col("n") - F.col("b.c")) <= FULL_JOIN).alias("full"))
 
 
-def pivots_of(members: DataFrame, round_no: int) -> DataFrame:
-    """Up to 2**round_no members of each region, drawn by hash: the smallest of each hash class, combined before the shuffle."""
+def pivots_of(members: DataFrame, shape: DataFrame, round_no: int) -> DataFrame:
+    """(region, q, qc, n, full): pivots outside the largest component of each region.
+
+    In the first round one per region. Later all such members of a region that can be joined in full, which finishes it; of a larger one
+    32, 128, 512 and so on, drawn by hash classes: in each the one closest to the last pivots, as central documents
+    link with most others.
+    """
+    others = members.join(shape, "region").where("component <> big")
     draw = F.xxhash64("doc_id", F.lit(round_no))
-    lot = F.struct(draw.alias("h"), F.col("doc_id").alias("q"), F.col("component").alias("qc"))
-    drawn = members.groupBy("region", F.pmod(draw, F.lit(1 << round_no)).alias("lot")).agg(F.min(lot).alias("p"))
-    return drawn.select("region", "p.q", "p.qc")
+    lot = F.struct("depth", draw.alias("h"), F.col("doc_id").alias("q"), F.col("component").alias("qc"))
+    some = others if round_no == 0 else others.where("NOT full")
+    lots = 1 if round_no == 0 else 8 << (2 * round_no)
+    drawn = some.groupBy("region", "n", "full", F.pmod(draw, F.lit(lots)).alias("lot")).agg(F.min(lot).alias("p")).select("region", "p.q", "p.qc", "n", "full")
+    if round_no == 0:
+        return drawn
+    return drawn.unionByName(others.where("full").select("region", F.col("doc_id").alias("q"), F.col("component").alias("qc"), "n", "full"))
 
 
-def links(regions: DataFrame, sets: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame | None:
-    """Links that connect what belongs together, found by joining the regions recursively; None if there are none."""
-    reach = 2 * (den - num) / den + 1e-9
+def next_regions(members: DataFrame, pivots: DataFrame, known: DataFrame, reach: float) -> DataFrame:
+    """(region, doc_id, depth) of what is left of regions whose pivots did not finish them. ``known`` has x, q, least, linked.
+
+    Around each pivot what lies within twice the distance, and all that is in no ball. A region most of which lies around one pivot, or
+    that can be joined in full, stays whole, as parting would only copy it. Regions that stay whole and have the same first pivot become
+    one: they are mostly the same documents, met under different shingles.
+    """
+    rest = members.select("region", "doc_id").join(pivots.select("region", F.col("q").alias("doc_id")), ["region", "doc_id"], "left_anti")
+    placed = materialize(rest.join(pivots.select("region", "q", "n", "full"), "region").join(known.withColumnRenamed("x", "doc_id"), ["doc_id", "q"]))
+    close = placed.where(F.col("least") <= reach)
+    crowded = close.groupBy("region", "q").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where(2 * F.col("c") > F.col("n")).select("region")
+    small = placed.where("full").select("region")
+    first = pivots.groupBy("region").agg(F.min("q").alias("home"))
+    whole = materialize(crowded.unionByName(small).distinct().join(first, "region"))
+    parted = placed.join(whole, "region", "left_anti")
+    around = parted.where(F.col("least") <= reach).select(F.xxhash64("region", "q").alias("region"), "doc_id", F.col("least").alias("depth"))
+    outside = parted.groupBy("region", "doc_id").agg(F.max("linked").alias("in_ball"), F.min("least").alias("depth")).where("NOT in_ball").select(
+        F.xxhash64("region", F.lit("outside")).alias("region"), "doc_id", "depth")
+    kept = placed.join(whole, "region").groupBy(F.xxhash64("home", F.lit("whole")).alias("region"), "doc_id").agg(F.min("least").alias("depth"))
+    return around.unionByName(outside).unionByName(kept)
+
+
+def links(regions: DataFrame, sets: DataFrame, rows: DataFrame, size: int, num: int, den: int) -> DataFrame | None:
+    """(node, component) of everything that links connect, found by joining the regions recursively; None if nothing is linked."""
     near = (den - num) / den + 1e-9
     found: DataFrame | None = None
     names: DataFrame | None = None
-    members, round_no = unfinished(regions, None), 0
+    members, round_no = unfinished(regions.withColumn("depth", F.lit(0.0)), None), 0
     while not members.isEmpty():
-        pivots = materialize(pivots_of(members, round_no))
-        x_sets = sets.select(F.col("doc_id"), F.col("n").alias("nx"), F.col("histogram").alias("hx"))
+        shape = materialize(shapes(members))
+        pivots = materialize(pivots_of(members, shape, round_no))
+        x_sets = sets.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("histogram").alias("hx"))
         q_sets = sets.select(F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("histogram").alias("hq"))
-        met = members.join(pivots, "region").where("doc_id <> q")
-        pairs = materialize(met.groupBy("doc_id", "q").agg((F.min("component") != F.min("qc")).alias("apart")))
-        bounded = materialize(lower_bounds(pairs.join(x_sets, "doc_id").join(q_sets, "q").withColumnRenamed("doc_id", "x")).select("x", "q", "apart", "bound"))
-        asked = bounded.where(F.col("apart") & (F.col("bound") <= near)).select("x", "q")
-        exact = materialize(distances(asked, texts, size))
+        met = members.withColumnRenamed("doc_id", "x").join(pivots, "region").where("x <> q")
+        last = round_no > 0
+        if last:  # pairs inside a component only matter for parting large regions
+            met = met.where((F.col("component") != F.col("qc")) | ~F.col("full"))
+        pairs = materialize(met.groupBy("x", "q").agg((F.min("component") != F.min("qc")).alias("apart")))
+        bounded = materialize(lower_bounds(pairs.join(x_sets, "x").join(q_sets, "q")).select("x", "q", "apart", "bound"))
+        asked = bounded.where(F.col("apart") & (F.col("bound") <= near)).select(F.least("x", "q").alias("x"), F.greatest("x", "q").alias("q")).distinct()
+        exact = materialize(distances(asked, rows, size))
         union = F.col("nx") + F.col("nq") - F.col("both")
         exact = exact.select("x", "q", (1 - F.col("both") / union).alias("d"), (den * F.col("both") >= num * union).alias("linked"))
         new = exact.where("linked").select(F.col("x").alias("a"), F.col("q").alias("b"))
         found = new if found is None else found.unionByName(new)
         names = components(found)
-        # next regions: around each pivot what lies within twice the distance, and all that is in no ball
-        known = bounded.join(exact, ["x", "q"], "left").select(F.col("x").alias("doc_id"), "q", F.coalesce("d", "bound").alias("least"), F.coalesce("linked", F.lit(False)).alias("linked"))
-        known = materialize(known)
-        rest = materialize(members.select("region", "doc_id").join(pivots.select("region", F.col("q").alias("doc_id")), ["region", "doc_id"], "left_anti"))
-        placed = materialize(rest.join(pivots.select("region", "q"), "region").join(known, ["doc_id", "q"]))
-        around = placed.where(F.col("least") <= reach).select(F.xxhash64("region", "q").alias("region"), "doc_id")
-        outside = placed.groupBy("region", "doc_id").agg(F.max("linked").alias("in_ball")).where("NOT in_ball").select(F.xxhash64("region", F.lit("outside")).alias("region"), "doc_id")
-        members, round_no = unfinished(around.unionByName(outside), names), round_no + 1
+        open_members = members if round_no == 0 else members.join(shape.where("NOT full").select("region"), "region")
+        both_ways = exact.unionByName(exact.select(F.col("q").alias("x"), F.col("x").alias("q"), "d", "linked"))
+        known = bounded.join(both_ways, ["x", "q"], "left").select("x", "q", F.coalesce("d", "bound").alias("least"), F.coalesce("linked", F.lit(False)).alias("linked"))
+        members, round_no = unfinished(next_regions(open_members, pivots, known, 2 * near), names), round_no + 1
     return names
 
 
@@ -241,9 +292,7 @@ def jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100
     shared = materialize(placed.groupBy("region").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("region"))
     regions = placed.join(shared, "region").join(sets.select("doc_id"), "doc_id", "left_semi").distinct()
     regions = materialize(regions)
-    wanted = materialize(regions.select("doc_id").distinct())
-    texts = materialize(rows.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
-    names = links(regions, sets, texts, size, num, den)
+    names = links(regions, sets, rows, size, num, den)
     groups = classes.withColumn("component_id", F.col("rep"))
     if names is not None:
         groups = classes.join(names.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))

@@ -200,8 +200,8 @@ class Network:
         return sigmoid(best.astype(np.float64))
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 48, rate: float = 0.02, top: int = 6, seed: int = 11) -> Network | None:
-    """Fit on whole labelled texts; None unless both labels occur."""
+def train(texts: list[str], labels: list[int], epochs: int = 6, steps: int = 150, batch: int = 48, rate: float = 0.02, top: int = 6, seed: int = 11) -> Network | None:
+    """Fit on whole labelled texts, ``epochs`` times over and for ``steps`` steps at least; None unless both labels occur."""
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return None
@@ -215,6 +215,9 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 48,
         t = Tokens(pa.array([texts[i] for i in some], pa.large_string()))
         if len(t.word):
             read.append((some, t, *t.windows()))
+    if not read:
+        return None
+    epochs = max(epochs, -(-steps // len(read)))
     step, total = 0, epochs * len(read)
     for _ in range(epochs):
         for k in rng.permutation(len(read)):
