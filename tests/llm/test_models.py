@@ -53,6 +53,32 @@ def test_toxicity_reads_the_end_of_long_texts(spark, scored):
     assert scores[1] > 0.7 > scores[0] and scores[0] == scores[6] == scores[7] and len(set(scores[[2, 3, 4, 5]])) == 1
 
 
+@pytest.mark.parametrize("joint", [".", "_", "-", "\u00a0", "\u3000", ""])
+def test_toxicity_reads_the_end_of_long_words(scored, joint):
+    _, docs, labels, held, _ = scored
+    net = toxicity.fit(docs, labels, held)
+    calm = prose(random.Random(2), 300).split()
+    rude = "grumbol vexhead grumbol snarkil".split()
+    scores = toxicity.scores_of(net, pa.array([joint.join(calm), joint.join(calm + rude), joint.join(calm[:150] + rude + calm[150:])], pa.string()))
+    assert scores[1] > 0.7 > scores[0] and scores[2] > 0.7
+
+
+def test_pieces_of_long_words_hold_every_byte():
+    for word in ("x" * 1000, "ab語" * 70, "a" * 65, "é" * 33, "a." * 40, "a" * 64):
+        text = pa.array(["one", word, "two " + word], pa.large_string())
+        words = toxicity.Words(text)
+        raw, solid = words.data, words.data != ord(".")
+        lo, hi, doc = toxicity.cut_long(raw, solid, words.start, words.end, words.doc)
+        held = np.zeros(len(raw), bool)
+        for a, b in zip(lo, hi):
+            held[a:b] = True
+            bytes(raw[a:b]).decode()
+        assert held[solid & (raw != 32)].all() and (np.diff(doc) >= 0).all() and (hi - lo <= toxicity.LONG).all()
+        if word == "x" * 1000:
+            inner = doc == 1
+            assert (hi[inner][:-1] - lo[inner][1:] >= max(toxicity.GRAMS)).all()
+
+
 def test_toxicity_filter_keeps_rows_whole(scored):
     rows, docs, labels, held, got = scored
     kept = toxicity.keep_clean(docs, labels, held)

@@ -2,7 +2,9 @@
 
 A word enters as a hashed word embedding next to the average of its hashed character n-gram embeddings. Windows of words overlap;
 in each a forward and a backward gated recurrent layer read the words, attention pools their states and a linear layer gives a logit.
-A text scores as its worst window; every word of every text is in one or two. Training (numpy, Adam) knows labels of whole texts only:
+A text scores as its worst window; every word of every text is in one or two. What white space does not part (Chinese or Thai lines,
+words joined by dots, underscores or U+00A0) counts as one word only up to 64 bytes; longer words are parted at other signs and Unicode
+spaces, and what is still longer is cut into overlapping pieces, so that each of its n-grams enters a window. Training (numpy, Adam) knows labels of whole texts only:
 the windows of a text share its gradient in proportion to how toxic they already look.
 """
 
@@ -23,11 +25,53 @@ WORD_DIMS, GRAM_DIMS = 8, 16
 HIDDEN = 8
 WINDOW, STRIDE = 12, 8
 GRAMS = (3, 4)
+LONG = 64  # bytes; longer words are cut
+PIECE, STEP = 16, 12  # pieces overlap by the longest n-gram
 TRAIN_PER_CLASS = 1000
 TRAIN_WORDS = 1000  # only texts of at most so many words are drawn for training
 SLICE = 1 << 20
 
 
+def unicode_spaces(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to U+00A0, U+2000-200B, U+202F or U+3000."""
+    out = np.zeros(len(data), bool)
+    two = np.flatnonzero((data[:-1] == 0xC2) & (data[1:] == 0xA0))
+    a, b, c = data[:-2], data[1:-1], data[2:]
+    three = np.flatnonzero((a == 0xE2) & (b == 0x80) & ((c >= 0x80) & (c <= 0x8B) | (c == 0xAF)) | (a == 0xE3) & (b == 0x80) & (c == 0x80))
+    for places, size in ((two, 2), (three, 3)):
+        for k in range(size):
+            out[places + k] = True
+    return out
+
+
+def cut_long(data: np.ndarray, solid: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds and documents of the words with those of over LONG bytes replaced by their parts and pieces, in the order of the text."""
+    far = np.flatnonzero(hi - lo > LONG)
+    if not len(far):
+        return lo, hi, doc
+    good = solid & ~unicode_spaces(data)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[lo[far]] = edge[hi[far]] = True
+    start = np.flatnonzero(good & (~np.concatenate(([False], good[:-1])) | edge[:-1]))
+    end = np.flatnonzero(good & (~np.concatenate((good[1:], [False])) | edge[1:])) + 1
+    owner = np.searchsorted(lo[far], start, side="right") - 1
+    mine = (owner >= 0) & (start < hi[far][owner])
+    start, end, owner = start[mine], end[mine], doc[far][owner[mine]]
+    size = end - start
+    count = np.where(size > LONG, -(-(size - PIECE) // STEP) + 1, 1)
+    k = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    low, high, cut = np.repeat(start, count), np.repeat(end, count), np.repeat(size > LONG, count)
+    first, last = low + k * STEP, np.where(cut, np.minimum(low + k * STEP + PIECE, high), high)
+    # no piece begins or ends inside a character
+    for _ in range(3):
+        first = first - ((first > low) & (data[first] & 0xC0 == 0x80))
+        last = last + ((last < high) & (data[np.minimum(last, len(data) - 1)] & 0xC0 == 0x80))
+    near = hi - lo <= LONG
+    lo, hi, doc = np.concatenate((lo[near], first)), np.concatenate((hi[near], last)), np.concatenate((doc[near], np.repeat(owner, count)))
+    order = np.argsort(lo, kind="stable")
+    return lo[order], hi[order], doc[order]
+
+
 class Tokens:
     """Distinct words of a slice of texts with their embedding buckets, and where the words stand."""
 
@@ -38,8 +82,7 @@ class Tokens:
         places = np.flatnonzero(solid)
         low, high = np.searchsorted(places, words.start), np.searchsorted(places, words.end)
         some = high > low
-        lo, hi = places[low[some]], places[high[some] - 1] + 1
-        self.doc = words.doc[some]
+        lo, hi, self.doc = cut_long(data, solid, places[low[some]], places[high[some] - 1] + 1, words.doc[some])
         bounds = np.searchsorted(self.doc, np.arange(len(texts) + 1))
         self.first, self.n = bounds[:-1], np.diff(bounds)
         h = span_hashes(data, lo, hi)
@@ -49,7 +92,7 @@ class Tokens:
 
     def grams(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
         """Buckets of the n-grams of each distinct word, with a border byte before and after it."""
-        size = np.minimum(hi - lo, 64)
+        size = hi - lo
         width = size + 2
         at = np.concatenate(([0], np.cumsum(width)[:-1])) if len(lo) else np.zeros(0, np.int64)
         total = int(width.sum())
@@ -107,14 +150,15 @@ class Network:
         scale = {"word": 0.1, "gram": 0.3, "bias": 0.0, "off_f": 0.0, "off_b": 0.0}
         return cls({k: (rng.normal(0, scale.get(k, 1 / np.sqrt(s[0])), s)).astype(np.float32) for k, s in shapes.items()})
 
-    def inputs(self, t: Tokens) -> np.ndarray:
-        """Input vector of each distinct word."""
-        grams = self.p["gram"][t.gram]
+    def inputs(self, t: Tokens, block: int = 1 << 15) -> np.ndarray:
+        """Input vector of each distinct word, ``block`` words at a time."""
         total = np.zeros((len(t.bucket), GRAM_DIMS), np.float32)
-        if len(grams):
-            begin = np.concatenate(([0], np.cumsum(t.n_grams)[:-1]))
-            has = t.n_grams > 0
-            total[has] = np.add.reduceat(grams, begin[has], axis=0)
+        bound = np.concatenate(([0], np.cumsum(t.n_grams)))
+        for i in range(0, len(total), block):
+            j = min(i + block, len(total))
+            grams, has = self.p["gram"][t.gram[bound[i]:bound[j]]], i + np.flatnonzero(t.n_grams[i:j])
+            if len(grams):
+                total[has] = np.add.reduceat(grams, bound[has] - bound[i], axis=0)
         return np.concatenate((self.p["word"][t.bucket], total / np.maximum(t.n_grams, 1)[:, None].astype(np.float32)), 1)
 
     def gate_inputs(self, x: np.ndarray) -> dict[str, np.ndarray]:
