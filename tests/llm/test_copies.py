@@ -208,6 +208,19 @@ def test_leaks(spark):
     assert found(spark, texts) == {0: (True, 7), 1: (True, 7), 2: (False, None), 3: (False, None), 4: (False, None), 5: (False, None), 6: (False, None), 7: (False, None), 8: (True, 7), 9: (True, 7)}
 
 
+def test_leaks_with_names_that_open_sentences(spark):
+    asked = "Tom has 5 apples. Tom gives 2 to Ann. How many does Tom have?"
+    texts = [f"Some words stand here.\n{asked.replace('Tom', name)}\nAnd here." for name in ("Tom", "Ben")] + ["How Tom has apples. How many? " + asked.replace("Tom", "Ben"), asked.replace("apples", "pears")]
+    assert [found(spark, texts, [(3, asked)])[k][0] for k in range(4)] == [True, True, True, False]
+
+
+def test_leaks_with_glued_numbers(spark):
+    asked = "a 7-year-old horse runs 5km for £30 on the 3rd day and 4km for 20€ on the 21st day until noon"
+    other = "a 9-year-old horse runs 8km for £45 on the 4th day and 6km for 25€ on the 22nd day until noon"
+    texts = [asked, other, other.replace("km", " miles").replace("£45", "€45"), asked.replace("horse", "cat").replace("day", "night").replace("runs", "sits").replace("for", "by")]
+    assert [found(spark, texts, [(3, asked)])[k][0] for k in range(4)] == [True, True, True, False]
+
+
 def test_leaks_in_rough_tables(spark, rough_docs, no_docs, rough):
     passage = rough[-1][1]
     bench = spark.createDataFrame([(1, passage), (2, None), (3, ""), (4, "too short"), (None, passage), (5, passage)], "item_id long, text string")

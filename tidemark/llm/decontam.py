@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import U, Words, materialize, span_hashes, text_slices, window_hashes
 
@@ -27,7 +27,8 @@ UNITS = ("mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg l
          "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years cent cents dollar dollars euro euros usd eur gbp percent "
          "degree degrees celsius fahrenheit meter meters metre metres gram grams kilogram kilograms kilometer kilometers kilometre kilometres hz khz mhz w kw watt watts "
          "j kj joule joules n newton newtons v volt volts").split()
-FOUND = "h long, doc_id long, pos int, slots array<long>"
+ORDINALS = ["st", "nd", "rd", "th"]
+FOUND = "h long, doc_id long, pos int, slots array<long>, loose boolean"
 PLACEHOLDER = np.array([0x51, 0x6E756D, 0x756E6974, 0x6E616D65], np.uint64) * U(0x9E3779B97F4A7C15)
 
 
@@ -39,6 +40,36 @@ def fold(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def money(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to a currency sign: U+00A2-00A5 or U+20A0-20BF."""
+    out = np.zeros(len(data), bool)
+    two = np.flatnonzero((data[:-1] == 0xC2) & (data[1:] >= 0xA2) & (data[1:] <= 0xA5))
+    three = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x82) & (data[2:] >= 0xA0) & (data[2:] <= 0xBF))
+    for places, size in ((two, 2), (three, 3)):
+        for k in range(size):
+            out[places + k] = True
+    return out
+
+
+def split_numbers(data: np.ndarray, digit: np.ndarray, letter: np.ndarray, digits: np.ndarray, figures: np.ndarray, words: tuple) -> tuple:
+    """``words`` (lo, hi, start, end, doc) with what is glued to the end of a number as a word of its own; endings of ordinals go."""
+    lo, hi, start, end, doc = words
+    letters, figure = np.append(np.flatnonzero(letter), len(data)), np.flatnonzero(digit)
+    if not len(figure):
+        return words
+    cut = letters[np.searchsorted(letters, lo)]
+    last = figure[np.maximum(np.searchsorted(figure, cut) - 1, 0)] + 1
+    here = np.minimum(cut, hi)
+    split = digit[lo] & (cut < hi) & (digits[hi] == digits[here]) & (figures[last] - figures[lo] == last - lo) if len(lo) else np.zeros(0, bool)
+    ordinal = np.zeros(len(lo), bool)
+    ordinal[split] = (last[split] == cut[split]) & np.isin(span_hashes(data, cut[split], hi[split]), ORDINAL_HASHES)
+    count = np.where(split & ~ordinal, 2, 1)
+    tail = np.concatenate((np.zeros(1, bool), np.repeat(np.arange(len(lo)), count)[1:] == np.repeat(np.arange(len(lo)), count)[:-1])) if len(lo) else split
+    lo, hi, start, end, doc, cut, last, split = (np.repeat(x, count) for x in (lo, hi, start, end, doc, cut, last, split))
+    head = split & ~tail
+    return np.where(tail, cut, lo), np.where(head, last, hi), np.where(tail, cut, start), np.where(head & np.append(tail[1:], False), last, end), doc
+
+
 class Template:
     """Template tokens of a slice of texts: document, hash, kind (0 for an ordinary word) and hash of the value."""
 
@@ -46,17 +77,17 @@ class Template:
         words = Words(texts)
         data = words.data
         digit = (data >= 48) & (data <= 57)
-        letter = ((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 128)
+        letter = (((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 128)) & ~money(data)
         solid = np.flatnonzero(digit | letter)
         low, high = np.searchsorted(solid, words.start), np.searchsorted(solid, words.end)
         some = high > low
         lo, hi = solid[low[some]], solid[high[some] - 1] + 1
-        start, end, self.doc = words.start[some], words.end[some], words.doc[some]
-        self.value = span_hashes(fold(data), lo, hi)
         digits, figures = np.concatenate(([0], np.cumsum(digit))), np.concatenate(([0], np.cumsum(digit | np.isin(data, np.frombuffer(b".,:/-", np.uint8)))))
+        lo, hi, start, end, self.doc = split_numbers(fold(data), digit, letter, digits, figures, (lo, hi, words.start[some], words.end[some], words.doc[some]))
+        self.value = span_hashes(fold(data), lo, hi)
         number = (digits[hi] > digits[lo]) & (figures[hi] - figures[lo] == hi - lo)
         unit = np.isin(self.value, UNIT_HASHES)
-        # a name begins with a capital, goes on in lower case and does not open a sentence or a line
+        # a name begins with a capital and goes on in lower case; what opens a sentence or a line may be one, and is looked up both ways
         nxt = np.minimum(lo + 1, len(data) - 1)
         lower = (data[nxt] >= 97) & (data[nxt] <= 122) | (data[nxt] >= 128)
         capital = (data[lo] >= 65) & (data[lo] <= 90) & (hi - lo > 1) & lower
@@ -66,25 +97,27 @@ class Template:
         opens[1:] = (self.doc[1:] != self.doc[:-1]) | stops[:-1] | (breaks[start[1:]] > breaks[end[:-1]])
         after_number = np.concatenate(([False], number[:-1] & (self.doc[1:] == self.doc[:-1]))) if len(lo) else number
         self.kind = np.select([number, unit & after_number, capital & ~opens], [NUMBER, UNIT, NAME], 0).astype(np.int8)
-        self.h = np.where(self.kind > 0, PLACEHOLDER[self.kind], self.value)
+        self.loose_kind = np.where((self.kind == 0) & capital, NAME, self.kind)
+        self.h, self.loose_h = (np.where(k > 0, PLACEHOLDER[k], self.value) for k in (self.kind, self.loose_kind))
         bounds = np.searchsorted(self.doc, np.arange(len(texts) + 1))
         self.first, self.n = bounds[:-1], np.diff(bounds)
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, hashes) of the windows with enough ordinary words."""
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, hashes, whether capitalised openers are read as names) of the windows with enough ordinary words, openers among them."""
         if len(self.h) < WINDOW:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
         h = window_hashes(self.h, WINDOW)
-        plain = np.concatenate(([0], np.cumsum(self.kind == 0)))
+        plain, opener = (np.concatenate(([0], np.cumsum(x))) for x in (self.kind == 0, self.kind != self.loose_kind))
         ok = (self.doc[WINDOW - 1:] == self.doc[:len(h)]) & (plain[WINDOW:] - plain[:-WINDOW] >= LITERALS)
-        at = np.flatnonzero(ok)
-        return at, h[at]
+        at, twice = np.flatnonzero(ok), np.flatnonzero(ok & (opener[WINDOW:] > opener[:-WINDOW]))
+        return np.concatenate((at, twice)), np.concatenate((h[at], window_hashes(self.loose_h, WINDOW)[twice])), np.arange(len(at) + len(twice)) >= len(at)
 
-    def slots(self, at: np.ndarray) -> list[list[int]]:
-        """Values in the placeholders of each window, preceded by their kind's place in the window."""
+    def slots(self, at: np.ndarray, loose: bool) -> list[list[int]]:
+        """Values in the placeholders of each window, in the order of the text."""
+        kind = self.loose_kind if loose else self.kind
         values = self.value.view(np.int64)
-        filled = np.concatenate(([0], np.cumsum(self.kind > 0)))
-        slots = np.flatnonzero(self.kind > 0)
+        filled = np.concatenate(([0], np.cumsum(kind > 0)))
+        slots = np.flatnonzero(kind > 0)
         return [values[slots[filled[i]:filled[i + WINDOW]]].tolist() for i in at.tolist()]
 
 
@@ -94,6 +127,7 @@ def _hashes_of(words: list[str]) -> np.ndarray:
 
 
 UNIT_HASHES = _hashes_of(UNITS)
+ORDINAL_HASHES = _hashes_of(ORDINALS)
 
 
 def template_windows(texts: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
@@ -101,14 +135,15 @@ def template_windows(texts: DataFrame, bitmap: np.ndarray | None = None) -> Data
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
             t = Template(b.column("text"))
-            at, h = t.windows()
+            at, h, loose = t.windows()
             if bitmap is not None:
                 bit = h >> U(64 - BITMAP_BITS)
                 maybe = (bitmap[(bit >> U(6)).astype(np.int64)] >> (bit & U(63))) & U(1) == 1
-                at, h = at[maybe], h[maybe]
+                at, h, loose = at[maybe], h[maybe], loose[maybe]
+            slots = t.slots(at[~loose], False) + t.slots(at[loose], True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), b.column("doc_id").take(pa.array(t.doc[at])), pa.array((at - t.first[t.doc[at]]).astype(np.int32)), pa.array(t.slots(at), pa.list_(pa.int64()))],
-                ["h", "doc_id", "pos", "slots"])
+                [pa.array(h.view(np.int64)), b.column("doc_id").take(pa.array(t.doc[at])), pa.array((at - t.first[t.doc[at]]).astype(np.int32)), pa.array(slots, pa.list_(pa.int64())), pa.array(loose)],
+                ["h", "doc_id", "pos", "slots", "loose"])
 
     return texts.mapInArrow(work, FOUND)
 
@@ -123,17 +158,26 @@ def bitmap_of(windows: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def one_to_one(values: str) -> Column:
+    """Whether an array of (asked, slots) maps values one to one."""
+    both = F.size(F.array_distinct(values))
+    return (both == F.size(F.array_distinct(F.transform(values, lambda v: v["asked"])))) & (both == F.size(F.array_distinct(F.transform(values, lambda v: v["slots"]))))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows) for every document and item with a window in common whose slots are consistent."""
-    item = materialize(template_windows(benchmark)).select("h", F.col("doc_id").alias("item_id"), F.col("pos").alias("at"), F.col("slots").alias("asked"))
+    item = materialize(template_windows(benchmark)).select("h", F.col("doc_id").alias("item_id"), F.col("pos").alias("at"), F.col("slots").alias("asked"), F.col("loose").alias("loose_item"))
     size = item.groupBy("item_id").agg(F.count_distinct("at").alias("n_windows"))
     found = template_windows(docs, bitmap_of(item))
     pairs = found.join(item, "h").where(F.size("slots") == F.size("asked"))
+    # an opener read as a name may add a window, but no contradiction to the others
+    plain = ~(F.col("loose") | F.col("loose_item"))
+    pair = F.arrays_zip("asked", "slots")
     aligned = pairs.groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift")).agg(
-        F.collect_set("at").alias("places"), F.flatten(F.collect_set(F.arrays_zip("asked", "slots"))).alias("values"))
-    both = F.size(F.array_distinct("values"))
-    one_to_one = (both == F.size(F.array_distinct(F.transform("values", lambda v: v["asked"])))) & (both == F.size(F.array_distinct(F.transform("values", lambda v: v["slots"]))))
-    agreed = aligned.where(one_to_one).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_matched"))
+        F.collect_set("at").alias("places"), F.flatten(F.collect_set(pair)).alias("values"),
+        F.collect_set(F.when(plain, F.col("at"))).alias("plain_places"), F.flatten(F.collect_set(F.when(plain, pair))).alias("plain_values"))
+    kept = aligned.withColumn("places", F.when(one_to_one("values"), F.col("places")).when(one_to_one("plain_values"), F.col("plain_places")))
+    agreed = kept.where("places IS NOT NULL").groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_matched"))
     return agreed.join(size, "item_id")
 
 
