@@ -221,6 +221,19 @@ def test_leaks_with_glued_numbers(spark):
     assert [found(spark, texts, [(3, asked)])[k][0] for k in range(4)] == [True, True, True, False]
 
 
+def found_whole(spark, texts, bench, **how):
+    """As the registered query and the pipeline look."""
+    docs, items = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    return {r.doc_id: (r.contaminated, r.item_id) for r in decontam.decontaminate(docs, items, per_window=True, **how).collect()}
+
+
+def test_leaks_with_one_value_changed(spark):
+    boxes = "there are 5 boxes in the old barn and every one of them holds 5 balls so how many balls are there"
+    texts = [QUESTION.replace("gives 12", "gives 11"), QUESTION.replace("3 dollars", "12 dollars").replace("5 km", "12 km"), boxes.replace("5 boxes", "6 boxes").replace("5 balls", "7 balls"), "nothing of it"]
+    got = found_whole(spark, texts, [(7, QUESTION), (8, boxes)])
+    assert got == {0: (True, 7), 1: (True, 7), 2: (True, 8), 3: (False, None)}
+
+
 def test_leaks_in_rough_tables(spark, rough_docs, no_docs, rough):
     passage = rough[-1][1]
     bench = spark.createDataFrame([(1, passage), (2, None), (3, ""), (4, "too short"), (None, passage), (5, passage)], "item_id long, text string")

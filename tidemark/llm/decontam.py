@@ -164,12 +164,19 @@ def one_to_one(values: str) -> Column:
     return (both == F.size(F.array_distinct(F.transform(values, lambda v: v["asked"])))) & (both == F.size(F.array_distinct(F.transform(values, lambda v: v["slots"]))))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_matched, n_windows) for every document and item with a window in common whose slots are consistent."""
+def matches(docs: DataFrame, benchmark: DataFrame, per_window: bool = False) -> DataFrame:
+    """(doc_id, item_id, n_matched, n_windows) for every document and item with a window in common whose slots are consistent.
+
+    Slots are judged over all windows of an alignment, or with ``per_window`` in each window by itself: then a window counts whatever the
+    others hold, and one with the item's own values always does.
+    """
     item = materialize(template_windows(benchmark)).select("h", F.col("doc_id").alias("item_id"), F.col("pos").alias("at"), F.col("slots").alias("asked"), F.col("loose").alias("loose_item"))
     size = item.groupBy("item_id").agg(F.count_distinct("at").alias("n_windows"))
     found = template_windows(docs, bitmap_of(item))
     pairs = found.join(item, "h").where(F.size("slots") == F.size("asked"))
+    if per_window:
+        agreed = pairs.withColumn("values", F.arrays_zip("asked", "slots")).where(one_to_one("values")).groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("n_matched"))
+        return agreed.join(size, "item_id")
     # an opener read as a name may add a window, but no contradiction to the others
     plain = ~(F.col("loose") | F.col("loose_item"))
     pair = F.arrays_zip("asked", "slots")
@@ -182,17 +189,17 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                  item_col: str = "item_id", item_text_col: str = "text", per_window: bool = False) -> DataFrame:
     """Every row of ``docs`` as (row), with doc_id, contaminated, n_items, item_id (the best matched, smallest on ties) and n_matched.
 
     A document is contaminated by an item when at least ``share`` of the item's template windows of 8 words stand in it with
-    consistent slots. Items whose template is shorter than a window cannot be found. Null and empty texts are clean; rows with the same
+    consistent slots, over the whole alignment or ``per_window``. Items whose template is shorter than a window cannot be found. Null and empty texts are clean; rows with the same
     id (or all without one) are judged together; an empty benchmark leaves everything clean; an empty table gives no rows. Columns of
     ``docs`` may have any names: they travel inside ``row``.
     """
     source = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     items = benchmark.select(benchmark[item_col].cast("bigint").alias("doc_id"), benchmark[item_text_col].cast("string").alias("text")).where("doc_id IS NOT NULL")
-    hits = matches(source.select("doc_id", "text"), items).where(F.col("n_matched") >= share * F.col("n_windows"))
+    hits = matches(source.select("doc_id", "text"), items, per_window).where(F.col("n_matched") >= share * F.col("n_windows"))
     best = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.max(F.struct("n_matched", -F.col("item_id"))).alias("best"))
     best = materialize(best.select(F.col("doc_id").alias("hit_id"), "n_items", (-F.col("best.col2")).alias("item_id"), F.col("best.n_matched").cast("long").alias("n_matched")))
     joined = source.join(best, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
