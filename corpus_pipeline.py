@@ -37,7 +37,7 @@ def drop_near_duplicates(spark, docs, sf_dir):
 
 def drop_benchmark_leaks(spark, docs, sf_dir):
     """Operator 8: documents that hold a benchmark item, perhaps with other numbers or names, go."""
-    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), per_window=True).where("NOT contaminated").select("row.*")
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), per_window=True, passages=True).where("NOT contaminated").select("row.*")
 
 
 def pack_sequences(spark, docs, sf_dir):

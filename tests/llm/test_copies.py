@@ -234,6 +234,17 @@ def test_leaks_with_one_value_changed(spark):
     assert got == {0: (True, 7), 1: (True, 7), 2: (True, 8), 3: (False, None)}
 
 
+def test_leaks_of_edited_short_and_partial_items(spark):
+    short = "the old miller walks slowly along a narrow river before every winter and sings of home"
+    long = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    sums = "12 + 5 * 3 = 27"
+    bench = [(1, short), (2, long), (3, sums), (4, "why do cats sleep"), (5, "Yes"), (6, "how many legs have 3 cats")]
+    texts = [f"x y {short.replace('narrow', 'broad')} z", f"x y {' '.join(long.split()[20:33])} z", f"x y {sums} z", "x why do cats sleep z", "x yes z", "Yes!", "x how many legs have 9 cats z",
+             f"x y {' '.join(long.split()[20:32])} z", "x 12 + 5 * 3 = 28 z", f"x y {short.replace('narrow', 'very broad')} z", None, ""]
+    got = found_whole(spark, texts, bench, passages=True)
+    assert [got[k][1] for k in range(12)] == [1, 2, 3, 4, None, 5, 6, None, None, 1, None, None]
+
+
 def test_leaks_in_rough_tables(spark, rough_docs, no_docs, rough):
     passage = rough[-1][1]
     bench = spark.createDataFrame([(1, passage), (2, None), (3, ""), (4, "too short"), (None, passage), (5, passage)], "item_id long, text string")

@@ -15,11 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import U, Words, materialize, span_hashes, text_slices, window_hashes
+from .common import U, Words, materialize, mix, span_hashes, text_slices, window_hashes
 
 WINDOW = 8
 LITERALS = 4  # a window with fewer ordinary words says too little
 SHARE = 0.5
+RUN = 13  # words that say enough when they stand in a document as they are
+SHORT, SHORT_LITERALS = 5, 3  # windows between edits; they must cover SHARE of an item and WINDOW words of it
+CELL = 8  # edits may move an item's words by up to half of this
 BITMAP_BITS = 24
 NUMBER, UNIT, NAME = 1, 2, 3
 # Fixed value: measuring words that a changed question may exchange.
@@ -28,7 +31,7 @@ UNITS = ("mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg l
          "degree degrees celsius fahrenheit meter meters metre metres gram grams kilogram kilograms kilometer kilometers kilometre kilometres hz khz mhz w kw watt watts "
          "j kj joule joules n newton newtons v volt volts").split()
 ORDINALS = ["st", "nd", "rd", "th"]
-FOUND = "h long, doc_id long, pos int, slots array<long>, loose boolean"
+FOUND = "h long, doc_id long, pos int, slots array<long>, loose boolean, rule int, n int"
 PLACEHOLDER = np.array([0x51, 0x6E756D, 0x756E6974, 0x6E616D65], np.uint64) * U(0x9E3779B97F4A7C15)
 
 
@@ -112,13 +115,41 @@ class Template:
         at, twice = np.flatnonzero(ok), np.flatnonzero(ok & (opener[WINDOW:] > opener[:-WINDOW]))
         return np.concatenate((at, twice)), np.concatenate((h[at], window_hashes(self.loose_h, WINDOW)[twice])), np.arange(len(at) + len(twice)) >= len(at)
 
-    def slots(self, at: np.ndarray, loose: bool) -> list[list[int]]:
+    def spans(self, size: int, h: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, hashes) of all runs of ``size`` words inside a text; ``salt`` keeps the hashes of different rules apart."""
+        h = mix(window_hashes(h, size) + U(salt * 1000 + size))
+        at = np.flatnonzero(self.doc[size - 1:] == self.doc[:len(h)]) if len(h) else np.zeros(0, np.int64)
+        return at, h[at]
+
+    def passages(self, lengths: list[int] | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(rule, size, starts, hashes) besides the windows: rule 1 settles a match alone, 2 counts by the words it covers; size 0 has no slots.
+
+        With ``lengths`` also runs of these sizes, for documents. Without, for a benchmark: whole items that have no window. Under LITERALS
+        words only a whole document counts.
+        """
+        yield 1, 0, *self.spans(RUN, self.value, 1)
+        plain = np.concatenate(([0], np.cumsum(self.kind == 0)))
+        at, h = self.spans(SHORT, self.loose_h, 2)
+        enough = plain[at + SHORT] - plain[at] >= SHORT_LITERALS
+        yield 2, SHORT, at[enough], h[enough]
+        alone = np.bincount(self.doc[self.windows()[0]], minlength=len(self.n)) == 0
+        for size in lengths if lengths is not None else np.unique(self.n[alone & (self.n > 0) & (self.n < RUN)]).tolist():
+            for salt, source in ((3, self.value), (4, self.loose_h)):
+                at, h = self.spans(size, source, salt)
+                ok = np.ones(len(at), bool) if lengths is not None else alone[self.doc[at]]
+                if lengths is None or size < LITERALS:
+                    ok &= self.n[self.doc[at]] == size
+                if salt == 4:
+                    ok &= plain[at + size] - plain[at] >= LITERALS
+                yield 1, 0 if salt == 3 else size, at[ok], h[ok]
+
+    def slots(self, at: np.ndarray, loose: bool, size: int = WINDOW) -> list[list[int]]:
         """Values in the placeholders of each window, in the order of the text."""
         kind = self.loose_kind if loose else self.kind
         values = self.value.view(np.int64)
         filled = np.concatenate(([0], np.cumsum(kind > 0)))
         slots = np.flatnonzero(kind > 0)
-        return [values[slots[filled[i]:filled[i + WINDOW]]].tolist() for i in at.tolist()]
+        return [values[slots[filled[i]:filled[i + size]]].tolist() for i in at.tolist()]
 
 
 def _hashes_of(words: list[str]) -> np.ndarray:
@@ -130,20 +161,24 @@ UNIT_HASHES = _hashes_of(UNITS)
 ORDINAL_HASHES = _hashes_of(ORDINALS)
 
 
-def template_windows(texts: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
-    """Windows of rows (doc_id, text); with a bitmap only those that may be in the benchmark."""
+def template_windows(texts: DataFrame, bitmap: np.ndarray | None = None, passages: bool = False, lengths: list[int] | None = None) -> DataFrame:
+    """Windows of rows (doc_id, text), as rule 0, and ``passages``; with a bitmap only those that may be in the benchmark."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
             t = Template(b.column("text"))
             at, h, loose = t.windows()
-            if bitmap is not None:
-                bit = h >> U(64 - BITMAP_BITS)
-                maybe = (bitmap[(bit >> U(6)).astype(np.int64)] >> (bit & U(63))) & U(1) == 1
-                at, h, loose = at[maybe], h[maybe], loose[maybe]
-            slots = t.slots(at[~loose], False) + t.slots(at[loose], True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), b.column("doc_id").take(pa.array(t.doc[at])), pa.array((at - t.first[t.doc[at]]).astype(np.int32)), pa.array(slots, pa.list_(pa.int64())), pa.array(loose)],
-                ["h", "doc_id", "pos", "slots", "loose"])
+            parts = [(0, WINDOW, at[loose == x], h[loose == x], x) for x in (False, True)]
+            parts += [(*p, True) for p in t.passages(lengths)] if passages else []
+            for rule, size, at, h, loose in parts:
+                if bitmap is not None:
+                    bit = h >> U(64 - BITMAP_BITS)
+                    maybe = (bitmap[(bit >> U(6)).astype(np.int64)] >> (bit & U(63))) & U(1) == 1
+                    at, h = at[maybe], h[maybe]
+                doc, n = t.doc[at], len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), b.column("doc_id").take(pa.array(doc)), pa.array((at - t.first[doc]).astype(np.int32)),
+                     pa.array(t.slots(at, loose, size) if size else [[]] * n, pa.list_(pa.int64())), pa.array(np.full(n, loose)), pa.array(np.full(n, rule, np.int32)), pa.array(t.n[doc].astype(np.int32))],
+                    ["h", "doc_id", "pos", "slots", "loose", "rule", "n"])
 
     return texts.mapInArrow(work, FOUND)
 
@@ -164,19 +199,39 @@ def one_to_one(values: str) -> Column:
     return (both == F.size(F.array_distinct(F.transform(values, lambda v: v["asked"])))) & (both == F.size(F.array_distinct(F.transform(values, lambda v: v["slots"]))))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, per_window: bool = False) -> DataFrame:
-    """(doc_id, item_id, n_matched, n_windows) for every document and item with a window in common whose slots are consistent.
+def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, per_window: bool = False, passages: bool = False) -> DataFrame:
+    """(doc_id, item_id, n_matched) for every document and item of which at least ``share`` of the windows match with consistent slots.
 
     Slots are judged over all windows of an alignment, or with ``per_window`` in each window by itself: then a window counts whatever the
-    others hold, and one with the item's own values always does.
+    others hold, and one with the item's own values always does. ``passages`` adds what is found by other rules, perhaps with no window.
     """
-    item = materialize(template_windows(benchmark)).select("h", F.col("doc_id").alias("item_id"), F.col("pos").alias("at"), F.col("slots").alias("asked"), F.col("loose").alias("loose_item"))
-    size = item.groupBy("item_id").agg(F.count_distinct("at").alias("n_windows"))
-    found = template_windows(docs, bitmap_of(item))
-    pairs = found.join(item, "h").where(F.size("slots") == F.size("asked"))
+    every = materialize(template_windows(benchmark, None, passages))
+    item = every.select("h", F.col("doc_id").alias("item_id"), F.col("pos").alias("at"), F.col("slots").alias("asked"), F.col("loose").alias("loose_item"), F.col("rule").alias("item_rule"), F.col("n").alias("n_words"))
+    size = item.where("item_rule = 0").groupBy("item_id").agg(F.count_distinct("at").alias("n_windows"))
+    # fewer than RUN numbers
+    lengths = sorted(r["n"] for r in every.where((F.col("rule") == 1) & (F.col("n") < RUN)).select("n").distinct().collect())
+    found = template_windows(docs, bitmap_of(every), passages, lengths)
+    pairs = found.join(item, "h").where((F.size("slots") == F.size("asked")) & (F.col("rule") == F.col("item_rule")))
+    if passages:
+        pairs = materialize(pairs)
+    by_windows = window_matches(pairs.where("rule = 0"), per_window).join(size, "item_id").where(F.col("n_matched") >= share * F.col("n_windows")).select("doc_id", "item_id", "n_matched")
+    if not passages:
+        return by_windows
+    sound = pairs.withColumn("values", F.arrays_zip("asked", "slots")).where(one_to_one("values"))
+    whole = sound.where("rule = 1").select("doc_id", "item_id")
+    shift = F.col("pos") - F.col("at")
+    cells = F.explode(F.array(F.floor(shift / CELL) * 2, F.floor((shift + CELL // 2) / CELL) * 2 + 1))
+    cover = sound.where("rule = 2").select("doc_id", "item_id", "at", "n_words", cells.alias("cell")).groupBy("doc_id", "item_id", "n_words", "cell").agg(F.collect_set("at").alias("ats"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + SHORT - 1)))))
+    edited = cover.where((covered >= share * F.col("n_words")) & (covered >= WINDOW)).select("doc_id", "item_id")
+    others = whole.unionByName(edited).withColumn("n_matched", F.lit(0))
+    return by_windows.unionByName(others).groupBy("doc_id", "item_id").agg(F.max("n_matched").alias("n_matched"))
+
+
+def window_matches(pairs: DataFrame, per_window: bool) -> DataFrame:
+    """(doc_id, item_id, n_matched) from pairs of windows in common: different windows of the item with consistent slots."""
     if per_window:
-        agreed = pairs.withColumn("values", F.arrays_zip("asked", "slots")).where(one_to_one("values")).groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("n_matched"))
-        return agreed.join(size, "item_id")
+        return pairs.withColumn("values", F.arrays_zip("asked", "slots")).where(one_to_one("values")).groupBy("doc_id", "item_id").agg(F.count_distinct("at").cast("int").alias("n_matched"))
     # an opener read as a name may add a window, but no contradiction to the others
     plain = ~(F.col("loose") | F.col("loose_item"))
     pair = F.arrays_zip("asked", "slots")
@@ -184,22 +239,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, per_window: bool = False) ->
         F.collect_set("at").alias("places"), F.flatten(F.collect_set(pair)).alias("values"),
         F.collect_set(F.when(plain, F.col("at"))).alias("plain_places"), F.flatten(F.collect_set(F.when(plain, pair))).alias("plain_values"))
     kept = aligned.withColumn("places", F.when(one_to_one("values"), F.col("places")).when(one_to_one("plain_values"), F.col("plain_places")))
-    agreed = kept.where("places IS NOT NULL").groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_matched"))
-    return agreed.join(size, "item_id")
+    return kept.where("places IS NOT NULL").groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_matched"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text", per_window: bool = False) -> DataFrame:
+                  item_col: str = "item_id", item_text_col: str = "text", per_window: bool = False, passages: bool = False) -> DataFrame:
     """Every row of ``docs`` as (row), with doc_id, contaminated, n_items, item_id (the best matched, smallest on ties) and n_matched.
 
     A document is contaminated by an item when at least ``share`` of the item's template windows of 8 words stand in it with
-    consistent slots, over the whole alignment or ``per_window``. Items whose template is shorter than a window cannot be found. Null and empty texts are clean; rows with the same
+    consistent slots, over the whole alignment or ``per_window``. Items whose template is shorter than a window cannot be
+    found that way. With ``passages`` a document also counts if 13 words of an item stand in it as they are, if windows of 5 words close
+    together cover ``share`` of an item and 8 words at least, or if it holds the whole of an item that has no window: with the same values,
+    or with other ones if it has 4 ordinary words; an item of under 4 words must be the whole document. ``n_matched`` counts windows of 8
+    words and is 0 where another rule found the item and they fall short of ``share``. Null and empty texts are clean; rows with the same
     id (or all without one) are judged together; an empty benchmark leaves everything clean; an empty table gives no rows. Columns of
     ``docs`` may have any names: they travel inside ``row``.
     """
     source = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     items = benchmark.select(benchmark[item_col].cast("bigint").alias("doc_id"), benchmark[item_text_col].cast("string").alias("text")).where("doc_id IS NOT NULL")
-    hits = matches(source.select("doc_id", "text"), items, per_window).where(F.col("n_matched") >= share * F.col("n_windows"))
+    hits = matches(source.select("doc_id", "text"), items, share, per_window, passages)
     best = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.max(F.struct("n_matched", -F.col("item_id"))).alias("best"))
     best = materialize(best.select(F.col("doc_id").alias("hit_id"), "n_items", (-F.col("best.col2")).alias("item_id"), F.col("best.n_matched").cast("long").alias("n_matched")))
     joined = source.join(best, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")

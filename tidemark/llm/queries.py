@@ -77,7 +77,7 @@ def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    checked = decontam.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"), per_window=True)
+    checked = decontam.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"), per_window=True, passages=True)
     return checked.select("doc_id", "contaminated", "n_items", "item_id", "n_matched")
 
 
