@@ -2,9 +2,9 @@
 
 Winnowing windows are counted in words: a window is the shortest run of lines with at least ``min_words`` words, once from each line
 onwards and once from each line backwards. The line with the smallest hash in a window is its fingerprint, so two documents that share a
-run of that many words share a fingerprint, without exception. Fingerprints that occur at one place only drop out first. Around the
-others the match is extended both ways to the windows they stand for, which are compared by 128-bit hashes of all their lines; every
-later occurrence of a window is deleted. The windows of both directions together cover exactly the repeated runs of ``min_words`` words or
+run of that many words share a fingerprint, without exception. Fingerprints that occur at one place only drop out first. The
+windows of the others are compared by 128-bit hashes of all their lines, not extended line by line or word by word; every later
+occurrence of a window is deleted. The windows of both directions together cover exactly the repeated runs of ``min_words`` words or
 more: a line goes if it lies in some run of that size which an earlier document, or an earlier part of the same one, has as well.
 """
 
