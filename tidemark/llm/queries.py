@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_count, decontam, frames, jaccard, langid, lines, packing, rules, substring, toxicity
+from . import ball_search, bpe_count, decontam, frames, jaccard, langid, lines, packing, reputation, rules, runs, substring, toxicity
 from .common import table
 
 WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -90,6 +92,30 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def turned(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """Where the contract of operator 11 lets a text repeat: in one id of ten, from word ``a`` on with period ``p``."""
+    if doc_id is None:
+        return None
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    return a, 1 + (n - a) // (3 + g % 8)
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.run_digests(runs.periodic_runs(table(spark, folder, "documents"), rewrite=turned))
+
+
+def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return reputation.filter_urls(table(spark, folder, "pages"))
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ball_search.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
@@ -101,6 +127,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_url_filter": op12_url_filter,
+    "op13_ranked_search": op13_ranked_search,
 }
 REPEATS_SQL = f"""
 WITH d AS (SELECT doc_id, {WORDS} AS words FROM documents),
@@ -135,4 +164,6 @@ ORACLE = {
     "op2_substring_dedup": REPEATS_SQL,
     "op10_line_dedup": LINES_SQL,
     "op3_quality_rules": QUALITY_SQL,
+    "op12_url_filter": reputation.url_sql(),
+    "op13_ranked_search": ball_search.SEARCH_SQL,
 }
