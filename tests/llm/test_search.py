@@ -262,7 +262,7 @@ def test_bounds_hold_and_prune(monkeypatch):
         ptr.append(ptr[-1] + len(own))
     term, value = np.concatenate(rows).astype(np.int32), np.concatenate(values)
     make = lambda: ball_search.Rows(np.array(ptr), term.copy(), value.copy())
-    items = ball_search.Rows(np.array([0, 3, 7]), np.array([1, 5, 9, 33, 40, 41, 55], np.int32), np.array([1, 2, 1, 1, 1, 3, 1]))
+    items = ball_search.Rows(np.array([0, 3, 7]), np.concatenate((topics[0][0][:3], topics[1][0][:4])).astype(np.int32), np.array([1, 2, 1, 1, 1, 3, 1]))
     tree = ball_search.BallTree(make(), 360)
     lengths = np.sqrt(np.add.reduceat(items.value.astype(float) ** 2, items.ptr[:-1]))
     dense = np.zeros((2, 360), np.int64)
