@@ -41,3 +41,29 @@ def test_salted_join_equals_plain_join(spark):
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k9", 3)], "k string, x int")
     a, b = left.join(right, "k").orderBy("id").collect(), salted_join(left, right, ["k"]).orderBy("id").collect()
     assert [tuple(r[c] for c in ("id", "k", "t", "v", "x")) for r in a] == [tuple(r[c] for c in ("id", "k", "t", "v", "x")) for r in b]
+
+
+def test_slices_are_found_by_binary_search(spark):
+    import bisect
+    from tidemark.functions.skew import with_slice
+    r = random.Random(8)
+    df = spark.createDataFrame([(i, None if i == 0 else r.randrange(-5, 400)) for i in range(500)], "id int, t bigint")
+    for n in (0, 1, 2, 7, 8, 255, 1000):
+        points = sorted(r.choice([r.randrange(400), r.random() * 400]) for _ in range(n))
+        got = with_slice(df, "t", points).collect()
+        assert all(x._slice == (0 if x.t is None else bisect.bisect_right(points, x.t)) for x in got)
+    many = with_slice(df, "t", order_slices(df, "t", 1000))
+    want = sorted(x for (x,) in df.where("t IS NOT NULL").select("t").collect())
+    cut = [want[max(0, -(-len(want) * i // 1000) - 1)] for i in range(1, 1000)]
+    assert all(x._slice == (0 if x.t is None else bisect.bisect_right(cut, x.t)) for x in many.collect())
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    # one subquery, looked up ten times inside generated code; no copy of the cut points per row
+    assert "Generate" not in plan and "lambda" not in plan and many.columns == ["id", "t", "_slice"]
+
+
+def test_slices_of_an_empty_table(spark):
+    from tidemark.functions.skew import with_slice
+    df = spark.createDataFrame([], "id int, t bigint")
+    assert with_slice(df, "t", order_slices(df, "t", 9)).count() == 0
+    one = spark.createDataFrame([(1, 5)], "id int, t bigint")
+    assert [x._slice for x in with_slice(one, "t", order_slices(df, "t", 9)).collect()] == [0]

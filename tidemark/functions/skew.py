@@ -9,26 +9,50 @@ are computed inside each pair, a tiny per-pair summary carries the totals over t
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def order_slices(df: DataFrame, column: str, slices: int | None = None) -> Column:
-    """Cut points of ``column``, as an array that is computed inside the query: no job runs while the query is built.
+class Cuts(NamedTuple):
+    """Ascending cut points as one array column, and how many there are at most."""
 
-    ``slices`` defaults to the number of shuffle partitions; it does not depend on the size of the table.
-    """
-    slices = slices or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / slices for i in range(1, slices)]
-    return df.agg(F.percentile_approx(F.col(column).cast("double"), shares, 10 * slices)).scalar()
+    points: Column
+    count: int
+
+
+def quantiles(column: str | Column, slices: int) -> Column:
+    """Aggregate: the ``slices - 1`` cut points that part the values into slices of about equal size."""
+    value = F.col(column) if isinstance(column, str) else column
+    return F.percentile_approx(value.cast("double"), [i / slices for i in range(1, slices)], 10 * slices)
+
+
+def slice_count(df: DataFrame) -> int:
+    """Number of slices unless given: that of the shuffle partitions, whatever the size of the table."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def with_slice(df: DataFrame, column: str, cuts: Column | Sequence[float], name: str = "_slice") -> DataFrame:
-    """Number of cut points below or at the value; equal values share a slice, NULL counts as lowest."""
-    points = cuts if isinstance(cuts, Column) else F.array(*[F.lit(float(c)) for c in cuts])
-    value = F.col(column).cast("double")
-    # a subquery may not stand inside a lambda, so the cut points become a column first
-    return df.select("*", F.explode(F.array(points)).alias("_cuts")).withColumn(name, F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= value))).drop("_cuts")
+def order_slices(df: DataFrame, column: str, slices: int | None = None) -> Cuts:
+    """Cut points of ``column``, computed inside the query: no job runs while the query is built."""
+    slices = slices or slice_count(df)
+    return Cuts(df.agg(quantiles(column, slices)).scalar(), slices - 1)
+
+
+def with_slice(df: DataFrame, column: str, cuts: Cuts | Sequence[float], name: str = "_slice") -> DataFrame:
+    """Number of cut points below or at the value; equal values share a slice, NULL counts as lowest.
+
+    A binary search: one projection per bit of the number of cut points, each of which looks at one of them. The array is a constant
+    of the generated code and is dropped in the same stage, so it is neither scanned nor copied into rows.
+    """
+    if not isinstance(cuts, Cuts):
+        cuts = Cuts(F.array(*[F.lit(float(c)) for c in sorted(cuts)]).cast("array<double>"), len(cuts))
+    found = df.select("*", cuts.points.alias("_cuts"), F.col(column).cast("double").alias("_at"), F.lit(0).alias(name))
+    for bit in reversed(range(cuts.count.bit_length())):
+        step = F.lit(1 << bit)
+        # beyond the last cut point there is NULL, and no step is taken
+        further = F.when(F.try_element_at("_cuts", F.col(name) + step) <= F.col("_at"), step).otherwise(F.lit(0))
+        found = found.withColumn(name, F.col(name) + further)
+    return found.drop("_cuts", "_at")
 
 
 def keyed_sequence(
@@ -36,7 +60,7 @@ def keyed_sequence(
     keys: Sequence[str],
     order: Sequence[Column | str],
     *,
-    cuts: Column | Sequence[float] | None = None,
+    cuts: Cuts | Sequence[float] | None = None,
     slice_on: str | None = None,
     row_number: str | None = None,
     lag: Mapping[str, str] | None = None,

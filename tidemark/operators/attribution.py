@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.checks import check_rows, one_row
 from ..functions.exprs import DAY_US, ratio, utc_ntz
-from ..functions.skew import keyed_sequence, order_slices
+from ..functions.skew import Cuts, keyed_sequence, order_slices, quantiles, slice_count
 
 CREDITS = ("credit_first", "credit_last", "credit_decay", "credit_first_nd", "credit_last_nd", "credit_decay_nd")
 MODELS = {"first_touch": "credit_first", "last_touch": "credit_last", "time_decay": "credit_decay"}
 
 
-def order_sequence(orders: DataFrame, cuts: Column | Sequence[float] | None = None) -> DataFrame:
+def order_sequence(orders: DataFrame, cuts: Cuts | Sequence[float] | None = None) -> DataFrame:
     """AT-01: running order number and previous order time of each visitor."""
     cuts = order_slices(orders, "order_us") if cuts is None else cuts
     return keyed_sequence(orders, ["user_pseudo_id"], ["order_us", "transaction_id"], cuts=cuts, slice_on="order_us",
@@ -39,7 +39,7 @@ def session_touches(events: DataFrame, lo: date | Column | None = None, hi: date
     )
 
 
-def journeys(orders: DataFrame, touches: DataFrame, lookback_days: int = 30, cuts: Column | Sequence[float] | None = None) -> DataFrame:
+def journeys(orders: DataFrame, touches: DataFrame, lookback_days: int = 30, cuts: Cuts | Sequence[float] | None = None) -> DataFrame:
     """AT-03: the touches that lead to each order.
 
     A touch belongs to the visitor's next order and to no other one, so no touch x order pairs are formed: orders and
@@ -64,7 +64,7 @@ def journeys(orders: DataFrame, touches: DataFrame, lookback_days: int = 30, cut
     return left.join(right, ["user_pseudo_id", "order_seq"]).where(F.col("touch_us") > F.col("order_us") - lookback_us)
 
 
-def touch_positions(journey: DataFrame, half_life_days: float = 7.0, cuts: Column | Sequence[float] | None = None) -> DataFrame:
+def touch_positions(journey: DataFrame, half_life_days: float = 7.0, cuts: Cuts | Sequence[float] | None = None) -> DataFrame:
     """AT-04: position in the path, path lengths with and without direct visits, decay weights and their sums."""
     cuts = order_slices(journey, "touch_us") if cuts is None else cuts
     weighted = journey.withColumn("decay_w", F.pow(F.lit(0.5), (F.col("order_us") - F.col("touch_us")) / (half_life_days * DAY_US)))
@@ -106,15 +106,18 @@ def path_flags(lookback_days: int, data_start: Column) -> dict[str, Column]:
 
 
 def mart_attribution(orders: DataFrame, events: DataFrame, lookback_days: int = 30, half_life_days: float = 7.0,
-                     cuts: Column | Sequence[float] | None = None) -> DataFrame:
+                     cuts: Cuts | Sequence[float] | None = None) -> DataFrame:
     """AT-09: order x touch with six credits, each adding up to 1 per order."""
     orders = orders.where(F.col("data_source") == "synthetic")
-    cuts = order_slices(events, "event_timestamp") if cuts is None else cuts
-    first, last = orders.agg(F.min("order_date")).scalar(), orders.agg(F.max("order_date")).scalar()
-    touches = session_touches(events, first, last, lookback_days)
+    # one pass over each fact for everything that describes the whole of it
+    slices = slice_count(events)
+    period = orders.agg(F.struct(F.min("order_date").alias("first"), F.max("order_date").alias("last"))).scalar()
+    own = F.col("data_source") == "synthetic"
+    whole = events.agg(F.struct(F.min(F.when(own, F.col("event_dt"))).alias("start"), quantiles("event_timestamp", slices).alias("cuts"))).scalar()
+    cuts = Cuts(whole["cuts"], slices - 1) if cuts is None else cuts
+    touches = session_touches(events, period["first"], period["last"], lookback_days)
     seq = touch_positions(journeys(orders, touches, lookback_days, cuts), half_life_days, cuts)
-    data_start = events.where(F.col("data_source") == "synthetic").agg(F.min("event_dt")).scalar()
-    out = seq.withColumns({**credit_columns(), **path_flags(lookback_days, data_start), "touch_ts": utc_ntz("touch_us")})
+    out = seq.withColumns({**credit_columns(), **path_flags(lookback_days, whole["start"]), "touch_ts": utc_ntz("touch_us")})
     return out.select("order_date", "transaction_id", "order_us", "customer_id", "user_pseudo_id", "item_id", "revenue", "order_seq",
                       "is_repeat", "window_truncated", "touch_seq", "path_len", "touch_us", "touch_ts", "days_before_order", "channel",
                       "utm_campaign", "is_direct", *CREDITS)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.checks import union_all
 from ..functions.exprs import count_rows, local_date, ratio
-from ..functions.skew import keyed_sequence, order_slices
+from ..functions.skew import Cuts, keyed_sequence, order_slices
 
 
 
@@ -229,7 +229,7 @@ def visitor_id_suffix(events: DataFrame) -> DataFrame:
     return verdict(first, "visitor_id_suffix", F.count_if(~F.coalesce(suffix == F.floor(F.col("us") / 1_000_000), F.lit(False))))
 
 
-def session_rules(sessions: DataFrame, gap_seconds: int = 1800, cuts: Column | Sequence[float] | None = None) -> DataFrame:
+def session_rules(sessions: DataFrame, gap_seconds: int = 1800, cuts: Cuts | Sequence[float] | None = None) -> DataFrame:
     """DQ-12: (visitor, session id) occurs once, and a visitor's sessions start more than 30 minutes apart.
 
     ``sessions`` is (user_pseudo_id, ga_session_id) with the session id being its start in seconds.

@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.checks import check_rows, one_row, union_all
 from ..functions.exprs import count_rows, ratio
@@ -53,44 +50,102 @@ def feature_names(features: DataFrame) -> list[str]:
 
 @dataclass(frozen=True)
 class SegmentModel:
-    pipeline: PipelineModel
+    """Scaling and centres of a fitted segmentation; everything that assignment needs, k x features numbers."""
+
     names: tuple[str, ...]
+    means: tuple[float, ...]
+    scales: tuple[float, ...]  # 0 where a feature never varies
+    centers: tuple[tuple[float, ...], ...]
 
-    @property
-    def centers(self) -> list[list[float]]:
-        return [[float(v) for v in c] for c in self.pipeline.stages[-1].clusterCenters()]
+    def scaled(self) -> Column:
+        """Standardised features as an array; a missing value counts as the mean."""
+        return F.array(*[F.coalesce((F.col(n).cast("double") - m) * v, F.lit(0.0)) for n, m, v in zip(self.names, self.means, self.scales)])
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The model as a relation: one row per centre and feature."""
+        rows = [(i + 1, j + 1, n, self.means[j], self.scales[j], c[j]) for i, c in enumerate(self.centers) for j, n in enumerate(self.names)]
+        return spark.createDataFrame(rows, "centroid_id int, position int, feature string, mean double, scale double, center double")
 
-def _numeric(features: DataFrame, names: Sequence[str]) -> DataFrame:
-    return features.withColumns({f"x_{n}": F.col(n).cast("double") for n in names})
+    @classmethod
+    def from_table(cls, table: DataFrame) -> SegmentModel:
+        rows = table.orderBy("centroid_id", "position").collect()
+        first = [r for r in rows if r.centroid_id == 1]
+        centers = tuple(tuple(r.center for r in rows if r.centroid_id == i) for i in sorted({r.centroid_id for r in rows}))
+        return cls(tuple(r.feature for r in first), tuple(r.mean for r in first), tuple(r.scale for r in first), centers)
 
 
-def fit_segments(features: DataFrame, k: int = 4, seed: int = 11, observed_only: bool = True, names: Sequence[str] | None = None) -> SegmentModel:
-    """G-02: standardised k-means (parallel k-means++ start); missing values are replaced by the column mean."""
-    names = list(names or feature_names(features))
-    train = features.where("observed_30d") if observed_only else features
-    xs = [f"x_{n}" for n in names]
-    stages = [
-        Imputer(inputCols=xs, outputCols=[f"{x}_i" for x in xs]),
-        VectorAssembler(inputCols=[f"{x}_i" for x in xs], outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
-        KMeans(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster", initMode="k-means||", maxIter=20),
-    ]
-    return SegmentModel(Pipeline(stages=stages).fit(_numeric(train, names)), tuple(names))
+def _squared(v: str, center: Sequence[float]) -> Column:
+    return reduce(lambda a, b: a + b, [(F.col(v)[j] - x) * (F.col(v)[j] - x) for j, x in enumerate(center)])
+
+
+def _nearest(points: DataFrame, centers: Sequence[Sequence[float]], v: str = "_v") -> DataFrame:
+    """``_c`` (from 1; of equally near centres the first) and ``_d2``, the squared distance to it."""
+    every = points.withColumn("_all", F.array(*[_squared(v, c) for c in centers])).withColumn("_d2", F.array_min("_all"))
+    return every.withColumn("_c", F.array_position("_all", F.col("_d2")).cast("int")).drop("_all")
 
 
-def _distance(v: Column, center: Sequence[float]) -> Column:
-    squared = F.zip_with(v, F.array(*[F.lit(x) for x in center]), lambda a, b: (a - b) * (a - b))
-    return F.sqrt(F.aggregate(squared, F.lit(0.0), lambda acc, x: acc + x))
+def _race(seed: int, step: int) -> Column:
+    """Exponential number of a customer and step, the same on every machine and in every partitioning."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(step), F.col("customer_id")).cast("binary")), 1, 13)
+    return -F.log((F.conv(digits, 16, 10).cast("double") + 1) / (16.0**13 + 1))
+
+
+def fit_segments(features: DataFrame, k: int = 4, seed: int = 11, observed_only: bool = True, names: Sequence[str] | None = None, rounds: int = 20) -> SegmentModel:
+    """G-02: k-means on standardised features, started by k-means++.
+
+    A starting centre is drawn in proportion to the squared distance from those already drawn. Each draw is a race: every customer has an
+    exponential number, hashed from seed, step and id, divided by its squared distance, and the smallest wins; that is one aggregate
+    per centre, and neither partitioning nor row order has a say. Every round of Lloyd's algorithm is one aggregate into k rows. Fewer
+    different customers than ``k`` give fewer centres; a centre that loses all customers stays where it is. ``features`` are read once per round:
+    hand in a written table.
+    """
+    names = tuple(names or feature_names(features))
+    train = features.where("observed_30d") if observed_only else features
+    double = [F.col(n).cast("double") for n in names]
+    stats = train.agg(*[F.avg(c) for c in double], *[F.stddev_samp(c) for c in double]).first()
+    means = tuple(m or 0.0 for m in stats[:len(names)])
+    scales = tuple(1 / v if v else 0.0 for v in stats[len(names):])
+    base = SegmentModel(names, means, scales, ())
+    points = train.select("customer_id", base.scaled().alias("_v"))
+    centers: list[tuple[float, ...]] = []
+    for step in range(k):
+        at = _nearest(points, centers).where("_d2 > 0") if centers else points.withColumn("_d2", F.lit(1.0))
+        drawn = at.agg(F.min_by("_v", F.struct(_race(seed, step) / F.col("_d2"), "customer_id"))).first()[0]
+        if drawn is None:
+            break
+        centers.append(tuple(drawn))
+    for _ in range(rounds if centers else 0):
+        means_of = [F.avg(F.col("_v")[j]) for j in range(len(names))]
+        moved = list(centers)
+        for row in _nearest(points, centers).groupBy("_c").agg(*means_of).collect():
+            moved[row[0] - 1] = tuple(row[1:])
+        still = max(abs(a - b) for old, new in zip(centers, moved) for a, b in zip(old, new)) < 1e-12
+        centers = moved
+        if still:
+            break
+    return SegmentModel(names, means, scales, tuple(centers))
 
 
 def assign_segments(model: SegmentModel, features: DataFrame) -> DataFrame:
-    """G-03: nearest centroid (numbered from 1) and its distance for all customers."""
-    scored = model.pipeline.transform(_numeric(features, model.names)).withColumn("_v", vector_to_array("scaled"))
-    d = F.lit(None).cast("double")
-    for i, center in enumerate(model.centers):
-        d = F.when(F.col("cluster") == i, _distance(F.col("_v"), center)).otherwise(d)
-    return scored.select("customer_id", "observed_30d", (F.col("cluster") + 1).alias("centroid_id"), d.alias("distance"))
+    """G-03: nearest centroid (numbered from 1) and its distance for all customers; both NULL if the model has no centre."""
+    if not model.centers:
+        return features.select("customer_id", "observed_30d", F.lit(None).cast("int").alias("centroid_id"), F.lit(None).cast("double").alias("distance"))
+    near = _nearest(features.withColumn("_v", model.scaled()), model.centers)
+    return near.select("customer_id", "observed_30d", F.col("_c").alias("centroid_id"), F.sqrt("_d2").alias("distance"))
+
+
+def assignment_certificate(model: DataFrame, features: DataFrame, segments: DataFrame) -> DataFrame:
+    """Counts that must be 0 for a right assignment, from the saved model table and features alone, centre by centre in rows.
+
+    ``unlisted``: a segment that the model does not have; ``not_nearest``: another centre is nearer by more than rounding; ``wrong_distance``.
+    """
+    long = features.select("customer_id", F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("x")) for n in feature_names(features)])))
+    part = F.pow(F.coalesce((F.col("x") - F.col("mean")) * F.col("scale"), F.lit(0.0)) - F.col("center"), 2)
+    apart = long.join(F.broadcast(model), "feature").groupBy("customer_id", "centroid_id").agg(F.sqrt(F.sum(part)).alias("d"))
+    judged = segments.join(apart.withColumnRenamed("centroid_id", "other"), "customer_id").groupBy("customer_id").agg(
+        F.first("centroid_id").alias("c"), F.first("distance").alias("own"), F.min("d").alias("least"), F.max(F.when(F.col("other") == F.col("centroid_id"), F.col("d"))).alias("listed"))
+    return judged.agg(count_rows().alias("customers"), F.count_if(F.col("listed").isNull()).alias("unlisted"), F.count_if(F.col("listed") > F.col("least") + 1e-9).alias("not_nearest"),
+                      F.count_if(F.abs(F.col("listed") - F.col("own")) > 1e-6).alias("wrong_distance"))
 
 
 def cluster_profile(segments: DataFrame, features: DataFrame) -> DataFrame:

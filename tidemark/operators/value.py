@@ -11,7 +11,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.checks import check_rows, one_row, union_all
-from ..functions.exprs import count_rows, oldest, ratio
+from ..functions.exprs import count_rows, money, oldest, ratio
 
 FIRST = {"order_date": "first_order_date", "item_id": "first_item_id", "quantity": "first_qty", "revenue": "first_revenue", "utm_source": "first_source",
          "utm_medium": "first_medium", "utm_campaign": "first_campaign"}
@@ -59,31 +59,55 @@ def chronological_split(labeled: DataFrame, train_share: float = 0.8) -> DataFra
 
 CATEGORICAL = ("first_item_id", "first_source", "first_medium")
 NUMERIC = ("first_qty", "first_revenue")
+RIDGE = 1e-4
+LEVEL_ROWS = 5
 
 
 def fit_ltv(features: DataFrame, with_campaign: bool = False) -> PipelineModel:
-    """L-04: one-hot encoded categories and amounts, least squares on the training part; unseen categories get no effect."""
+    """L-04: one-hot encoded categories and amounts, least squares on the training part; unseen categories get no effect.
+
+    The normal equations are solved as a whole. ``RIDGE``, on the scale of standardised inputs and label, makes them regular although the categories of one
+    column add up to 1; it also keeps the solution the same in every partitioning, up to rounding.
+    """
     cats = [*CATEGORICAL, *(["first_campaign"] if with_campaign else [])]
     train = _model_input(features).where("label_complete and not is_eval")
+    # the solver divides its parameter by the deviation of the label
+    scale = train.agg(F.stddev_pop("label")).first()[0] or 1.0
     stages = [
-        StringIndexer(inputCols=cats, outputCols=[f"{c}_i" for c in cats], handleInvalid="keep"),
+        StringIndexer(inputCols=[f"{c}_k" for c in cats], outputCols=[f"{c}_i" for c in cats], handleInvalid="keep"),
         OneHotEncoder(inputCols=[f"{c}_i" for c in cats], outputCols=[f"{c}_v" for c in cats], handleInvalid="keep"),
         Imputer(inputCols=[f"{c}_d" for c in NUMERIC], outputCols=[f"{c}_x" for c in NUMERIC]),
         VectorAssembler(inputCols=[*[f"{c}_v" for c in cats], *[f"{c}_x" for c in NUMERIC]], outputCol="x"),
-        LinearRegression(featuresCol="x", labelCol="label", predictionCol="predicted", solver="l-bfgs", regParam=1e-6, maxIter=500, tol=1e-9),
+        LinearRegression(featuresCol="x", labelCol="label", predictionCol="predicted", solver="normal", regParam=RIDGE * scale),
     ]
     return Pipeline(stages=stages).fit(train)
 
 
 def _model_input(features: DataFrame) -> DataFrame:
     return features.withColumns({"label": F.col("future_revenue_30d").cast("double"), **{f"{c}_d": F.col(c).cast("double") for c in NUMERIC},
-                                 **{c: F.coalesce(c, F.lit("(none)")) for c in (*CATEGORICAL, "first_campaign")}})
+                                 **{f"{c}_k": F.coalesce(c, F.lit("(none)")) for c in (*CATEGORICAL, "first_campaign")}})
 
 
 def predict(model: PipelineModel, features: DataFrame) -> DataFrame:
     return model.transform(_model_input(features)).select(*features.columns, "predicted")
 
 
+def regression_certificate(predicted: DataFrame, cats: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """Correlation of the training residuals with each input, which least squares makes 0 but for ``RIDGE``, and their mean.
+
+    One row per amount, and per category with at least ``LEVEL_ROWS`` training rows; computed from the saved predictions alone.
+    """
+    train = _model_input(predicted).where("label_complete and not is_eval").withColumn("r", F.col("label") - F.col("predicted"))
+    whole = train.agg(F.struct(count_rows().alias("n"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("dev"))).scalar()
+    tied = lambda x: F.round(F.abs(x), 2) < 0.01
+    amounts = train.agg(F.array(*[F.struct(F.lit(c).alias("input"), F.corr(F.coalesce(F.col(f"{c}_d"), F.lit(0.0)), F.col("r")).alias("corr")) for c in NUMERIC]).alias("a")).select(F.inline("a"))
+    level = F.explode(F.array(*[F.concat_ws("=", F.lit(c), F.col(f"{c}_k")) for c in cats])).alias("input")
+    share = F.col("n") / F.col("w.n")
+    levels = train.select(level, "r").groupBy("input").agg(count_rows().alias("n"), F.sum("r").alias("s")).withColumn("w", whole).where(F.col("n").between(LEVEL_ROWS, F.col("w.n") - LEVEL_ROWS))
+    corr = (F.col("s") / F.col("w.n") - share * F.col("w.mean")) / F.sqrt(share * (1 - share)) / F.col("w.dev")
+    return union_all([amounts, levels.select("input", corr.alias("corr"))]).select("input", tied(F.col("corr")).alias("orthogonal"))
+
+
 def regression_metrics(predicted: DataFrame) -> DataFrame:
     """L-05: on the evaluation part; the median is a mergeable sketch."""
     y, p = F.col("future_revenue_30d").cast("double"), F.col("predicted")
@@ -119,13 +143,18 @@ def predict_ltv(predicted: DataFrame) -> DataFrame:
         F.when(F.col("label_complete"), F.col("future_revenue_30d")).alias("actual_revenue_30d"))
 
 
+def _mean(c: str) -> Column:
+    """Mean of amounts in cents or tenths: their sum is exact, so that the order of rows cannot decide how a tie is rounded."""
+    return F.sum(money(c)).cast("double") / F.count(c)
+
+
 def value_to_cost(ltv: DataFrame, features: DataFrame, ads: DataFrame, channel: Column, channels: Sequence[str], start: date, end: date) -> DataFrame:
     """L-08: new customers, spend, cost per customer and expected value per channel and campaign."""
     new = ltv.where("scope = 'new'").join(features.select("customer_id", "first_revenue"), "customer_id") \
         .select(channel.alias("channel"), F.col("first_campaign").alias("utm_campaign"), "first_revenue", "predicted_revenue_30d")
     per = new.where(F.col("channel").isin(list(channels))).groupBy("channel", "utm_campaign").agg(
-        count_rows().alias("new_customers"), F.round(F.avg(F.col("first_revenue").cast("double"))).alias("avg_first_order"),
-        F.round(F.avg(F.col("predicted_revenue_30d").cast("double"))).alias("avg_pred_30d"))
+        count_rows().alias("new_customers"), F.round(_mean("first_revenue")).alias("avg_first_order"),
+        F.round(_mean("predicted_revenue_30d")).alias("avg_pred_30d"))
     spend = ads.where(F.col("date").between(F.lit(start), F.lit(end))).groupBy("channel", "utm_campaign").agg(F.sum("cost").cast("double").alias("cost"))
     each = F.col("cost") / F.col("new_customers")
     value = F.col("avg_first_order") + F.col("avg_pred_30d")
@@ -145,15 +174,14 @@ def unseen_category_effect(with_campaign: DataFrame, without: DataFrame) -> Data
 def value_by_truth(ltv: DataFrame, truth: DataFrame) -> DataFrame:
     """L-10, first table."""
     a = F.col("actual_revenue_30d")
-    d = lambda c: F.avg(F.col(c).cast("double"))
     return ltv.join(truth, "customer_id").groupBy("scope", "segment").agg(
-        count_rows().alias("customers"), F.round(d("predicted_revenue_30d"), 1).alias("avg_pred"), F.round(d("actual_revenue_30d"), 1).alias("avg_actual"),
+        count_rows().alias("customers"), F.round(_mean("predicted_revenue_30d"), 1).alias("avg_pred"), F.round(_mean("actual_revenue_30d"), 1).alias("avg_actual"),
         F.round(ratio(F.count_if(a > 0), F.count(a)), 3).alias("repeat_rate"))
 
 
 def value_by_item_and_truth(ltv: DataFrame, truth: DataFrame) -> DataFrame:
     return ltv.join(truth, "customer_id").groupBy("first_item_id", "segment").agg(
-        count_rows().alias("customers"), F.round(F.avg(F.col("predicted_revenue_30d").cast("double")), 1).alias("avg_pred"))
+        count_rows().alias("customers"), F.round(_mean("predicted_revenue_30d"), 1).alias("avg_pred"))
 
 
 def features_summary(features: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ class NoSharedFolder(RuntimeError):
     pass
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below the shared folder that ``spark.checkpoint.dir`` names.
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names.
 
     Only in local mode, where one machine is everything, may the setting be missing; on a cluster a local folder would silently hold
     a part of the rows on each machine.
@@ -26,8 +26,12 @@ def scratch_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise NoSharedFolder("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = shared.rstrip("/") if shared else _local_scratch()
-    return f"{root}/{uuid.uuid4().hex}"
+    return shared.rstrip("/") if shared else _local_scratch()
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A fresh folder below the shared one."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
 @functools.cache
