@@ -53,6 +53,23 @@ def test_toxicity_reads_the_end_of_long_texts(spark, scored):
     assert scores[1] > 0.7 > scores[0] and scores[0] == scores[6] == scores[7] and len(set(scores[[2, 3, 4, 5]])) == 1
 
 
+def test_scores_do_not_depend_on_the_batch(spark, scored):
+    rows, docs, labels, held, got = scored
+    net = toxicity.fit(docs, labels, held)
+    texts = [t for _, t, _ in rows] + [None, "", prose(random.Random(3), 6000)]
+    whole = toxicity.scores_of(net, pa.array(texts, pa.string()))
+    for size in (1, 7, 64):
+        parts = [toxicity.scores_of(net, pa.array(texts[i:i + size], pa.string())) for i in range(0, len(texts), size)]
+        assert np.concatenate(parts).tolist() == whole.tolist()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        again = {r.doc_id: r for r in toxicity.score_toxicity(docs.repartition(7), labels, held).collect()}
+        kept = {r.doc_id for r in toxicity.keep_clean(docs, labels, held).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert again == got and kept == {i for i, r in got.items() if not r.predicted}
+
+
 @pytest.mark.parametrize("joint", [".", "_", "-", "\u00a0", "\u3000", ""])
 def test_toxicity_reads_the_end_of_long_words(scored, joint):
     _, docs, labels, held, _ = scored

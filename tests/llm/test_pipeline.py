@@ -25,7 +25,7 @@ def documents(spark):
 
 def test_every_operator_has_one_query():
     numbers = Counter(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == Counter(range(1, 11)) and set(queries.ORACLE) <= set(queries.QUERIES)
+    assert numbers == Counter(range(1, 14)) and set(queries.ORACLE) <= set(queries.QUERIES)
 
 
 @needs_tables

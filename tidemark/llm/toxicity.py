@@ -30,6 +30,8 @@ PIECE, STEP = 16, 12  # pieces overlap by the longest n-gram
 TRAIN_PER_CLASS = 1000
 TRAIN_WORDS = 1000  # only texts of at most so many words are drawn for training
 SLICE = 1 << 20
+BLOCK, INPUTS = 2048, 4096  # windows and distinct words that are always computed together
+DIGITS = 6
 
 
 def unicode_spaces(data: np.ndarray) -> np.ndarray:
@@ -231,17 +233,26 @@ class Network:
             g |= {f"rec_{side}": d_rec, f"in_{side}": d_in, f"off_{side}": d_off}
         return g, d_x[:-1]
 
-    def score(self, texts: pa.Array, batch: int = 2048) -> np.ndarray:
-        """Largest window probability of each text; a text without words has the probability of an empty window."""
+    def score(self, texts: pa.Array) -> np.ndarray:
+        """Largest window probability of each text; a text without words has the probability of an empty window.
+
+        Matrix products round differently in other shapes, so words and windows are always computed in blocks of one size, the last one filled
+        up, and the result is rounded: a text's score does not depend on the texts that share its batch.
+        """
         t = Tokens(texts)
         windows, doc = t.windows()
         best = np.full(len(texts), self.p["bias"][0], np.float32)
         if len(windows):
-            gates = self.gate_inputs(self.inputs(t))
-            logit = np.concatenate([self.forward(gates, windows[i:i + batch]) for i in range(0, len(windows), batch)])
+            x = self.inputs(t)
+            filled = np.concatenate((x, np.zeros((-len(x) % INPUTS, x.shape[1]), np.float32)))
+            parts = [self.gate_inputs(filled[i:i + INPUTS]) for i in range(0, len(filled), INPUTS)]
+            # the last row of each part is that of a place past the end
+            gates = {side: np.concatenate([part[side][:-1] for part in parts][:-1] + [parts[-1][side]]) for side in "fb"}
+            full = np.concatenate((windows, np.full((-len(windows) % BLOCK, windows.shape[1]), -1, windows.dtype)))
+            logit = np.concatenate([self.forward(gates, full[i:i + BLOCK]) for i in range(0, len(full), BLOCK)])[:len(windows)]
             has = t.n > 0
             best[has] = np.maximum.reduceat(logit, np.searchsorted(doc, np.flatnonzero(has)))
-        return sigmoid(best.astype(np.float64))
+        return np.round(sigmoid(best.astype(np.float64)), DIGITS)
 
 
 def train(texts: list[str], labels: list[int], epochs: int = 6, steps: int = 150, batch: int = 48, rate: float = 0.02, top: int = 6, seed: int = 11) -> Network | None:
@@ -354,12 +365,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None =
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, threshold: float = 0.7, text_col: str = "text", **fitting) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; all columns, and nothing is shuffled."""
+    """``docs`` without the rows that score ``threshold`` or more; all columns, and nothing is shuffled.
+
+    Only the text travels to Python; the rows wait in the JVM for their verdicts. Scores are those of ``score_toxicity``: null, empty and wordless
+    texts have that of an empty window, repeated rows stay or go together, null ids are no different from others, an empty table stays empty.
+    """
     net = fit(docs, labels, held_out, text_col=text_col, **fitting)
-    where = docs.columns.index(text_col)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(scores_of(net, b.column(where)) < threshold))
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            yield pa.array(scores_of(net, text) < threshold)
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.where(clean(docs[text_col].cast("string")))
