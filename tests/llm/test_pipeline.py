@@ -137,6 +137,21 @@ def test_pipeline_stages(spark, folder):
     assert sorted(map(key, run)) == sorted(map(key, rows))
 
 
+def test_one_id_with_two_texts(spark, folder):
+    d, _ = folder
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(1, a), (1, b), (2, c), (2, c), (3, a), (4, None), (4, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    stages = dict(corpus_pipeline.STAGES)
+    assert kept(stages["toxicity"](spark, docs, d)) == Counter(rows)
+    assert kept(stages["jaccard_join"](spark, docs, d)) == Counter([(1, a), (1, b), (2, c), (4, None), (4, ""), (None, a), (None, a)])
+    assert kept(stages["decontamination"](spark, docs, d)) == Counter(rows)
+    packed = stages["packing"](spark, docs, d).collect()
+    check_packing(packed, list(zip([i for i, _ in rows], ids(BYTE, [t or "" for _, t in rows], 0))), 2048)
+
+
 def test_pipeline_of_nothing(spark, folder, tmp_path):
     d, _ = folder
     for t in ("documents", "labels", "benchmark"):

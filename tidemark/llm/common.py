@@ -15,6 +15,7 @@ from tidemark.sources.io import materialize, scratch_dir
 __all__ = ["materialize", "scratch_dir", "table", "only", "text_slices", "hash_words", "mix", "window_hashes", "Words", "total_bytes", "spaces"]
 
 SLICE_BYTES = 2 << 20
+KEPT_POWERS = 1 << 19
 U = np.uint64
 _INVERSE = {}
 
@@ -72,7 +73,7 @@ def _powers(lane: int, n: int, inverse: bool = False) -> np.ndarray:
     if have is None or len(have) < n:
         base = _lane(lane)[2 if inverse else 1]
         have = np.concatenate(([U(1)], np.cumprod(np.full(n - 1, base, np.uint64)))) if n > 1 else np.ones(1, np.uint64)
-        if n <= SLICE_BYTES + 65536:
+        if n <= KEPT_POWERS:
             _POWERS[(lane, inverse)] = have
     return have[:n]
 
