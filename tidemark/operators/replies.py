@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import text as tx
 from ..functions.checks import check_rows, one_row, union_all
 from ..functions.exprs import count_rows, expand_once, newest, ratio
+from .reply_json import SHAPES, read_reply
 
 
-# The options an answer may take.
+# The options an answer may take, the least length of a description.
 OPTIONS = {"cta_position": ("center", "bottom_right", "none"), "dominant_color": ("warm", "cool", "neutral"), "text_density": ("low", "high")}
 CITED = ("person", "cta", "warm", "text")
 FIELDS = ("has_person", "cta_position", "dominant_color", "text_density", "headline")
 OUTPUT_CAP = 256
+SHORTEST_DESCRIPTION = 20
 TWD = 32.0
 
 LOG_SCHEMAS = {
@@ -49,22 +51,45 @@ def reply_log(spark: SparkSession, name: str) -> DataFrame:
 
 # ---- reading replies ------------------------------------------------------------------------------------------------------
 
+# Members of the replies and of their usage records.
 FEATURE_JSON = "has_person string, cta_position string, dominant_color string, text_density string, headline string"
 USAGE_PATHS = {"prompt_tokens": "prompt_token_count", "output_tokens": "candidates_token_count", "thoughts_tokens": "thoughts_token_count", "cached_tokens": "cached_content_token_count"}
 
 
 def parse_reply(responses: DataFrame, task: str = "features", result: str = "result", full: str = "full_response") -> DataFrame:
-    """R-27: raw response to typed log columns and an ``ok`` flag; truncated or malformed JSON gives NULLs and ok = false."""
+    """R-27: raw response to typed log columns and an ``ok`` flag.
+
+    Tasks are ``features``, ``structured`` (with ``raw_output``), ``describe`` (free text), ``drafts`` and ``gaps`` (``found``, the gaps as structs, and their
+    number). ``features`` is read strictly: malformed or truncated JSON gives NULLs. The others go through ``read_reply``, keep what a broken reply
+    still holds and say so in ``reply_state``; only whole replies are ``ok``.
+    """
     usage = {n: F.get_json_object(full, f"$.usage_metadata.{k}").try_cast("bigint") for n, k in USAGE_PATHS.items()}
     out = responses.withColumns({**usage, "finish_reason": F.get_json_object(full, "$.candidates[0].finish_reason")})
     sound = (F.col("status") == "") & (F.coalesce("finish_reason", F.lit("")) != "MAX_TOKENS")
     if task == "features":
         out = expand_once(out, F.from_json(result, FEATURE_JSON)).withColumn("has_person", F.col("has_person").try_cast("boolean"))
         return out.withColumn("ok", F.coalesce(complete() & in_option() & sound, F.lit(False)))
+    if task == "describe":
+        long = F.char_length(F.trim(result)) >= SHORTEST_DESCRIPTION
+        return out.withColumn("description", F.trim(result)).withColumn("ok", F.coalesce(long & sound, F.lit(False)))
+    if task not in SHAPES:
+        raise ValueError(f"task must be one of {sorted([*SHAPES, 'describe'])}")
+    out = read_reply(out, SHAPES[task], result)
+    sound = sound & (F.col("reply_state") == "whole")
     if task == "gaps":
-        gaps = F.from_json(result, "gaps array<string>")["gaps"]
-        return out.withColumn("gaps", F.when(gaps.isNotNull(), F.size(gaps)).cast("bigint")).withColumn("ok", F.coalesce(gaps.isNotNull() & sound, F.lit(False)))
-    raise ValueError(task)
+        return out.withColumnRenamed("gaps", "found").withColumn("gaps", F.size("found").cast("bigint")).withColumn("gaps", F.when(F.col("found").isNotNull(), F.col("gaps"))) \
+            .withColumn("ok", F.coalesce(F.col("found").isNotNull() & sound, F.lit(False)))
+    out = out.withColumn("has_person", F.col("has_person").try_cast("boolean"))
+    if task == "structured":
+        return out.withColumn("raw_output", F.col(result)).withColumn("ok", F.coalesce(complete() & in_option() & sound, F.lit(False)))
+    out = out.withColumn("cited_ratio", F.col("cited_ratio").try_cast("double"))
+    return out.withColumn("ok", F.coalesce(draft_done() & sound, F.lit(False)))
+
+
+def draft_done() -> Column:
+    """A draft that can be used: text, button, person and ratio are there and every choice is inside its options."""
+    filled = (F.col("headline") != "") & F.col("cta_text").isNotNull() & F.col("has_person").isNotNull() & F.col("cited_ratio").isNotNull()
+    return F.coalesce((F.col("status") == "") & filled & in_option() & F.col("cited_feature").isin(list(CITED)), F.lit(False))
 
 
 def complete() -> Column:

@@ -24,6 +24,13 @@ def ledger(s, d):
     return r.append_usage(x, r.reply_log(s, "usage"), JOB, "Day 16", resolution=F.col("resolution"))
 
 
+CALL = ["event_id", "run_id", "creative_id", "status", "finish_reason", "prompt_tokens", "output_tokens", "thoughts_tokens", "cached_tokens"]
+
+
+def _gap_replies(s, d):
+    return r.parse_reply(a.gap_replies(s, d), "gaps")
+
+
 def picked(s, d):
     x = log(s, d)
     low = r.latest_success(x.where("resolution = 'low'"), r.complete(), ["creative_id"])
@@ -127,6 +134,14 @@ CTES["rlog"] = f"""
           ({_L(a.REPLY_DENSITY)})[(k // 2) % 2 + 1] AS density, CASE WHEN k % 23 = 0 THEN '' ELSE 'H ' || (user_id % 5) END AS head, 'r' || strftime(ts, '%Y%m%d') AS run_id,
           CASE WHEN event_id % 3 = 0 THEN 'low' ELSE 'default' END AS resolution, CASE WHEN event_id % 5 = 0 THEN 'response_schema' ELSE 'output_schema' END AS method, 'm' || (k % 2) AS model,
           'c' || user_id AS creative_id, epoch_us(ts) AS created_us, CASE WHEN k % 31 = 0 THEN 'ERROR' ELSE '' END AS status FROM (SELECT *, {K} AS k FROM events))"""
+CTES["sent"] = f"""
+  SELECT event_id, run_id, l.creative_id, status, finish_reason, prompt_tokens, output_tokens, thoughts_tokens, cached_tokens, user_id AS u, k,
+    CASE event_id % 8 WHEN 5 THEN 'recovered' WHEN 6 THEN 'recovered' WHEN 7 THEN 'malformed' ELSE 'whole' END AS reply_state, event_id % 8 < 5 AS whole, event_id % 8 < 7 AS held, status = '' AND finish_reason <> 'MAX_TOKENS' AS sound
+  FROM rlog l JOIN (SELECT event_id, user_id, {K} AS k FROM events) e USING (event_id)"""
+CTES["sent_gaps"] = f"""
+  SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY j) - 1 AS pos, ({_L(a.GAP_KINDS)})[(u + j) % 7 + 1] AS gap_type, '}} "' || ({_L(a.GAP_WORDS)})[(u + j) % 5 + 1] || '" ] \\ ,' AS ad_text, 'e' || k AS page_evidence
+  FROM sent, (SELECT unnest([0, 1, 2]) AS j) WHERE held AND CASE j WHEN 0 THEN k % 3 > 0 WHEN 1 THEN k % 2 = 0 ELSE k % 5 = 0 END"""
+_CALL = "event_id, run_id, creative_id, status, finish_reason, prompt_tokens, output_tokens, thoughts_tokens, cached_tokens"
 _COMPLETE = "(status = '' AND has_person IS NOT NULL AND cta_position IS NOT NULL AND dominant_color IS NOT NULL AND text_density IS NOT NULL AND coalesce(headline, '') <> '')"
 _INOPT = "coalesce(cta_position IN ('center', 'bottom_right', 'none') AND dominant_color IN ('warm', 'cool', 'neutral') AND text_density IN ('low', 'high'), false)"
 CTES["best"] = f"""
@@ -207,6 +222,11 @@ QUERIES = {
     "r25_term_counts": lambda s, d: r.term_counts(drafts(s, d)),
     "r25_puffery_words": lambda s, d: r.puffery_words(drafts(s, d)),
     "r26_claim_hits_by_lexicon": lambda s, d: r.claim_hits_by_lexicon(a.draft_log(s, d).where("cta_text is not null"), LEX),
+    "r27_gap_replies": lambda s, d: _gap_replies(s, d).select(*CALL, F.array_join("ad_texts", "/").alias("ad_texts"), "gaps", "reply_state", "ok"),
+    "r27_gap_elements": lambda s, d: _gap_replies(s, d).select("event_id", F.posexplode("found")).select("event_id", "pos", "col.*"),
+    "r27_draft_replies": lambda s, d: r.parse_reply(a.draft_replies(s, d), "drafts").select(*CALL, *r.SHAPES["drafts"].members, "reply_state", "ok"),
+    "r27_structured_replies": lambda s, d: r.parse_reply(a.structured_replies(s, d), "structured").select(*CALL, *r.FIELDS, F.length("raw_output").alias("raw_length"), "reply_state", "ok"),
+    "r27_describe_replies": lambda s, d: r.parse_reply(a.describe_replies(s, d), "describe").select(*CALL, "description", "ok"),
     "r27_parse_reply": lambda s, d: log(s, d).drop("result", "full_response"),
     "r29_request_grid": lambda s, d: r.request_grid(truth(s, d).select("creative_id"), {"run_no": [1, 2], "model": ["m0", "m1"]}),
     "r30_prompt_version": _versioned,
@@ -311,6 +331,23 @@ ORACLE = {
       array_to_string(list_sort(list_distinct(flatten(list(f)))), '、') AS words FROM (SELECT *, regexp_extract_all({_TXT}, '{r.PUFFERY}') AS f FROM drafts) GROUP BY 1"""),
     "r26_claim_hits_by_lexicon": sql("dlog", f"""SELECT lexicon, version, count(*) AS drafts, count(*) FILTER (WHERE len(w) > 0) AS drafts_flagged, nullif(array_to_string(list_sort(list_distinct(flatten(list(w)))), '、'), '') AS terms_found
       FROM ({' UNION ALL '.join(_LEXSQL(n, t) for n, t in LEX.items())}) GROUP BY 1, 2"""),
+    "r27_gap_replies": sql("rlog sent sent_gaps", f"""SELECT {_CALL}, CASE WHEN held THEN ({_L(a.GAP_WORDS)})[u % 5 + 1] || '/立即選購' END AS ad_texts, CASE WHEN held THEN coalesce(n, 0) END AS gaps, reply_state, whole AND sound AS ok
+      FROM sent LEFT JOIN (SELECT event_id, count(*) AS n FROM sent_gaps GROUP BY 1) USING (event_id)"""),
+    "r27_gap_elements": sql("rlog sent sent_gaps", "SELECT event_id, pos::INT AS pos, gap_type, ad_text, page_evidence FROM sent_gaps"),
+    "r27_draft_replies": sql("rlog sent", f"""SELECT *, coalesce(whole AND sound AND cta_text IS NOT NULL AND {_INOPT} AND cited_feature IN ('person', 'cta', 'warm', 'text'), false) AS ok FROM (
+      SELECT * EXCLUDE (u, k, held, whole, sound), CASE WHEN held THEN ({_L(a.DRAFT_WORDS)})[k % 10 + 1] || ' "標題"' END AS headline, CASE WHEN held AND k % 3 = 0 THEN ({_L(a.DRAFT_WORDS)})[(k + 3) % 10 + 1] END AS subhead,
+        CAST(NULL AS VARCHAR) AS badge, CASE WHEN held AND k % 29 <> 0 THEN '立即選購' END AS cta_text, CASE WHEN held THEN ({_L(a.REPLY_CTA)})[(event_id // 3) % 9 % 4 + 1] END AS cta_position, CASE WHEN held THEN k % 2 = 0 END AS has_person,
+        CASE WHEN held THEN ({_L(a.REPLY_COLOR)})[k % 5 % 4 + 1] END AS dominant_color, CASE WHEN held THEN ({_L(a.REPLY_DENSITY)})[(k // 2) % 2 + 1] END AS text_density, CAST(NULL AS VARCHAR) AS composition, CAST(NULL AS VARCHAR) AS image_prompt,
+        CASE WHEN held THEN 'a {{b}}' || chr(10) || '[c]' END AS changes, CASE WHEN held THEN (['person', 'cta', 'warm', 'text', 'other'])[k % 5 + 1] END AS cited_feature, CASE WHEN whole THEN 1 + (k % 10)::DOUBLE / 10 END AS cited_ratio,
+        CASE WHEN whole THEN 'CTR' END AS expected_effect, whole, sound FROM sent)""").replace("SELECT *, coalesce(whole", "SELECT * EXCLUDE (whole, sound), coalesce(whole"),
+    "r27_structured_replies": sql("rlog sent", f"""SELECT * EXCLUDE (whole, sound), coalesce(whole AND sound AND {_INOPT}, false) AS ok FROM (
+      SELECT {_CALL}, reply_state, whole, sound, CASE WHEN held THEN k % 2 = 0 END AS has_person, CASE WHEN held THEN cta END AS cta_position, CASE WHEN held THEN color END AS dominant_color, CASE WHEN held THEN density END AS text_density,
+        CASE WHEN whole THEN 'H ' || (u % 5) END AS headline, length(CASE event_id % 8 WHEN 3 THEN '```json+' || open || '"}}+```' WHEN 4 THEN '"' || twice || '\\"}}"' WHEN 5 THEN open WHEN 6 THEN '"' || twice || '\\' WHEN 7 THEN 'I cannot see {{any}} "image": [sorry'
+          ELSE open || '"}}' END)::INT AS raw_length
+      FROM (SELECT *, replace(replace(open, '"', '\\"'), chr(10), '\\n') AS twice FROM (SELECT *, '{{"has_person": ' || (k % 2 = 0) || ', "cta_position" : "' || cta || '", "dominant_color": "' || color || '",' || chr(10) || ' "text_density": "' || density || '", "headline": "H ' || (u % 5) AS open FROM (
+        SELECT *, ({_L(a.REPLY_CTA)})[(event_id // 3) % 9 % 4 + 1] AS cta, ({_L(a.REPLY_COLOR)})[k % 5 % 4 + 1] AS color, ({_L(a.REPLY_DENSITY)})[(k // 2) % 2 + 1] AS density FROM sent))))"""),
+    "r27_describe_replies": sql("rlog sent", f"""SELECT *, coalesce(length(description) >= 20 AND status = '' AND finish_reason <> 'MAX_TOKENS', false) AS ok FROM (
+      SELECT {_CALL}, CASE event_id % 6 WHEN 0 THEN '短' WHEN 1 THEN NULL ELSE '一張白色背景的圖，中間有一雙襪子，右下角有按鈕 ' || creative_id END AS description FROM sent)"""),
     "r27_parse_reply": sql("rlog", f"SELECT *, coalesce({_COMPLETE} AND {_INOPT} AND finish_reason <> 'MAX_TOKENS', false) AS ok FROM rlog"),
     "r29_request_grid": sql("truth", "SELECT creative_id, unnest([1, 1, 2, 2]) AS run_no, unnest(['m0', 'm1', 'm0', 'm1']) AS model FROM truth"),
     "r30_prompt_version": "SELECT doc_id, md5(text) AS prompt_version FROM documents",

@@ -321,6 +321,65 @@ def raw_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 43 == 0, F.substring(body, 1, 25)).otherwise(body).alias("result"), full.alias("full_response"), F.when(k % 31 == 0, "ERROR").otherwise("").alias("status"))
 
 
+def _encoded(text: Column) -> Column:
+    """A text as a JSON string."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _as_sent(i: Column, whole: Column, cut: Column) -> Column:
+    """One of eight forms of a reply: three as asked, one fenced, one encoded twice, one cut off, one both, one refused."""
+    return F.when(i % 8 < 3, whole).when(i % 8 == 3, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(i % 8 == 4, _encoded(whole)) \
+        .when(i % 8 == 5, cut).when(i % 8 == 6, F.concat(F.regexp_replace(_encoded(cut), '"$', ""), F.lit("\\"))).otherwise("I cannot see {any} \"image\": [sorry")
+
+
+def _with_result(spark: SparkSession, sf_dir: str, whole, cut) -> DataFrame:
+    """``raw_replies`` with results of another task, built from number, event and user."""
+    e = wide_table(spark, sf_dir, "events").select(F.col("event_id").alias("_e"), F.col("user_id").alias("_u"), _k().alias("_k"))
+    k, i, u = F.col("_k"), F.col("_e"), F.col("_u")
+    texts = e.select(F.col("_e").alias("event_id"), _as_sent(i, whole(k, i, u), cut(k, i, u)).alias("result"))
+    return raw_replies(spark, sf_dir).drop("result").join(texts, "event_id")
+
+
+def gap_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that list up to three gaps, with quotes and brackets in their texts; a cut one stops inside one more gap."""
+    def listed(k, u):
+        gap = lambda j, p: F.when(p, F.to_json(F.struct(_at(GAP_KINDS, u + j).alias("gap_type"), F.concat(F.lit('} "'), _at(GAP_WORDS, u + j), F.lit('" ] \\ ,')).alias("ad_text"), F.concat(F.lit("e"), k.cast("string")).alias("page_evidence"))))
+        return F.concat_ws(", ", gap(0, k % 3 > 0), gap(1, k % 2 == 0), gap(2, k % 5 == 0))
+
+    head = lambda u: F.concat(F.lit('{"ad_texts": ["'), _at(GAP_WORDS, u), F.lit('", "立即選購"], "gaps": ['))
+    whole = lambda k, i, u: F.concat(head(u), listed(k, u), F.lit("]}"))
+    cut = lambda k, i, u: F.concat(head(u), listed(k, u), F.when(listed(k, u) != "", ", ").otherwise(""), F.lit('{"gap_type": "other", "ad_text": "半'))
+    return _with_result(spark, sf_dir, whole, cut)
+
+
+def draft_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that draft an advertisement; a cut one stops inside the ratio."""
+    def first(k, i, u):
+        return F.struct(F.concat(_at(DRAFT_WORDS, k), F.lit(' "標題"')).alias("headline"), F.when(k % 3 == 0, _at(DRAFT_WORDS, k + 3)).alias("subhead"), F.when(k % 29 != 0, "立即選購").alias("cta_text"),
+                        _at(REPLY_CTA, F.floor(i / 3) % 9).alias("cta_position"), (k % 2 == 0).alias("has_person"), _at(REPLY_COLOR, k % 5).alias("dominant_color"), _at(REPLY_DENSITY, F.floor(k / 2)).alias("text_density"),
+                        F.lit("a {b}\n[c]").alias("changes"), _at(("person", "cta", "warm", "text", "other"), k).alias("cited_feature"))
+
+    open_ = lambda k, i, u: F.concat(F.regexp_replace(F.to_json(first(k, i, u)), r"\}$", ""), F.lit(', "cited_ratio": 1.'))
+    whole = lambda k, i, u: F.concat(open_(k, i, u), (k % 10).cast("string"), F.lit(', "expected_effect": "CTR"}'))
+    return _with_result(spark, sf_dir, whole, lambda k, i, u: F.concat(open_(k, i, u), F.lit("0")))
+
+
+def structured_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies in the five fixed fields; a cut one stops inside the headline."""
+    def head(k, i, u):
+        return F.concat(F.lit('{"has_person": '), F.when(k % 2 == 0, "true").otherwise("false"), F.lit(', "cta_position" : "'), _at(REPLY_CTA, F.floor(i / 3) % 9), F.lit('", "dominant_color": "'),
+                        _at(REPLY_COLOR, k % 5), F.lit('",\n "text_density": "'), _at(REPLY_DENSITY, F.floor(k / 2)), F.lit('", "headline": "H '), (u % 5).cast("string"))
+
+    return _with_result(spark, sf_dir, lambda k, i, u: F.concat(head(k, i, u), F.lit('"}')), lambda k, i, u: head(k, i, u))
+
+
+def describe_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free descriptions, some too short."""
+    return raw_replies(spark, sf_dir).withColumn("result", F.when(F.col("event_id") % 6 == 0, F.lit("  短 ")).when(F.col("event_id") % 6 == 1, F.lit(None).cast("string"))
+                                                 .otherwise(F.concat(F.lit(" 一張白色背景的圖，中間有一雙襪子，右下角有按鈕 "), F.col("creative_id"))))
+
+
 def image_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Design of each user's image."""
     u = table(spark, sf_dir, "events").select("user_id").distinct()
