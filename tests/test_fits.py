@@ -112,3 +112,33 @@ def test_a_frozen_model_is_fitted_once(spark, customers, tmp_path, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         mo.frozen(spark, "m", "third", lambda: 1 / 0)
     assert mo.frozen(spark, "m", "third", make).first().n == 3
+
+
+def test_own_tolerance_of_single_metrics(spark):
+    from tidemark.functions.checks import compare_metrics
+    a = spark.createDataFrame([("s1.x", "1.000"), ("s1.y", "1.000"), ("z", "1.000"), ("n", "7")], "metric string, value string")
+    b = spark.createDataFrame([("s1.x", "1.010"), ("s1.y", "1.010"), ("z", "1.010"), ("n", "7")], "metric string, value string")
+    ok = lambda **t: {r.metric for r in compare_metrics(a, b, **t).collect() if r.ok == "OK"}
+    assert ok() == {"n"} and ok(tolerances={"s1.": 0.1}) == {"s1.x", "s1.y", "n"} and ok(tolerances={"s1.": 0.1, "s1.y": 1e-9}) == {"s1.x", "n"}
+
+
+def test_both_ways_read_the_business_zone(spark):
+    """An evening order in UTC belongs to the next day in Taipei, in both vectors."""
+    import datetime
+    from tidemark.operators import quality as q
+    from tidemark.operators.recount import recount_vector
+    day = datetime.date(2024, 1, 2)
+    us = 1_704_128_400_000_000  # 2024-01-01 17:00 UTC
+    ev = spark.createDataFrame([("u1", 1, "20240102", "session_start", us - 60_000_000, "meta", "paid_social", None, None, day), ("u1", 1, "20240102", "session_start", us - 30_000_000, "meta", "paid_social", None, None, day),
+                                ("u1", 1, "20240102", "purchase", us, None, None, 5.0, "t1", day)],
+                               "user_pseudo_id string, ga_session_id long, event_date string, event_name string, event_timestamp long, utm_source string, utm_medium string, value double, transaction_id string, event_dt date")
+    od = spark.createDataFrame([("t1", "c", "u1", us, day, "i", 2, 5.0)], "transaction_id string, customer_id string, user_pseudo_id string, order_us long, order_date date, item_id string, quantity long, revenue double") \
+        .withColumn("revenue", F.col("revenue").cast("decimal(18,2)"))
+    ads = spark.createDataFrame([("a", "ch", "g", day, 100, 10, 3.0), ("a", "ch", "g", day + datetime.timedelta(7), 100, 5, 3.0)], "creative_id string, channel string, ad_group_id string, date date, impressions long, clicks long, cost double").withColumn("cost", F.col("cost").cast("decimal(18,4)"))
+    cr = spark.createDataFrame([("a", "ch", "aud", "image", True, "center", "warm", "low")], "creative_id string, channel string, audience string, format string, has_person boolean, cta_position string, dominant_color string, text_density string")
+    cu = spark.createDataFrame([("c", "0912")], "customer_id string, phone string")
+    s = q.Signals("g", day, day, "a", day, {"meta": "meta/paid_social"}, ["i"], day, day)
+    for tz, off in (("Asia/Taipei", "0"), ("UTC", "1")):
+        one = {r.metric: r.value for r in q.metric_vector(ev, od, ads, cr, cu, s, tz).collect()}
+        two = {r.metric: r.value for r in recount_vector(ev, od, ads, cr, cu, s, tz).collect()}
+        assert one == two and one["check.order_date_mismatch"] == off and one["s6.meta_first"] == "1" and one["s3.weekly_decay"] == "0.500000000"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -58,13 +58,20 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.subtract(b).unionByName(b.subtract(a))
 
 
-def compare_metrics(a: DataFrame, b: DataFrame, rel: float = 1e-9) -> DataFrame:
-    """Join two (metric, value) vectors; text must be equal, decimals may differ by ``rel``, absence is a mismatch."""
+def compare_metrics(a: DataFrame, b: DataFrame, rel: float = 1e-9, tolerances: Mapping[str, float] | None = None) -> DataFrame:
+    """Join two (metric, value) vectors; text must be equal, decimals may differ by ``rel``, absence is a mismatch.
+
+    ``tolerances`` gives single metrics, or with a name that ends in a dot all metrics that start so, a relative tolerance of their own.
+    """
     left = a.select("metric", F.col("value").alias("value_a"))
     right = b.select("metric", F.col("value").alias("value_b"))
     x, y = F.expr("try_cast(value_a as double)"), F.expr("try_cast(value_b as double)")
     is_float = F.col("value_a").contains(".") | F.col("value_b").contains(".")
-    near = F.abs(x - y) <= rel * F.greatest(F.lit(1.0), F.abs(x), F.abs(y))
+    allowed = F.lit(rel)
+    for name, own in sorted((tolerances or {}).items(), key=lambda t: len(t[0])):
+        mine = F.col("metric").startswith(name) if name.endswith(".") else F.col("metric") == name
+        allowed = F.when(mine, own).otherwise(allowed)
+    near = F.abs(x - y) <= allowed * F.greatest(F.lit(1.0), F.abs(x), F.abs(y))
     same = F.when(F.col("value_a").isNull() | F.col("value_b").isNull(), False) \
         .otherwise((F.col("value_a") == F.col("value_b")) | (is_float & F.coalesce(near, F.lit(False))))
     return left.join(right, "metric", "full").withColumn("ok", F.when(same, "OK").otherwise("DIFF"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.checks import union_all
-from ..functions.exprs import count_rows, local_date, ratio
+from ..functions.exprs import BUSINESS_TZ, count_rows, local_date, ratio
 from ..functions.skew import Cuts, keyed_sequence, order_slices
 
 
@@ -24,27 +25,70 @@ def _by_group(df: DataFrame, name: Column, value: Column) -> DataFrame:
     return df.groupBy(name.alias("metric")).agg(value.cast("string").alias("value"))
 
 
-def metric_vector(events: DataFrame, orders: DataFrame, ads: DataFrame, creatives: DataFrame, customers: DataFrame) -> DataFrame:
-    """V-01: one (metric, value) row per fact about the load, values as text."""
+@dataclass(frozen=True)
+class Signals:
+    """What the seven signals look at."""
+
+    cost_group: str
+    cost_day: date
+    gap_day: date
+    decay_creative: str
+    decay_anchor: date
+    sources: Mapping[str, str]  # name in the metric: source/medium
+    promo_items: Sequence[str]
+    promo_start: date
+    promo_end: date
+    promo_before: int = 21
+
+
+def as_number(c: Column) -> Column:
+    """Nine decimals as text, the same in every engine."""
+    return F.round(c, 9).cast("decimal(28,9)").cast("string")
+
+
+def metric_vector(events: DataFrame, orders: DataFrame, ads: DataFrame, creatives: DataFrame, customers: DataFrame, signals: Signals | None = None, tz: str = BUSINESS_TZ) -> DataFrame:
+    """V-01: one (metric, value) row per fact about the load, values as text; with ``signals`` also the rows of the seven signals.
+
+    ``tz`` is the zone that business dates were written in.
+    """
     sessions = events.where("event_name = 'session_start'").select("user_pseudo_id", "ga_session_id").distinct()
     cents = lambda c: F.sum(F.col(c).cast("decimal(18,2)"))
-    return union_all([
+    facts = [
         _long(creatives, {"rows.creatives": count_rows(), "check.image_has_person_null": F.count_if((F.col("format") == "image") & F.col("has_person").isNull())}),
         _long(customers, {"rows.customers": count_rows(), "check.phone_leading_zero": F.count_if(F.col("phone").startswith("0"))}),
         _long(ads, {"rows.ad_daily": count_rows(), "ad.impressions": F.sum("impressions"), "ad.clicks": F.sum("clicks"), "ad.cost": F.sum("cost").cast("decimal(28,2)")}),
         _long(orders, {"rows.orders": count_rows(), "orders.revenue": F.sum("revenue"), "orders.quantity": F.sum("quantity"),
                        "orders.customers": F.count_distinct("customer_id"), "orders.min_date": F.min("order_date"), "orders.max_date": F.max("order_date"),
-                       "check.order_date_mismatch": F.count_if(F.col("order_date") != local_date("order_us", "UTC")),
+                       "check.order_date_mismatch": F.count_if(F.col("order_date") != local_date("order_us", tz)),
                        "aov": F.round(F.sum("revenue").cast("double") / count_rows(), 6)}),
         _long(events, {"rows.events": count_rows(), "events.users": F.count_distinct("user_pseudo_id"), "events.min_date": F.min("event_date"),
                        "events.max_date": F.max("event_date"),
-                       "check.event_date_mismatch": F.count_if(F.col("event_date") != F.date_format(local_date("event_timestamp", "UTC"), "yyyyMMdd")),
+                       "check.event_date_mismatch": F.count_if(F.col("event_date") != F.date_format(local_date("event_timestamp", tz), "yyyyMMdd")),
                        "check.user_id_with_dot": F.count_if(F.instr(F.col("user_pseudo_id").cast("string"), ".") > 0)}),
         _long(events.where("event_name = 'purchase'"), {"events.purchase_value": cents("value")}),
         _long(sessions, {"events.sessions": count_rows()}),
         _by_group(events, F.concat(F.lit("events."), "event_name"), count_rows()),
         _by_group(ads, F.concat(F.lit("ctr."), "channel"), F.round(ratio(F.sum("clicks"), F.sum("impressions")), 9)),
-    ])
+        _long(sessions, {"cvr.session": as_number(ratio(orders.agg(count_rows()).scalar(), count_rows()))}),
+    ]
+    return union_all(facts + (signal_rows(events, orders, ads, creatives, signals) if signals else []))
+
+
+def signal_rows(events: DataFrame, orders: DataFrame, ads: DataFrame, creatives: DataFrame, s: Signals) -> list[DataFrame]:
+    """The seven signals as (metric, value) rows."""
+    wide = lambda df, prefix, form=as_number: df.select(F.inline(F.array(*[F.struct(F.lit(f"{prefix}.{c}").alias("metric"), form(F.col(c)).alias("value")) for c in df.columns])))
+    text = lambda c: c.cast("string")
+    touch = first_last_touch_before_first_order(events, orders)
+    at = {f"{n}_{end}": F.coalesce(F.sum(F.when(F.col("source") == source, F.col(f"as_{end}"))), F.lit(0)) for n, source in s.sources.items() for end in ("first", "last")}
+    return [
+        wide(cost_per_click_before_after(ads, s.cost_group, s.cost_day), "s1"),
+        wide(event_vs_order_gap(events, orders, s.gap_day), "s2", text),
+        wide(weekly_decay(ads, s.decay_creative, s.decay_anchor).select("weekly_decay"), "s3"),
+        stratified_ratio(ads, creatives, [s.decay_creative]).select(F.concat(F.lit("s4."), "attr").alias("metric"), as_number(F.col("estimate")).alias("value")),
+        orders_per_customer_histogram(orders).select(F.concat(F.lit("s5."), "metric").alias("metric"), F.col("value").cast("string").alias("value")),
+        wide(touch.agg(*[c.alias(n) for n, c in at.items()]), "s6", text),
+        wide(basket_share_window(orders, s.promo_items, s.promo_start, s.promo_end, s.promo_before), "s7"),
+    ]
 
 
 def cost_per_click_before_after(ads: DataFrame, group: str, day: date) -> DataFrame:

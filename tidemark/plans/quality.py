@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import compare_metrics, union_all
 from ..operators import quality as q
+from ..operators.recount import recount_vector
 from ..sources import adapters as a
 from . import warehouse as wp
 from .oracle import CTES, sql
@@ -21,26 +22,32 @@ def customers(s, d):
     return a.raw_customers(s, d).withColumn("customer_id", F.col("customer_id").cast("bigint"))
 
 
-def vector(s, d):
-    return q.metric_vector(events(s, d), a.purchases(s, d), a.ad_daily(s, d), a.creatives(s, d), customers(s, d))
+SIGNALS = q.Signals("g1", date(1998, 7, 1), date(2024, 1, 10), "cr3", date(1996, 1, 1), {"meta": "meta/paid_social", "google": "google/organic"}, ["i1", "i2", "i3"], date(2024, 1, 22), date(2024, 1, 30))
+# ratios and estimates come from sums of doubles in another order; everything else must be equal
+TOLERANCES = {"s1.": 1e-8, "s3.": 1e-7, "s4.": 1e-7, "aov": 1e-6}
+
 
+def _tables(s, d):
+    return {"events": events(s, d), "orders": a.purchases(s, d), "ads": a.ad_daily(s, d), "creatives": a.creatives(s, d), "customers": customers(s, d)}
 
-def _second_vector(s, d):
-    """A separately written recomputation in Spark SQL of part of the vector."""
-    names = {"e": events(s, d), "o": a.purchases(s, d), "ad": a.ad_daily(s, d)}
-    return s.sql("""
-      SELECT 'rows.events' AS metric, CAST(count(*) AS STRING) AS value FROM {e} UNION ALL
-      SELECT 'events.users', CAST(count(DISTINCT user_pseudo_id) AS STRING) FROM {e} UNION ALL
-      SELECT 'events.sessions', CAST(count(DISTINCT user_pseudo_id, ga_session_id) AS STRING) FROM {e} WHERE event_name = 'session_start' UNION ALL
-      SELECT 'orders.revenue', CAST(sum(revenue) AS STRING) FROM {o} UNION ALL
-      SELECT 'aov', CAST(avg(CAST(revenue AS DOUBLE)) AS STRING) FROM {o} UNION ALL
-      SELECT 'ad.clicks', CAST(sum(clicks) AS STRING) FROM {ad}""", **names)
+
+def vector(s, d):
+    return q.metric_vector(**_tables(s, d), signals=SIGNALS, tz="UTC")
 
 
 def _compare(s, d):
-    keep = ["rows.events", "events.users", "events.sessions", "orders.revenue", "aov", "ad.clicks"]
-    out = compare_metrics(vector(s, d).where(F.col("metric").isin(keep)), _second_vector(s, d), rel=1e-6)
-    return out.select("metric", "ok")
+    """Both ways over the whole tables, every metric."""
+    t = _tables(s, d)
+    return compare_metrics(q.metric_vector(**t, signals=SIGNALS, tz="UTC"), recount_vector(**t, signals=SIGNALS, tz="UTC"), tolerances=TOLERANCES).select("metric", "ok")
+
+
+def _planted(s, d):
+    """One customer's phone number changed on one side: the metrics that then differ."""
+    t = _tables(s, d)
+    first = t["customers"].agg(F.min("customer_id")).scalar()
+    changed = t["customers"].withColumn("phone", F.when(F.col("customer_id") == first, F.concat(F.lit("+"), "phone")).otherwise(F.col("phone")))
+    out = compare_metrics(q.metric_vector(**t, signals=SIGNALS, tz="UTC"), recount_vector(**(t | {"customers": changed}), signals=SIGNALS, tz="UTC"), tolerances=TOLERANCES)
+    return out.where("ok = 'DIFF'").select("metric", (F.col("value_a").cast("bigint") - F.col("value_b").cast("bigint")).alias("difference"))
 
 
 def _sessions(s, d):
@@ -95,6 +102,7 @@ QUERIES = {
     "v07_first_last_touch": lambda s, d: q.first_last_touch_before_first_order(a.web_events(s, d), a.purchases(s, d)),
     "v08_basket_share_window": lambda s, d: q.basket_share_window(a.purchases(s, d), ["i1", "i2", "i3"], date(2024, 1, 22), date(2024, 1, 30)),
     "v09_compare_metrics": _compare,
+    "v09_planted_change": _planted,
     "dq00_required_columns": lambda s, d: q.required_columns(a.raw_events(s, d), ["event_date", "event_timestamp", "customer_id", "item_id"]),
     "dq01_to_dq11_rules": _rules,
     "dq02_variant_in_options": _variants,
@@ -135,8 +143,30 @@ _S3 = """SELECT round(1 - exp(regr_slope(ln(clicks / impressions), (date - DATE
 _S7 = """SELECT round(sum(quantity) FILTER (WHERE order_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-21' AND item_id IN ('i1', 'i2', 'i3')) / sum(quantity) FILTER (WHERE order_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-21'), 9) AS share_pre,
   round(sum(quantity) FILTER (WHERE order_date BETWEEN DATE '2024-01-22' AND DATE '2024-01-30' AND item_id IN ('i1', 'i2', 'i3')) / sum(quantity) FILTER (WHERE order_date BETWEEN DATE '2024-01-22' AND DATE '2024-01-30'), 9) AS share_window FROM purchases"""
 
+_S6 = """
+      SELECT source, count(*) FILTER (WHERE pos = 1) AS as_first, count(*) FILTER (WHERE pos = 2) AS as_last FROM (
+        SELECT unnest([first_src, last_src]) AS source, unnest([1, 2]) AS pos FROM (
+          SELECT user_pseudo_id, count(*) AS n, first(src ORDER BY event_timestamp, src) AS first_src, last(src ORDER BY event_timestamp, src) AS last_src
+          FROM (SELECT e.user_pseudo_id, event_timestamp, utm_source || '/' || utm_medium AS src, f.us FROM web_events e
+                JOIN (SELECT user_pseudo_id, min(order_us) AS us FROM purchases GROUP BY 1) f ON f.user_pseudo_id = e.user_pseudo_id
+                WHERE event_name = 'session_start' AND event_timestamp <= f.us) GROUP BY 1 HAVING n >= 2)) GROUP BY source"""
+_N = "CAST(round({}, 9) AS DECIMAL(28,9))::VARCHAR".format
+_V += f"""
+  UNION ALL SELECT 'cvr.session', {_N("(SELECT count(*) FROM purchases)::DOUBLE / count(*)")} FROM (SELECT DISTINCT user_pseudo_id, ga_session_id FROM ev_q WHERE event_name = 'session_start')
+  UNION ALL SELECT unnest(['s1.cpc_before', 's1.cpc_after']), unnest([{_N("cpc_before")}, {_N("cpc_after")}]) FROM ({_S1})
+  UNION ALL SELECT 's2.purchase_events', count(*)::VARCHAR FROM purchases WHERE order_date = DATE '2024-01-10'
+  UNION ALL SELECT 's2.orders', count(*)::VARCHAR FROM purchases WHERE order_date = DATE '2024-01-10'
+  UNION ALL SELECT 's2.orders_without_event_elsewhere', '0'
+  UNION ALL SELECT 's3.weekly_decay', {_N("weekly_decay")} FROM ({_S3})
+  UNION ALL SELECT 's4.' || attr, {_N("estimate")} FROM ({_S4})
+  UNION ALL SELECT 's5.customers_with_' || n || CASE WHEN n = 3 THEN '_plus' ELSE '' END || '_orders', count(*)::VARCHAR FROM (SELECT least(count(*), 3) AS n FROM purchases GROUP BY customer_id) GROUP BY n
+  UNION ALL SELECT 's6.' || name || '_' || e, coalesce((SELECT CASE e WHEN 'first' THEN as_first ELSE as_last END FROM ({_S6}) t WHERE t.source = w.source), 0)::VARCHAR
+    FROM (SELECT 'meta' AS name, 'meta/paid_social' AS source UNION ALL SELECT 'google', 'google/organic') w, (SELECT unnest(['first', 'last']) AS e)
+  UNION ALL SELECT unnest(['s7.share_pre', 's7.share_window']), unnest([{_N("share_pre")}, {_N("share_window")}]) FROM ({_S7})"""
+_V_TABLES = "creatives ad_daily purchases web_events ev_q"
+
 ORACLE = {
-    "v01_metric_vector": sql("creatives ad_daily purchases web_events ev_q", _V),
+    "v01_metric_vector": sql(_V_TABLES, _V),
     "v02_cost_per_click_before_after": sql("ad_daily", _S1),
     "v03_event_vs_order_gap": sql("purchases web_events", """
       SELECT (SELECT count(*) FROM purchases WHERE order_date = DATE '2024-01-10' AND transaction_id % 50 <> 0) AS purchase_events,
@@ -146,15 +176,10 @@ ORACLE = {
     "v05_stratified_ratio": sql("creatives ad_daily", f"SELECT attr, round(estimate, 9) AS estimate FROM ({_S4})"),
     "v06_orders_per_customer": """SELECT 'customers_with_' || n || CASE WHEN n = 3 THEN '_plus' ELSE '' END || '_orders' AS metric, count(*) AS value
       FROM (SELECT least(count(*), 3) AS n FROM orders GROUP BY o_custkey) GROUP BY n""",
-    "v07_first_last_touch": sql("web_events purchases", """
-      SELECT source, count(*) FILTER (WHERE pos = 1) AS as_first, count(*) FILTER (WHERE pos = 2) AS as_last FROM (
-        SELECT unnest([first_src, last_src]) AS source, unnest([1, 2]) AS pos FROM (
-          SELECT user_pseudo_id, count(*) AS n, first(src ORDER BY event_timestamp, src) AS first_src, last(src ORDER BY event_timestamp, src) AS last_src
-          FROM (SELECT e.user_pseudo_id, event_timestamp, utm_source || '/' || utm_medium AS src, f.us FROM web_events e
-                JOIN (SELECT user_pseudo_id, min(order_us) AS us FROM purchases GROUP BY 1) f ON f.user_pseudo_id = e.user_pseudo_id
-                WHERE event_name = 'session_start' AND event_timestamp <= f.us) GROUP BY 1 HAVING n >= 2)) GROUP BY source"""),
+    "v07_first_last_touch": sql("web_events purchases", _S6),
     "v08_basket_share_window": sql("purchases", _S7),
-    "v09_compare_metrics": "SELECT unnest(['rows.events', 'events.users', 'events.sessions', 'orders.revenue', 'aov', 'ad.clicks']) AS metric, 'OK' AS ok",
+    "v09_compare_metrics": sql(_V_TABLES, f"SELECT metric, 'OK' AS ok FROM ({_V})"),
+    "v09_planted_change": "SELECT 'check.phone_leading_zero' AS metric, 1::BIGINT AS difference",
     "dq00_required_columns": sql("raw_ev", """
       SELECT c AS column_name, n AS nulls, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS result FROM (
         SELECT unnest(['event_date', 'event_timestamp', 'customer_id', 'item_id']) AS c,
