@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.checks import fingerprint
-from ..operators import consistency as k, replies as r
+from ..operators import consistency as k, ledgers as l, replies as r
 from ..sources import adapters as a, io
 from . import replies as rp
 from .oracle import CTES, K, sql
@@ -80,6 +80,39 @@ def _check(s, d):
     return k.check_consistency(a.gap_log(s, d), verdicts(s, d), answers, _ledger(s, d), "consistency", fingerprint(answers), mapped(s, d))
 
 
+def _flawed(x):
+    """A log as a careless copy of it: one row lost, one doubled, one with other tokens."""
+    i = F.col("event_id")
+    return x.where("event_id <> 7").unionByName(x.where("event_id = 11")).withColumn("prompt_tokens", F.col("prompt_tokens") + F.when(i == 13, 1).otherwise(0))
+
+
+def _ledger_bags(s, d):
+    """Sound and flawed ledgers of two jobs; the flawed ones must be found out although their totals are those of the log."""
+    f, g = rp.log(s, d), a.draft_log(s, d)
+    empty = r.reply_log(s, "usage")
+    copy = lambda x, job: r.append_usage(x, empty, job, "Day 16")
+    return l.union_all([
+        l.ledger_check("features, sound", f, copy(f, "features"), "features"), l.ledger_check("features, flawed", f, copy(_flawed(f), "features"), "features"),
+        l.ledger_check("drafts, sound", g, copy(g, "drafts"), "drafts"), l.ledger_check("drafts, flawed", g, copy(_flawed(g), "drafts"), "drafts"),
+        l.ledger_check("drafts under another job", g, copy(g, "features"), "drafts")])
+
+
+def _reconcile_bench(s, d):
+    b, f = io.materialize(bench(s, d)), rp.log(s, d)
+    ledger = r.append_usage(_flawed(b.where("source = 'day20'")), r.reply_log(s, "usage"), "bench", "Day 20")
+    now = a.gap_answers(s, d)
+    then = now.withColumn("page_fact", F.when((F.col("creative_id") == "c5") & (F.col("page_fact") == "fact0"), "fact9").otherwise(F.col("page_fact")))
+    listed = a.gap_log(s, d).where("mode = 'text' and status = ''").select(F.explode(F.from_json("result", k.GAPS_JSON)["gaps"]["gap_type"]).alias("gap_type"))
+    taken = b.where("source = 'day16'").withColumn("output_tokens", F.col("output_tokens") + F.when(F.col("event_id") == 40, 1).otherwise(0)).unionByName(b.where("source <> 'day16'"))
+    return l.reconcile_bench(taken, f, ledger, "bench", cells(s, d), r.best_reply(f).where("model = 'm0'"), now, then, listed, [x for x in a.GAP_KINDS if x != "gift"], ("day16", "m0"), "day20")
+
+
+def _descriptions(s, d):
+    x = r.parse_reply(a.describe_replies(s, d), "describe").withColumn("run_no", F.when(F.col("resolution") == "default", 1 + F.col("event_id") % 2).otherwise(1))
+    files = shots(s, d)
+    return l.check_descriptions(x, files, files.where("uri like '%-1.jpg'"), 6, 150, 20)
+
+
 def _check_bench(s, d):
     earlier = k.gap_verdicts(a.gap_answers(s, d), latest(s, d), mapped(s, d), values()).where("mode = 'text'")
     return k.check_bench(bench(s, d), cells(s, d), gaps(s, d), earlier, a.gap_answers(s, d), a.image_truth(s, d), {"features": "v1", "gaps": "v2"}, {"gaps": ["m1"]})
@@ -215,9 +248,21 @@ QUERIES = {
     "b06_score_and_cost": lambda s, d: k.score_and_cost(cells(s, d), gaps(s, d), cost(s, d)),
     "b06_verdict_totals": lambda s, d: k.verdict_totals(cells(s, d), gaps(s, d)),
     "b07_check_bench": _check_bench,
+    "b07_reconcile_bench": _reconcile_bench,
+    "r17_ledger_bags": _ledger_bags,
+    "r17_check_descriptions": _descriptions,
 }
 
 _CK = rp._CK
+CTES["descr"] = """
+  SELECT l.event_id, l.model, l.resolution, l.creative_id, l.status, l.prompt_tokens, CASE WHEN l.resolution = 'default' THEN 1 + l.event_id % 2 ELSE 1 END AS run_no,
+    CASE l.event_id % 6 WHEN 0 THEN '短' WHEN 1 THEN NULL ELSE '一張白色背景的圖，中間有一雙襪子，右下角有按鈕 ' || l.creative_id END AS description FROM rlog l"""
+_CALLS = "SELECT run_id, model, creative_id AS item_id, prompt_tokens, output_tokens + coalesce(thoughts_tokens, 0) AS output_tokens, status FROM {} t".format
+_flaws = lambda t: f"(SELECT * REPLACE (prompt_tokens + CASE WHEN event_id = 13 THEN 1 ELSE 0 END AS prompt_tokens) FROM (SELECT * FROM {t} x WHERE event_id <> 7 UNION ALL SELECT * FROM {t} x WHERE event_id = 11))"
+_bag = lambda name, log, ledger: f"""SELECT '{name}' AS check_name, count(*) AS differing, CASE WHEN count(*) = 0 THEN 'OK' ELSE 'DIFF' END AS ok,
+  min(run_id || '|' || model || '|' || item_id || '|' || coalesce(prompt_tokens::VARCHAR, '~') || '|' || output_tokens || '|' || status || ' ' || l || '/' || r) AS evidence FROM (
+    SELECT run_id, model, item_id, prompt_tokens, output_tokens, status, sum(l) AS l, sum(r) AS r FROM (SELECT *, 1 AS l, 0 AS r FROM ({_CALLS(log)}) UNION ALL SELECT *, 0, 1 FROM ({_CALLS(ledger)})) GROUP BY ALL HAVING sum(l) <> sum(r))"""
+_NEW = "(SELECT * FROM bench WHERE source = 'day20')"
 ORACLE = {
     "k01_page_map": sql("truth mapped", "SELECT * FROM mapped"),
     "k02_page_summary": sql("truth mapped pgs", """SELECT p.page_id, title, creatives, length(page_text) AS text_chars, screenshots, screenshot_bytes FROM pgs p
@@ -281,4 +326,30 @@ ORACLE = {
         ("07 prompt version differs", "0", "SELECT count(*) FROM bench WHERE prompt_version = 'v0'"), ("08 successes without token counts", "0", "SELECT count(*) FROM bench WHERE ok AND prompt_tokens IS NULL"),
         ("09 successes with an error status", "0", "0")]), "model", "review rlog bench cells",
         early="SELECT creative_id, gap_type, ad_keyword, verdict FROM (" + gsql("SELECT * FROM verd WHERE mode = 'text' AND ad_keyword IS NOT NULL") + ")"),
+    "r17_ledger_bags": sql("rlog dlog", f"""SELECT * FROM (
+      {_bag('features, sound', 'rlog', 'rlog')} UNION ALL {_bag('features, flawed', 'rlog', _flaws('rlog'))} UNION ALL {_bag('drafts, sound', 'dlog', 'dlog')}
+      UNION ALL {_bag('drafts, flawed', 'dlog', _flaws('dlog'))} UNION ALL {_bag('drafts under another job', 'dlog', '(SELECT * FROM dlog WHERE false)')})"""),
+    "r17_check_descriptions": sql("rlog sent descr", _CK([
+        ("01 pictures listed", "20", "SELECT count(*) FROM pages"), ("02 all of them jpg", "SELECT count(*) FROM pages", "SELECT count(*) FROM pages"),
+        ("03 pictures of the trial are different", "SELECT count(*) FROM pages WHERE page_id % 4 = 0", "SELECT count(DISTINCT page_id % 5) FROM pages WHERE page_id % 4 = 0"),
+        ("04 calls", "900", "SELECT count(*) FROM descr"), ("05 rounds", "6", "SELECT count(DISTINCT (model, resolution, run_no)) FROM descr"),
+        ("06 rounds without all pictures", "0", "SELECT count(*) FROM (SELECT 1 FROM descr GROUP BY model, resolution, run_no HAVING count(DISTINCT creative_id) <> 150)"),
+        ("07 errors", "0", "SELECT count(*) FROM descr WHERE status <> ''"), ("08 empty or short descriptions", "0", "SELECT count(*) FROM descr WHERE description IS NULL OR length(description) < 20"),
+        ("09 calls without token counts", "0", "SELECT count(*) FROM descr WHERE prompt_tokens IS NULL"),
+        ("10 low resolution is cheaper", "SELECT count(*) FROM dpair", "SELECT count(*) FROM dpair WHERE lo < hi")]),
+        dpair="SELECT max(prompt_tokens) FILTER (WHERE resolution = 'low') AS lo, min(prompt_tokens) FILTER (WHERE resolution = 'default' AND run_no = 1) AS hi FROM descr GROUP BY creative_id, model HAVING lo IS NOT NULL AND hi IS NOT NULL"),
+    "b07_reconcile_bench": sql("truth review rlog glog bench cells best answers", f"""
+      SELECT check_name, differing, CASE WHEN differing = 0 THEN 'OK' ELSE 'DIFF' END AS ok, evidence FROM (
+        SELECT '04 reused rows stand in the earlier log' AS check_name, count(*) AS differing, min(model || '|' || creative_id || '|' || created_us || '|' || coalesce(prompt_tokens::VARCHAR, '~') || '|' || (output_tokens + 1) || ' 1/0') AS evidence FROM rlog WHERE event_id = 40
+        UNION ALL SELECT check_name, differing, evidence FROM ({_bag('07 new calls and ledger rows', _NEW, _flaws(_NEW))})
+        UNION ALL SELECT '08 cut by output cap and never fixed', count(*), min(task || '|' || model || '|' || creative_id) FROM (SELECT DISTINCT task, model, creative_id FROM bench b WHERE finish_reason = 'MAX_TOKENS'
+          AND NOT EXISTS (SELECT 1 FROM bench o WHERE o.ok AND o.task = b.task AND o.model = b.model AND o.creative_id = b.creative_id))
+        UNION ALL SELECT '09 kinds of gap outside the options', least(count(*), 1), max('gift|' || n) FROM (SELECT count(*) AS n FROM gapkinds WHERE kind = 'gift' HAVING n > 0)
+        UNION ALL SELECT '14 answers as they were when scored', 2 * count(*), min('c5|' || gap_type || '|' || ad_keyword || '|fact0|' || disputed || ' 1/0') FROM answers WHERE creative_id = 'c5' AND page_fact = 'fact0'
+        UNION ALL SELECT '15 no repeat call after success', count(*), min(task || '|' || model || '|' || creative_id || '|' || run_id || '|' || created_us) FROM bench b WHERE source = 'day20'
+          AND EXISTS (SELECT 1 FROM bench o WHERE o.ok AND o.task = b.task AND o.model = b.model AND o.creative_id = b.creative_id AND o.run_id <> b.run_id AND o.created_us < b.created_us)
+        UNION ALL SELECT '17 cells of the reused model as in the earlier table', count(*), min(creative_id || '|' || field || '|' || coalesce(said, '~') || ' 1/' || 0) FROM (
+          SELECT c.creative_id, c.field, c.said FROM cells c JOIN best f USING (creative_id) WHERE c.model = 'm0' AND f.model = 'm0' AND c.field <> 'headline' AND c.said IS DISTINCT FROM
+            CASE c.field WHEN 'has_person' THEN f.has_person::VARCHAR WHEN 'cta_position' THEN f.cta_position WHEN 'dominant_color' THEN f.dominant_color ELSE f.text_density END))""",
+        gapkinds="SELECT unnest(list_transform(gl, lambda y: y.t)) AS kind FROM glog WHERE mode = 'text' AND status = '' AND k % 43 <> 0"),
 }
