@@ -46,6 +46,23 @@ def micros_of(ts: str | Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), col(ts))
 
 
+def day_start(day: str | Column, tz: str = BUSINESS_TZ) -> Column:
+    """UTC microseconds at which a date begins in a time zone, also where clocks are changed that day."""
+    return micros_of(F.convert_timezone(F.lit(tz), F.lit("UTC"), col(day).cast("date").cast("timestamp_ntz")))
+
+
+def within_local_days(micros: str | Column, first: Column, last: Column, tz: str = BUSINESS_TZ, partition: str | Column | None = None) -> Column:
+    """Whether UTC microseconds fall on a local date from ``first`` to ``last``.
+
+    ``local_date(micros)`` wraps the column, so a scan could prune nothing. The same condition as bounds on the raw microseconds reaches the
+    files' statistics, and on ``partition``, a date column within a day of the local date, the folders. Constant dates give constant bounds.
+    """
+    inside = (col(micros) >= day_start(first, tz)) & (col(micros) < day_start(F.date_add(last, 1), tz))
+    if partition is not None:
+        inside = inside & (col(partition) >= F.date_sub(first, 1)) & (col(partition) <= F.date_add(last, 1))
+    return inside
+
+
 def monday(d: str | Column) -> Column:
     return F.trunc(col(d), "week").cast("date")
 

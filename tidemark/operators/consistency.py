@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.checks import check_rows, fingerprint, one_row, union_all
+from ..functions.paging import PAGE, list_pages, page_text
 from ..functions.exprs import count_rows, newest, ratio
 from .replies import FIELDS, OPTIONS, TWD, price_columns
 
@@ -50,10 +51,16 @@ def page_summary(mapped: DataFrame, pages: DataFrame, shots: DataFrame, pattern:
     return pages.join(ads, "page_id", "left").join(files, "page_id", "left").select("page_id", "title", "creatives", F.char_length("page_text").alias("text_chars"), "screenshots", "screenshot_bytes")
 
 
-def answer_overview(answers: DataFrame) -> DataFrame:
-    """K-03: answers per kind and keyword, with the images concerned (as many as the answer table has)."""
-    return answers.groupBy("gap_type", "ad_keyword").agg(F.count_if(~F.col("disputed")).alias("scored"), F.count_if("disputed").alias("disputed"),
-                                                         F.array_join(F.array_sort(F.collect_list("creative_id")), "、").alias("creatives"))
+def answer_overview(answers: DataFrame, page: int = 1, size: int = PAGE) -> DataFrame:
+    """K-03: answers per kind and keyword, with the images concerned on one page of the list (``answer_pages`` has them all)."""
+    keys = ["gap_type", "ad_keyword"]
+    counts = answers.groupBy(*keys).agg(F.count_if(~F.col("disputed")).alias("scored"), F.count_if("disputed").alias("disputed"))
+    return counts.join(page_text(answer_pages(answers, size), keys, "creative_id", page, name="creatives"), keys, "left")
+
+
+def answer_pages(answers: DataFrame, size: int = PAGE) -> DataFrame:
+    """K-03: the images of each kind and keyword as numbered rows."""
+    return list_pages(answers, ["gap_type", "ad_keyword"], "creative_id", size)
 
 
 def readable() -> Column:
@@ -149,10 +156,16 @@ def agreement_matrix(verdicts: DataFrame, first: str = "image", second: str = "t
     return j.rollup("gap_type").agg(n("hit", "hit").alias("both_hit"), n("hit", "miss").alias("first_only"), n("miss", "hit").alias("second_only"), n("miss", "miss").alias("both_miss"))
 
 
-def ads_per_page(mapped: DataFrame, pages: DataFrame) -> DataFrame:
-    """K-10: count and ids per page; the list grows with the advertiser's images of that page."""
-    ids = mapped.groupBy("page_id").agg(count_rows().alias("creatives"), F.array_join(F.array_sort(F.collect_list("creative_id")), "、").alias("creative_ids"))
-    return ids.join(pages.select("page_id", "title"), "page_id")
+def ads_per_page(mapped: DataFrame, pages: DataFrame, page: int = 1, size: int = PAGE) -> DataFrame:
+    """K-10: number of images per landing page, and their ids on one page of the list (``ad_pages`` has them all)."""
+    counts = mapped.groupBy("page_id").agg(count_rows().alias("creatives"))
+    ids = page_text(ad_pages(mapped, size), ["page_id"], "creative_id", page, name="creative_ids")
+    return counts.join(ids, "page_id", "left").join(pages.select("page_id", "title"), "page_id")
+
+
+def ad_pages(mapped: DataFrame, size: int = PAGE) -> DataFrame:
+    """K-10: the images of each landing page as numbered rows."""
+    return list_pages(mapped, ["page_id"], "creative_id", size)
 
 
 def check_consistency(log: DataFrame, verdicts: DataFrame, answers: DataFrame, ledger: DataFrame, job: str, runs: DataFrame, mapped: DataFrame, modes: int = 2) -> DataFrame:

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.checks import check_rows, one_row, union_all
-from ..functions.exprs import count_rows, local_date, ratio
+from ..functions.exprs import count_rows, local_date, ratio, within_local_days
 from .replies import TWD
 
 PRICE_SCHEMA = "model string, endpoint_type string, valid_from date, valid_to date, usd_in_per_m decimal(18,6), usd_out_per_m decimal(18,6), note string"
@@ -100,13 +100,18 @@ def check_usage(ledger: DataFrame, prices: DataFrame, calls: DataFrame, daily: D
         ("10 rows without a day label", "0", c("u.day")), ("11 unpriced calls", c("k.un"), c("d.un")), ("12 input + output cost = cost", true, c("d.gap") < 0.0001)])
 
 
-def spend_today(ledger: DataFrame, job: str, today: Column, price_in: float, price_out: float, tz: str = "Asia/Taipei", twd: float = TWD) -> DataFrame:
-    """U-06: today's cost of one job; ``today`` is a date column or literal, by default the caller's local date."""
-    used = ledger.where((F.col("job") == job) & (local_date("logged_us", tz) == today))
+def spend_between(ledger: DataFrame, job: str, first: Column, last: Column, price_in: float, price_out: float, tz: str = "Asia/Taipei", twd: float = TWD, partition: str | None = None) -> DataFrame:
+    """U-06: cost of one job from one local date to another; the dates become bounds on ``logged_us`` and on ``partition``, if the table has one."""
+    used = ledger.where((F.col("job") == job) & within_local_days("logged_us", first, last, tz, partition))
     return used.agg(F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens")).withColumn(
         "spent_twd", (F.col("prompt_tokens") * price_in + F.col("output_tokens") * price_out) / 1e6 * twd)
 
 
+def spend_today(ledger: DataFrame, job: str, today: Column, price_in: float, price_out: float, tz: str = "Asia/Taipei", twd: float = TWD, partition: str | None = None) -> DataFrame:
+    """U-06: today's cost of one job; ``today`` is a date column or literal, by default the caller's local date."""
+    return spend_between(ledger, job, today, today, price_in, price_out, tz, twd, partition)
+
+
 # ---- prompt caching -------------------------------------------------------------------------------------------------------
 
 SCENARIOS = ("old", "new", "explicit")

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.checks import check_rows, fingerprint, one_row, symmetric_difference, union_all
+from ..functions.paging import PAGE, list_pages, page_text
 from ..functions.exprs import count_rows, ratio
 from .quality import unpivot_flags
 
@@ -201,16 +202,22 @@ def lift_vs_truth(perf: DataFrame, lift: DataFrame, truth: DataFrame, effects: d
         F.count_if(flag).alias("ny"), F.count_if(~flag).alias("nn"), geo("ctr").alias("r"), geo("ideal").alias("ri")).where("ny > 0 and nn > 0")
     w = _pair_weight()
     est = st.groupBy("attr").agg(F.exp(F.sum(F.log("r") * w) / F.sum(w)).alias("spec_est"), F.exp(F.sum(F.log("ri") * w) / F.sum(w)).alias("no_noise"))
-    differs = F.lit(False)
-    for a in ATTRS:
-        differs = differs | (c(f"f_{a}") != c(f"t_{a}"))
-    diff = j.where(differs).agg(F.struct(count_rows().alias("n"), F.array_join(F.array_sort(F.collect_list("creative_id")), ", ").alias("ids"))).scalar()
+    differing = differing_images(perf, truth)
+    n, ids = differing.agg(count_rows()).scalar(), page_text(differing, [], "creative_id", separator=", ").select("items").scalar()
     answer = F.lit(1.0)
     for k, e in effects.items():
         answer = F.when(c("attr") == k, e).otherwise(answer)
     return lift.where("metric = 'ctr'").join(est, "attr").select(
         "attr", F.round("stratified", 3).alias("ai_features"), F.round("spec_est", 3).alias("spec_features"), F.round("no_noise", 3).alias("no_noise"),
-        answer.alias("answer"), diff["n"].alias("flag_differs_images"), diff["ids"].alias("flag_differs_ids"))
+        answer.alias("answer"), n.alias("flag_differs_images"), F.coalesce(ids, F.lit("")).alias("flag_differs_ids"))
+
+
+def differing_images(perf: DataFrame, truth: DataFrame, size: int = PAGE) -> DataFrame:
+    """F-09: images whose flags as read differ from those specified, as numbered rows."""
+    differs = F.lit(False)
+    for a in ATTRS:
+        differs = differs | (F.col(f"f_{a}") != F.col(f"t_{a}"))
+    return list_pages(perf.join(truth, "creative_id").where(differs), [], "creative_id", size)
 
 
 def measured_s4(lift: DataFrame) -> DataFrame:

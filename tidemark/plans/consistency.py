@@ -216,6 +216,8 @@ def _todo(s, d):
 QUERIES = {
     "k01_page_map": mapped,
     "k02_page_summary": lambda s, d: k.page_summary(mapped(s, d), pages(s, d), shots(s, d)),
+    "k03_answer_pages": lambda s, d: k.answer_pages(a.gap_answers(s, d), 10),
+    "k10_ad_pages": lambda s, d: k.ad_pages(mapped(s, d), 10),
     "k03_answer_overview": lambda s, d: k.answer_overview(a.gap_answers(s, d)),
     "k04_explode_gaps": lambda s, d: k.explode_gaps(latest(s, d)),
     "k05_match_gaps": lambda s, d: k.match_gaps(k.answer_grid(a.gap_answers(s, d), values()), k.explode_gaps(latest(s, d))),
@@ -262,12 +264,16 @@ _flaws = lambda t: f"(SELECT * REPLACE (prompt_tokens + CASE WHEN event_id = 13
 _bag = lambda name, log, ledger: f"""SELECT '{name}' AS check_name, count(*) AS differing, CASE WHEN count(*) = 0 THEN 'OK' ELSE 'DIFF' END AS ok,
   min(run_id || '|' || model || '|' || item_id || '|' || coalesce(prompt_tokens::VARCHAR, '~') || '|' || output_tokens || '|' || status || ' ' || l || '/' || r) AS evidence FROM (
     SELECT run_id, model, item_id, prompt_tokens, output_tokens, status, sum(l) AS l, sum(r) AS r FROM (SELECT *, 1 AS l, 0 AS r FROM ({_CALLS(log)}) UNION ALL SELECT *, 0, 1 FROM ({_CALLS(ledger)})) GROUP BY ALL HAVING sum(l) <> sum(r))"""
+_pages = lambda t, keys, size: f"""SELECT {keys}, creative_id, n::INT AS position, ((n - 1) // {size} + 1)::INT AS page FROM (
+  SELECT {keys}, creative_id, row_number() OVER (PARTITION BY {keys} ORDER BY ('0x' || substr(md5(creative_id), 1, 15))::BIGINT, creative_id) AS n FROM {t} WHERE creative_id IS NOT NULL)"""
 _NEW = "(SELECT * FROM bench WHERE source = 'day20')"
 ORACLE = {
     "k01_page_map": sql("truth mapped", "SELECT * FROM mapped"),
     "k02_page_summary": sql("truth mapped pgs", """SELECT p.page_id, title, creatives, length(page_text) AS text_chars, screenshots, screenshot_bytes FROM pgs p
       LEFT JOIN (SELECT page_id, count(*) AS creatives FROM mapped GROUP BY 1) a ON a.page_id = p.page_id
       LEFT JOIN (SELECT (page_id % 5)::VARCHAR AS page_id, count(*) AS screenshots, sum(length(html)) AS screenshot_bytes FROM pages WHERE page_id % 4 < 3 GROUP BY 1) s ON s.page_id = p.page_id"""),
+    "k03_answer_pages": sql("answers", _pages("answers", "gap_type, ad_keyword", 10)),
+    "k10_ad_pages": sql("truth mapped pgs", _pages("mapped", "page_id", 10)),
     "k03_answer_overview": sql("answers", "SELECT gap_type, ad_keyword, count(*) FILTER (WHERE NOT disputed) AS scored, count(*) FILTER (WHERE disputed) AS disputed, string_agg(creative_id, '、' ORDER BY creative_id) AS creatives FROM answers GROUP BY 1, 2"),
     "k04_explode_gaps": gsql("SELECT * FROM fnd"),
     "k05_match_gaps": gsql("SELECT * FROM mat"),

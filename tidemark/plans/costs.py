@@ -94,6 +94,7 @@ QUERIES = {
     "u04_unpriced": lambda s, d: co.unpriced(daily(s, d)),
     "u05_check_usage": lambda s, d: co.check_usage(a.usage_ledger(s, d), prices(s), calls(s, d), daily(s, d)),
     "u05_overlapping_periods": _overlaps,
+    "u06_spend_between": lambda s, d: co.spend_between(a.usage_ledger(s, d), "serve", F.lit(date(2024, 1, 5)), F.lit(date(2024, 1, 12)), 0.75, 3.75).withColumn("spent_twd", F.round("spent_twd", 6)),
     "u06_spend_today": lambda s, d: co.spend_today(a.usage_ledger(s, d), "serve", F.lit(date(2024, 1, 12)), 0.75, 3.75).withColumn("spent_twd", F.round("spent_twd", 6)),
     "u07_ad_spend": lambda s, d: lk.ad_spend(a.ad_daily(s, d), LO, HI, "creative"),
     "u07_ad_spend_by_channel": lambda s, d: lk.ad_spend(a.ad_daily(s, d), LO, HI, "channel"),
@@ -134,6 +135,7 @@ ORACLE = {
         ("07 calls with tokens but no price", "0", "SELECT count(*) FROM calls WHERE NOT priced AND prompt_tokens + output_tokens > 0"), ("08 unknown endpoint", "0", "0"), ("09 negative or null cost on priced calls", "0", "0"), ("10 rows without a day label", "0", "0"),
         ("11 unpriced calls", "SELECT count(*) FROM calls WHERE NOT priced", "SELECT sum(unpriced_calls) FROM daily"), ("12 input + output cost = cost", "true", "true")])),
     "u05_overlapping_periods": sql("", _OV, per="SELECT 'm' || (o_custkey % 500) AS model, o_orderstatus AS endpoint_type, CAST(o_orderdate AS DATE) AS vf, CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INT) AS DATE) AS vt, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders"),
+    "u06_spend_between": sql("ledger", "SELECT sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(output_tokens)::BIGINT AS output_tokens, round((sum(prompt_tokens) * 0.75 + sum(output_tokens) * 3.75)::DOUBLE / 1e6 * 32, 6) AS spent_twd FROM ledger WHERE job = 'serve' AND usage_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'"),
     "u06_spend_today": sql("ledger", "SELECT sum(prompt_tokens) AS prompt_tokens, sum(output_tokens) AS output_tokens, round((sum(prompt_tokens) * 0.75 + sum(output_tokens) * 3.75)::DOUBLE / 1e6 * 32, 6) AS spent_twd FROM ledger WHERE job = 'serve' AND usage_date = DATE '2024-01-12'"),
     "u07_ad_spend": sql("ad_daily", _SPEND("creative_id AS creative", "min(channel) AS channel,")),
     "u07_ad_spend_by_channel": sql("ad_daily", _SPEND("channel", "")),
