@@ -49,6 +49,13 @@ def reply_log(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], LOG_SCHEMAS[name])
 
 
+def into_log(rows: DataFrame, name: str) -> DataFrame:
+    """R-28: ``rows`` in the columns of a log, cast to their types; what the rows do not have is NULL, what the log does not have goes."""
+    schema = reply_log(rows.sparkSession, name).schema
+    has = {f.name for f in rows.schema.fields}
+    return rows.select(*[(F.col(f.name).cast(f.dataType) if f.name in has else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
+
+
 # ---- reading replies ------------------------------------------------------------------------------------------------------
 
 # Members of the replies and of their usage records.

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.checks import check_rows, one_row
 from ..functions.exprs import count_rows, newest, ratio
+from ..functions.skew import Cuts, keyed_sequence, order_slices
 from ..functions.text import once
 from .replies import TWD
 
@@ -103,12 +104,41 @@ def latest_answers(answers: DataFrame) -> DataFrame:
     return answers.where(~F.col("status").startswith("error")).groupBy("case_id", "mode").agg(newest(fields, "created_us", "event_id").alias("b")).select("case_id", "mode", "b.*")
 
 
-def latest_scores(scores: DataFrame, latest: DataFrame) -> DataFrame:
-    """E-01: newest score per case, mode and grader that was given to exactly that answer."""
-    bound = latest.select("case_id", "mode", F.col("run_id").alias("answer_run_id"), "kind")
+def bound_scores(scores: DataFrame, answers: DataFrame, cuts: Cuts | Sequence[float] | None = None) -> DataFrame:
+    """E-01: every score with the answer it judged and whether that answer still counts.
+
+    A score names the run of the answer; it judged the newest answer without an error of that case, mode and run that was there when it was given.
+    ``state`` is ``current`` if that is the case's newest answer of all, ``stale`` if a newer one has come, ``orphan`` if there was none. Answers and
+    scores stand on one time line whose running count of answers numbers them, so no answer x score pairs are formed.
+    """
+    good = answers.where(~F.col("status").startswith("error"))
+    keys = ["case_id", "mode", "answer_run_id"]
+    line = good.select("case_id", "mode", F.col("run_id").alias("answer_run_id"), "created_us", F.lit(0).alias("is_score"), "event_id") \
+        .unionByName(scores.select(*keys, "created_us", F.lit(1).alias("is_score"), "event_id"))
+    cuts = order_slices(line, "created_us") if cuts is None else cuts
+    numbered = keyed_sequence(line, keys, ["created_us", "is_score", "event_id"], cuts=cuts, slice_on="created_us", running={"n": F.expr("1 - is_score").cast("bigint")})
+    judged = numbered.where("is_score = 1").select(F.col("event_id").alias("_score"), *keys, "n")
+    given = numbered.where("is_score = 0").select(*keys, "n", F.col("event_id").alias("answer_event_id"))
+    newest_of = latest_answers(answers).select("case_id", "mode", F.col("event_id").alias("_newest"), "kind")
+    found = judged.join(given, [*keys, "n"], "left").select("_score", "answer_event_id")
+    out = scores.join(found, scores["event_id"] == F.col("_score"), "left").drop("_score").join(newest_of, ["case_id", "mode"], "left")
+    state = F.when(F.col("answer_event_id").isNull(), "orphan").when(F.col("answer_event_id") == F.col("_newest"), "current").otherwise("stale")
+    return out.withColumn("state", state).drop("_newest").select(*scores.columns, "kind", "answer_event_id", "state")
+
+
+def latest_scores(scores: DataFrame, answers: DataFrame) -> DataFrame:
+    """E-01: newest score per case, mode and grader that was given to exactly the newest answer."""
     fields = ["score", "explanation", "answer_run_id", "spec", "created_us", "kind"]
-    return scores.where("status = ''").join(bound, ["case_id", "mode", "answer_run_id"], "left_semi").join(bound.drop("answer_run_id"), ["case_id", "mode"]) \
-        .groupBy("case_id", "mode", "grader").agg(newest(fields, "created_us", "event_id").alias("b")).select("case_id", "mode", "grader", "b.*")
+    current = bound_scores(scores.where("status = ''"), answers).where("state = 'current'")
+    return current.groupBy("case_id", "mode", "grader").agg(newest(fields, "created_us", "event_id").alias("b")).select("case_id", "mode", "grader", "b.*")
+
+
+def scores_of_run(scores: DataFrame, latest: DataFrame) -> DataFrame:
+    """Newest score per case, mode and grader that names the run of the newest answer, whenever it was given."""
+    bound = latest.select("case_id", "mode", F.col("run_id").alias("answer_run_id"), "kind")
+    fields = ["score", "explanation", "spec", "created_us", "kind"]
+    return scores.where("status = ''").join(bound, ["case_id", "mode", "answer_run_id"]).groupBy("case_id", "mode", "grader", "answer_run_id").agg(
+        newest(fields, "created_us", "event_id").alias("b")).select("case_id", "mode", "grader", "b.*", "answer_run_id")
 
 
 def complete_graders(scores: DataFrame, answers: int) -> DataFrame:
@@ -229,7 +259,7 @@ def _facts(df: DataFrame, **aggs: Column) -> Column:
 def check_eval_answers(answers: DataFrame, calls: DataFrame, scores: DataFrame, ledger_rows: Column, wanted: int, max_calls: int = 4, max_input: int = 4000) -> DataFrame:
     c = F.col
     latest = latest_answers(answers)
-    valid = latest_scores(scores, latest)
+    valid = scores_of_run(scores, latest)
     mine = calls.join(latest.select("run_id", "case_id", "mode"), ["run_id", "case_id", "mode"], "left_semi")
     judge = c("grader").startswith("judge:")
     per = scores.where(judge).select("grader").distinct().join(valid.groupBy("grader").agg(F.count("score").alias("n")), "grader", "left")

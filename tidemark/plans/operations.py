@@ -12,6 +12,7 @@ DAY = F_DAY = date(2024, 1, 12)
 PRICE = (0.75, 3.75)
 JUDGES = {"lite": (0.30, 2.50)}
 FACT_TOOL = "get_ad_spend"
+DELAY_US = 5 * 86_400_000_000
 
 
 def diag(s, d):
@@ -29,11 +30,22 @@ def answers(s, d):
     return sc.latest_answers(a.eval_answers(s, d))
 
 
+def given_scores(s, d):
+    """Scores as logged; every second one was given five days after the run that it names."""
+    return a.eval_scores(s, d).withColumn("created_us", F.col("created_us") + F.when(F.col("event_id") % 2 == 0, DELAY_US).otherwise(0))
+
+
 def scores(s, d):
-    # bound to the answers of the last days, so that several graders have scored them
-    latest = answers(s, d)
-    x = a.eval_scores(s, d).join(latest.select("case_id", "mode", F.col("run_id").alias("last_run")), ["case_id", "mode"]).withColumn("answer_run_id", F.col("last_run")).drop("last_run")
-    return sc.latest_scores(x, latest)
+    return sc.latest_scores(given_scores(s, d), a.eval_answers(s, d))
+
+
+def _period_facts(s, d):
+    """Some answers also ask the attribution tool: outside the data, without direct visits, or as they should."""
+    i, k = F.col("event_id"), F.substring("case_id", 2, 2).cast("int") - 1
+    extra = F.when(i % 11 == 0, '{"start_date": "2023-12-01"}').when(i % 11 == 1, '{"exclude_direct": "True"}').when(i % 11 == 2, '{"start_date": "2024-01-01", "end_date": "2024-01-30"}')
+    call = F.concat(F.lit(', {"name": "get_channel_attribution", "args": '), extra, F.lit("}]"))
+    x = _with_facts(s, d).withColumn("tools_called", F.when(extra.isNotNull() & (F.col("mode") == "tools"), F.concat(F.regexp_replace("tools_called", r"\]$", ""), call)).otherwise(F.col("tools_called")))
+    return sc.fact_score(x, ("2024-01-01", "2024-01-30")).select("event_id", "case_id", "mode", "tools_ok", "args_ok", "facts_found")
 
 
 def _with_facts(s, d):
@@ -129,7 +141,13 @@ CTES["esc"] = """
   SELECT event_id, 'e' || (1 + (k // 2) % 8) AS case_id, CASE WHEN k % 2 = 0 THEN 'tools' ELSE 'none' END AS mode, (['rule', 'human', 'judge:m0-lite', 'judge:m1'])[event_id % 4 + 1] AS grader, k % 3 AS score, 'x' || k AS explanation,
     CASE WHEN k % 31 = 0 THEN 'error' ELSE '' END AS status, run AS answer_run_id, 'v1' AS spec, 500 + k AS prompt_tokens, 256 AS output_tokens_cap, us AS created_us FROM ev"""
 _PICK = "QUALIFY row_number() OVER (PARTITION BY s.case_id, s.mode, s.grader ORDER BY s.created_us DESC, s.event_id DESC) = 1"
-CTES["lsc"] = f"SELECT s.case_id, s.mode, s.grader, s.score, s.explanation, l.run_id AS answer_run_id, s.spec, s.created_us, l.kind FROM esc s JOIN lans l ON l.case_id = s.case_id AND l.mode = s.mode WHERE s.status = '' {_PICK}"
+CTES["given"] = f"SELECT * REPLACE (created_us + CASE WHEN event_id % 2 = 0 THEN {DELAY_US} ELSE 0 END AS created_us) FROM esc"
+CTES["bound"] = """
+  SELECT s.*, l.kind, b.event_id AS answer_event_id, CASE WHEN b.event_id IS NULL THEN 'orphan' WHEN b.event_id = l.event_id THEN 'current' ELSE 'stale' END AS state
+  FROM given s LEFT JOIN (SELECT s.event_id AS score_id, a.event_id FROM given s JOIN ans a ON a.case_id = s.case_id AND a.mode = s.mode AND a.run_id = s.answer_run_id AND a.created_us <= s.created_us
+      WHERE NOT starts_with(a.status, 'error') QUALIFY row_number() OVER (PARTITION BY s.event_id ORDER BY a.created_us DESC, a.event_id DESC) = 1) b ON b.score_id = s.event_id
+    LEFT JOIN lans l ON l.case_id = s.case_id AND l.mode = s.mode"""
+CTES["lsc"] = f"SELECT s.case_id, s.mode, s.grader, s.score, s.explanation, s.answer_run_id, s.spec, s.created_us, s.kind FROM bound s WHERE s.status = '' AND s.state = 'current' {_PICK}"
 CTES["turns"] = f"""
   SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 's' || event_id ELSE 's' || user_id || '-' || strftime(ts, '%d') END AS session_id, 1 + hour(ts) // 3 AS turn, CASE WHEN k % 53 <> 0 THEN CASE WHEN k % 59 = 0 THEN 'other@' ELSE 'runner@' END || 'example.com' END AS caller, '問題' || k AS question, '答' || k AS raw_answer,
     '答' || k || CASE WHEN k % 61 = 0 THEN ' [x]' WHEN k % 67 = 0 THEN ' ab@mail.example.com' WHEN k % 71 = 0 THEN ' MKT-1' ELSE '' END AS final_answer, CASE WHEN k % 17 = 0 THEN '["ignore"]' ELSE '[]' END AS input_hits,
@@ -154,7 +172,7 @@ CTES["alerts"] = """
       || CASE WHEN coalesce(next_check, '') = '' THEN '' ELSE chr(10) || '建議先查：' || next_check END AS message
   FROM summary s LEFT JOIN (SELECT * REPLACE ('creative_week|cr' || (event_id % 24) || '|1995-01-23' AS anomaly_id) FROM diag WHERE model <> 'm0' QUALIFY row_number() OVER (PARTITION BY event_id % 24 ORDER BY event_id DESC) = 1) d ON d.anomaly_id = s.anomaly_id"""
 AL = dp.ALL + " diag alerts"
-ANS, SC = "ev ans lans", "ev ans lans esc lsc"
+ANS, SC = "ev ans lans", "ev ans lans esc given bound lsc"
 
 
 def _rule_sql():
@@ -187,6 +205,8 @@ def _rule_sql():
 QUERIES = {
     "e01_latest_answers": answers,
     "e01_latest_scores": scores,
+    "e01_bound_scores": lambda s, d: sc.bound_scores(given_scores(s, d), a.eval_answers(s, d)).select("event_id", "case_id", "mode", "grader", "answer_run_id", "answer_event_id", "state"),
+    "e03_fact_score_period": _period_facts,
     "e02_rule_score": lambda s, d: sc.rule_score(a.eval_answers(s, d)).select("event_id", "case_id", "score"),
     "e03_fact_score": fact_scores,
     "e04_grader_agreement": lambda s, d: sc.grader_agreement(scores(s, d)),
@@ -239,6 +259,8 @@ _GR = """SELECT *, CASE WHEN event_id % 2 = 0 THEN 'on' ELSE 'off' END AS gm FRO
 ORACLE = {
     "e01_latest_answers": sql(ANS, "SELECT * EXCLUDE (k) FROM lans"),
     "e01_latest_scores": sql(SC, "SELECT * FROM lsc"),
+    "e01_bound_scores": sql(SC, "SELECT event_id, case_id, mode, grader, answer_run_id, answer_event_id, state FROM bound"),
+    "e03_fact_score_period": sql("ev ans", f"""SELECT event_id, case_id, mode, CASE WHEN tools_ok IS NOT NULL THEN tools_ok AND event_id % 11 > 2 END AS tools_ok, CASE WHEN args_ok IS NOT NULL THEN args_ok AND event_id % 11 > 1 END AS args_ok, facts_found FROM ({_FS})"""),
     "e02_rule_score": sql("ev ans", _rule_sql()),
     "e03_fact_score": sql("ev ans", _FS),
     "e04_grader_agreement": sql(SC, """SELECT x.grader, count(*) AS answers, count(*) FILTER (WHERE x.score = h.score) AS exact, count(*) FILTER (WHERE (x.score = 2) = (h.score = 2)) AS pass_fail, count(*) FILTER (WHERE x.score > h.score) AS higher,

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import replies as r
+from ..operators import catalogue as cat, replies as r
 from ..sources import adapters as a
 from . import lift as lp
 from .oracle import CTES, K, sql
@@ -48,6 +48,22 @@ def _todo(s, d):
     return r.work_todo(items, {"resolution": ["default", "low"]}, early, r.complete(), ["creative_id", "resolution"])
 
 
+def _versioned_facts(s, d):
+    """``part`` as a product list that has been revised: the size is the revision."""
+    return cat.product_facts(a.table(s, d, "part"), "p_brand", ["p_name", "p_type"], F.col("p_size").cast("int"))
+
+
+def _log_columns(s, d):
+    """R-28: every log schema takes the rows that its parser makes; columns that a parser does not make stay empty."""
+    made = {"features": r.parse_reply(a.raw_replies(s, d)), "structured": r.parse_reply(a.structured_replies(s, d), "structured"), "describe": r.parse_reply(a.describe_replies(s, d), "describe"),
+            "drafts": r.parse_reply(a.draft_replies(s, d), "drafts"), "gaps": r.parse_reply(a.gap_replies(s, d), "gaps")}
+    out = []
+    for name, df in made.items():
+        whole = r.into_log(df.withColumn("created_at", F.timestamp_micros("created_us")), name)
+        out.append(whole.agg(F.lit(name).alias("log"), F.lit(len(whole.columns)).alias("columns"), F.count("*").alias("rows"), F.count("creative_id").alias("with_image"), F.count("created_at").alias("with_time")))
+    return r.union_all(out)
+
+
 def _structured(s, d):
     return log(s, d).withColumn("round", F.concat(F.lit("B"), (F.col("event_id") % 4).cast("string")))
 
@@ -222,6 +238,10 @@ QUERIES = {
     "r25_term_counts": lambda s, d: r.term_counts(drafts(s, d)),
     "r25_puffery_words": lambda s, d: r.puffery_words(drafts(s, d)),
     "r26_claim_hits_by_lexicon": lambda s, d: r.claim_hits_by_lexicon(a.draft_log(s, d).where("cta_text is not null"), LEX),
+    "r23_product_facts": lambda s, d: _versioned_facts(s, d),
+    "r23_facts_as_of": lambda s, d: cat.facts_as_of(_versioned_facts(s, d), 30),
+    "r26_claim_hits_by_catalogue": lambda s, d: cat.hits_per_version(a.draft_log(s, d).where("cta_text is not null"), ["event_id"], "version", r.draft_text(), cat.claim_catalogue(s, LEX)),
+    "r28_reply_logs": _log_columns,
     "r27_gap_replies": lambda s, d: _gap_replies(s, d).select(*CALL, F.array_join("ad_texts", "/").alias("ad_texts"), "gaps", "reply_state", "ok"),
     "r27_gap_elements": lambda s, d: _gap_replies(s, d).select("event_id", F.posexplode("found")).select("event_id", "pos", "col.*"),
     "r27_draft_replies": lambda s, d: r.parse_reply(a.draft_replies(s, d), "drafts").select(*CALL, *r.SHAPES["drafts"].members, "reply_state", "ok"),
@@ -250,6 +270,9 @@ _LEXSQL = lambda n, terms: f"SELECT '{n}' AS lexicon, version, flatten([{', '.jo
 _CK = lambda rows: "SELECT n AS check_name, e AS expected, a AS actual, CASE WHEN e = a THEN 'OK' ELSE 'DIFF' END AS ok FROM (" + " UNION ALL ".join(
     f"SELECT '{n}' AS n, ({e})::VARCHAR AS e, ({x})::VARCHAR AS a" for n, e, x in rows) + ")"
 
+_FACTS = "SELECT DISTINCT p_size::INT AS version, p_brand AS item_id, unnest(['p_name', 'p_type']) AS field, unnest([p_name, p_type]) AS value FROM part"
+_FACTS = f"SELECT * FROM ({_FACTS}) WHERE value IS NOT NULL"
+
 ORACLE = {
     "r01_work_todo": sql("rlog truth", f"""SELECT creative_id, resolution FROM (SELECT creative_id, unnest(['default', 'low']) AS resolution FROM truth) g
       WHERE NOT EXISTS (SELECT 1 FROM rlog l WHERE l.creative_id = g.creative_id AND l.resolution = g.resolution AND run_id <= 'r20240105' AND {_COMPLETE})"""),
@@ -331,6 +354,11 @@ ORACLE = {
       array_to_string(list_sort(list_distinct(flatten(list(f)))), '、') AS words FROM (SELECT *, regexp_extract_all({_TXT}, '{r.PUFFERY}') AS f FROM drafts) GROUP BY 1"""),
     "r26_claim_hits_by_lexicon": sql("dlog", f"""SELECT lexicon, version, count(*) AS drafts, count(*) FILTER (WHERE len(w) > 0) AS drafts_flagged, nullif(array_to_string(list_sort(list_distinct(flatten(list(w)))), '、'), '') AS terms_found
       FROM ({' UNION ALL '.join(_LEXSQL(n, t) for n, t in LEX.items())}) GROUP BY 1, 2"""),
+    "r23_product_facts": sql("", _FACTS),
+    "r23_facts_as_of": sql("", f"SELECT item_id, field, max(version) AS version, min(value) FILTER (WHERE version = newest) AS value FROM (SELECT *, max(version) OVER (PARTITION BY item_id, field) AS newest FROM ({_FACTS}) WHERE version <= 30) GROUP BY 1, 2"),
+    "r26_claim_hits_by_catalogue": sql("dlog", " UNION ALL ".join(f"""SELECT version, '{v}' AS lexicon, count(DISTINCT event_id) AS flagged, count(*) AS hits, count(DISTINCT term) AS terms
+      FROM dlog JOIN (VALUES {', '.join(str(t) for t in terms)}) x(term, kind) ON contains(headline || ' ' || coalesce(subhead, '') || ' ' || coalesce(badge, '') || ' ' || cta_text, term) WHERE cta_text IS NOT NULL GROUP BY version""" for v, terms in LEX.items())),
+    "r28_reply_logs": " UNION ALL ".join(f"SELECT '{n}' AS log, {len(r.LOG_SCHEMAS[n].split(','))}::INT AS columns, count(*) AS rows, count(*) AS with_image, count(*) AS with_time FROM events" for n in ("features", "structured", "describe", "drafts", "gaps")),
     "r27_gap_replies": sql("rlog sent sent_gaps", f"""SELECT {_CALL}, CASE WHEN held THEN ({_L(a.GAP_WORDS)})[u % 5 + 1] || '/立即選購' END AS ad_texts, CASE WHEN held THEN coalesce(n, 0) END AS gaps, reply_state, whole AND sound AS ok
       FROM sent LEFT JOIN (SELECT event_id, count(*) AS n FROM sent_gaps GROUP BY 1) USING (event_id)"""),
     "r27_gap_elements": sql("rlog sent sent_gaps", "SELECT event_id, pos::INT AS pos, gap_type, ad_text, page_evidence FROM sent_gaps"),
