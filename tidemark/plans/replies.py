@@ -64,6 +64,15 @@ def _log_columns(s, d):
     return r.union_all(out)
 
 
+def _stubborn(s, d):
+    """The whole log of images some of which the model describes in words of its own: with strict calls that failed (3), that helped (4), or until the
+    last days (5)."""
+    n = F.substring("creative_id", 2, 20).cast("bigint") % 10
+    strict = F.col("method") == "response_schema"
+    off = ~strict & (n.isin(3, 4) | ((n == 5) & (F.col("run_id") < "r20240128")))
+    return log(s, d).withColumns({"cta_position": F.when(off, "left").otherwise(F.col("cta_position")), "status": F.when(strict & n.isin(3, 5), "ERROR").otherwise(F.col("status"))})
+
+
 def _structured(s, d):
     return log(s, d).withColumn("round", F.concat(F.lit("B"), (F.col("event_id") % 4).cast("string")))
 
@@ -160,6 +169,9 @@ CTES["sent_gaps"] = f"""
 _CALL = "event_id, run_id, creative_id, status, finish_reason, prompt_tokens, output_tokens, thoughts_tokens, cached_tokens"
 _COMPLETE = "(status = '' AND has_person IS NOT NULL AND cta_position IS NOT NULL AND dominant_color IS NOT NULL AND text_density IS NOT NULL AND coalesce(headline, '') <> '')"
 _INOPT = "coalesce(cta_position IN ('center', 'bottom_right', 'none') AND dominant_color IN ('warm', 'cool', 'neutral') AND text_density IN ('low', 'high'), false)"
+CTES["stubborn"] = """
+  SELECT * EXCLUDE (n) REPLACE (CASE WHEN method <> 'response_schema' AND (n IN (3, 4) OR n = 5 AND run_id < 'r20240128') THEN 'left' ELSE cta_position END AS cta_position,
+    CASE WHEN method = 'response_schema' AND n IN (3, 5) THEN 'ERROR' ELSE status END AS status) FROM (SELECT *, substr(creative_id, 2)::BIGINT % 10 AS n FROM rlog)"""
 CTES["best"] = f"""
   SELECT creative_id, has_person, cta_position, dominant_color, text_density, headline, in_option, model, method, resolution, created_us FROM (SELECT *, {_INOPT} AS in_option FROM rlog)
   WHERE resolution = 'default' AND {_COMPLETE} QUALIFY row_number() OVER (PARTITION BY creative_id ORDER BY in_option DESC, created_us DESC, event_id DESC) = 1"""
@@ -203,7 +215,7 @@ _COST = "coalesce(prompt_tokens, 0) * CASE model WHEN 'm0' THEN 0.33::DOUBLE ELS
 
 QUERIES = {
     "r01_work_todo": _todo,
-    "r02_off_option_retry": lambda s, d: r.off_option_retry(log(s, d)),
+    "r02_off_option_retry": lambda s, d: r.off_option_retry(_stubborn(s, d)),
     "r03_best_reply": lambda s, d: r.best_reply(log(s, d)),
     "r04_append_usage": lambda s, d: r.append_usage(log(s, d), ledger(s, d), JOB, "Day 16", resolution=F.col("resolution")),
     "r05_feature_distribution": lambda s, d: r.feature_distribution(r.best_reply(log(s, d))),
@@ -276,10 +288,10 @@ _FACTS = f"SELECT * FROM ({_FACTS}) WHERE value IS NOT NULL"
 ORACLE = {
     "r01_work_todo": sql("rlog truth", f"""SELECT creative_id, resolution FROM (SELECT creative_id, unnest(['default', 'low']) AS resolution FROM truth) g
       WHERE NOT EXISTS (SELECT 1 FROM rlog l WHERE l.creative_id = g.creative_id AND l.resolution = g.resolution AND run_id <= 'r20240105' AND {_COMPLETE})"""),
-    "r02_off_option_retry": sql("rlog",
+    "r02_off_option_retry": sql("rlog stubborn",
         f"""SELECT DISTINCT l.creative_id FROM m l WHERE NOT fine AND NOT EXISTS (SELECT 1 FROM m k WHERE k.creative_id = l.creative_id AND k.fine AND k.created_us > l.created_us)
-        AND l.creative_id NOT IN (SELECT creative_id FROM rlog WHERE resolution = 'default' AND method = 'response_schema' AND {_COMPLETE})""",
-        m=f"SELECT *, {_INOPT} AND has_person IS NOT NULL AND coalesce(headline, '') <> '' AS fine FROM rlog WHERE resolution = 'default' AND method = 'output_schema' AND status = ''"),
+        AND l.creative_id NOT IN (SELECT creative_id FROM stubborn WHERE resolution = 'default' AND method = 'response_schema' AND {_COMPLETE})""",
+        m=f"SELECT *, {_INOPT} AND has_person IS NOT NULL AND coalesce(headline, '') <> '' AS fine FROM stubborn WHERE resolution = 'default' AND method = 'output_schema' AND status = ''"),
     "r03_best_reply": sql("rlog best", "SELECT * FROM best"),
     "r04_append_usage": sql("rlog", _LEDGER + " WHERE run_id <= 'r20240110'"),
     "r05_feature_distribution": sql("rlog best", """SELECT field, value, count(*) AS images FROM (SELECT unnest(['has_person', 'cta_position', 'dominant_color', 'text_density']) AS field,
