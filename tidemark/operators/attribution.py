@@ -47,19 +47,15 @@ def journeys(orders: DataFrame, touches: DataFrame, lookback_days: int = 30, cut
     come back through an equi join on (visitor, path number).
     """
     cuts = order_slices(touches, "touch_us") if cuts is None else cuts
-    line = orders.select("user_pseudo_id", F.col("order_us").alias("us"), F.lit(1).alias("is_order"),
-                         F.col("transaction_id").alias("row_id"), F.struct(*orders.columns).alias("o"),
-                         F.lit(None).cast(touches.select(F.struct("touch_us", "channel", "utm_campaign", "is_direct", "touch_id").alias("t")).schema[0].dataType).alias("t")) \
-        .unionByName(touches.select("user_pseudo_id", F.col("touch_us").alias("us"), F.lit(0).alias("is_order"),
-                                    F.col("touch_id").alias("row_id"),
-                                    F.lit(None).cast(orders.select(F.struct(*orders.columns).alias("o")).schema[0].dataType).alias("o"),
-                                    F.struct("touch_us", "channel", "utm_campaign", "is_direct", "touch_id").alias("t")))
+    of_touch = F.struct("touch_us", "channel", "utm_campaign", "is_direct", "touch_id").alias("t")
+    line = orders.select("user_pseudo_id", F.col("order_us").alias("us"), F.lit(1).alias("is_order"), F.col("transaction_id").alias("row_id"), F.lit(None).cast(touches.select(of_touch).schema[0].dataType).alias("t")) \
+        .unionByName(touches.select("user_pseudo_id", F.col("touch_us").alias("us"), F.lit(0).alias("is_order"), F.col("touch_id").alias("row_id"), of_touch))
     # at equal times the touch comes before the order it leads to
     numbered = keyed_sequence(line, ["user_pseudo_id"], ["us", "is_order", "row_id"], cuts=cuts, slice_on="us",
                               running={"orders_so_far": F.col("is_order").cast("bigint")})
-    numbered = numbered.withColumn("order_seq", F.col("orders_so_far") + 1 - F.col("is_order"))
-    right = numbered.where("is_order = 1").select("user_pseudo_id", "order_seq", *[F.col(f"o.{c}").alias(c) for c in orders.columns if c != "user_pseudo_id"])
-    left = numbered.where("is_order = 0").select("user_pseudo_id", "order_seq", "t.*")
+    left = numbered.where("is_order = 0").select("user_pseudo_id", (F.col("orders_so_far") + 1).alias("order_seq"), "t.*")
+    # the orders number themselves: the time line is not computed a second time for them
+    right = keyed_sequence(orders, ["user_pseudo_id"], ["order_us", "transaction_id"], cuts=cuts, slice_on="order_us", row_number="order_seq").withColumn("order_seq", F.col("order_seq").cast("bigint"))
     lookback_us = lookback_days * DAY_US
     return left.join(right, ["user_pseudo_id", "order_seq"]).where(F.col("touch_us") > F.col("order_us") - lookback_us)
 
@@ -107,17 +103,19 @@ def path_flags(lookback_days: int, data_start: Column) -> dict[str, Column]:
 
 def mart_attribution(orders: DataFrame, events: DataFrame, lookback_days: int = 30, half_life_days: float = 7.0,
                      cuts: Cuts | Sequence[float] | None = None) -> DataFrame:
-    """AT-09: order x touch with six credits, each adding up to 1 per order."""
+    """AT-09: order x touch with six credits, each adding up to 1 per order.
+
+    Two small jobs run while the query is built: the period of the orders, and the start and the cut points of the events.
+    """
     orders = orders.where(F.col("data_source") == "synthetic")
-    # one pass over each fact for everything that describes the whole of it
-    slices = slice_count(events)
-    period = orders.agg(F.struct(F.min("order_date").alias("first"), F.max("order_date").alias("last"))).scalar()
-    own = F.col("data_source") == "synthetic"
-    whole = events.agg(F.struct(F.min(F.when(own, F.col("event_dt"))).alias("start"), quantiles("event_timestamp", slices).alias("cuts"))).scalar()
-    cuts = Cuts(whole["cuts"], slices - 1) if cuts is None else cuts
+    # one pass over each fact for everything that describes the whole of it; as constants these values prune folders and stay out of the plan
+    slices, own = slice_count(events), F.col("data_source") == "synthetic"
+    period = orders.agg(F.min("order_date").alias("first"), F.max("order_date").alias("last")).first()
+    whole = events.agg(F.min(F.when(own, F.col("event_dt"))).alias("start"), *([quantiles("event_timestamp", slices).alias("cuts")] if cuts is None else [])).first()
+    cuts = whole["cuts"] or [] if cuts is None else cuts
     touches = session_touches(events, period["first"], period["last"], lookback_days)
     seq = touch_positions(journeys(orders, touches, lookback_days, cuts), half_life_days, cuts)
-    out = seq.withColumns({**credit_columns(), **path_flags(lookback_days, whole["start"]), "touch_ts": utc_ntz("touch_us")})
+    out = seq.withColumns({**credit_columns(), **path_flags(lookback_days, F.lit(whole["start"]).cast("date")), "touch_ts": utc_ntz("touch_us")})
     return out.select("order_date", "transaction_id", "order_us", "customer_id", "user_pseudo_id", "item_id", "revenue", "order_seq",
                       "is_repeat", "window_truncated", "touch_seq", "path_len", "touch_us", "touch_ts", "days_before_order", "channel",
                       "utm_campaign", "is_direct", *CREDITS)
