@@ -10,7 +10,7 @@ are in the sample, then takes the minimum of the common prefixes of sorted neigh
 indexed together, each closed by a word of its own.
 
 Defined results: a null or empty text, or one of white space, has no words and no run; a text of any length is searched whole, in a slice of its own
-beyond ``SLICE_BYTES`` (about 200 bytes of memory per word); repeated rows and null ids each come back; an empty table gives no rows; other
+beyond ``SLICE_BYTES`` (about 170 bytes of memory per word); repeated rows and null ids each come back; an empty table gives no rows; other
 columns, whatever their names, are left behind. Work is per document: no shuffle, nothing is collected.
 """
 
