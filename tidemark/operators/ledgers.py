@@ -94,3 +94,59 @@ def check_descriptions(log: DataFrame, files: DataFrame, demo: DataFrame, rounds
         "08 empty or short descriptions": (F.lit(0), c("m.short")), "09 calls without token counts": (F.lit(0), c("m.nou")), "10 low resolution is cheaper": (c("p.n"), c("p.cheaper"))}
     return facts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("check_name"), e.cast("string").alias("expected"), a.cast("string").alias("actual"), F.when(e == a, "OK").otherwise("DIFF").alias("ok"))
                                            for n, (e, a) in rows.items()])))
+
+
+# ---- what the logs were made from ---------------------------------------------------------------------------------------------
+
+DESIGN = ("has_person", "cta_position", "dominant_color", "text_density")
+
+
+def _count(df: DataFrame, c: Column | None = None) -> Column:
+    return df.agg(count_rows() if c is None else c).scalar()
+
+
+def _compared(like: DataFrame, rows: Mapping[str, tuple[object, Column]]) -> DataFrame:
+    """check_name, expected, actual, ok from named pairs of one-row values."""
+    def row(name: str, expected: object, actual: Column) -> Column:
+        e = (expected if isinstance(expected, Column) else F.lit(expected)).cast("string")
+        return F.struct(F.lit(name).alias("check_name"), e.alias("expected"), actual.cast("string").alias("actual"), F.when(e == actual.cast("string"), "OK").otherwise("DIFF").alias("ok"))
+
+    one = like.sparkSession.range(1).select(*[a.alias(f"a{i}") for i, (_, a) in enumerate(rows.values())], *[(e if isinstance(e, Column) else F.lit(e)).alias(f"e{i}") for i, (e, _) in enumerate(rows.values())])
+    return one.select(F.inline(F.array(*[row(n, F.col(f"e{i}"), F.col(f"a{i}")) for i, n in enumerate(rows)])))
+
+
+def _per(df: DataFrame, column: str, values: Sequence[str]) -> Column:
+    """Counts per value as ``n/n/...``."""
+    return _count(df, F.concat_ws("/", *[F.count_if(F.col(column) == v).cast("string") for v in values]))
+
+
+def check_picture_inputs(creatives: DataFrame, files: DataFrame, sample: DataFrame, rounds: DataFrame, images: int, sampled: int, per_image: int) -> DataFrame:
+    """R-17, what the feature and structured logs were made from: no design column left to look up, pictures listed, sample and rounds whole."""
+    left = [c for c in DESIGN if c in creatives.columns]
+    per = rounds.groupBy("creative_id").agg(F.count_distinct("round").alias("n")).where(F.col("n") != per_image)
+    return _compared(creatives, {
+        "01 design columns left": (0, F.lit(len(left))), "02 pictures listed": (images, _count(files)), "03 pictures listed once": (_count(files), _count(files, F.count_distinct("uri"))),
+        "04 sampled pictures": (sampled, _count(sample, F.count_distinct("creative_id"))), "05 sampled pictures in the log": (0, _count(sample.join(rounds, "creative_id", "left_anti"))),
+        "06 pictures without all rounds": (0, _count(per))})
+
+
+def check_gap_inputs(pages: DataFrame, shots: DataFrame, mapped: DataFrame, answers: DataFrame, done: DataFrame, expected_pages: int, parts: int, modes: Sequence[str]) -> DataFrame:
+    """K-11, what the gap log was made from and how complete it is: pages, screenshots, mapping, answers, calls per mode."""
+    known = mapped.join(pages.select("page_id"), "page_id", "left_semi")
+    combos = done.select("creative_id", "mode").distinct()
+    return _compared(pages, {
+        "01 landing pages with a text": (expected_pages, _count(pages, F.count_if(F.length("page_text") > 0))), "02 screenshots": (expected_pages * parts, _count(shots, F.count_distinct("uri"))),
+        "03 images mapped to a page": (_count(mapped), _count(known)), "04 answers scored/disputed": (_count(answers), _count(answers, F.count_if(~F.col("disputed")) + F.count_if("disputed"))),
+        "06 successes per mode": (_count(mapped, F.concat_ws("/", *[count_rows().cast("string") for _ in modes])), _per(combos, "mode", modes))})
+
+
+def check_answer_counts(answers: DataFrame, scores: DataFrame, runs: DataFrame, cases: int, modes: Sequence[str], run_modes: Sequence[str], graders: int) -> DataFrame:
+    """E-09, completeness of the question and guard logs: every case answered in every mode, scored by every grader, run with every guard setting."""
+    good = answers.where("status = ''").select("case_id", "mode").distinct()
+    scored = scores.where("status = ''").select("case_id", "mode", "grader").distinct()
+    each = runs.where("status = ''").select("case_id", "mode").distinct()
+    return _compared(answers, {
+        "01 cases answered per mode": ("/".join([str(cases)] * len(modes)), _per(good, "mode", modes)),
+        "02 score rows": (cases * len(modes) * graders, _count(scored)), "03 answers without any score": (0, _count(good.join(scored, ["case_id", "mode"], "left_anti"))),
+        "04 scores of no answer": (0, _count(scored.join(good, ["case_id", "mode"], "left_anti"))),
+        "05 cases run per guard setting": ("/".join([str(cases)] * len(run_modes)), _per(each, "mode", run_modes))})

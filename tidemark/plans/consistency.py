@@ -261,6 +261,8 @@ QUERIES = {
     "b07_reconcile_bench": _reconcile_bench,
     "r17_ledger_bags": _ledger_bags,
     "r17_check_descriptions": _descriptions,
+    "r17_check_inputs": lambda s, d: l.check_picture_inputs(a.creatives(s, d), shots(s, d), rp._sample(s, d), rp._structured(s, d), 20, 150, 4),
+    "k11_check_inputs": lambda s, d: l.check_gap_inputs(pages(s, d), shots(s, d), mapped(s, d), a.gap_answers(s, d), a.gap_log(s, d).where(k.readable()), 5, 4, MODES),
 }
 
 _CK = rp._CK
@@ -366,4 +368,13 @@ ORACLE = {
           SELECT c.creative_id, c.field, c.said FROM cells c JOIN best f USING (creative_id) WHERE c.model = 'm0' AND f.model = 'm0' AND c.field <> 'headline' AND c.said IS DISTINCT FROM
             CASE c.field WHEN 'has_person' THEN f.has_person::VARCHAR WHEN 'cta_position' THEN f.cta_position WHEN 'dominant_color' THEN f.dominant_color ELSE f.text_density END))""",
         gapkinds="SELECT unnest(list_transform(gl, lambda y: y.t)) AS kind FROM glog WHERE mode = 'text' AND status = '' AND k % 43 <> 0"),
+    "r17_check_inputs": sql("creatives rlog truth", _CK([
+        ("01 design columns left", "0", "4"), ("02 pictures listed", "20", "SELECT count(*) FROM pages"), ("03 pictures listed once", "SELECT count(*) FROM pages", "SELECT count(DISTINCT (page_id % 5, page_id % 4)) FROM pages"),
+        ("04 sampled pictures", "150", "SELECT count(DISTINCT creative_id) FROM smp"), ("05 sampled pictures in the log", "0", "SELECT count(*) FROM smp WHERE creative_id NOT IN (SELECT creative_id FROM rlog)"),
+        ("06 pictures without all rounds", "0", "SELECT count(*) FROM (SELECT creative_id FROM rlog GROUP BY 1 HAVING count(DISTINCT event_id % 4) <> 4)")]),
+        smp="SELECT creative_id FROM (" + rp.ORACLE["r14_pick_sample"] + ")"),
+    "k11_check_inputs": sql("truth mapped pgs answers glog", _CK([
+        ("01 landing pages with a text", "5", "SELECT count(*) FROM pgs WHERE length(page_text) > 0"), ("02 screenshots", "20", "SELECT count(DISTINCT (page_id % 5, page_id % 4)) FROM pages"),
+        ("03 images mapped to a page", "SELECT count(*) FROM mapped", "SELECT count(*) FROM mapped WHERE page_id IN (SELECT page_id FROM pgs)"), ("04 answers scored/disputed", "SELECT count(*) FROM answers", "SELECT count(*) FROM answers"),
+        ("06 successes per mode", "SELECT count(*) || '/' || count(*) FROM mapped", "SELECT count(DISTINCT creative_id) FILTER (WHERE mode = 'image') || '/' || count(DISTINCT creative_id) FILTER (WHERE mode = 'text') FROM glog WHERE ok")])),
 }

@@ -3,7 +3,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions.exprs import newest
-from ..operators import ops as o, scoring as sc, text_safety as ts
+from ..operators import ledgers as lg, ops as o, scoring as sc, text_safety as ts
 from ..sources import adapters as a
 from . import anomaly as dp
 from .oracle import CTES, K, sql
@@ -219,6 +219,8 @@ QUERIES = {
     "e07_pending_questions": lambda s, d: sc.pending_questions(questions(s, d), a.eval_answers(s, d)),
     "e08_blind_order": lambda s, d: sc.blind_order(a.eval_answers(s, d), ("run_id", "case_id", "mode", "event_id")).select("event_id", "fingerprint", "serial"),
     "e09_check_eval_answers": _check_eval,
+    "e09_check_counts": lambda s, d: lg.check_answer_counts(a.eval_answers(s, d), a.eval_scores(s, d), a.eval_answers(s, d).withColumn("mode", F.when(F.col("event_id") % 3 == 0, "safety").when(F.col("event_id") % 2 == 0, "on").otherwise("off")),
+                                                             8, ["tools", "none"], ["on", "off", "safety"], 4),
     "e09_check_question_answers": _check_questions,
     "e09_check_chat_turns": _check_chat,
     "e09_check_guard_runs": _check_guard,
@@ -284,6 +286,12 @@ ORACLE = {
         ("08 judges with partial scores", "0", "SELECT 2 - count(*) FROM (SELECT grader FROM sok WHERE starts_with(grader, 'judge:') GROUP BY 1 HAVING count(*) = 16)"), ("09 scores outside 0-2", "0", "0"),
         ("10 spec versions", "1", "SELECT count(DISTINCT spec) FROM (SELECT spec FROM lans UNION ALL SELECT spec FROM sok)"), ("11 answers without text", "0", "SELECT count(*) FROM lans WHERE status <> '' OR answer = ''"),
         ("12 ledger rows = successful calls", "SELECT count(*) FROM ecalls WHERE status = ''", "SELECT count(*) FROM ecalls WHERE status = ''")]), sok=_SCOK),
+    "e09_check_counts": sql("ev ans esc", _CK([
+        ("01 cases answered per mode", "'8/8'", "SELECT count(DISTINCT case_id) FILTER (WHERE mode = 'tools') || '/' || count(DISTINCT case_id) FILTER (WHERE mode = 'none') FROM ans WHERE status = ''"),
+        ("02 score rows", "64", "SELECT count(DISTINCT (case_id, mode, grader)) FROM esc WHERE status = ''"),
+        ("03 answers without any score", "0", "SELECT count(DISTINCT (case_id, mode)) FROM ans a WHERE status = '' AND NOT EXISTS (SELECT 1 FROM esc s WHERE s.status = '' AND s.case_id = a.case_id AND s.mode = a.mode)"),
+        ("04 scores of no answer", "0", "SELECT count(DISTINCT (case_id, mode, grader)) FROM esc s WHERE status = '' AND NOT EXISTS (SELECT 1 FROM ans a WHERE a.status = '' AND s.case_id = a.case_id AND s.mode = a.mode)"),
+        ("05 cases run per guard setting", "'8/8/8'", "SELECT count(DISTINCT case_id) FILTER (WHERE event_id % 3 <> 0 AND event_id % 2 = 0) || '/' || count(DISTINCT case_id) FILTER (WHERE event_id % 3 <> 0 AND event_id % 2 = 1) || '/' || count(DISTINCT case_id) FILTER (WHERE event_id % 3 = 0) FROM ans WHERE status = ''")])),
     "e09_check_question_answers": sql("ev ans ecalls", _CK([
         ("01 tool calls without tools", "0", "0"), ("02 tool names outside the list", "0", "0"), ("03 model calls within limit", "true", "true"), ("04 input tokens within limit", "true", "true"), ("05 token counts recorded", "0", "0"),
         ("06 bytes per tool call within limit", "true", "true"), ("07 ledger rows = successful calls", "SELECT count(*) FROM ecalls WHERE status = ''", "SELECT count(*) FROM ecalls WHERE status = ''"),
