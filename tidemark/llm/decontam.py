@@ -251,7 +251,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, i
     found that way. With ``passages`` a document also counts if 13 words of an item stand in it as they are, if windows of 5 words close
     together cover ``share`` of an item and 8 words at least, or if it holds the whole of an item that has no window: with the same values,
     or with other ones if it has 4 ordinary words; an item of under 4 words must be the whole document. ``n_matched`` counts windows of 8
-    words and is 0 where another rule found the item and they fall short of ``share``. Null and empty texts are clean; rows with the same
+    words and is 0 where another rule found the item and they fall short of ``share``. Texts of any length are read whole. Null and empty texts are clean; rows with the same
     id (or all without one) are judged together; an empty benchmark leaves everything clean; an empty table gives no rows. Columns of
     ``docs`` may have any names: they travel inside ``row``.
     """

@@ -279,7 +279,7 @@ def jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100
 
     Words are parted by ASCII white space with A-Z in lower case; a set holds the distinct shingles of ``size`` words, of a shorter
     document its words as one shingle. A null or empty text has no shingles and links with nothing. A row without id gets its
-    size and no component; rows with the same id are one document; exact copies are in one component; an empty table gives no rows;
+    size and no component; rows with the same id are one document; very long texts enter whole; exact copies are in one component; an empty table gives no rows;
     further columns are ignored.
     """
     rows = only(docs, id_col, text_col)

@@ -164,7 +164,8 @@ def identify(docs: DataFrame, learn: Column | None = None, per_language: int = P
     Learns from about ``per_language`` whole texts of each language among the rows where ``learn`` holds (all if None) and the language
     is known. ``score`` is the probability of the prediction, calibrated by temperature on texts kept from training; ``accepted`` is
     false below the score that 99 of 100 right predictions reach there. A null text or one without a letter is ``und`` with score 0 and
-    not accepted; so is every text if there is nothing to learn from. A null id stays null; repeated rows are judged each time; an empty
+    not accepted; so is every text if there is nothing to learn from. Only the ``LANGUAGES`` (256) most frequent languages are learned, so a rarer
+    one is never predicted. Texts are judged whole, whatever their length. A null id stays null; repeated rows are judged each time; an empty
     table gives no rows; further columns are ignored.
     """
     text = docs[text_col].cast("string")

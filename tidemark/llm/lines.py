@@ -105,7 +105,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     Documents are ordered by id, rows with equal ids by a hash of their text. The first occurrence of a run stays; an occurrence in the
     same document counts as later only if it begins after the first has ended. Blank lines inside a deleted run go with it. A null text
     stays null with 0 lines, an empty one has one line; rows without id neither lose lines nor make others lose any; exact repeated rows
-    (same id, same text) are one document and get the same result; an empty table gives no rows. Columns of ``docs`` may have any names:
+    (same id, same text) are one document and get the same result; texts of any length are compared whole; an empty table gives no rows. Columns of ``docs`` may have any names:
     they travel inside ``row``.
     """
     source = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))

@@ -7,7 +7,7 @@ where an anchor was found in more than one document.
 
 The texts are dealt into chunks of bounded size by a hash of the document id, compressed, and kept on disk like that. Per chunk and hash range the
 distinct anchors travel as one packed array; a reducer answers each chunk with those that other chunks have too, whatever their number of
-occurrences. The chunk extends them to windows, and the same exchange with 128-bit window hashes brings back the smallest document that
+occurrences. The chunk extends them to windows, and the same exchange with 96-bit window hashes brings back the smallest document that
 holds each window. A hash that a third of all documents share is one entry per chunk, and no pairs are formed.
 """
 
