@@ -76,6 +76,12 @@ def complete_week_multiplier(ads: DataFrame, creative: str, anchor: date) -> Dat
     return weeks.where("days = 7 and ctr > 0")
 
 
+def _values(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """Rows of (check_id, actual) from one aggregate."""
+    one = df.agg(*[v.cast("double").alias(f"v{i}") for i, v in enumerate(values.values())])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("check_id"), F.col(f"v{i}").alias("actual")) for i, n in enumerate(values)])))
+
+
 def measured_signals(ads: DataFrame, events: DataFrame, orders: DataFrame, products: DataFrame, diagnosis: DataFrame, segments: DataFrame,
                      truth: DataFrame, ltv: DataFrame, attribution: DataFrame, p: SignalParams) -> DataFrame:
     """C-02: one (check_id, actual) row per check.
@@ -91,10 +97,12 @@ def measured_signals(ads: DataFrame, events: DataFrame, orders: DataFrame, produ
     after = c("date") >= lit(p.cost_from)
     cpc = lambda x: ratio(F.sum(F.when(x, c("cost"))), F.sum(F.when(x, c("clicks"))))
     s1a = _value("S1a", g, ratio(cpc(after), cpc(~after)))
-    said = lambda i, cond: _value(i, diagnosis, F.when(F.bool_or(F.coalesce(cond, lit(False))), 1.0).otherwise(0.0))
-    s1b = said("S1b", (c("entity") == p.cost_group) & (c("cause") == p.dearer))
-    s2b = said("S2b", (c("entity") == "all_site") & (c("period_start") == lit(p.outage_day)) & (c("cause") == p.broken))
-    s3b = said("S3b", (c("entity") == p.tired_creative) & (c("cause") == p.tired))
+    said = lambda cond: F.when(F.bool_or(F.coalesce(cond, lit(False))), 1.0).otherwise(0.0)
+    # the replies are parsed once for all three questions
+    told = _values(diagnosis, {
+        "S1b": said((c("entity") == p.cost_group) & (c("cause") == p.dearer)),
+        "S2b": said((c("entity") == "all_site") & (c("period_start") == lit(p.outage_day)) & (c("cause") == p.broken)),
+        "S3b": said((c("entity") == p.tired_creative) & (c("cause") == p.tired))})
     booked = orders.where((c("order_date") == lit(p.outage_day)) & (c("data_source") == "synthetic")).agg(count_rows()).scalar()
     tracked = events.where((c("event_dt") == lit(p.outage_day)) & (c("event_name") == "purchase") & (c("data_source") == "synthetic"))
     s2a = _value("S2a", tracked, ratio(count_rows(), booked))
@@ -109,13 +117,14 @@ def measured_signals(ads: DataFrame, events: DataFrame, orders: DataFrame, produ
                  ratio(F.avg(F.when(mine, c("predicted_revenue_30d"))), F.avg(F.when(~mine, c("predicted_revenue_30d")))))
     first = attribution.where("not is_repeat and not window_truncated")
     credit = lambda ch, x: F.sum(F.when(c("channel") == ch, c(x)))
-    s6a = _value("S6a", first, ratio(credit(p.opening_channel, "credit_first_nd"), credit(p.opening_channel, "credit_last_nd")))
-    s6b = _value("S6b", first, ratio(credit(p.closing_channel, "credit_last_nd"), credit(p.closing_channel, "credit_first_nd")))
+    credits = _values(first, {
+        "S6a": ratio(credit(p.opening_channel, "credit_first_nd"), credit(p.opening_channel, "credit_last_nd")),
+        "S6b": ratio(credit(p.closing_channel, "credit_last_nd"), credit(p.closing_channel, "credit_first_nd"))})
     sold = orders.where(c("order_date").between(F.date_sub(lit(p.promo_start), 21), lit(p.promo_end))).join(products.select("item_id", "promotion_ids"), "item_id")
     during, promo, q = c("order_date") >= lit(p.promo_start), F.array_contains("promotion_ids", p.promotion), c("quantity")
     share = lambda x: ratio(F.sum(F.when(x & promo, q).otherwise(0)), F.sum(F.when(x, q)))
     s7a = _value("S7a", sold, 100 * (share(during) - share(~during)))
-    return union_all([s1a, s1b, s2a, s2b, s3a, s3b, s5a, s5b, s6a, s6b, s7a])
+    return union_all([s1a, told, s2a, s3a, s5a, s5b, credits, s7a])
 
 
 def score(criteria_table: DataFrame, measured: DataFrame) -> DataFrame:
