@@ -1,12 +1,14 @@
 """Text normalisation and scanning as column expressions.
 
-Everything runs in the JVM except NFKC, which Spark lacks: that single step is an Arrow-batched pandas UDF, and rows that are
-pure ASCII (where NFKC changes nothing) are sent to it as NULL, so their text never crosses to Python.
+Everything runs in the JVM except NFKC, which Spark lacks: that single step is an Arrow-batched pandas UDF. Only the short runs of
+characters that NFKC may change are sent to it; the rest of a text, and rows without such a character, never cross to Python.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Sequence
 
@@ -43,6 +45,7 @@ CLAIM_TERMS = tuple(
     + [(t, "醫療") for t in ("醫療", "醫學", "醫師", "療效", "治療", "消炎", "止癢", "止痛", "抗過敏", "預防")]
     + [(t, "絕對") for t in ("最好", "最強", "最佳", "最舒服", "最柔軟", "最吸水", "第一名", "全台第一", "業界第一", "唯一", "保證", "永不", "絕對", "100% 有效", "No.1")])
 EXTRA_CLAIM_TERMS = tuple((t, "誇大") for t in ("極致", "強效", "黃金", "日本級"))
+JOINED_GAP = 40  # characters between two ranges of changing characters that are taken as one
 # --------------------------------------------------------------------------------------------------------------------------
 
 
@@ -59,9 +62,47 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
 
+@functools.cache
+def unstable() -> str:
+    """Regex class of all characters that NFKC changes or that may merge with what stands before them; near ranges are joined, as more does no harm.
+
+    A text may be cut before any other character and its pieces normalised one by one (stable code points of UAX 15).
+    """
+    second = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))  # vowels and finals of Hangul
+    found = set()
+    for k in range(0x80, sys.maxunicode + 1):
+        ch = chr(k)
+        parts = unicodedata.decomposition(ch).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            second.add(int(parts[1], 16))
+        if unicodedata.combining(ch) or unicodedata.normalize("NFKC", ch) != ch:
+            found.add(k)
+    ranges: list[list[int]] = []
+    for k in sorted(found | second):
+        if ranges and k - ranges[-1][1] <= JOINED_GAP:
+            ranges[-1][1] = k
+        else:
+            ranges.append([k, k])
+    return r"[\x{A0}-\x{10FFFF}&&[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]]"
+
+
 def nfkc(c: Column) -> Column:
-    foreign = F.when(c.rlike(r"[^\x00-\x7F]"), c)
-    return F.coalesce(_nfkc(foreign), c)
+    """The runs that may change, each with the character before it, go to Python as one string parted by U+0000 and are put back in place.
+
+    U+0000 merges with nothing. A text that holds it already goes as a whole.
+    """
+    zero, some = F.lit("\0"), unstable()
+    run = rf"[^\x00]?{some}+"
+
+    def to_send(t: Column) -> Column:
+        runs = F.array_join(F.regexp_extract_all(t, F.lit(run), 0), "\0")
+        return F.when(t.rlike(some), F.when(F.contains(t, zero), t).otherwise(runs))
+
+    def put_back(x: Column) -> Column:
+        kept = F.split(F.regexp_replace(x["text"], run, "\0"), "\0", -1)
+        both = F.zip_with(kept, F.split(x["sent"], "\0", -1), lambda k, s: F.concat(k, F.coalesce(s, F.lit(""))))
+        return F.when(x["sent"].isNull(), x["text"]).when(F.contains(x["text"], zero), x["sent"]).otherwise(F.array_join(both, ""))
+    return once(F.struct(c.alias("text"), _nfkc(once(c, to_send)).alias("sent")), put_back)
 
 
 def drop_invisible(c: Column) -> Column:
