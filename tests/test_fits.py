@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +143,26 @@ def test_both_ways_read_the_business_zone(spark):
         one = {r.metric: r.value for r in q.metric_vector(ev, od, ads, cr, cu, s, tz).collect()}
         two = {r.metric: r.value for r in recount_vector(ev, od, ads, cr, cu, s, tz).collect()}
         assert one == two and one["check.order_date_mismatch"] == off and one["s6.meta_first"] == "1" and one["s3.weekly_decay"] == "0.500000000"
+
+
+def test_rounds_share_their_code(customers, monkeypatch):
+    """Every pass of a fit that compares with centres is one plan: centres in expressions would be compiled in every round."""
+    plans, real = [], sg._sums
+    monkeypatch.setattr(sg, "_sums", lambda points, centers: plans.append(real(points, centers)) or plans[-1])
+    sg.fit_segments(customers, 3, names=NAMES)
+    text = [re.sub(r"#\d+L?|work\([^)]*\)", "", p._jdf.queryExecution().optimizedPlan().toString()) for p in plans]
+    assert len(plans) > 1 and set(text) == {text[0]}
+
+
+def test_one_fingerprint_for_all_models(spark, monkeypatch):
+    from tidemark.plans import customers as plan
+    rows = [(i, i % 4 != 0, 1 + i % 5, 3 * i % 7, 10.0 * (i % 3), i % 2, 0.1 * (i % 4), 1.0 * i, i % 6) for i in range(40)]
+    features = spark.createDataFrame(rows, "customer_id long, observed_30d boolean, order_count long, total_qty long, total_revenue double, first_qty long, share_ECONOMY double, avg_gap_days double, recency_days int")
+    monkeypatch.setattr(plan, "saved_features", lambda s, d: features)
+    monkeypatch.setattr(plan, "truth", lambda s, d: features.select("customer_id", F.lit("BUILDING").alias("segment")))
+    asked, real = [], mo.fingerprint
+    for where in (plan, mo):
+        monkeypatch.setattr(where, "fingerprint", lambda df: asked.append(df) or real(df), raising=False)
+    found = plan._model_truth(spark, "").collect()
+    assert len(asked) == 1
+    assert {n: sum(r.BUILDING for r in found if r.model_name == n) for n in plan.MODELS} == dict.fromkeys(plan.MODELS, 40)

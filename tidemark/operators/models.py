@@ -8,15 +8,18 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from ..functions.checks import fingerprint
 from ..sources.io import shared_root
 
 
-def model_version(training: DataFrame, *settings: object) -> str:
-    """Name of a model's version: rows and row hashes of its training table, and its settings. Order and partitioning do not matter."""
-    seen = fingerprint(training).first()
+def model_version(training: DataFrame, *settings: object, seen: Row | None = None) -> str:
+    """Name of a model's version: rows and row hashes of its training table, and its settings. Order and partitioning do not matter.
+
+    ``seen`` is the table's fingerprint if the caller has it: several models of one written table need only one.
+    """
+    seen = seen or fingerprint(training).first()
     return hashlib.sha256(repr((seen.row_count, seen.fingerprint, *settings)).encode()).hexdigest()[:16]
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.checks import check_rows, one_row, union_all
@@ -84,6 +86,52 @@ def _nearest(points: DataFrame, centers: Sequence[Sequence[float]], v: str = "_v
     return every.withColumn("_c", F.array_position("_all", F.col("_d2")).cast("int")).drop("_all")
 
 
+def _measure(centers: Sequence[Sequence[float]]) -> Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]:
+    """Function to the points of a batch and their squared distances to every centre, summed in the order ``_squared`` sums them.
+
+    Centres are data of the tasks: written into expressions, every new set of them would be compiled anew.
+    """
+    c = np.array(centers, float)
+
+    def distances(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        v = batch.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(-1, c.shape[1])
+        every = np.zeros((len(c), len(v)))
+        for j in range(c.shape[1]):
+            every += (v[:, j] - c[:, j, None]) ** 2
+        return v, every
+    return distances
+
+
+def _with_distance(points: DataFrame, centers: Sequence[Sequence[float]]) -> DataFrame:
+    """``_d2``, the squared distance to the nearest centre."""
+    distances = _measure(centers)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.fmin.reduce(distances(b)[1]))], [*b.schema.names, "_d2"])
+
+    return points.mapInArrow(work, points.withColumn("_d2", F.lit(0.0)).schema)
+
+
+def _sums(points: DataFrame, centers: Sequence[Sequence[float]]) -> DataFrame:
+    """(_c, n, s): number and sums of the points nearest to each centre that has any; each task adds up its own points first."""
+    distances, k, p = _measure(centers), len(centers), len(centers[0])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(k, np.int64), np.zeros((k, p))
+        for b in batches:
+            v, every = distances(b)
+            near = np.argmin(np.where(np.isnan(every), np.inf, every), axis=0)  # of equally near centres the first
+            n += np.bincount(near, minlength=k)
+            for j in range(p):
+                total[:, j] += np.bincount(near, v[:, j], k)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used + 1, pa.int32()), pa.array(n[used]), pa.array(total[used].tolist(), pa.list_(pa.float64()))], ["_c", "n", "s"])
+
+    parts = points.select("_v").mapInArrow(work, "_c int, n long, s array<double>")
+    return parts.groupBy("_c").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[j]) for j in range(p)]).alias("s"))
+
+
 def _race(seed: int, step: int) -> Column:
     """Exponential number of a customer and step, the same on every machine and in every partitioning."""
     digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(step), F.col("customer_id")).cast("binary")), 1, 13)
@@ -109,16 +157,15 @@ def fit_segments(features: DataFrame, k: int = 4, seed: int = 11, observed_only:
     points = train.select("customer_id", base.scaled().alias("_v"))
     centers: list[tuple[float, ...]] = []
     for step in range(k):
-        at = _nearest(points, centers).where("_d2 > 0") if centers else points.withColumn("_d2", F.lit(1.0))
+        at = _with_distance(points, centers).where("_d2 > 0") if centers else points.withColumn("_d2", F.lit(1.0))
         drawn = at.agg(F.min_by("_v", F.struct(_race(seed, step) / F.col("_d2"), "customer_id"))).first()[0]
         if drawn is None:
             break
         centers.append(tuple(drawn))
     for _ in range(rounds if centers else 0):
-        means_of = [F.avg(F.col("_v")[j]) for j in range(len(names))]
         moved = list(centers)
-        for row in _nearest(points, centers).groupBy("_c").agg(*means_of).collect():
-            moved[row[0] - 1] = tuple(row[1:])
+        for row in _sums(points, centers).collect():
+            moved[row["_c"] - 1] = tuple(x / row["n"] for x in row["s"])
         still = max(abs(a - b) for old, new in zip(centers, moved) for a, b in zip(old, new)) < 1e-12
         centers = moved
         if still:

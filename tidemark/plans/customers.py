@@ -2,6 +2,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from ..functions.checks import fingerprint
 from ..operators import models as mo, segments as sg, value as vl
 from ..sources import adapters as a, io
 from .fits import kmeans_sql, ridge_sql
@@ -28,16 +29,17 @@ def saved_features(s, d):
 MODELS = {"k3_observed": (3, True), "k4_observed": (4, True), "k5_observed": (5, True), "k4_all": (4, False)}
 
 
-def segment_table(s, f, name="k4_observed"):
-    """The saved model of this name for these features; the first query that asks for it fits it."""
+def segment_table(s, f, name="k4_observed", seen=None):
+    """The saved model of this name for these features; the first query that asks for it fits it. ``seen`` is their fingerprint, if known."""
     k, observed = MODELS[name]
-    return mo.frozen(s, f"segments_{name}", mo.model_version(f, "k-means++", name), lambda: sg.fit_segments(f, k, observed_only=observed).table(s))
+    return mo.frozen(s, f"segments_{name}", mo.model_version(f, "k-means++", name, seen=seen), lambda: sg.fit_segments(f, k, observed_only=observed).table(s))
 
 
-def segments(s, f, name="k4_observed"):
+def segments(s, f, name="k4_observed", seen=None):
     """The saved assignment of all customers by the saved model."""
-    version = mo.model_version(f, "k-means++", name)
-    return mo.frozen(s, f"assigned_{name}", version, lambda: sg.assign_segments(sg.SegmentModel.from_table(segment_table(s, f, name)), f)).drop("version")
+    seen = seen or fingerprint(f).first()
+    version = mo.model_version(f, "k-means++", name, seen=seen)
+    return mo.frozen(s, f"assigned_{name}", version, lambda: sg.assign_segments(sg.SegmentModel.from_table(segment_table(s, f, name, seen)), f)).drop("version")
 
 
 def ltv_features(s, d):
@@ -76,7 +78,8 @@ def _centroids(s, d):
 
 def _davies_bouldin(s, d):
     f = saved_features(s, d)
-    found = sg.davies_bouldin({n: sg.SegmentModel.from_table(segment_table(s, f, n)) for n in MODELS}, f)
+    seen = fingerprint(f).first()
+    found = sg.davies_bouldin({n: sg.SegmentModel.from_table(segment_table(s, f, n, seen)) for n in MODELS}, f)
     return found.withColumn("davies_bouldin_index", F.round("davies_bouldin_index", 6))
 
 
@@ -90,7 +93,8 @@ def _with_segments(use):
 def _model_truth(s, d):
     """G-07 by model: the crosstab of every saved model."""
     f = saved_features(s, d)
-    every = [segments(s, f, n).withColumn("model_name", F.lit(n)) for n in MODELS]
+    seen = fingerprint(f).first()
+    every = [segments(s, f, n, seen).withColumn("model_name", F.lit(n)) for n in MODELS]
     return sg.cluster_vs_truth(sg.union_all(every), truth(s, d), SEGMENTS, by=("model_name", "centroid_id"))
 
 
