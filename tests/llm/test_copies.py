@@ -181,6 +181,32 @@ def test_near_duplicates_random(spark, seed):
     assert groups(df, size=5, num=80, den=100) == near_groups(rows, 5, 80, 100)
 
 
+@pytest.mark.parametrize("block", [jaccard.BLOCK if hasattr(jaccard, "BLOCK") else 0, 50])
+def test_near_duplicates_of_a_crowd(spark, block, monkeypatch):
+    """Many copies of one text, most of them just beyond the threshold from each other: no table of their pairs is written."""
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(160)]
+    rows = []
+    for k in range(300):
+        edited = list(base)
+        for at in rng.sample(range(160), rng.randrange(1, 9)):
+            edited[at] = f"e{k}_{at}"
+        rows.append((k, " ".join(edited)))
+    rows += [(300 + k, rows[k][1] + f" more{k}") for k in range(0, 300, 30)]
+    written = []
+
+    def counted(df, write=jaccard.materialize):
+        out = write(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    monkeypatch.setattr(jaccard, "BLOCK", block, raising=False)
+    assert groups(spark.createDataFrame(rows, "doc_id long, text string")) == near_groups(rows)
+    placements = sum(n - -(-85 * n // 100) + 1 + n // 32 for n in (len(shingles(t, 4)) for _, t in rows))
+    assert max(written) <= placements < len(rows) ** 2 / 6
+
+
 def test_threshold_is_met_exactly(spark):
     # 17 of 20 shingles in common is 0.85, 16 of 19 is below
     base = [f"a{k}" for k in range(20)]

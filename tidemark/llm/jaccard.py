@@ -2,20 +2,19 @@
 
 Jaccard distance is a metric, so the work is divided by distances to pivots.
 
-1. Documents with equal shingle sets collapse to the one with the smallest id. A table of counts of fixed size orders all shingles from rare
-   to frequent. Single shingles are the first, coarsest pivots: two documents that link must share one of the rarest n - ceil(t n) + 1
-   shingles of each, so every document is replicated into the regions of exactly these, and regions with one set in them vanish.
-2. In each region documents are drawn as pivots and every member's distance to them is bounded from below by histograms of hashed
-   shingles, and computed exactly from the texts where the bound does not already exceed the threshold. With the threshold as a distance
-   d, the triangle inequality says: a document linked to a member of the ball of radius d around a pivot lies within 2 d of the pivot. So
-   the members within 2 d form the pivot's region of the next round, and all members that are in no ball form another one. A document
-   on a border is in several. No pair that could link is separated, and pivots themselves are finished.
-3. Regions join recursively, with more pivots each round, until all their members are known to be in one component. What is in a
-   component already is not compared again: pivots are drawn outside the largest one. A region that takes 100,000 pairs at most ends the
-   recursion: all its members outside the largest component are pivots. Regions with the same members, or that stay whole around the same
-   pivot, are joined one time only.
-
-No step holds a region in one task: pivots are minima, and members meet pivots in joins that may be split.
+1. Documents with equal shingle sets collapse to the one with the smallest id. A table of shingle counts orders all shingles from rare to
+   frequent. Single shingles are the first, coarsest pivots: two documents that link share at least l of the rarest n - ceil(t n) + l
+   shingles of each, so every document is placed in the regions of exactly these. Placements travel as packed arrays; regions with one
+   document vanish, and so do documents left in fewer than l regions.
+2. In each region documents are drawn as pivots, more each round, and every member's distance to them is computed exactly. With the threshold
+   as a distance e, the triangle inequality says: of two linked documents either both lie within 3 e of a pivot, or neither within 2 e. The
+   members within 3 e of a pivot form its ball, those beyond 2 e of every pivot of their region form the region of the next round; a
+   document on a border is in both. No pair that could link is separated, and pivots themselves are finished.
+3. Balls around one pivot are one ball, whatever region they were met in. Members linked to the pivot are in one component without a
+   test. In balls with several components left, members are held by their differences to the pivot: two of them are as far
+   apart as their differences are, so short arrays decide all remaining pairs exactly, block by block and never as rows.
+
+Pivots are minima, members meet pivots in joins that may be split, and a large ball is dealt out in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -24,16 +23,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import U, Words, materialize, only, text_slices, window_hashes
+from .common import U, Words, materialize, only, text_slices, total_bytes, window_hashes
 from .graph import components
 
-COUNT_BITS = 20
-HISTOGRAM = 64
+MOST_COUNT_BITS = 25  # the table of counts has at most so many classes, whatever the input; a coarser order costs time only
+GAP = 128  # classes between two that are always listed, so that gaps fit a byte
+SPARE = 32  # one more placement, and one more region asked for, for so many shingles
+BUCKET_BYTES = 8 << 20  # of text, for each bucket of placements
+PLACEMENT = np.dtype([("key", "<u4"), ("doc", "<i8")])
+BLOCK = 2048  # members of a ball in a block, if their differences take no more than
+BLOCK_BYTES = 16 << 20
 BROADCAST_IDS = 500_000  # eight bytes each
-FULL_JOIN = 100_000  # a region that takes so many pairs at most is joined in full, the end of the recursion
-INFO = "doc_id long, n long, f1 long, f2 long, histogram binary, slot int, counts binary"
+INFO = "doc_id long, n long, f1 long, f2 long, slot int, counts binary"
+
+
+def class_of(values: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` classes, a power of two, a shingle is counted in."""
+    return (values >> U(65 - n.bit_length())).astype(np.int64)
 
 
 class Shingles:
@@ -65,14 +73,9 @@ class Shingles:
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
         return total[self.first + self.n] - total[self.first]
 
-    def histograms(self) -> np.ndarray:
-        """How many shingles of each document fall into each of 64 hash classes, at most 65,535."""
-        at = self.doc * HISTOGRAM + (self.value >> U(64 - 6)).astype(np.int64)
-        return np.minimum(np.bincount(at, minlength=len(self.n) * HISTOGRAM), 65535).astype("<u2").reshape(-1, HISTOGRAM)
-
     def rarest(self, classes: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(documents, shingles): the first ``take`` of each document from rare to frequent."""
-        rank = (classes[(self.value >> U(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64) << U(56)) | (self.value >> U(8))
+        rank = (classes[class_of(self.value, len(classes))].astype(np.uint64) << U(56)) | (self.value >> U(8))
         order = np.argsort(rank, kind="stable")
         order = order[np.argsort(self.doc[order].astype(np.int32), kind="stable")]
         place = np.arange(len(order)) - self.first[self.doc[order]]
@@ -80,68 +83,109 @@ class Shingles:
         return self.doc[chosen], self.value[chosen]
 
 
-def describe(docs: DataFrame, size: int) -> DataFrame:
-    """Per document the size, fingerprint and histogram of its set; and, as rows without these, parts of the shingle counts of each task."""
-    slots = 64
+def describe(docs: DataFrame, size: int, bits: int) -> DataFrame:
+    """Per document the size and fingerprint of its set; and, as rows without these, parts of the shingle counts of each task."""
+    slots = min(256, 1 << bits)
+
+    def listed(counts: np.ndarray) -> bytes:
+        """Gaps between the classes that occur, a byte each, then their counts."""
+        some = counts > 0
+        some[::GAP] = True
+        at = np.flatnonzero(some)
+        return np.diff(at, prepend=0).astype(np.uint8).tobytes() + counts[at].astype("<u2").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNT_BITS, np.int64)
+        counts = np.zeros(1 << bits, np.uint16)
         for b in text_slices(batches):
             s = Shingles(b.column("text"), size)
-            counts += np.bincount((s.value >> U(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+            seen, times = np.unique(class_of(s.value, len(counts)), return_counts=True)
+            counts[seen] = np.minimum(counts[seen].astype(np.int64) + times, 65535)
             f1, f2 = s.sums(s.value * U(0xD1342543DE82EF95) ^ (s.value >> U(29))), s.sums((s.value ^ (s.value >> U(31))) * U(0xAF251AF3B0F025B5))
             n = len(s.n)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(s.n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array([h.tobytes() for h in s.histograms()], pa.binary()),
-                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "n", "f1", "f2", "histogram", "slot", "counts"])
-        parts = [p.tobytes() for p in np.split(counts, slots)]
+                [b.column("doc_id"), pa.array(s.n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                ["doc_id", "n", "f1", "f2", "slot", "counts"])
+        parts = [listed(p) for p in np.split(counts, slots)]
         empty = pa.nulls(slots, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [empty, empty, empty, empty, pa.nulls(slots, pa.binary()), pa.array(np.arange(slots, dtype=np.int32)), pa.array(parts, pa.binary())],
-            ["doc_id", "n", "f1", "f2", "histogram", "slot", "counts"])
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(np.arange(slots, dtype=np.int32)), pa.array(parts, pa.binary())], ["doc_id", "n", "f1", "f2", "slot", "counts"])
 
     return docs.mapInArrow(work, INFO)
 
 
-def rarity(info: DataFrame) -> np.ndarray:
-    """One byte for each of 2**20 hash classes: the number of binary digits of how often its shingles occur. The driver gets 8 MB."""
+def rarity(info: DataFrame, bits: int) -> np.ndarray:
+    """One byte for each of 2**bits hash classes: how often its shingles occur, in coarser steps above 128. The driver gets 32 MB at most."""
+    slots = min(256, 1 << bits)
+    width = (1 << bits) // slots
+
     def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(c, np.int64) for c in table["counts"].to_pylist()], axis=0)
-        return pa.table({"slot": table["slot"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(width, np.int64)
+        for c in table["counts"]:
+            data = c.as_buffer()
+            n = len(data) // 3
+            at = np.cumsum(np.frombuffer(data, np.uint8, n), dtype=np.int64)
+            total[at] += np.frombuffer(data, "<u2", n, n)
+        steps = np.where(total <= 128, total, 128 + 4 * np.log2(np.maximum(total, 1) / 128)).astype(np.uint8)
+        return pa.table({"slot": table["slot"].slice(0, 1), "counts": pa.array([steps.tobytes()], pa.binary())})
 
     added = info.where("slot IS NOT NULL").select("slot", "counts").groupBy("slot").applyInArrow(add, "slot int, counts binary")
-    out = np.zeros((64, (1 << COUNT_BITS) // 64), np.int64)
+    out = np.zeros((slots, width), np.uint8)
     for r in added.toLocalIterator():
-        out[r["slot"]] = np.frombuffer(r["counts"], np.int64)
-    return np.ceil(np.log2(out.ravel() + 1)).astype(np.uint8)
-
-
-def first_regions(docs: DataFrame, size: int, num: int, den: int, classes: np.ndarray) -> DataFrame:
-    """(region, doc_id): every document under each of its rarest shingles."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches):
-            s = Shingles(b.column("text"), size)
-            doc, value = s.rarest(classes, np.where(s.n > 0, s.n - -(-num * s.n // den) + 1, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), b.column("doc_id").take(pa.array(doc))], ["region", "doc_id"])
+        out[r["slot"]] = np.frombuffer(r["counts"], np.uint8)
+    return out.ravel()
 
-    return docs.mapInArrow(work, "region long, doc_id long")
 
+def first_regions(docs: DataFrame, size: int, num: int, den: int, classes: np.ndarray, buckets: int) -> DataFrame:
+    """(region, doc_id): every document under each of its rarest shingles, for regions with several ids."""
+    known = docs.sparkSession.sparkContext.broadcast(classes)
 
-def lower_bounds(pairs: DataFrame) -> DataFrame:
-    """Replaces both histograms of a pair by a lower bound of its distance."""
-    names = [c for c in pairs.columns if c not in ("hx", "hq")]
-    schema = ", ".join(f"{n} {t}" for n, t in pairs.dtypes if n in names)
+    def packed(parts: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
+        rows, bucket = np.concatenate(parts), np.concatenate(at)
+        order = np.argsort(bucket, kind="stable")
+        rows, bounds = rows[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(bounds))
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([rows[bounds[k]:bounds[k + 1]].tobytes() for k in full], pa.binary())], ["bucket", "rows"])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, HISTOGRAM).astype(np.int64) for c in ("hx", "hq"))
-            a, c = b.column("nx").to_numpy(), b.column("nq").to_numpy()
-            # |x - y| in the classes is at most the number of shingles that only one of them has
-            apart = np.maximum(np.abs(x - q).sum(1), np.abs(a - c))
-            bound = 2 * apart / np.maximum(a + c + apart, 1)
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(bound)], [*names, "bound"])
-
-    return pairs.mapInArrow(work, schema + ", bound double")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, at, held = [], [], 0
+        for b in text_slices(batches):
+            s = Shingles(b.column("text"), size)
+            doc, value = s.rarest(known.value, np.where(s.n > 0, s.n - -(-num * s.n // den) + 1 + s.n // SPARE, 0))
+            rows = np.empty(len(doc), PLACEMENT)
+            rows["key"], rows["doc"] = value & U(0xFFFFFFFF), b.column("doc_id").to_numpy()[doc]
+            parts.append(rows)
+            at.append(((value >> U(32)) % U(buckets)).astype(np.int32))
+            held += len(rows)
+            if held > 1 << 20:
+                yield packed(parts, at)
+                parts, at, held = [], [], 0
+        if held:
+            yield packed(parts, at)
+
+    def shared(table: pa.Table) -> pa.Table:
+        rows = np.concatenate([np.frombuffer(r.as_buffer(), PLACEMENT) for r in table["rows"]])
+        rows = rows[np.lexsort((rows["doc"], rows["key"]))]
+        key, doc = rows["key"], rows["doc"]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size_of = np.diff(np.append(first, len(rows)))
+        several = np.repeat(doc[first] != doc[first + size_of - 1], size_of)
+        region = key[several].astype(np.int64) | (table["bucket"][0].as_py() << 32)
+        return pa.table({"region": pa.array(region), "doc_id": pa.array(doc[several])})
+
+    return docs.mapInArrow(place, "bucket int, rows binary").groupBy("bucket").applyInArrow(shared, "region long, doc_id long")
+
+
+def thinned(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(region, doc_id, n) without documents that meet others in too few regions to link, and without regions of one document.
+
+    Two shingles of a document that fall on one key are two rows here, so none is counted too low.
+    """
+    enough = F.lit(1) + F.floor(F.ceil(F.col("n") * num / den) / SPARE)
+    for _ in range(2):
+        shared = members.groupBy("region").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("region")
+        members = materialize(members.join(shared, "region"))
+        kept = members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).where(F.col("c") >= enough).select("doc_id")
+        members = materialize(members.join(kept, "doc_id"))
+    return materialize(members.distinct())
 
 
 def texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -151,127 +195,121 @@ def texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return materialize(rows.join(F.broadcast(wanted) if few else wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
 
 
-def distances(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """(x, q, both, nx, nq) with the size of the intersection, from the texts, for distinct pairs (x, q)."""
-    pairs = materialize(pairs)
-    texts = texts_of(rows, pairs.select(F.explode(F.array("x", "q")).alias("doc_id")))
-    mine = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
-    theirs = texts.select(F.col("doc_id").alias("q"), F.col("text").alias("tq"))
-    # each join has a text on one side and a text that is unique on the key on the other, so a hot pivot can be split
-    half = materialize(pairs.join(mine, "x"))
-    full = half.join(theirs, "q").select("x", "q", "tx", "tq")
+def sets_of(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, shingles) of these documents, shingles as packed sorted hashes."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches):
+            s = Shingles(b.column("text"), size)
+            packed = [s.value[f:f + n].tobytes() for f, n in zip(s.first, s.n)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s.n.astype(np.int64)), pa.array(packed, pa.binary())], ["doc_id", "n", "shingles"])
+
+    return materialize(texts_of(rows, ids).mapInArrow(work, "doc_id long, n long, shingles binary"))
+
+
+def differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, q, nx, d, linked, diff) for distinct pairs (x, q): distance, and for those within three times the threshold the shingles that only one of them has."""
+    mine = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("sx"))
+    theirs = sets.select(F.col("doc_id").alias("q"), F.col("shingles").alias("sq"))
+    # each join has a set on one side that is unique on the key, so a hot pivot can be split
+    full = pairs.join(mine, "x").join(theirs, "q").select("x", "q", "sx", "sq")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            both, nx, nq = [], [], []
-            last, known = None, None
-            for tx, tq in zip(b.column("tx").to_pylist(), b.column("tq").to_pylist()):
-                if tq != last:
-                    last, known = tq, Shingles(pa.array([tq], pa.large_string()), size).value
-                own = Shingles(pa.array([tx], pa.large_string()), size).value
-                both.append(len(np.intersect1d(own, known, assume_unique=True)))
-                nx.append(len(own))
-                nq.append(len(known))
-            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("q"), *(pa.array(v, pa.int64()) for v in (both, nx, nq))], ["x", "q", "both", "nx", "nq"])
-
-    return full.mapInArrow(work, "x long, q long, both long, nx long, nq long")
-
-
-def without_twins(members: DataFrame) -> DataFrame:
-    """Of regions with the same members only one; regions with one member go."""
-    same = members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("s1"), F.bit_xor(F.xxhash64("doc_id", F.lit(7))).alias("s2")).where("n > 1")
-    chosen = materialize(same.groupBy("n", "s1", "s2").agg(F.min("region").alias("region")).select("region"))
-    return members.join(chosen, "region")
-
-
-def unfinished(members: DataFrame, names: DataFrame | None) -> DataFrame:
-    """Regions whose members are not all in one component, as (region, doc_id, depth, component)."""
-    if names is None:
-        known = members.withColumn("component", F.col("doc_id"))
-    else:
-        named = names.select(F.col("node").alias("doc_id"), "component")
-        known = members.join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    known = materialize(known)
-    open_regions = materialize(known.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("region"))
-    return materialize(without_twins(known.join(open_regions, "region")).select("region", "doc_id", "depth", "component"))
-
-
-def shapes(members: DataFrame) -> DataFrame:
-    """(region, n, big, full): members of each region, its largest component, and whether it can be joined in full."""
-    parts = members.groupBy("region", "component").agg(F.count(F.lit(1)).alias("c"))
-    shape = parts.groupBy("region").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("b"))
-    return shape.select("region", "n", F.col("b.component").alias("big"), (F.col("n") * (F.col("n") - F.col("b.c")) <= FULL_JOIN).alias("full"))
-
-
-def pivots_of(members: DataFrame, shape: DataFrame, round_no: int) -> DataFrame:
-    """(region, q, qc, n, full): pivots outside the largest component of each region.
-
-    In the first round one per region. Later all such members of a region that can be joined in full, which finishes it; of a larger one
-    32, 128, 512 and so on, drawn by hash classes: in each the one closest to the last pivots, as central documents
-    link with most others.
-    """
-    others = members.join(shape, "region").where("component <> big")
+            nx, d, linked, diff = [], [], [], []
+            for sx, sq in zip(b.column("sx"), b.column("sq")):
+                x, q = np.frombuffer(sx.as_buffer(), np.uint64), np.frombuffer(sq.as_buffer(), np.uint64)
+                apart = np.setxor1d(x, q, assume_unique=True)
+                both = (len(x) + len(q) - len(apart)) // 2
+                union = both + len(apart)
+                nx.append(len(x))
+                d.append(len(apart) / union)
+                linked.append(den * both >= num * union)
+                diff.append(apart.tobytes() if d[-1] <= 3 * reach(num, den) else None)
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("q"), pa.array(nx, pa.int64()), pa.array(d, pa.float64()), pa.array(linked, pa.bool_()), pa.array(diff, pa.binary())],
+                                             ["x", "q", "nx", "d", "linked", "diff"])
+
+    return materialize(full.mapInArrow(work, "x long, q long, nx long, d double, linked boolean, diff binary"))
+
+
+def reach(num: int, den: int) -> float:
+    return (den - num) / den + 1e-9
+
+
+def pivots_of(members: DataFrame, round_no: int) -> DataFrame:
+    """(region, q): pivots of each region, one in the first round, then up to 4, 16, 64 and so on, drawn by hash classes."""
     draw = F.xxhash64("doc_id", F.lit(round_no))
-    lot = F.struct("depth", draw.alias("h"), F.col("doc_id").alias("q"), F.col("component").alias("qc"))
-    some = others if round_no == 0 else others.where("NOT full")
-    lots = 1 if round_no == 0 else 8 << (2 * round_no)
-    drawn = some.groupBy("region", "n", "full", F.pmod(draw, F.lit(lots)).alias("lot")).agg(F.min(lot).alias("p")).select("region", "p.q", "p.qc", "n", "full")
-    if round_no == 0:
-        return drawn
-    return drawn.unionByName(others.where("full").select("region", F.col("doc_id").alias("q"), F.col("component").alias("qc"), "n", "full"))
+    drawn = members.groupBy("region", F.pmod(draw, F.lit(1 << (2 * round_no))).alias("lot")).agg(F.min("doc_id").alias("q"))
+    return drawn.select("region", "q")
 
 
-def next_regions(members: DataFrame, pivots: DataFrame, known: DataFrame, reach: float) -> DataFrame:
-    """(region, doc_id, depth) of what is left of regions whose pivots did not finish them. ``known`` has x, q, least, linked.
+def linked_in_balls(balls: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links between the components that the members of a ball are in, of all links as many as connect them.
 
-    Around each pivot what lies within twice the distance, and all that is in no ball. A region most of which lies around one pivot, or
-    that can be joined in full, stays whole, as parting would only copy it. Regions that stay whole and have the same first pivot become
-    one: they are mostly the same documents, met under different shingles.
+    ``balls`` has q, x, nx, component and diff. Each member meets each block of its ball in one task.
     """
-    rest = members.select("region", "doc_id").join(pivots.select("region", F.col("q").alias("doc_id")), ["region", "doc_id"], "left_anti")
-    placed = materialize(rest.join(pivots.select("region", "q", "n", "full"), "region").join(known.withColumnRenamed("x", "doc_id"), ["doc_id", "q"]))
-    close = placed.where(F.col("least") <= reach)
-    crowded = close.groupBy("region", "q").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where(2 * F.col("c") > F.col("n")).select("region")
-    small = placed.where("full").select("region")
-    first = pivots.groupBy("region").agg(F.min("q").alias("home"))
-    whole = materialize(crowded.unionByName(small).distinct().join(first, "region"))
-    parted = placed.join(whole, "region", "left_anti")
-    around = parted.where(F.col("least") <= reach).select(F.xxhash64("region", "q").alias("region"), "doc_id", F.col("least").alias("depth"))
-    outside = parted.groupBy("region", "doc_id").agg(F.max("linked").alias("in_ball"), F.min("least").alias("depth")).where("NOT in_ball").select(
-        F.xxhash64("region", F.lit("outside")).alias("region"), "doc_id", "depth")
-    kept = placed.join(whole, "region").groupBy(F.xxhash64("home", F.lit("whole")).alias("region"), "doc_id").agg(F.min("least").alias("depth"))
-    return around.unionByName(outside).unionByName(kept)
-
-
-def links(regions: DataFrame, sets: DataFrame, rows: DataFrame, size: int, num: int, den: int) -> DataFrame | None:
-    """(node, component) of everything that links connect, found by joining the regions recursively; None if nothing is linked."""
-    near = (den - num) / den + 1e-9
+    blocks = balls.groupBy("q").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("diff")) / BLOCK_BYTES)).alias("blocks"))
+    dealt = balls.join(blocks, "q").withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("q", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "x", "nx", "component", "diff")
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by("x")
+        n, comp, home = table["nx"].to_numpy(), table["component"].to_numpy(), table["x"].to_numpy()
+        sets = [np.frombuffer(d.as_buffer(), np.uint64) for d in table["diff"]]
+        size = np.array([len(d) for d in sets])
+        member = np.repeat(np.arange(len(sets)), size)
+        _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        common = times[element] > 1
+        member, element = member[common], np.unique(element[common], return_inverse=True)[1]
+        order = np.argsort(element, kind="stable")
+        member, element = member[order], element[order]
+        names, local = np.unique(comp, return_inverse=True)
+        label = np.arange(len(names))
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for k in range(0, int(element[-1]) + 1 if len(element) else 0, 1024):
+            a, b = np.searchsorted(element, (k, k + 1024))
+            has = np.zeros((len(sets), 1024), np.float32)
+            has[member[a:b], element[a:b] - k] = 1
+            both += has @ has.T
+        for k in range(len(sets)):  # differences of differences
+            apart = size[k] + size - 2 * both[k].astype(np.int64)
+            shared = (n[k] + n - apart) // 2
+            near = np.unique(local[den * shared >= num * (shared + apart)])
+            if len(near) > 1:
+                old = np.unique(label[near])
+                label[np.isin(label, old)] = old[0]
+        moved = names != names[label]
+        return pa.table({"a": pa.array(names[label][moved]), "b": pa.array(names[moved])}) if len(home) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    return materialize(met.groupBy("q", "i", "j").applyInArrow(work, "a long, b long"))
+
+
+def links(members: DataFrame, rows: DataFrame, size: int, num: int, den: int) -> DataFrame | None:
+    """(node, component) of everything that links connect, found by joining the regions (region, doc_id) recursively; None if nothing is linked."""
+    if members.isEmpty():
+        return None
+    near = reach(num, den)
+    sets = sets_of(rows, members.select("doc_id"), size)
     found: DataFrame | None = None
-    names: DataFrame | None = None
-    members, round_no = unfinished(regions.withColumn("depth", F.lit(0.0)), None), 0
+    balls: DataFrame | None = None
+    round_no = 0
     while not members.isEmpty():
-        shape = materialize(shapes(members))
-        pivots = materialize(pivots_of(members, shape, round_no))
-        x_sets = sets.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("histogram").alias("hx"))
-        q_sets = sets.select(F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("histogram").alias("hq"))
-        met = members.withColumnRenamed("doc_id", "x").join(pivots, "region").where("x <> q")
-        last = round_no > 0
-        if last:  # pairs inside a component only matter for parting large regions
-            met = met.where((F.col("component") != F.col("qc")) | ~F.col("full"))
-        pairs = materialize(met.groupBy("x", "q").agg((F.min("component") != F.min("qc")).alias("apart")))
-        bounded = materialize(lower_bounds(pairs.join(x_sets, "x").join(q_sets, "q")).select("x", "q", "apart", "bound"))
-        asked = bounded.where(F.col("apart") & (F.col("bound") <= near)).select(F.least("x", "q").alias("x"), F.greatest("x", "q").alias("q")).distinct()
-        exact = materialize(distances(asked, rows, size))
-        union = F.col("nx") + F.col("nq") - F.col("both")
-        exact = exact.select("x", "q", (1 - F.col("both") / union).alias("d"), (den * F.col("both") >= num * union).alias("linked"))
-        new = exact.where("linked").select(F.col("x").alias("a"), F.col("q").alias("b"))
-        found = new if found is None else found.unionByName(new)
-        names = components(found)
-        open_members = members if round_no == 0 else members.join(shape.where("NOT full").select("region"), "region")
-        both_ways = exact.unionByName(exact.select(F.col("q").alias("x"), F.col("x").alias("q"), "d", "linked"))
-        known = bounded.join(both_ways, ["x", "q"], "left").select("x", "q", F.coalesce("d", "bound").alias("least"), F.coalesce("linked", F.lit(False)).alias("linked"))
-        members, round_no = unfinished(next_regions(open_members, pivots, known, 2 * near), names), round_no + 1
-    return names
+        pivots = materialize(pivots_of(members, round_no))
+        met = members.join(pivots, "region").withColumnRenamed("doc_id", "x").where("x <> q")
+        known = differences(materialize(met.select("x", "q").distinct()), sets, num, den)
+        new = known.where("linked").select(F.col("x").alias("a"), F.col("q").alias("b"))
+        ball = known.where(F.col("d") <= 3 * near)
+        found, balls = (new, ball) if found is None else (found.unionByName(new), balls.unionByName(ball))
+        rest = met.join(pivots.select("region", F.col("q").alias("x")), ["region", "x"], "left_anti").join(known.select("x", "q", "d"), ["x", "q"])
+        far = rest.groupBy("region", "x").agg(F.min("d").alias("d")).where(F.col("d") > 2 * near).select("region", F.col("x").alias("doc_id"))
+        far = materialize(far)
+        alone = far.groupBy("region").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("region")
+        members, round_no = materialize(far.join(alone, "region")), round_no + 1
+    names = components(found)
+    placed = balls.select("q", "x", "nx", "diff").join(names.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+    several = placed.groupBy("q").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("q")
+    more = linked_in_balls(placed.join(materialize(several), "q"), num, den)
+    return names if more.isEmpty() else components(found.unionByName(more))
 
 
 def jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,16 +321,16 @@ def jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100
     further columns are ignored.
     """
     rows = only(docs, id_col, text_col)
-    info = materialize(describe(rows, size))
-    described = info.where("slot IS NULL").select("doc_id", "n", "f1", "f2", "histogram")
+    total = total_bytes(rows)
+    bits = min(MOST_COUNT_BITS, max(10, (total // 4).bit_length()))
+    info = materialize(describe(rows, size, bits))
+    described = info.where("slot IS NULL").select("doc_id", "n", "f1", "f2")
     full = described.where("doc_id IS NOT NULL AND n > 0")
     classes = materialize(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")))
-    sets = materialize(full.join(classes, ["n", "f1", "f2"]).where("doc_id = rep").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("histogram").alias("histogram")))
-    placed = materialize(first_regions(rows.where("doc_id IS NOT NULL"), size, num, den, rarity(info)))
-    shared = materialize(placed.groupBy("region").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("region"))
-    regions = placed.join(shared, "region").join(sets.select("doc_id"), "doc_id", "left_semi").distinct()
-    regions = materialize(regions)
-    names = links(regions, sets, rows, size, num, den)
+    reps = materialize(classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min("n").alias("n")))
+    placed = first_regions(rows.where("doc_id IS NOT NULL"), size, num, den, rarity(info, bits), 1 + total // BUCKET_BYTES)
+    members = thinned(placed.join(reps, "doc_id"), num, den)
+    names = links(members.select("region", "doc_id"), rows, size, num, den)
     groups = classes.withColumn("component_id", F.col("rep"))
     if names is not None:
         groups = classes.join(names.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
