@@ -88,18 +88,18 @@ def describe(docs: DataFrame, size: int, bits: int) -> DataFrame:
     slots = min(256, 1 << bits)
 
     def listed(counts: np.ndarray) -> bytes:
-        """Gaps between the classes that occur, a byte each, then their counts."""
+        """Gaps between the classes that occur, a byte each, then their counts, 255 at most."""
         some = counts > 0
         some[::GAP] = True
         at = np.flatnonzero(some)
-        return np.diff(at, prepend=0).astype(np.uint8).tobytes() + counts[at].astype("<u2").tobytes()
+        return np.diff(at, prepend=0).astype(np.uint8).tobytes() + counts[at].tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint16)
+        counts = np.zeros(1 << bits, np.uint8)
         for b in text_slices(batches):
             s = Shingles(b.column("text"), size)
             seen, times = np.unique(class_of(s.value, len(counts)), return_counts=True)
-            counts[seen] = np.minimum(counts[seen].astype(np.int64) + times, 65535)
+            counts[seen] = np.minimum(counts[seen] + times, 255)
             f1, f2 = s.sums(s.value * U(0xD1342543DE82EF95) ^ (s.value >> U(29))), s.sums((s.value ^ (s.value >> U(31))) * U(0xAF251AF3B0F025B5))
             n = len(s.n)
             yield pa.RecordBatch.from_arrays(
@@ -121,9 +121,9 @@ def rarity(info: DataFrame, bits: int) -> np.ndarray:
         total = np.zeros(width, np.int64)
         for c in table["counts"]:
             data = c.as_buffer()
-            n = len(data) // 3
+            n = len(data) // 2
             at = np.cumsum(np.frombuffer(data, np.uint8, n), dtype=np.int64)
-            total[at] += np.frombuffer(data, "<u2", n, n)
+            total[at] += np.frombuffer(data, np.uint8, n, n)
         steps = np.where(total <= 128, total, 128 + 4 * np.log2(np.maximum(total, 1) / 128)).astype(np.uint8)
         return pa.table({"slot": table["slot"].slice(0, 1), "counts": pa.array([steps.tobytes()], pa.binary())})
 
@@ -155,7 +155,7 @@ def first_regions(docs: DataFrame, size: int, num: int, den: int, classes: np.nd
             parts.append(rows)
             at.append(((value >> U(32)) % U(buckets)).astype(np.int32))
             held += len(rows)
-            if held > 1 << 20:
+            if held > 1 << 18:
                 yield packed(parts, at)
                 parts, at, held = [], [], 0
         if held:
