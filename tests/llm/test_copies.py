@@ -207,6 +207,24 @@ def test_near_duplicates_of_a_crowd(spark, block, monkeypatch):
     assert max(written) <= placements < len(rows) ** 2 / 6
 
 
+def test_regions_of_the_same_documents_are_one(spark, monkeypatch):
+    """Two near copies share dozens of rare shingles; what is sent on must not grow with these."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:200] + ["other"] + words[201:]))]
+    seen = []
+
+    def counted(members, *rest, links=jaccard.links):
+        seen.append(members.count())
+        return links(members, *rest)
+
+    monkeypatch.setattr(jaccard, "links", counted)
+    assert groups(spark.createDataFrame(rows, "doc_id long, text string")) == near_groups(rows)
+    assert seen == [80]
+
+
 def test_threshold_is_met_exactly(spark):
     # 17 of 20 shingles in common is 0.85, 16 of 19 is below
     base = [f"a{k}" for k in range(20)]

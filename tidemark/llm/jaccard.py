@@ -5,7 +5,7 @@ Jaccard distance is a metric, so the work is divided by distances to pivots.
 1. Documents with equal shingle sets collapse to the one with the smallest id. A table of shingle counts orders all shingles from rare to
    frequent. Single shingles are the first, coarsest pivots: two documents that link share at least l of the rarest n - ceil(t n) + l
    shingles of each, so every document is placed in the regions of exactly these. Placements travel as packed arrays; regions with one
-   document vanish, and so do documents left in fewer than l regions.
+   document vanish, so do documents left in fewer than l regions, and regions of the same documents become one.
 2. In each region documents are drawn as pivots, more each round, and every member's distance to them is computed exactly. With the threshold
    as a distance e, the triangle inequality says: of two linked documents either both lie within 3 e of a pivot, or neither within 2 e. The
    members within 3 e of a pivot form its ball, those beyond 2 e of every pivot of their region form the region of the next round; a
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U, Words, materialize, only, text_slices, total_bytes, window_hashes
+from .common import U, Words, materialize, mix, only, text_slices, total_bytes, window_hashes
 from .graph import components
 
 MOST_COUNT_BITS = 25  # the table of counts has at most so many classes, whatever the input; a coarser order costs time only
@@ -33,6 +33,8 @@ GAP = 128  # classes between two that are always listed, so that gaps fit a byte
 SPARE = 32  # one more placement, and one more region asked for, for so many shingles
 BUCKET_BYTES = 8 << 20  # of text, for each bucket of placements
 PLACEMENT = np.dtype([("key", "<u4"), ("doc", "<i8")])
+MEMBER = np.dtype([("key", "<u4"), ("home", "<u4"), ("doc", "<i8")])  # home: the bucket of the region
+NEED = np.dtype([("doc", "<i8"), ("need", "<i8")])  # regions that a document must share
 BLOCK = 2048  # members of a ball in a block, if their differences take no more than
 BLOCK_BYTES = 16 << 20
 BROADCAST_IDS = 500_000  # eight bytes each
@@ -134,16 +136,42 @@ def rarity(info: DataFrame, bits: int) -> np.ndarray:
     return out.ravel()
 
 
-def first_regions(docs: DataFrame, size: int, num: int, den: int, classes: np.ndarray, buckets: int) -> DataFrame:
-    """(region, doc_id): every document under each of its rarest shingles, for regions with several ids."""
-    known = docs.sparkSession.sparkContext.broadcast(classes)
+def starts(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def dealt(rows: np.ndarray, bucket: np.ndarray, name: str = "rows") -> pa.Table:
+    """(bucket, rows): the rows of each bucket as one packed array."""
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
+    first = starts(bucket)
+    ends = np.append(first[1:], len(rows))
+    return pa.table({"bucket": pa.array(bucket[first].astype(np.int32)), name: pa.array([rows[i:j].tobytes() for i, j in zip(first, ends)], pa.binary())})
+
+
+def unpacked(column: pa.ChunkedArray, dtype: np.dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(r.as_buffer(), dtype) for r in column if r.is_valid)])
+
+
+def home_of(doc: np.ndarray, buckets: int) -> np.ndarray:
+    return mix(doc.astype(np.int64).view(np.uint64)) % U(buckets)
+
 
-    def packed(parts: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
-        rows, bucket = np.concatenate(parts), np.concatenate(at)
-        order = np.argsort(bucket, kind="stable")
-        rows, bounds = rows[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(bounds))
-        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([rows[bounds[k]:bounds[k + 1]].tobytes() for k in full], pa.binary())], ["bucket", "rows"])
+def in_company(rows: np.ndarray) -> np.ndarray:
+    """The placements of one bucket in regions of several documents, ordered by region and document."""
+    rows = rows[np.lexsort((rows["doc"], rows["key"]))]
+    key, doc = rows["key"], rows["doc"]
+    first = starts(key)
+    last = np.append(first[1:], len(rows)) - 1
+    return rows[np.repeat(doc[first] != doc[last], last - first + 1)]
+
+
+def placements(docs: DataFrame, size: int, num: int, den: int, classes: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, rows): every document under each of its rarest shingles."""
+    known = docs.sparkSession.sparkContext.broadcast(classes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, at, held = [], [], 0
@@ -156,36 +184,63 @@ def first_regions(docs: DataFrame, size: int, num: int, den: int, classes: np.nd
             at.append(((value >> U(32)) % U(buckets)).astype(np.int32))
             held += len(rows)
             if held > 1 << 18:
-                yield packed(parts, at)
+                yield from dealt(np.concatenate(parts), np.concatenate(at)).to_batches()
                 parts, at, held = [], [], 0
         if held:
-            yield packed(parts, at)
+            yield from dealt(np.concatenate(parts), np.concatenate(at)).to_batches()
 
-    def shared(table: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(r.as_buffer(), PLACEMENT) for r in table["rows"]])
-        rows = rows[np.lexsort((rows["doc"], rows["key"]))]
-        key, doc = rows["key"], rows["doc"]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size_of = np.diff(np.append(first, len(rows)))
-        several = np.repeat(doc[first] != doc[first + size_of - 1], size_of)
-        region = key[several].astype(np.int64) | (table["bucket"][0].as_py() << 32)
-        return pa.table({"region": pa.array(region), "doc_id": pa.array(doc[several])})
+    return docs.mapInArrow(place, "bucket int, rows binary")
 
-    return docs.mapInArrow(place, "bucket int, rows binary").groupBy("bucket").applyInArrow(shared, "region long, doc_id long")
 
+def first_regions(docs: DataFrame, reps: DataFrame, size: int, num: int, den: int, classes: np.ndarray, buckets: int) -> DataFrame:
+    """(region, doc_id): representatives under their rarest shingles, without those that meet others in too few regions to link.
 
-def thinned(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(region, doc_id, n) without documents that meet others in too few regions to link, and without regions of one document.
-
-    Two shingles of a document that fall on one key are two rows here, so none is counted too low.
+    Placements go as packed arrays between buckets of regions, which leave out regions of one document, and buckets of documents, which leave
+    out documents in too few regions. Two shingles of a document that fall on one key are two placements, so none is counted too low.
+    Regions of the same documents are one region, named by a fingerprint of them; should two fingerprints agree, their regions are joined.
     """
-    enough = F.lit(1) + F.floor(F.ceil(F.col("n") * num / den) / SPARE)
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.empty(len(b), NEED)
+            rows["doc"] = b.column("doc_id").to_numpy()
+            rows["need"] = 1 + -(-num * b.column("n").to_numpy() // den) // SPARE
+            yield from dealt(rows, home_of(rows["doc"], buckets), "needs").to_batches()
+
+    def by_document(table: pa.Table) -> pa.Table:
+        kept = in_company(unpacked(table["rows"], PLACEMENT))
+        rows = np.empty(len(kept), MEMBER)
+        rows["key"], rows["doc"], rows["home"] = kept["key"], kept["doc"], table["bucket"][0].as_py()
+        return dealt(rows, home_of(rows["doc"], buckets))
+
+    def by_region(table: pa.Table) -> pa.Table:
+        rows, need = unpacked(table["rows"], MEMBER), unpacked(table["needs"], NEED)
+        need = need[np.argsort(need["doc"])]
+        if not len(need):
+            rows = rows[:0]
+        at = np.minimum(np.searchsorted(need["doc"], rows["doc"]), len(need) - 1)
+        known = need["doc"][at] == rows["doc"]
+        count = np.bincount(at[known], minlength=len(need))
+        rows = rows[known & (count[at] >= need["need"][at])]
+        kept = np.empty(len(rows), PLACEMENT)
+        kept["key"], kept["doc"] = rows["key"], rows["doc"]
+        return dealt(kept, rows["home"])
+
+    def named(table: pa.Table) -> pa.Table:
+        rows = np.unique(in_company(unpacked(table["rows"], PLACEMENT)))  # by key, then document
+        key, doc = rows["key"], rows["doc"]
+        first = starts(key)
+        sums = np.add.reduceat(mix(doc.view(np.uint64) + U(1)), first) if len(rows) else np.zeros(0, np.uint64)
+        members = np.empty(len(rows), [("region", "<i8"), ("doc", "<i8")])
+        members["region"], members["doc"] = np.repeat(mix(sums).view(np.int64), np.diff(np.append(first, len(rows)))), doc
+        members = np.unique(members)
+        return pa.table({"region": pa.array(members["region"].copy()), "doc_id": pa.array(members["doc"].copy())})
+
+    wanted = reps.mapInArrow(needs, "bucket int, needs binary")
+    placed = placements(docs, size, num, den, classes, buckets)
     for _ in range(2):
-        shared = members.groupBy("region").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("region")
-        members = materialize(members.join(shared, "region"))
-        kept = members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).where(F.col("c") >= enough).select("doc_id")
-        members = materialize(members.join(kept, "doc_id"))
-    return materialize(members.distinct())
+        met = placed.groupBy("bucket").applyInArrow(by_document, "bucket int, rows binary")
+        placed = met.unionByName(wanted, allowMissingColumns=True).groupBy("bucket").applyInArrow(by_region, "bucket int, rows binary")
+    return materialize(placed.groupBy("bucket").applyInArrow(named, "region long, doc_id long").distinct())
 
 
 def texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -328,9 +383,8 @@ def jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100
     full = described.where("doc_id IS NOT NULL AND n > 0")
     classes = materialize(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")))
     reps = materialize(classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min("n").alias("n")))
-    placed = first_regions(rows.where("doc_id IS NOT NULL"), size, num, den, rarity(info, bits), 1 + total // BUCKET_BYTES)
-    members = thinned(placed.join(reps, "doc_id"), num, den)
-    names = links(members.select("region", "doc_id"), rows, size, num, den)
+    members = first_regions(rows.where("doc_id IS NOT NULL"), reps, size, num, den, rarity(info, bits), 1 + total // BUCKET_BYTES)
+    names = links(members, rows, size, num, den)
     groups = classes.withColumn("component_id", F.col("rep"))
     if names is not None:
         groups = classes.join(names.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
