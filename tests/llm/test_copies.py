@@ -3,8 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,6 +292,24 @@ def test_leaks_of_edited_short_and_partial_items(spark):
     assert [got[k][1] for k in range(12)] == [1, 2, 3, 4, None, 5, 6, None, None, 1, None, None]
 
 
+def test_templates_take_little_memory():
+    """Numpy arrays of a task at their peak, over 6 MB of text."""
+    class Texts:
+        def mapInArrow(self, work, schema):  # noqa: N802
+            return work
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(WORDS, k=300)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    work = decontam.template_windows(Texts(), np.zeros(1 << 18, np.uint64), True, [3, 9])
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in work(iter([batch]))) == 0
+        assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_leaks_in_rough_tables(spark, rough_docs, no_docs, rough):
     passage = rough[-1][1]
     bench = spark.createDataFrame([(1, passage), (2, None), (3, ""), (4, "too short"), (None, passage), (5, passage)], "item_id long, text string")

@@ -24,6 +24,7 @@ RUN = 13  # words that say enough when they stand in a document as they are
 SHORT, SHORT_LITERALS = 5, 3  # windows between edits; they must cover SHARE of an item and WINDOW words of it
 CELL = 8  # edits may move an item's words by up to half of this
 BITMAP_BITS = 24
+SLICE = 1 << 19  # bytes of text whose template is held at once, which takes about 90 times as much
 NUMBER, UNIT, NAME = 1, 2, 3
 # Fixed value: measuring words that a changed question may exchange.
 UNITS = ("mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg lb lbs oz ounce ounces pound pounds ton tons ml cl l litre litres liter liters gallon gallons "
@@ -164,7 +165,7 @@ ORDINAL_HASHES = _hashes_of(ORDINALS)
 def template_windows(texts: DataFrame, bitmap: np.ndarray | None = None, passages: bool = False, lengths: list[int] | None = None) -> DataFrame:
     """Windows of rows (doc_id, text), as rule 0, and ``passages``; with a bitmap only those that may be in the benchmark."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches):
+        for b in text_slices(batches, SLICE):
             t = Template(b.column("text"))
             at, h, loose = t.windows()
             parts = [(0, WINDOW, at[loose == x], h[loose == x], x) for x in (False, True)]
